@@ -1,6 +1,6 @@
 """Runnable queries over the provided tables, grouped by theme."""
 
-from skyledger.plans import dashboard_queries, detection_queries  # noqa: F401
+from skyledger.plans import dashboard_queries, detection_queries, normalize_queries  # noqa: F401
 from skyledger.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -186,7 +186,50 @@ SELECT id, ts, dataset, host, region,
 FROM #logs
 """
 
-_REF = re.compile(r"([@#])([a-z_]+)")
+VIEWS["raw_logs"] = """
+SELECT id, ts, k, user_id, event_type,
+  CASE user_id % 3 WHEN 0 THEN 'aws' WHEN 1 THEN 'gcp' ELSE 'azure' END AS vendor,
+  CASE k % 9 WHEN 1 THEN 'aws.lambda_logs' WHEN 2 THEN 'aws.athena' ELSE 'aws.glue' END AS dataset,
+  CASE id % 20 WHEN 0 THEN 'security' WHEN 1 THEN 'analytics' WHEN 2 THEN 'datawarehouse' WHEN 3 THEN 'data-ai' WHEN 4 THEN 'compute'
+    WHEN 5 THEN 'databases' WHEN 6 THEN 'networking' WHEN 7 THEN 'serverless' WHEN 8 THEN 'storage' WHEN 9 THEN 'streaming'
+    WHEN 10 THEN 'ml' WHEN 11 THEN 'iot' WHEN 12 THEN 'management' WHEN 13 THEN 'devtools' WHEN 14 THEN 'enduser'
+    WHEN 15 THEN 'media' WHEN 16 THEN 'containers' WHEN 17 THEN 'integration' WHEN 18 THEN 'unheard-of' ELSE NULL END AS svc_group,
+  CASE
+    WHEN k % 9 = 0 THEN '2024-01-01 10:00:00,' || CAST(k AS STRING) || ' ERROR [main] com.acme.Job: failed ' || CAST(id AS STRING)
+    WHEN k % 9 = 1 THEN 'REPORT RequestId: ' || md5(CAST(id AS STRING)) || '  Duration: ' || CAST(k AS STRING) || '.5 ms  Billed Duration: '
+      || CAST(k + 1 AS STRING) || ' ms  Memory Size: 512 MB  Max Memory Used: ' || CAST(k AS STRING) || ' MB'
+    WHEN k % 9 = 3 THEN '{"broken": ' || CAST(id AS STRING)
+    WHEN k % 9 = 4 THEN '2024-01-01T10:00:00Z WARN disk almost full'
+    WHEN k % 9 = 5 THEN 'START RequestId: ' || md5(CAST(id AS STRING)) || '  Version: $LATEST'
+    ELSE '{' || CASE WHEN k % 2 = 0 THEN '"jobId":"J' || CAST(id AS STRING) || '",' ELSE '' END
+      || '"job_id":"j' || CAST(k AS STRING) || '","severity":"HIGH","finding_type":"F' || CAST(k % 5 AS STRING) || '","rule_id":"r'
+      || CAST(k % 7 AS STRING) || '","threat_type":"T1","action":"' || event_type || '","status":"ok","state":"RUNNING","instance_id":"i-'
+      || CAST(user_id AS STRING) || '","db_instance":"db' || CAST(k % 3 AS STRING) || '","latency":' || CAST(k AS STRING)
+      || ',"user":"u' || CAST(user_id AS STRING) || '","src_addr":"10.0.0.' || CAST(user_id % 250 AS STRING) || '","dst_addr":"198.51.100.'
+      || CAST(k AS STRING) || '","src_port":' || CAST(1000 + k AS STRING) || ',"bytes_in":' || CAST(k * 10 AS STRING)
+      || ',"protocol":"tcp","functionName":"fn' || CAST(k % 4 AS STRING) || '","bucket_name":"b' || CAST(k % 3 AS STRING)
+      || '","object_key":"o","size":' || CAST(id AS STRING) || ',"stream_name":"s' || CAST(k % 2 AS STRING) || '","records":' || CAST(k AS STRING)
+      || ',"error_code":"E' || CAST(k % 3 AS STRING) || '","modelId":"m1","device_id":"dev","topic":"t","principal":"p' || CAST(user_id AS STRING)
+      || '","resource_type":"rt","build_id":"bl","project":"pr","sessionId":"se","userId":"' || CAST(user_id AS STRING)
+      || '","channel":"ch","bitrate":' || CAST(k AS STRING) || ',"pod_name":"pod","namespace":"ns","image":"img","node":"node'
+      || CAST(k % 3 AS STRING) || '","connector_id":"c","errorMessage":"boom","queryId":"q' || CAST(id AS STRING)
+      || '","workgroup":"wg","database":"db","durationSeconds":' || CAST(k % 4 AS STRING)
+      || CASE WHEN k % 3 = 0 THEN ',"level":"WARN"' WHEN k % 3 = 1 THEN ',"logLevel":"Debug"' ELSE '' END
+      || CASE WHEN k % 4 = 0 THEN ',"duration_ms":' || CAST(k AS STRING) || '.25' WHEN k % 4 = 1 THEN ',"elapsed_ms":' || CAST(k AS STRING) ELSE '' END
+      || CASE WHEN k % 2 = 0 THEN ',"protoPayload":{"authenticationInfo":{"principalEmail":"in' || CAST(user_id AS STRING)
+        || '@x.io"},"requestMetadata":{"callerIp":"10.1.0.1"},"methodName":"m.inner"}' ELSE '' END || '}'
+  END AS message,
+  CASE event_type WHEN 'error' THEN 'failure' WHEN 'view' THEN NULL ELSE 'success' END AS outcome,
+  CASE WHEN k % 13 = 0 THEN 'state' END AS pre_kind,
+  CASE WHEN k % 17 = 0 THEN '10.9.9.9' END AS pre_ip,
+  '10.2.0.' || CAST(k AS STRING) AS caller_ip, 'op.' || event_type AS operation_name,
+  CASE WHEN k % 5 = 0 THEN NULL ELSE 'user' || CAST(user_id AS STRING) || '@globex.example' END AS upn,
+  CASE k % 3 WHEN 0 THEN 'Warning' WHEN 1 THEN NULL ELSE 'Error' END AS envelope_level,
+  '{"authenticationInfo":{"principalEmail":"out@x.io"},"requestMetadata":{"callerIp":"10.1.0.2","callerSuppliedUserAgent":"gcloud/1"},"methodName":"m.outer"}' AS proto
+FROM #base
+"""
+
+_REF = re.compile(r"(?<=FROM )([@#])([a-z_]+)")
 
 
 def _dependencies(name: str, seen: list[str]) -> list[str]:
