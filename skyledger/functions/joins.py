@@ -26,5 +26,5 @@ def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread_
     """
     salt = F.pmod(F.xxhash64(F.col(spread_by)), F.lit(salts))
     spread = left.withColumn("__salt", salt)
-    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    copies = right.withColumn("__salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
     return spread.join(copies, [*keys, "__salt"], "left").drop("__salt")

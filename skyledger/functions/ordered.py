@@ -134,33 +134,79 @@ def counts_until(
     return running_until(probes, events, keys, one, "sum", probe_ts, event_ts, out, chunk_seconds)
 
 
-def trailing_count(
+def interval_total(
     left: DataFrame,
     events: DataFrame,
     keys: list[str],
-    seconds: int,
+    before: int,
     out: str,
+    after: int = 0,
+    value: Column | None = None,
     row_id: str = "id",
     left_ts: str = "ts",
     event_ts: str = "ts",
     chunk_seconds: int = 3600,
 ) -> DataFrame:
-    """Add ``out``: events of the key in the closed trailing interval [t - seconds, t] of each left row.
+    """Add ``out``: count (or sum of whole-number ``value``) of the key's events in [t - before, t + after] seconds of each row.
 
-    Two running counts are read per row (at t, and just before the interval) and subtracted, so the cost does
-    not grow with the number of events in the interval.
+    Two running totals are read per row and subtracted, so the cost does not grow with the number of events in the
+    interval.  ``row_id`` must be unique in ``left``.
     """
-    base = left.select(F.col(row_id).alias("__id"), *keys, F.col(left_ts).alias("__hi"))
-    lo = F.timestamp_micros(micros("__hi") - F.lit(seconds * 1_000_000 + 1))
-    probes = base.select(
-        "__id", *keys,
-        F.explode(F.array(F.struct(F.col("__hi").alias("at"), F.lit(1).alias("sign")), F.struct(lo.alias("at"), F.lit(-1).alias("sign")))).alias("p"),
-    ).select("__id", *keys, F.col("p.at").alias("__at"), F.col("p.sign").alias("__sign"))
-    counted = counts_until(probes, events, keys, "__at", event_ts, "__c", chunk_seconds)
+    base = left.select(F.col(row_id).alias("__id"), *keys, micros(left_ts).alias("__us"))
+    ends = F.array(
+        F.struct(F.timestamp_micros(F.col("__us") + F.lit(after * 1_000_000)).alias("at"), F.lit(1).alias("sign")),
+        F.struct(F.timestamp_micros(F.col("__us") - F.lit(before * 1_000_000 + 1)).alias("at"), F.lit(-1).alias("sign")),
+    )
+    probes = base.select("__id", *keys, F.explode(ends).alias("p")).select(
+        "__id", *keys, F.col("p.at").alias("__at"), F.col("p.sign").alias("__sign")
+    )
+    amount = F.lit(1).cast("long") if value is None else value
+    counted = running_until(probes, events, keys, amount, "sum", "__at", event_ts, "__c", chunk_seconds)
     per_row = counted.groupBy("__id").agg(F.sum(F.col("__c") * F.col("__sign")).cast("long").alias(out))
     return left.join(per_row, left[row_id] == per_row["__id"], "left").drop("__id")
 
 
+def trailing_count(left: DataFrame, events: DataFrame, keys: list[str], seconds: int, out: str, **options) -> DataFrame:
+    """Add ``out``: events of the key in the closed trailing interval [t - seconds, t] of each left row."""
+    return interval_total(left, events, keys, seconds, out, **options)
+
+
+def numbered(df: DataFrame, keys: list[str], ts: str, tie: list[str], out: str, chunk_seconds: int = 3600) -> DataFrame:
+    """Add ``out``: the row's 1-based position in its key by (ts, tie).  Rows with a NULL key are dropped."""
+    rows = _with_chunk(df.na.drop(subset=keys), ts, chunk_seconds)
+    inside = rows.withColumn("__in", F.row_number().over(Window.partitionBy(*keys, _CHUNK).orderBy(ts, *tie)))
+    summary = rows.groupBy(*keys, _CHUNK).agg(F.count("*").alias("__part"))
+    cw = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = summary.select(*keys, _CHUNK, F.sum("__part").over(cw).alias("__before"))
+    position = (F.col("__in") + F.coalesce("__before", F.lit(0))).cast("long")
+    return _join_chunk(inside, carried, keys).withColumn(out, position).drop("__in", "__before", _CHUNK)
+
+
+def previous_rows(
+    df: DataFrame, keys: list[str], ts: str, tie: str, values: list[str], n: int, seconds: int, out: str, chunk_seconds: int = 86400
+) -> DataFrame:
+    """Add ``out``: up to ``n`` preceding rows of the key within ``seconds``, newest first, as structs of (ts, tie, values).
+
+    Each row carries at most ``n`` others, so a key with many rows never forms pairs.
+    """
+    names = list(dict.fromkeys([ts, tie, *values]))
+    payload = F.struct(*names)
+    rows = _with_chunk(df.na.drop(subset=keys), ts, chunk_seconds)
+    w = Window.partitionBy(*keys, _CHUNK).orderBy(ts, tie)
+    inside = rows.withColumn("__in", F.collect_list(payload).over(w.rowsBetween(-n, -1)))
+    newest = Window.partitionBy(*keys, _CHUNK).orderBy(F.desc(ts), F.desc(tie))
+    tail = rows.withColumn("__rn", F.row_number().over(newest)).filter(F.col("__rn") <= n)
+    summary = tail.groupBy(*keys, _CHUNK).agg(F.collect_list(payload).alias("__tail"))
+    cw = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(-n, -1)
+    carried = summary.select(*keys, _CHUNK, F.flatten(F.collect_list("__tail").over(cw)).alias("__before"))
+    joined = _join_chunk(inside, carried, keys)
+    both = F.concat("__in", F.coalesce("__before", F.slice("__in", 1, 0)))
+    latest = F.slice(F.sort_array(both, asc=False), 1, n)
+    since = micros(ts) - F.lit(seconds * 1_000_000)
+    near = F.filter(latest, lambda r: micros(r.getField(ts)) >= since)
+    return joined.withColumn(out, near).drop("__in", "__before", _CHUNK)
+
+
 def in_overlapping_spans(df: DataFrame, ts: str, seconds: int) -> DataFrame:
     """Copy each row to its own span and to the one before, for forward searches of at most ``seconds``.
 

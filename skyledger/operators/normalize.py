@@ -210,8 +210,9 @@ def group_extract(df: DataFrame) -> DataFrame:
     # A moved severity is no longer there for the level step.
     kept = F.map_filter(F.col("parsed"), lambda k, _: k != "severity")
     had = F.coalesce(F.map_contains_key(field(df, "fields", _MAP), F.lit("severity")), F.lit(False))
-    parsed = F.when((group == "security") & ~had, kept).otherwise(F.col("parsed"))
-    return _set(put_fields(df, own), {**ecs, "parsed": parsed})
+    moved = put_fields(_set(df, {"__had": had}), own)
+    parsed = F.when((group == "security") & ~F.col("__had"), kept).otherwise(F.col("parsed"))
+    return _set(moved, {**ecs, "parsed": parsed}).drop("__had")
 
 
 def error_extract(df: DataFrame) -> DataFrame:

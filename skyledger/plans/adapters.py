@@ -7,6 +7,7 @@ and ``#view`` for another view, so that the very same text can be put in front o
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -241,11 +242,13 @@ def _dependencies(name: str, seen: list[str]) -> list[str]:
     return seen
 
 
-def _render(text: str, sf_dir: str | None) -> str:
+def _render(text: str, sf_dir: str | None, named: dict[str, str] | None = None) -> str:
     def table(match: re.Match) -> str:
         kind, ref = match.groups()
         if kind == "#":
             return f"v_{ref}"
+        if named and ref in named:
+            return named[ref]
         return f"parquet.`{sf_dir}/{ref}.parquet`" if sf_dir else ref
 
     return _REF.sub(table, text)
@@ -258,6 +261,20 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(f"WITH {ctes} SELECT * FROM v_{name}")
 
 
+def view_over(name: str, **tables: DataFrame) -> DataFrame:
+    """The canonical view over given DataFrames, which may be streams."""
+    named = {t: f"given_{t}_{uuid.uuid4().hex}" for t in tables}
+    spark = next(iter(tables.values())).sparkSession
+    for t, df in tables.items():
+        df.createOrReplaceTempView(named[t])
+    chain = _dependencies(name, [])
+    ctes = ",\n".join(f"v_{n} AS ({_render(VIEWS[n], None, named)})" for n in chain)
+    out = spark.sql(f"WITH {ctes} SELECT * FROM v_{name}")
+    for temp in named.values():
+        spark.catalog.dropTempView(temp)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
