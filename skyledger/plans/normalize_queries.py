@@ -12,8 +12,11 @@ from skyledger.plans.registry import query
 
 
 def raw(spark, sf):
+    return raw_columns(view(spark, sf, "raw_logs"))
+
+
+def raw_columns(df):
     """Raw rows under the dotted names the normalisation steps expect."""
-    df = view(spark, sf, "raw_logs")
     claims = F.when(F.col("upn").isNotNull(), F.create_map(F.lit(fx.UPN_CLAIM), F.col("upn"), F.lit("appid"), F.lit("app")))
     azure, gcp, aws = (F.col("vendor") == v for v in ("azure", "gcp", "aws"))
     return df.select(

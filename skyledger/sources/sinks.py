@@ -18,15 +18,9 @@ MAX_UNIT_BYTES = 5 * 1024 * 1024
 
 
 def write_by_stream(df: DataFrame, root: str, target: str = "target", ts: str = "ts") -> None:
-    """Append every row to the table of its target stream, partitioned by dataset and date."""
+    """Append every row to the table of its target stream: folders by signal, dataset and date."""
     rows = df.withColumns({**stream_parts(F.col(target)), "date": F.col(ts).cast("date")}).drop(target)
-    rows.hint("rebalance", "signal", "dataset", "date").write.mode("append").partitionBy("signal", "dataset", "date").parquet(f"{root}/__all")
-
-
-def write_signal(df: DataFrame, root: str, signal: str, target: str = "target", ts: str = "ts") -> None:
-    """Append the rows of one signal to its table, partitioned by dataset and date."""
-    rows = df.withColumns({**stream_parts(F.col(target)), "date": F.col(ts).cast("date")}).filter(F.col("signal") == signal).drop("signal", target)
-    rows.hint("rebalance", "dataset", "date").write.mode("append").partitionBy("dataset", "date").parquet(f"{root}/{signal}")
+    rows.hint("rebalance", "signal", "dataset", "date").write.mode("append").partitionBy("signal", "dataset", "date").parquet(root)
 
 
 def append_new(df: DataFrame, path: str, key: str, existing: DataFrame | None) -> dict[str, int]:

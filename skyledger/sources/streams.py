@@ -1,4 +1,4 @@
-"""Reading data streams: tables per signal, partitioned by dataset and date, addressed by stream patterns."""
+"""Reading data streams: folders by signal, dataset and date, addressed by stream patterns."""
 
 from __future__ import annotations
 
@@ -32,7 +32,7 @@ def read_stream(spark: SparkSession, root: str, *patterns: str) -> DataFrame:
     parts = [split_pattern(p) for p in patterns]
     if len({s for s, _, _ in parts}) != 1:
         raise ValueError("one signal at a time; use read_streams")
-    df = spark.read.option("basePath", f"{root}/{parts[0][0]}").parquet(f"{root}/{parts[0][0]}")
+    df = spark.read.option("basePath", root).parquet(f"{root}/signal={parts[0][0]}")
     return df.filter(_matches([(d, ns) for _, d, ns in parts]))
 
 
