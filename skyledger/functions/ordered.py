@@ -75,10 +75,9 @@ def asof_latest(
         *keys, _CHUNK, F.col(left_ts).alias("__t"), F.lit(1).alias("__side"), "__lid", F.lit(None).alias("__hit")
     )
     events = _with_chunk(right.na.drop(subset=keys) if keys else right, right_ts, chunk_seconds)
-    events = events.groupBy(*keys, _CHUNK, F.col(right_ts).alias("__t")).agg(F.max(payload).alias("__hit"))
-    rrows = events.select(*keys, _CHUNK, "__t", F.lit(0).alias("__side"), F.lit(None).alias("__lid"), "__hit")
+    rrows = events.select(*keys, _CHUNK, F.col(right_ts).alias("__t"), F.lit(0).alias("__side"), F.lit(None).alias("__lid"), payload.alias("__hit"))
     both = rrows.unionByName(lrows)
-    w = Window.partitionBy(*keys, _CHUNK).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys, _CHUNK).orderBy("__t", "__side", "__hit").rowsBetween(Window.unboundedPreceding, 0)
     inside = both.withColumn("__in", F.last("__hit", ignorenulls=True).over(w)).filter(F.col("__side") == 1)
     summary = both.groupBy(*keys, _CHUNK).agg(F.max("__hit").alias("__last"))
     joined = _join_chunk(inside, _carry(summary, keys, "__last", "__before"), keys)
@@ -109,9 +108,8 @@ def running_until(
     p = _with_chunk(probes.withColumn("__lid", F.struct(*names)), probe_ts, chunk_seconds).select(
         *keys, _CHUNK, F.col(probe_ts).alias("__t"), F.lit(1).alias("__side"), "__lid", F.lit(None).alias("__n")
     )
-    e = _with_chunk((events.na.drop(subset=keys) if keys else events).withColumn("__v", value), event_ts, chunk_seconds)
-    e = e.groupBy(*keys, _CHUNK, F.col(event_ts).alias("__t")).agg(fn("__v").alias("__n"))
-    e = e.select(*keys, _CHUNK, "__t", F.lit(0).alias("__side"), F.lit(None).alias("__lid"), "__n")
+    e = _with_chunk((events.na.drop(subset=keys) if keys else events).withColumn("__n", value), event_ts, chunk_seconds)
+    e = e.select(*keys, _CHUNK, F.col(event_ts).alias("__t"), F.lit(0).alias("__side"), F.lit(None).alias("__lid"), "__n")
     both = e.unionByName(p)
     w = Window.partitionBy(*keys, _CHUNK).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
     inside = both.withColumn("__in", fn("__n").over(w)).filter(F.col("__side") == 1)

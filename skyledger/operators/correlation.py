@@ -67,8 +67,9 @@ def open_incidents(alerts: DataFrame, tickets: DataFrame, key: str = "host") ->
 def recent_changes(alerts: DataFrame, tickets: DataFrame, key: str = "host") -> DataFrame:
     """Change requests of the last seven days on the alert's host: how many, and the latest."""
     changes = tickets.filter(F.col("kind") == "change_request").withColumnRenamed("id", "change_id")
-    counted = trailing_count(alerts, changes, [key], WEEK, "change_count")
-    return asof_latest(counted, changes, [key], ["change_id", "priority"], "change_id", WEEK, prefix="latest_")
+    slim = alerts.select("id", "ts", key)
+    latest = asof_latest(slim, changes, [key], ["change_id", "priority"], "change_id", WEEK, prefix="latest_").drop("ts", key)
+    return attach(alerts, trailing_count(slim, changes, [key], WEEK, "change_count").select("id", "change_count"), latest)
 
 
 def related_alert_count(alerts: DataFrame, tag: str = "Attack Discovery", keys: list[str] | None = None) -> DataFrame:
@@ -86,14 +87,29 @@ def related_alerts(alerts: DataFrame, key: str = "src_ip", n: int = 10) -> DataF
     )
 
 
+def attach(base: DataFrame, *parts: DataFrame, on: str = "id") -> DataFrame:
+    """Left-join look-up results, each computed from the base rows on its own, back to the base."""
+    out = base
+    for part in parts:
+        out = out.join(part, on, "left")
+    return out
+
+
 def enrich_alert(alerts: DataFrame, events: DataFrame, ci: DataFrame, staff: DataFrame, tickets: DataFrame) -> DataFrame:
-    """One wide row per alert: attack source, newest asset, user profile, open incidents, changes and related alerts."""
-    out = attack_source(alerts, events)
-    out = affected_ci(out, ci, n=1).drop("rank")
-    out = target_user(out, staff)
-    out = open_incidents(out, tickets)
-    out = recent_changes(out, tickets)
-    return related_alert_count(out)
+    """One wide row per alert: attack source, newest asset, user profile, open incidents, changes and related alerts.
+
+    The look-ups do not build on one another: each runs on the few alert columns it needs and is joined back by id.
+    """
+    slim = alerts.select("id", "ts", "host", "user_name", "tag")
+    return attach(
+        alerts,
+        attack_source(slim, events).select("id", "attack_ts", "attack_src_ip", "attack_user_name", "attack_action"),
+        affected_ci(slim, ci, n=1).select("id", "ci_id", "ci_name", "ci_owner", "ci_department"),
+        target_user(slim, staff).select("id", "full_name", "email", "manager"),
+        open_incidents(slim, tickets).select("id", "open_incident_count"),
+        recent_changes(slim, tickets).select("id", "change_count", "latest_ts", "latest_change_id", "latest_priority"),
+        related_alert_count(slim).select("id", "related_alert_count"),
+    )
 
 
 def run_alert_enrich(alerts: DataFrame, events: DataFrame, ci: DataFrame, staff: DataFrame, datasets: tuple[str, ...] = RUN_DATASETS) -> DataFrame:
@@ -178,8 +194,10 @@ def exfil_join(df: DataFrame, key: str = "src_ip", window_seconds: int = 900, mi
     findings = df.filter(F.col("finding_type").startswith("Exfiltration")).select("id", "ts", key, "finding_type")
     reads = df.filter(F.col("action") == "GetObject")
     egress = df.filter((F.col("direction") == "egress") & (F.col("bytes") > min_bytes))
-    out = interval_total(findings, reads, [key], window_seconds, "object_reads", after=window_seconds)
-    out = interval_total(out, egress, [key], window_seconds, "egress_bytes", after=window_seconds, value=F.col("bytes"))
+    slim = findings.select("id", "ts", key)
+    near_reads = interval_total(slim, reads, [key], window_seconds, "object_reads", after=window_seconds)
+    near_egress = interval_total(slim, egress, [key], window_seconds, "egress_bytes", after=window_seconds, value=F.col("bytes"))
+    out = attach(findings, near_reads.select("id", "object_reads"), near_egress.select("id", "egress_bytes"))
     return out.filter((F.col("object_reads") > 0) & (F.col("egress_bytes") > 0))
 
 

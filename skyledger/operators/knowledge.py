@@ -32,7 +32,7 @@ _H2 = r"(?m)(?=^##[ \t]+.)"
 
 
 def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def chunk_markdown(docs: DataFrame, content: str = "content", source: str = "source") -> DataFrame:
@@ -40,27 +40,25 @@ def chunk_markdown(docs: DataFrame, content: str = "content", source: str = "sou
 
     A document that yields none is kept whole.  Each document is cut within its own row: no shuffle.
     """
-    text = F.col(content)
-    h1 = _strip(F.regexp_extract(text, _H1, 1))
-    body = F.array_join(F.split(text, _H1, 2), "")
-    # The split leaves the line break after the title; dropping it with the line keeps sections intact.
-    pieces = F.filter(F.split(body, _H2), lambda p: p.rlike(r"^##[ \t]+."))
-    sections = F.transform(
-        pieces,
-        lambda p: F.struct(
-            _strip(F.regexp_extract(p, r"^##[ \t]+(.+)", 1)).alias("title"),
-            _strip(F.regexp_replace(p, r"^##[ \t]+.+", "")).alias("content"),
-        ),
+    rest = [c for c in docs.columns if c != content]
+    h1 = _strip(F.regexp_extract(content, _H1, 1))
+    titled = docs.select(*rest, F.col(content).alias("__text"), h1.alias("__h1"), F.split(content, _H1, 2).alias("__halves"))
+    cut = titled.withColumn("__pieces", F.split(F.array_join("__halves", ""), _H2))
+    headed = F.transform(
+        F.filter("__pieces", lambda p: p.startswith("##")),
+        lambda p: F.struct(_strip(F.regexp_extract(p, r"^##[ \t]+(.+)", 1)).alias("title"), _strip(F.regexp_replace(p, r"^##.*", "")).alias("content")),
+    )
+    kept = cut.withColumn("__all", headed).withColumn(
+        "__kept", F.filter("__all", lambda s: (F.length(s.getField("content")) > MIN_CHUNK) & (s.getField("title") != ""))
     )
-    kept = F.filter(sections, lambda s: F.length(s.getField("content")) > MIN_CHUNK)
     name = F.regexp_replace(F.element_at(F.split(F.col(source), "/"), -1), r"\.md$", "")
-    whole = F.struct(F.when(h1 != "", h1).otherwise(name).alias("title"), _strip(text).alias("content"))
-    long_enough = F.length(_strip(text)) > MIN_CHUNK
-    none: Column = F.slice(F.array(whole), 1, F.when(long_enough, 1).otherwise(0))
-    chosen = F.when(F.size(kept) > 0, kept).otherwise(none)
-    rest = [c for c in docs.columns if c != content]
-    cut = docs.select(*rest, F.when((h1 != "") & (F.size(kept) > 0), h1).alias("parent_title"), F.posexplode(chosen).alias("chunk", "c"))
-    return cut.select(*rest, "chunk", "c.title", "parent_title", "c.content")
+    whole = F.struct(F.when(F.col("__h1") != "", F.col("__h1")).otherwise(name).alias("title"), _strip(F.col("__text")).alias("content"))
+    fallback = F.when(F.length(_strip(F.col("__text"))) > MIN_CHUNK, F.array(whole))
+    sections = F.when(F.size("__kept") > 0, F.col("__kept")).otherwise(fallback)
+    parent = F.when((F.col("__h1") != "") & (F.size("__kept") > 0), F.col("__h1"))
+    chosen = kept.select(*rest, parent.alias("parent_title"), sections.alias("__sections"))
+    out = chosen.select(*rest, "parent_title", F.posexplode("__sections").alias("chunk", "c"))
+    return out.select(*rest, "chunk", "c.title", "parent_title", "c.content")
 
 
 def tag_chunks(chunks: DataFrame, base: list[str] | None = None) -> DataFrame:

@@ -159,16 +159,7 @@ def _(spark, sf):
     return d.top_errors(logs(spark, sf), AS_OF, HOURS)
 
 
-@query("q23_trace_latency", """WITH r AS (SELECT service, duration_us, row_number() OVER (PARTITION BY service ORDER BY duration_us) AS rn,
-    count(*) OVER (PARTITION BY service) AS n FROM v_spans WHERE kind = 'transaction' AND service LIKE 'aws-%')
-  SELECT service, min(duration_us) FILTER (WHERE rn >= ceil(0.5 * n)) AS p50, min(duration_us) FILTER (WHERE rn >= ceil(0.95 * n)) AS p95,
-    min(duration_us) FILTER (WHERE rn >= ceil(0.99 * n)) AS p99, max(n) AS throughput
-  FROM r GROUP BY service ORDER BY p99 DESC, service LIMIT 20""")
-def _(spark, sf):
-    return d.trace_latency(view(spark, sf, "spans").filter("kind = 'transaction'"), "aws-*")
-
-
-@query("q23_trace_latency_exact", """SELECT service, quantile_cont(duration_us, 0.5) AS p50, quantile_cont(duration_us, 0.95) AS p95,
+@query("q23_trace_latency", """SELECT service, quantile_cont(duration_us, 0.5) AS p50, quantile_cont(duration_us, 0.95) AS p95,
   quantile_cont(duration_us, 0.99) AS p99, count(*) AS throughput FROM v_spans WHERE kind = 'transaction' AND service LIKE 'aws-%'
   GROUP BY service ORDER BY p99 DESC, service LIMIT 20""")
 def _(spark, sf):
@@ -244,12 +235,10 @@ def _(spark, sf):
     return d.bad_key_producers(logs(spark, sf))
 
 
-@query("q35_runtime_percentiles", """WITH r AS (SELECT dag_id, duration_ms, row_number() OVER (PARTITION BY dag_id ORDER BY duration_ms) AS rn,
-    count(*) OVER (PARTITION BY dag_id) AS n FROM v_logs)
-  SELECT dag_id, min(duration_ms) FILTER (WHERE rn >= ceil(0.5 * n)) AS p50, min(duration_ms) FILTER (WHERE rn >= ceil(0.95 * n)) AS p95,
-    min(duration_ms) FILTER (WHERE rn >= ceil(0.99 * n)) AS p99 FROM r GROUP BY dag_id HAVING p95 > 30000""")
+@query("q35_runtime_percentiles", """SELECT dag_id, quantile_cont(duration_ms, 0.5) AS p50, quantile_cont(duration_ms, 0.95) AS p95, quantile_cont(duration_ms, 0.99) AS p99
+  FROM v_logs GROUP BY dag_id HAVING quantile_cont(duration_ms, 0.95) > 30000""")
 def _(spark, sf):
-    return d.runtime_percentiles(logs(spark, sf))
+    return d.runtime_percentiles(logs(spark, sf), exact=True)
 
 
 @query("q36_host_dns_profile", """SELECT host, src_ip, count(*) AS queries, count(DISTINCT qname) AS unique_domains FROM v_logs

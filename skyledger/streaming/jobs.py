@@ -93,13 +93,22 @@ def minute_sources(events: DataFrame, key: str, late: str = LATE) -> DataFrame:
     )
 
 
-def alert_audit_join(alerts: DataFrame, minutes: DataFrame, key: str = "host", hours: int = 1, late: str = LATE) -> DataFrame:
-    """Alerts with the audited minutes of their entity in the hours before: at most 60 rows per hour and alert."""
-    a = alerts.withWatermark("ts", late).select(F.col("id").alias("alert_id"), F.col("ts").alias("alert_ts"), F.col(key).alias("alert_key"))
-    since = F.col("alert_ts") - F.expr(f"INTERVAL {hours} HOURS")
+def alert_audit_join(alerts: DataFrame, minutes: DataFrame, key: str = "host", late: str = LATE) -> DataFrame:
+    """Alerts with the audited minutes of their entity in the hour before: at most 61 rows per alert.
+
+    The join key is (entity, hour): an alert stands in its own hour and the one before, so a busy entity's state is cut
+    by time and a row never meets its whole history.
+    """
+    hour = lambda c: F.floor(F.unix_seconds(c) / 3600)
+    a = alerts.withWatermark("ts", late).select(
+        F.col("id").alias("alert_id"), F.col("ts").alias("alert_ts"), F.col(key).alias("alert_key"),
+        F.explode(F.array(hour("ts"), hour("ts") - 1)).alias("alert_hour"),
+    )
+    m = minutes.withColumn("minute_hour", hour("event_ts"))
+    since = F.col("alert_ts") - F.expr("INTERVAL 1 HOUR")
     near = (F.col("minute") >= since) & (F.col("minute") <= F.col("alert_ts") + F.expr("INTERVAL 1 MINUTE"))
     before = (F.col("event_ts") <= F.col("alert_ts")) & (F.col("event_ts") >= since)
-    pairs = a.join(minutes, (F.col("alert_key") == F.col(key)) & near & before)
+    pairs = a.join(m, (F.col("alert_key") == F.col(key)) & (F.col("alert_hour") == F.col("minute_hour")) & near & before)
     return pairs.select("alert_id", "alert_ts", "event_ts", "src_ip", "event_user")
 
 
