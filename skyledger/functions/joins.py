@@ -19,7 +19,7 @@ def lookup_map(mapping: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: str, salts: int = 32) -> DataFrame:
+def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: str, salts: int = 16) -> DataFrame:
     """Left join whose hot keys are split: left rows get a salt from ``spread_by``, right rows are copied per salt.
 
     For a right side with one row per key.

@@ -7,6 +7,8 @@ rows are windowed per (key, chunk), and what crosses a chunk border travels in a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -215,11 +217,15 @@ def in_overlapping_spans(df: DataFrame, ts: str, seconds: int) -> DataFrame:
     return df.withColumn("__own", own).withColumn("__span", F.explode(F.array(F.col("__own"), F.col("__own") - 1)))
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], column: str, points: dict[str, float], chunk_width: int = 10000) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], column: str, points: dict[str, float], chunk_width: int | None = None) -> DataFrame:
     """Interpolated percentiles of a whole-number column, exact and without gathering a group in one task.
 
-    Equal values are counted first; ranks are running counts inside value chunks plus the counts of lower chunks.
+    Equal values are counted first; ranks are running counts inside value chunks plus the counts of lower chunks.  The
+    default width is the root of the value range, so both chunks and the summary of chunks stay near that size.
     """
+    if chunk_width is None:
+        ends = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
+        chunk_width = max(1, math.isqrt(int((ends["hi"] or 0) - (ends["lo"] or 0))))
     counted = df.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("__n"))
     counted = counted.withColumn(_CHUNK, F.floor(F.col(column) / F.lit(chunk_width)).cast("long"))
     w = Window.partitionBy(*keys, _CHUNK).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)

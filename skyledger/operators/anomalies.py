@@ -119,12 +119,10 @@ def influencers(anomalies: DataFrame, raw: DataFrame, by: list[str], columns: li
     rows = raw.withColumn("bucket", bucket(ts, span)).join(anomalies.select("bucket", *by), ["bucket", *by])
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns]))
     counted = rows.select("bucket", *by, pairs.alias("p")).groupBy("bucket", *by, "p.field", "p.value").agg(F.count("*").alias("rows"))
-    per_field = Window.partitionBy("bucket", *by, "field")
-    ranked = counted.withColumns({
-        "rank": F.row_number().over(per_field.orderBy(F.desc("rows"), F.asc_nulls_last("value"))),
-        "share": F.round(F.col("rows") / F.sum("rows").over(per_field), 4),
-    })
-    return ranked.filter(F.col("rank") <= top)
+    w = Window.partitionBy("bucket", *by, "field").orderBy(F.desc("rows"), F.asc_nulls_last("value"))
+    best = counted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    totals = rows.groupBy("bucket", *by).agg(F.count("*").alias("__total"))
+    return best.join(totals, ["bucket", *by]).withColumn("share", F.round(F.col("rows") / F.col("__total"), 4)).drop("__total")
 
 
 def anomaly_bands(results: DataFrame) -> DataFrame:
@@ -160,19 +158,51 @@ RARE_JOBS: tuple[Job, ...] = (
     Job("aws-kms-unusual-operation", "action IS NOT NULL", "rare", "action", "account"),
 )
 
-_FUNCTIONS = {"high_mean": high_mean, "high_count": high_count, "low_count": low_count, "high_sum": high_sum, "high_max": high_max}
+def job_buckets(df: DataFrame, jobs: tuple[Job, ...], span: str = SPAN, ts: str = "ts") -> DataFrame:
+    """The buckets of all jobs in one scan and one shuffle: every row is tagged with the jobs it feeds."""
+    tags = [
+        F.when(F.expr(j.where), F.struct(
+            F.lit(j.id).alias("job_id"), F.lit(j.function).alias("function"),
+            (F.col(j.by).cast("string") if j.by else F.lit("*")).alias("partition_value"),
+            (F.col(j.column).cast("double") if j.column else F.lit(None).cast("double")).alias("v"),
+        )) for j in jobs
+    ]
+    rows = df.select(bucket(ts, span).alias("bucket"), F.explode(F.array_compact(F.array(*tags))).alias("t")).select("bucket", "t.*")
+    grouped = rows.groupBy("job_id", "function", "partition_value", "bucket").agg(
+        F.count("*").alias("n"), F.sum("v").alias("total"), F.avg("v").alias("mean"), F.max("v").alias("top")
+    )
+    f = F.col("function")
+    x = F.when(f == "high_sum", F.col("total")).when(f == "high_mean", F.col("mean")).when(f == "high_max", F.col("top")).otherwise(F.col("n").cast("double"))
+    return grouped.select("job_id", "function", "partition_value", "bucket", x.alias("x"))
 
 
 def run_jobs(df: DataFrame, jobs: tuple[Job, ...] = JOBS, span: str = SPAN) -> DataFrame:
     """All metric jobs as one result table: job_id, partition value, bucket, score."""
-    parts = []
-    for job in jobs:
-        by = [job.by] if job.by else []
-        args = [job.column] if job.column else []
-        found = _FUNCTIONS[job.function](df, *args, by, span=span, where=F.expr(job.where))
-        value = F.col(job.by).cast("string") if job.by else F.lit("*")
-        parts.append(found.select(F.lit(job.id).alias("job_id"), value.alias("partition_value"), F.col("bucket").alias("ts"), "actual", "anomaly_score"))
-    return reduce(DataFrame.unionByName, parts)
+    keys = ["job_id", "function", "partition_value"]
+    series = job_buckets(df, jobs, span)
+    counts = F.col("function").endswith("_count")
+    step = F.expr(f"INTERVAL {span}")
+    upto = F.coalesce(F.lead("bucket").over(Window.partitionBy(*keys).orderBy("bucket")) - step, F.col("bucket"))
+    spine = series.withColumn("__to", F.when(counts, upto).otherwise(F.col("bucket"))).withColumn(
+        "__at", F.explode(F.sequence(F.col("bucket"), F.col("__to"), step))
+    )
+    filled = spine.select(F.col("__at").alias("bucket"), *keys, F.when(F.col("__at") == F.col("bucket"), F.col("x")).otherwise(0.0).alias("x"))
+    turned = filled.withColumn("y", F.when(F.col("function").startswith("low_"), -F.col("x")).otherwise(F.col("x")))
+    found = score(turned, "y", keys)
+    actual = F.when(F.col("function").startswith("low_"), -F.col("actual")).otherwise(F.col("actual"))
+    return found.select("job_id", "partition_value", F.col("bucket").alias("ts"), actual.alias("actual"), "anomaly_score")
+
+
+def run_rare_jobs(df: DataFrame, jobs: tuple[Job, ...] = RARE_JOBS, span: str = SPAN, max_share: float = 0.05) -> DataFrame:
+    """All rarity jobs in one scan: values seen in a small share of their partition's buckets."""
+    tags = [
+        F.when(F.expr(j.where), F.struct(
+            F.lit(j.id).alias("job_id"), (F.col(j.by).cast("string") if j.by else F.lit("*")).alias("partition_value"),
+            F.col(j.column).cast("string").alias("value"),
+        )) for j in jobs
+    ]
+    rows = df.select("ts", F.explode(F.array_compact(F.array(*tags))).alias("t")).select("ts", "t.*")
+    return rare(rows, "value", ["job_id", "partition_value"], span, max_share)
 
 
 def multi_detector(results: dict[str, DataFrame]) -> DataFrame:

@@ -14,7 +14,6 @@ from skyledger.functions.joins import salted_left_join
 from skyledger.functions.ordered import asof_latest, in_overlapping_spans, interval_total, numbered, previous_rows, trailing_count
 from skyledger.functions.timebucket import micros
 from skyledger.operators.dashboards import PRIVESC_ACTIONS
-from skyledger.operators.detections import name_features, random_looking
 from skyledger.session import cut_lineage
 
 HOUR, WEEK = 3600, 7 * 86400
@@ -227,11 +226,6 @@ def dns_c2_stages(dns: DataFrame, suspicious: Column, keys: list[str]) -> DataFr
     return out.withColumn("complete", F.coalesce(in_order, F.lit(False)))
 
 
-def random_names(dns: DataFrame) -> DataFrame:
-    """Look-ups of random-looking names only."""
-    return dns.join(name_features(dns).filter(random_looking()).select("qname"), "qname", "left_semi")
-
-
 def multi_chain_story(alerts: DataFrame, key: str = "host", min_chains: int = 2) -> DataFrame:
     """Entities with alerts of several chains; tactics in order of first sight.  Lists hold one entry per chain or tactic."""
     per_tactic = alerts.groupBy(key, "chain", "tactic").agg(F.min("ts").alias("first"), F.count("*").alias("n"))

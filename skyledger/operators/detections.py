@@ -238,19 +238,27 @@ def name_entropy(label: Column) -> Column:
 def name_features(dns: DataFrame) -> DataFrame:
     """Length, digit share and entropy of the first label, once per distinct name."""
     names = dns.select("qname").filter(F.col("qname").isNotNull()).distinct()
-    label = F.substring_index("qname", ".", 1)
-    digits = F.length(F.regexp_replace(label, "[^0-9]", "")) / F.length(label)
-    return names.select("qname", F.length(label).alias("label_length"), digits.alias("digit_share"), name_entropy(label).alias("entropy"))
+    return names.withColumns(_features("qname"))
+
+
+def _features(name: str) -> dict[str, Column]:
+    label = F.substring_index(name, ".", 1)
+    digits = F.try_divide(F.length(F.regexp_replace(label, "[^0-9]", "")), F.length(label))
+    return {"label_length": F.length(label), "digit_share": digits, "entropy": name_entropy(label)}
 
 
 def random_looking(min_length: int = 8, min_digit_share: float = 0.15, min_entropy: float = 2.5) -> Column:
     return (F.col("label_length") >= min_length) & (F.col("digit_share") >= min_digit_share) & (F.col("entropy") >= min_entropy)
 
 
+def random_names(dns: DataFrame) -> DataFrame:
+    """Look-ups of random-looking names, judged row by row: cheaper at scale than shuffling all rows to a name table."""
+    return dns.withColumns(_features("qname")).filter(random_looking()).drop("label_length", "digit_share", "entropy")
+
+
 def dga_hosts(dns: DataFrame, min_failed: int = 5) -> DataFrame:
     """Hosts with many failed look-ups of random-looking names and a later one that resolves."""
-    names = name_features(dns).filter(random_looking()).select("qname")
-    rows = dns.join(names, "qname", "left_semi")
+    rows = random_names(dns)
     failed = F.col("rcode") == "NXDOMAIN"
     grouped = rows.groupBy("host").agg(
         F.count_if(failed).alias("failed_random"),

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from skyledger.functions import fixed_values as fx
 from skyledger.functions.columns import field, fill, ipv4_number, nest
 from skyledger.functions.joins import checked_broadcast, lookup_map
+from skyledger.session import cut_lineage
 
 _MAP = "map<string,string>"
 
@@ -296,13 +297,14 @@ def geo_of(ips: DataFrame, ranges: DataFrame) -> DataFrame:
 def geo_enrich(df: DataFrame, ranges: DataFrame, ip_columns: tuple[str, ...] = ("source.ip", "client.ip", "destination.ip")) -> DataFrame:
     """Geography of each address column, as ``<side>.geo.<column>``; unknown addresses stay NULL.
 
-    Each distinct address is looked up once; the join back has one row per address and leaves skew to AQE.
+    Each distinct address is looked up once and the result is written to the shared checkpoint folder.  Only when that
+    table is proven small is it broadcast; else the rows shuffle by address and adaptive execution splits hot ones.
     """
     present = [c for c in ip_columns if c in df.columns]
     if not present:
         return df
     ips = df.select(F.explode(F.array_compact(F.array(*[F.col(f"`{c}`") for c in present]))).alias("ip")).distinct()
-    found = geo_of(ips, ranges)
+    found = checked_broadcast(cut_lineage(geo_of(ips, ranges)), max_rows=1_000_000)
     geo_cols = [c for c in found.columns if c != "ip"]
     out = df
     for c in present:

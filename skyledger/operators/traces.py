@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions.columns import field, fill
+from skyledger.functions.joins import salted_left_join
 from skyledger.operators.anomalies import high_mean
 
 # OTLP numbers of span kinds.
@@ -138,7 +139,7 @@ def group_resource_spans(df: DataFrame, max_spans: int = 250, scope_version: str
     )
     spans = apm_to_otlp_span(keyed, keep=["__s", "__e"])
     batches = F.greatest(F.ceil(F.col("__n") / F.lit(max_spans)), F.lit(1))
-    dealt = spans.join(resource, ["__s", "__e"]).withColumn("batch", F.pmod(F.xxhash64("traceId", "spanId", "startTimeUnixNano"), batches))
+    dealt = salted_left_join(spans, resource, ["__s", "__e"], "spanId").withColumn("batch", F.pmod(F.xxhash64("traceId", "spanId", "startTimeUnixNano"), batches))
     fields = [c for c in spans.columns if c not in ("__s", "__e")]
     grouped = dealt.groupBy("__s", "__e", "batch").agg(
         F.collect_list(F.struct(*fields)).alias("spans"), F.first("__r").alias("__r")

@@ -122,6 +122,17 @@ def _(spark, sf):
     return a.run_jobs(logs(spark, sf), span=SPAN)
 
 
+@query("a12_rare_jobs", f"""WITH s AS (
+    SELECT 'aws-guardduty-rare-finding-type' AS job_id, '*' AS partition_value, finding_type AS value, {tb(SPAN)} AS bucket, ts FROM v_logs WHERE kind = 'alert'
+    UNION ALL SELECT 'aws-cloudtrail-rare-user-action', user_name, action, {tb(SPAN)}, ts FROM v_logs
+    UNION ALL SELECT 'aws-kms-unusual-operation', account, action, {tb(SPAN)}, ts FROM v_logs),
+  p AS (SELECT job_id, partition_value, count(DISTINCT bucket) AS buckets_total FROM s GROUP BY 1, 2),
+  v AS (SELECT job_id, partition_value, value, count(DISTINCT bucket) AS buckets_seen, count(*) AS events, min(ts) AS first_seen FROM s GROUP BY 1, 2, 3)
+  SELECT v.*, buckets_total FROM v JOIN p USING (job_id, partition_value) WHERE buckets_seen / buckets_total <= 0.05""")
+def _(spark, sf):
+    return a.run_rare_jobs(logs(spark, sf), span=SPAN)
+
+
 @query("q22_anomaly_leaderboard", f"""SELECT job_id, max(anomaly_score) AS max_score, max(ts) AS latest FROM ({_jobs_sql()})
   WHERE anomaly_score > 0 AND job_id LIKE 'aws-%' GROUP BY job_id ORDER BY max_score DESC, job_id LIMIT 20""")
 def _(spark, sf):

@@ -77,7 +77,11 @@ def score_buckets(buckets: DataFrame, by: list[str], history: int = 24) -> DataF
 
 
 def attack_sessions(logs: DataFrame, key: str, gap: str, late: str = LATE) -> DataFrame:
-    """Sessions of one entity's events without a label: a quiet gap ends a session."""
+    """Sessions of one entity's events without a label: a quiet gap ends a session.
+
+    Sessions are merged inside each input partition before the shuffle, which thins out a busy entity.
+    """
+    logs.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     out = logs.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("s"), key).agg(
         F.count("*").alias("events"), F.approx_count_distinct("action").alias("actions"), F.max("ts").alias("last_event")
     )
