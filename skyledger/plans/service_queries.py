@@ -12,13 +12,15 @@ from skyledger.plans.adapters import table, view
 from skyledger.plans.dashboard_queries import logs, rnd
 from skyledger.plans.registry import query
 
-GOOD = F.col("outcome") == "success"
+
+def good():
+    return F.col("outcome") == "success"
 
 
 @query("l01_sli", """SELECT dataset, count(*) FILTER (WHERE outcome = 'success') AS good, count(*) AS total,
   count(*) FILTER (WHERE outcome = 'success') / CAST(count(*) AS DOUBLE) AS sli FROM v_logs GROUP BY 1""")
 def _(spark, sf):
-    return s.sli(logs(spark, sf), GOOD, keys=["dataset"])
+    return s.sli(logs(spark, sf), good(), keys=["dataset"])
 
 
 def rolling_sql(key: str, target: float, total: str) -> str:
@@ -34,7 +36,7 @@ def rolling_sql(key: str, target: float, total: str) -> str:
 
 @query("l02_slo_rolling", rolling_sql("dataset", 0.995, "TRUE"))
 def _(spark, sf):
-    return s.slo_rolling(logs(spark, sf), GOOD, s.AVAILABILITY_TARGET, keys=["dataset"])
+    return s.slo_rolling(logs(spark, sf), good(), s.AVAILABILITY_TARGET, keys=["dataset"])
 
 
 @query("l03_database_slo", rolling_sql("", 0.99, "category = 'database'"))
@@ -46,7 +48,7 @@ def _(spark, sf):
   i AS (SELECT *, good / CAST(total AS DOUBLE) AS sli FROM c)
   SELECT *, round((1 - sli) / (1 - 0.995::DOUBLE), 6) AS burn, round(1 - (1 - sli) / (1 - 0.995::DOUBLE), 6) AS budget_left, sli >= 0.995 AS met FROM i""")
 def _(spark, sf):
-    return s.error_budget(s.sli(logs(spark, sf), GOOD, keys=["region"]), s.AVAILABILITY_TARGET)
+    return s.error_budget(s.sli(logs(spark, sf), good(), keys=["region"]), s.AVAILABILITY_TARGET)
 
 
 # ---- posture --------------------------------------------------------------------------------------------------
