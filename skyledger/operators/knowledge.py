@@ -91,11 +91,11 @@ def category_counts(chunks: DataFrame) -> DataFrame:
 
 def tokens(text: Column) -> Column:
     """Lower-case words of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def _occurrences(words: Column, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == F.lit(term)))
+    return F.size(words) - F.size(F.array_remove(words, term))
 
 
 def keyword_search(docs: DataFrame, query: str, k: int, text: str = "content", id_col: str = "id", k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -64,17 +64,24 @@ def grok_log4j_fallback(df: DataFrame) -> DataFrame:
     return _set(df, {"log.level": fill(field(df, "log.level"), F.when(use, level))})
 
 
-def put_fields(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+def _entries(values: dict[str, Column]) -> Column:
+    """Key and value pairs; the value of a pair may be NULL."""
+    return F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in values.items()])
+
+
+def _put_entries(df: DataFrame, entries: Column) -> DataFrame:
+    """Fill keys of the service namespace from pairs; NULL pairs and keys already there change nothing."""
+    have = field(df, "fields", _MAP)
+    new = F.map_from_entries(F.filter(entries, lambda e: e.getField("value").isNotNull()))
+    merged = F.map_concat(have, F.map_filter(new, lambda k, _: ~F.map_contains_key(have, k)))
+    empty = F.create_map().cast(_MAP)
+    return _set(df, {"fields": F.when(entries.isNull(), F.coalesce(have, empty)).when(F.coalesce(F.size(have), F.lit(0)) > 0, merged).otherwise(new)})
+
+
+def put_fields(df: DataFrame, values: dict[str, Column], on: Column | None = None) -> DataFrame:
     """Fill keys of the service namespace; keys already there keep their value."""
-    have = F.coalesce(field(df, "fields", _MAP), F.create_map().cast(_MAP))
-    new = F.map_from_entries(
-        F.filter(
-            F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in values.items()]),
-            lambda e: e.getField("value").isNotNull(),
-        )
-    )
-    fresh = F.map_filter(new, lambda k, _: ~F.map_contains_key(have, k))
-    return _set(df, {"fields": F.map_concat(have, fresh)})
+    entries = _entries(values)
+    return _put_entries(df, entries if on is None else F.when(on, entries))
 
 
 LAMBDA_REPORT = (
@@ -85,9 +92,9 @@ LAMBDA_START = r"^START RequestId: (.*?)\s+Version: (.*?)$"
 LAMBDA_END = r"^END RequestId: (.*?)$"
 
 
-def grok_lambda_report(df: DataFrame) -> DataFrame:
-    """REPORT / START / END lines of the function runtime."""
-    text = field(df, "event.original")
+def grok_lambda_report(df: DataFrame, on: Column | None = None) -> DataFrame:
+    """REPORT / START / END lines of the function runtime, on all rows or those of one kind."""
+    text = field(df, "event.original") if on is None else F.when(on, field(df, "event.original"))
     request = F.coalesce(_extract(text, LAMBDA_REPORT, 1), _extract(text, LAMBDA_START, 1), _extract(text, LAMBDA_END, 1))
     found = {
         "request_id": request,
@@ -114,11 +121,11 @@ def lambda_memory_pct(df: DataFrame) -> DataFrame:
     return _set(df, {"lambda.memory_utilization_pct": F.when(size > 0, pct)})
 
 
-def lambda_extract(df: DataFrame) -> DataFrame:
+def lambda_extract(df: DataFrame, on: Column | None = None) -> DataFrame:
     """Function runtime lines: parse, convert, and add to the service namespace."""
-    out = lambda_memory_pct(lambda_billed_duration(grok_lambda_report(df)))
+    out = lambda_memory_pct(lambda_billed_duration(grok_lambda_report(df, on)))
     names = ["request_id", "version", "duration_ms", "billed_duration_ms", "memory_size_mb", "max_memory_used_mb", "memory_utilization_pct"]
-    return put_fields(out, {n: F.col(f"`lambda.{n}`") for n in names}).drop(*[f"lambda.{n}" for n in names])
+    return put_fields(out, {n: F.col(f"`lambda.{n}`") for n in names}, on).drop(*[f"lambda.{n}" for n in names])
 
 
 ATHENA_FIELDS = {
@@ -126,10 +133,11 @@ ATHENA_FIELDS = {
 }
 
 
-def athena_extract(df: DataFrame) -> DataFrame:
+def athena_extract(df: DataFrame, on: Column | None = None) -> DataFrame:
     """Query id, workgroup, database, state and run time of query-service rows; seconds become nanoseconds."""
-    out = put_fields(df, {target: _parsed(df, source) for source, target in ATHENA_FIELDS.items()})
-    seconds = F.try_element_at(F.col("fields"), F.lit("duration_seconds")).try_cast("double")
+    out = put_fields(df, {target: _parsed(df, source) for source, target in ATHENA_FIELDS.items()}, on)
+    text = F.try_element_at(F.col("fields"), F.lit("duration_seconds"))
+    seconds = (text if on is None else F.when(on, text)).try_cast("double")
     return _set(out, {"event.duration": fill(field(out, "event.duration", "bigint"), (seconds * 1_000_000_000).try_cast("bigint"))})
 
 
@@ -180,40 +188,44 @@ def identity_aws(df: DataFrame, on: Column | None = None) -> DataFrame:
 _WHOLE_NUMBERS = ("source.port", "destination.port", "source.bytes", "destination.bytes")
 
 
-def _targets() -> dict[str, dict[tuple[str, ...], list[str]]]:
-    """Target -> ordered sources -> groups that use them, read off the field table."""
-    out: dict[str, dict[tuple[str, ...], list[str]]] = {}
+def _group_table() -> dict[str, dict[str, list[str]]]:
+    """Group -> target -> ordered sources, read off the field table."""
+    table: dict[str, dict[str, list[str]]] = {}
     for group, text in fx.GROUP_FIELDS.items():
-        ordered: dict[str, list[str]] = {}
         for pair in text.split(", "):
             source, target = pair.split(" > ")
-            ordered.setdefault(target, []).append(source)
-        for target, sources in ordered.items():
-            out.setdefault(target, {}).setdefault(tuple(sources), []).append(group)
-    return out
+            table.setdefault(group, {}).setdefault(target, []).append(source)
+    return table
 
 
 def group_extract(df: DataFrame) -> DataFrame:
-    """Group-specific keys of the parsed line move to ECS targets or to the service namespace."""
+    """Group-specific keys of the parsed line move to ECS targets or to the service namespace.
+
+    A row evaluates its own group's keys only.
+    """
     group = field(df, "svc_group")
-    own: dict[str, Column] = {}
+    own: Column | None = None
+    by_target: dict[str, dict[tuple[str, ...], list[str]]] = {}
+    for name, targets in _group_table().items():
+        mine = {t[1:]: F.coalesce(*[_parsed(df, s) for s in sources]) for t, sources in targets.items() if t.startswith(".")}
+        if mine:
+            own = F.when(group == name, _entries(mine)) if own is None else own.when(group == name, _entries(mine))
+        for t, sources in targets.items():
+            if not t.startswith("."):
+                by_target.setdefault(t, {}).setdefault(tuple(sources), []).append(name)
     ecs: dict[str, Column] = {}
-    for target, by_sources in _targets().items():
+    for target, by_sources in by_target.items():
         found = F.coalesce(*[
             F.when(group.isin(*groups), F.coalesce(*[_parsed(df, s) for s in sources])) for sources, groups in by_sources.items()
         ])
-        if target.startswith("."):
-            own[target[1:]] = found
-        elif target in _WHOLE_NUMBERS:
-            ecs[target] = fill(field(df, target, "bigint"), found.try_cast("bigint"))
-        else:
-            ecs[target] = fill(field(df, target), found)
+        whole = target in _WHOLE_NUMBERS
+        ecs[target] = fill(field(df, target, "bigint" if whole else "string"), found.try_cast("bigint") if whole else found)
     # A moved severity is no longer there for the level step.
     kept = F.map_filter(F.col("parsed"), lambda k, _: k != "severity")
     had = F.coalesce(F.map_contains_key(field(df, "fields", _MAP), F.lit("severity")), F.lit(False))
-    moved = put_fields(_set(df, {"__had": had}), own)
-    parsed = F.when((group == "security") & ~F.col("__had"), kept).otherwise(F.col("parsed"))
-    return _set(moved, {**ecs, "parsed": parsed}).drop("__had")
+    parsed = F.when((group == "security") & ~had, kept).otherwise(F.col("parsed"))
+    moved = _set(df, {**ecs, "__parsed": parsed})
+    return _set(_put_entries(moved, own), {"parsed": F.col("__parsed")}).drop("__parsed")
 
 
 def error_extract(df: DataFrame) -> DataFrame:
@@ -232,9 +244,10 @@ def level_normalise(df: DataFrame) -> DataFrame:
 
 def vendor_promote(df: DataFrame, on: Column | None = None) -> DataFrame:
     """Copy the service namespace under the vendor namespace without overwriting its keys."""
-    have = F.coalesce(field(df, "vendor_fields", _MAP), F.create_map().cast(_MAP))
+    have = field(df, "vendor_fields", _MAP)
     own = F.coalesce(field(df, "fields", _MAP), F.create_map().cast(_MAP))
-    merged = F.map_concat(have, F.map_filter(own, lambda k, _: ~F.map_contains_key(have, k)))
+    both = F.map_concat(have, F.map_filter(own, lambda k, _: ~F.map_contains_key(have, k)))
+    merged = F.when(have.isNull(), own).otherwise(both)
     return _set(df, {"vendor_fields": merged if on is None else F.when(on, merged).otherwise(field(df, "vendor_fields", _MAP))})
 
 
@@ -373,8 +386,8 @@ def normalise(df: DataFrame, geo_ranges: DataFrame | None = None, agents: list[t
     out = parse_json(preserve_original(set_ecs_version(df)))
     out = grok_log4j_fallback(out)
     out = identity_aws(identity_gcp(identity_azure(out, vendor == "azure"), vendor == "gcp"), vendor == "aws")
-    out = only_for(dataset == "aws.lambda_logs", lambda_extract)(out)
-    out = only_for(dataset == "aws.athena", athena_extract)(out)
+    out = lambda_extract(out, dataset == "aws.lambda_logs")
+    out = athena_extract(out, dataset == "aws.athena")
     out = level_normalise(error_extract(group_extract(out)))
     out = duration_ns(outcome_type(ecs_category(vendor_promote(out, vendor == "aws"))))
     if geo_ranges is not None:

@@ -35,7 +35,7 @@ def _(spark, sf):
     return out.select("id", "ts", "attack_ts", "attack_src_ip", "attack_user_name", "attack_action")
 
 
-@query("j02_affected_ci", f"""WITH {CI_CTE} SELECT a.id, a.host, ci.rn AS rank, ci.ci_id, ci.name AS ci_name, ci.owner AS ci_owner FROM v_alerts a LEFT JOIN ci ON ci.host = a.host AND rn <= 3""")
+@query("j02_affected_ci", f"""WITH {CI_CTE} SELECT a.id, a.host, CAST(ci.rn AS INTEGER) AS rank, ci.ci_id, ci.name AS ci_name, ci.owner AS ci_owner FROM v_alerts a LEFT JOIN ci ON ci.host = a.host AND rn <= 3""")
 def _(spark, sf):
     return c.affected_ci(v(spark, sf, "alerts"), v(spark, sf, "ci")).select("id", "host", "rank", "ci_id", "ci_name", "ci_owner")
 
@@ -67,7 +67,7 @@ def _(spark, sf):
 @query("j07_related_alerts", """WITH p AS (SELECT a.id, a.src_ip, r.id AS related_id, r.rule AS related_rule, r.severity AS related_severity, r.ts AS related_ts,
     row_number() OVER (PARTITION BY a.id ORDER BY r.ts DESC, r.id DESC) AS rank
     FROM v_alerts a JOIN v_alerts r ON r.src_ip = a.src_ip AND r.id <> a.id AND (r.ts < a.ts OR (r.ts = a.ts AND r.id < a.id)) AND r.ts >= a.ts - INTERVAL '7 days')
-  SELECT * FROM p WHERE rank <= 10""")
+  SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM p WHERE rank <= 10""")
 def _(spark, sf):
     return c.related_alerts(v(spark, sf, "alerts"))
 

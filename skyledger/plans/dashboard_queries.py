@@ -309,7 +309,7 @@ def _(spark, sf):
     return d.src_ip_breadth(logs(spark, sf))
 
 
-@query("q45_o365_daily_counts", """SELECT CAST(o_orderdate AS DATE) AS report_day, o_orderstatus AS service,
+@query("q45_o365_daily_counts", """SELECT CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS report_day, o_orderstatus AS service,
   CAST(sum(o_custkey) AS BIGINT) AS active, CAST(sum(o_orderkey) AS BIGINT) AS inactive FROM orders GROUP BY 1, 2""")
 def _(spark, sf):
     report = table(spark, sf, "orders").select(

@@ -249,7 +249,7 @@ def _(spark, sf):
 
 
 @query("n23_cleanup", f"""SELECT id, CAST(NULL AS VARCHAR) AS ip_left, CASE WHEN vendor = 'azure' AND upn IS NULL THEN TRUE ELSE FALSE END AS no_upn,
-  CASE WHEN vendor = 'gcp' THEN CASE WHEN {HAS_LEVEL} IS NULL THEN NULL END END AS severity_left FROM v_raw_logs""")
+  CAST(NULL AS VARCHAR) AS severity_left FROM v_raw_logs""")
 def _(spark, sf):
     df = n.identity_aws(n.identity_gcp(n.identity_azure(parsed(spark, sf), F.col("vendor") == "azure"), F.col("vendor") == "gcp"), F.col("vendor") == "aws")
     out = n.cleanup(df)

@@ -17,8 +17,9 @@ ORACLES: dict[str, str] = {}
 
 
 def plain_times(df: DataFrame) -> DataFrame:
-    """Instants shown as wall-clock UTC, as the provided tables store them."""
-    stamps = {f.name: F.col(f"`{f.name}`").cast("timestamp_ntz") for f in df.schema.fields if isinstance(f.dataType, T.TimestampType)}
+    """Instants and dates shown as wall-clock UTC, as the provided tables store them."""
+    timed = (T.TimestampType, T.DateType)
+    stamps = {f.name: F.col(f"`{f.name}`").cast("timestamp_ntz") for f in df.schema.fields if isinstance(f.dataType, timed)}
     return df.withColumns(stamps) if stamps else df
 
 

@@ -26,7 +26,7 @@ def _(spark, sf):
 def rolling_sql(key: str, target: float, total: str) -> str:
     part = f"PARTITION BY {key}" if key else ""
     cols = f"{key}, " if key else ""
-    return f"""WITH d AS (SELECT {cols}CAST(ts AS DATE) AS day, count(*) FILTER (WHERE outcome = 'success' AND {total}) AS g, count(*) FILTER (WHERE {total}) AS t
+    return f"""WITH d AS (SELECT {cols}CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, count(*) FILTER (WHERE outcome = 'success' AND {total}) AS g, count(*) FILTER (WHERE {total}) AS t
     FROM v_logs GROUP BY ALL),
   r AS (SELECT {cols}day, CAST(sum(g) OVER w AS BIGINT) AS good, CAST(sum(t) OVER w AS BIGINT) AS total FROM d
     WINDOW w AS ({part} ORDER BY day RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW)),
@@ -265,7 +265,7 @@ def _(spark, sf):
     return q.enriched_contract(df).select("id", F.array_join("violations", ",").alias("violations"))
 
 
-@query("v07_chain_contract", """SELECT conv_id, count(*) AS "rows", count(DISTINCT CASE WHEN conv_id % 5 = 0 THEN role ELSE 'run' END) AS labels, 0 AS unlabelled, 0 AS untimed,
+@query("v07_chain_contract", """SELECT conv_id, count(*) AS "rows", count(DISTINCT CASE WHEN conv_id % 5 = 0 THEN role ELSE 'run' END) AS labels, CAST(0 AS BIGINT) AS unlabelled, CAST(0 AS BIGINT) AS untimed,
   count(*) >= 2 AND count(DISTINCT CASE WHEN conv_id % 5 = 0 THEN role ELSE 'run' END) = 1 AS valid FROM conversations GROUP BY 1""")
 def _(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", F.when(F.col("conv_id") % 5 == 0, F.col("role")).otherwise("run").alias("label"), F.timestamp_seconds("turn").alias("ts"))

@@ -113,7 +113,7 @@ def _(spark, sf):
     return both.select("id", F.col("`event.kind`").alias("kind"), F.col("`error.message`").alias("error"), F.coalesce(F.array_join("tags", ","), F.lit("")).alias("tags"))
 
 
-@query("s10_metric_series", "SELECT metric, CAST(ts AS DATE) AS date, count(*) AS points, count(DISTINCT host) AS series, CAST(sum(amount) AS BIGINT) AS total FROM v_metric_points GROUP BY 1, 2")
+@query("s10_metric_series", "SELECT metric, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS date, count(*) AS points, count(DISTINCT host) AS series, CAST(sum(amount) AS BIGINT) AS total FROM v_metric_points GROUP BY 1, 2")
 def _(spark, sf):
     path = scratch_path(spark, "series")
     points = view(spark, sf, "metric_points").withColumn("dims", F.create_map(F.lit("host"), F.col("host")))
@@ -133,7 +133,7 @@ def _(spark, sf):
     return spans.agg(F.count("*").alias("spans"), F.count_distinct("s.traceId").alias("traces"))
 
 
-@query("s12_write_enriched_alerts", "SELECT CAST(ts AS DATE) AS date, 'enrichment' AS kind, 'security.alert.enriched' AS stream_dataset, count(*) AS alerts FROM v_alerts GROUP BY 1")
+@query("s12_write_enriched_alerts", "SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS date, 'enrichment' AS kind, 'security.alert.enriched' AS stream_dataset, count(*) AS alerts FROM v_alerts GROUP BY 1")
 def _(spark, sf):
     path = scratch_path(spark, "enriched")
     sinks.write_enriched_alerts(attack_source(view(spark, sf, "alerts"), logs(spark, sf)), path)

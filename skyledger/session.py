@@ -15,6 +15,8 @@ def build_session(app: str = "skyledger", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Wide projections outgrow what the JVM compiles as one method; beyond this size they run as separate functions.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
     }
