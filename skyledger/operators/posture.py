@@ -42,11 +42,15 @@ def posture_drift(findings: DataFrame, tie: list[str]) -> DataFrame:
     return seen.filter(turned).select("rule_id", "resource_id", F.col("prev_ts").alias("passed_at"), F.col("ts").alias("failed_at"))
 
 
+# Event provider by posture type.
+PROVIDERS = {"cspm": "elastic_cspm", "kspm": "elastic_kspm"}
+
+
 def finding_map(findings: DataFrame) -> DataFrame:
     """Evaluation as outcome and level, posture type as provider."""
     failed = F.col("evaluation") == "failed"
     return findings.withColumns({
         "outcome": F.when(failed, "failure").otherwise("success"),
         "level": F.when(failed, "warn").otherwise("info"),
-        "provider": F.when(F.col("posture_type") == "cspm", "elastic_cspm").otherwise("elastic_kspm"),
+        "provider": F.when(F.col("posture_type") == "cspm", PROVIDERS["cspm"]).otherwise(PROVIDERS["kspm"]),
     })

@@ -1,7 +1,8 @@
 """Ordered stage tracker on a stream: each stage strictly after the one before, all within a time limit.
 
-State per key holds the events not yet passed by the watermark and the chains begun within the limit; both are pruned on
-every timer, so a key's state is bounded by its events in that time.  Events may arrive out of order.
+Events are keyed by actor and by overlapping spans of the time limit, so a busy actor is spread over many keys and a key's
+state holds at most two spans of one actor's events.  A key buffers events until the watermark has passed them, hence
+events may arrive out of order, and forgets what can no longer be completed.
 """
 
 from __future__ import annotations
@@ -13,42 +14,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from skyledger.functions.ordered import in_overlapping_spans
+
 US = 1_000_000
 
 
-def advance(open_chains: list[list[int]], stage: int, at: int, last: int, limit: int) -> tuple[list[list[int]], list[list[int]]]:
-    """Feed one event to the open chains (lists of times); returns those still open and those just completed."""
-    kept, done = [], []
-    for chain in open_chains:
-        if at - chain[0] > limit:
-            continue
-        if len(chain) == stage and chain[-1] < at:
-            longer = [*chain, at]
-            (done if stage == last else kept).append(longer)
-        else:
-            kept.append(chain)
+def advance(waiting: list[list[list[int]]], stage: int, at: int, limit: int) -> list[list[int]]:
+    """Feed one event to the chains, kept by the number of stages they have; returns the chains it completes.
+
+    Only chains that wait for this very stage are touched and each moves on once per stage, so the work is linear.
+    """
     if stage == 0:
-        kept.append([at])
-    return kept, done
+        waiting[1].append([at])
+        return []
+    moved, stay = [], []
+    for chain in waiting[stage]:
+        if at - chain[0] <= limit:
+            (moved if chain[-1] < at else stay).append([*chain, at] if chain[-1] < at else chain)
+    waiting[stage] = stay
+    if stage + 1 == len(waiting):
+        return moved
+    waiting[stage + 1].extend(moved)
+    return []
 
 
 class StageTracker(StatefulProcessor):
     """Buffers events until the watermark passes them, then advances the key's chains in time order."""
 
     def __init__(self, stages: int, limit_seconds: int):
-        self._last = stages - 1
+        self._stages = stages
         self._limit = limit_seconds * US
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._waiting = handle.getListState("waiting", "at bigint, stage int")
+        self._early = handle.getListState("early", "at bigint, stage int")
         self._chains = handle.getListState("chains", "times array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for batch in rows:
-            for at, stage in zip(batch["us"].tolist(), batch["stage"].tolist(), strict=True):
-                self._waiting.appendValue((int(at), int(stage)))
+            self._early.appendList(list(zip(batch["us"].astype(int).tolist(), batch["stage"].astype(int).tolist(), strict=True)))
             first = int(batch["us"].min()) if first is None else min(first, int(batch["us"].min()))
         if first is not None:
             self._handle.registerTimer(first // 1000 + 1)
@@ -56,20 +61,24 @@ class StageTracker(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted((int(r[0]), int(r[1])) for r in self._waiting.get())
-        chains = [[int(x) for x in r[0]] for r in self._chains.get()]
+        early = sorted((int(r[0]), int(r[1])) for r in self._early.get())
+        waiting: list[list[list[int]]] = [[] for _ in range(self._stages)]
+        for r in self._chains.get():
+            times = [int(x) for x in r[0]]
+            waiting[len(times)].append(times)
         out = []
-        for at, stage in [w for w in waiting if w[0] <= passed]:
-            chains, done = advance(chains, stage, at, self._last, self._limit)
-            out.extend(done)
-        later = [w for w in waiting if w[0] > passed]
-        chains = [c for c in chains if passed - c[0] <= self._limit]
-        self._waiting.put(later) if later else self._waiting.clear()
-        self._chains.put([(c,) for c in chains]) if chains else self._chains.clear()
+        for at, stage in early:
+            if at > passed:
+                break
+            out.extend(advance(waiting, stage, at, self._limit))
+        later = [e for e in early if e[0] > passed]
+        open_chains = [(c,) for group in waiting for c in group if passed - c[0] <= self._limit]
+        self._early.put(later) if later else self._early.clear()
+        self._chains.put(open_chains) if open_chains else self._chains.clear()
         if later:
             self._handle.registerTimer(later[0][0] // 1000 + 1)
         if out:
-            yield pd.DataFrame({"actor": [key[0]] * len(out), **{f"t{i + 1}": [c[i] for c in out] for i in range(self._last + 1)}})
+            yield pd.DataFrame({"actor": [key[0]] * len(out), **{f"t{i + 1}": [c[i] for c in out] for i in range(self._stages)}})
 
     def close(self) -> None:
         pass
@@ -80,8 +89,9 @@ def stage_stream(events: DataFrame, actor: str, stages: tuple[str, ...], limit_s
     stage = F.array_position(F.array(*[F.lit(s) for s in stages]), F.col("action")).cast("int") - 1
     rows = events.withWatermark("ts", late).filter(F.col("action").isin(*stages) & F.col(actor).isNotNull())
     keyed = rows.select(F.col(actor).alias("actor"), "ts", F.unix_micros("ts").alias("us"), stage.alias("stage"))
+    spread = in_overlapping_spans(keyed, "ts", limit_seconds).filter((F.col("stage") > 0) | (F.col("__own") == F.col("__span")))
     names = [f"t{i + 1}" for i in range(len(stages))]
-    out = keyed.groupBy("actor").transformWithStateInPandas(
+    out = spread.select("actor", F.col("__span").alias("span"), "ts", "us", "stage").groupBy("actor", "span").transformWithStateInPandas(
         StageTracker(len(stages), limit_seconds), "actor string, " + ", ".join(f"{n} bigint" for n in names), "Append", "EventTime"
     )
     return out.select(F.col("actor").alias(actor), *[F.timestamp_micros(n).alias(n) for n in names])

@@ -89,11 +89,15 @@ def test_stages_out_of_order_over_batches(spark, tmp_path):
 
 
 @pytest.mark.parametrize(
-    ("stage", "at_", "kept", "done"),
-    [(0, 5, [[1], [5]], []), (1, 5, [[1, 5]], []), (1, 1, [[1]], []), (2, 5, [[1]], []), (1, 200, [], [])],
+    ("stage", "at_", "waiting", "done"),
+    [
+        (0, 5, [[], [[1], [5]], [[1, 3]]], []), (1, 5, [[], [], [[1, 3], [1, 5]]], []), (1, 1, [[], [[1]], [[1, 3]]], []),
+        (2, 5, [[], [[1]], []], [[1, 3, 5]]), (2, 3, [[], [[1]], [[1, 3]]], []), (1, 200, [[], [], [[1, 3]]], []),
+    ],
 )
-def test_advance(stage, at_, kept, done):
-    assert advance([[1]], stage, at_, last=3, limit=100) == (kept, done)
+def test_advance(stage, at_, waiting, done):
+    state = [[], [[1]], [[1, 3]]]
+    assert advance(state, stage, at_, limit=100) == done and state == waiting
 
 
 def test_alert_join_keeps_the_latest_minute(spark, tmp_path):
