@@ -181,7 +181,7 @@ def _(spark, sf):
 def _(spark, sf):
     df = table(spark, sf, "embeddings")
     probe = df.filter("vec_id = 0").select("embedding").first()
-    return kb.vector_search(df, list(probe["embedding"]), 20)
+    return kb.vector_search(df, list(probe["embedding"]) if probe else [0.0], 20)
 
 
 @query("k08_rule_guides", """SELECT doc_id AS rule_id, 'IAM PrivEsc ' || source AS title, text AS content, 'aws,' || lang || ',iam' AS tags, 'high' AS severity FROM documents WHERE length(text) >= 30""")

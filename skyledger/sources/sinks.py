@@ -24,13 +24,20 @@ def write_by_stream(df: DataFrame, root: str, target: str = "target", ts: str =
 
 
 def append_new(df: DataFrame, path: str, key: str, existing: DataFrame | None) -> dict[str, int]:
-    """Create-only write: rows whose key is already there, or repeated in the batch, are counted as skipped."""
+    """Create-only write: rows whose key is already there, or repeated in the batch, are counted as skipped.
+
+    Known keys are marked and counted while the rows pass to the writer; the data is read once.
+    """
+    if df.isEmpty():
+        return {"created": 0, "skipped": 0}
     seen, added = Observation("offered"), Observation("added")
-    offered = df.observe(seen, F.count("*").alias("n"))
-    fresh = offered.dropDuplicates([key])
-    if existing is not None:
-        fresh = fresh.join(existing.select(key), key, "left_anti")
-    fresh.observe(added, F.count("*").alias("n")).write.mode("append").parquet(path)
+    once = df.observe(seen, F.count("*").alias("n")).dropDuplicates([key])
+    if existing is None:
+        marked = once.withColumn("__known", F.lit(None).cast("boolean"))
+    else:
+        marked = once.join(existing.select(key).distinct().withColumn("__known", F.lit(True)), key, "left")
+    counted = marked.observe(added, F.count_if(F.col("__known").isNull()).alias("n"))
+    counted.filter(F.col("__known").isNull()).select(*df.columns).write.mode("append").parquet(path)
     created = added.get["n"]
     return {"created": created, "skipped": seen.get["n"] - created}
 

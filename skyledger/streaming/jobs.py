@@ -15,6 +15,7 @@ from skyledger.functions.timebucket import bucket
 from skyledger.operators.anomalies import score
 from skyledger.operators.detections import Rule, threshold_rule
 from skyledger.operators.normalize import normalise
+from skyledger.sources.routing import stream_parts
 
 # Fixed value: how long late rows are waited for.
 LATE = "120 seconds"
@@ -28,11 +29,11 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int |
     return reader.parquet(path)
 
 
-def run_available(df: DataFrame, path: str, checkpoint: str, name: str | None = None):
+def run_available(df: DataFrame, path: str, checkpoint: str, partition_by: tuple[str, ...] = ()):
     """Process what is there, in append mode, to Parquet; returns the finished query for its progress figures."""
     writer = df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-    if name:
-        writer = writer.queryName(name)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
     query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
@@ -47,6 +48,12 @@ def run_batches(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoin
     return query
 
 
+def run_routed(df: DataFrame, root: str, checkpoint: str, target: str = "target", ts: str = "ts"):
+    """Streaming form of the write by stream: each row once to the folder of its signal, dataset and date."""
+    rows = df.withColumns({**stream_parts(F.col(target)), "date": F.col(ts).cast("date")}).drop(target)
+    return run_available(rows, root, checkpoint, ("signal", "dataset", "date"))
+
+
 def normalise_stream(raw: DataFrame) -> DataFrame:
     """The normalisation chain on a stream; it holds no state."""
     return normalise(raw)

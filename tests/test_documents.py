@@ -172,6 +172,8 @@ def test_append_only_new(spark, tmp_path):
     assert sinks.append_new(batch(1, 2, 2), path, "id", None) == {"created": 2, "skipped": 1}
     assert sinks.append_new(batch(2, 3), path, "id", spark.read.parquet(path)) == {"created": 1, "skipped": 1}
     assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+    assert sinks.append_new(batch(1, 3), path, "id", spark.read.parquet(path)) == {"created": 0, "skipped": 2}
+    assert sinks.append_new(batch(1).limit(0), path, "id", spark.read.parquet(path)) == {"created": 0, "skipped": 0}
 
 
 def test_units_stay_below_the_cap(spark, tmp_path):

@@ -68,6 +68,15 @@ def test_repeated_ids_are_kept_once(spark, tmp_path):
     assert sorted(r["id"] for r in out.collect()) == [1, 2, 3]
 
 
+def test_rows_reach_the_folder_of_their_stream(spark, tmp_path):
+    from skyledger.sources.streams import read_stream
+
+    path = write(spark, tmp_path, [row(1, 0), row(2, 10, user="v")], [row(3, 90000)])
+    routed = source(spark, path).select("id", "ts", F.concat(F.lit("logs-aws."), "user_name", F.lit("-default")).alias("target"))
+    jobs.run_routed(routed, str(tmp_path / "root"), str(tmp_path / "cp"))
+    assert sorted(r["id"] for r in read_stream(spark, str(tmp_path / "root"), "logs-aws.u*").collect()) == [1, 3]
+
+
 def test_sessions_split_at_the_gap(spark, tmp_path):
     path = write(spark, tmp_path, [row(1, 0), row(2, 100)], [row(3, 150), row(4, 2000)], [row(5, 9000)])
     _, out = run(spark, jobs.attack_sessions(source(spark, path), "user_name", "10 minutes"), tmp_path)
