@@ -4,8 +4,7 @@ import pytest
 from compare import compare, oracle_connection
 
 from __spark_entry__ import entry, oracle_sql, queries
-
-QUERIES, ORACLES = queries(), oracle_sql()
+from skyledger.plans import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -23,5 +22,9 @@ def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_all_are_offered():
+    assert QUERIES.items() <= queries().items() and ORACLES.items() <= oracle_sql().items()
+
+
 def test_entry_runs(spark):
     assert entry(spark).count() > 0
