@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import language_id
+from skyledger.llm import language_id, token_output
 from skyledger.llm.common import crc_mod, table
+from skyledger.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +33,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train(docs.where(crc_mod(F.col("doc_id"), 5) != 0))
     found = language_id.identify(docs, model, keep=["doc_id"])
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_token_output")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as token ids in block files, and per document what reading the files back gives."""
+    path = scratch_path(spark, "token-blocks")
+    token_output.write_token_blocks(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return token_output.read_token_blocks(spark, path).withColumnRenamed("key", "doc_id")
