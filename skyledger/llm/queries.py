@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import language_id, token_output
+from skyledger.llm import language_id, packing, token_output
 from skyledger.llm.common import crc_mod, table
 from skyledger.session import scratch_path
 
@@ -41,3 +41,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-blocks")
     token_output.write_token_blocks(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
     return token_output.read_token_blocks(spark, path).withColumnRenamed("key", "doc_id")
+
+
+@query("op1_best_fit_packing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 2048 tokens."""
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(pieces).withColumnRenamed("key", "doc_id")
