@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import language_id, packing, token_output
-from skyledger.llm.common import crc_mod, table
+from skyledger.llm import language_id, mixing, packing, token_output
+from skyledger.llm.common import crc_mod, stored, table
 from skyledger.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,29 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of 2048 tokens."""
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(pieces).withColumnRenamed("key", "doc_id")
+
+
+@query("op3_mixing", """
+WITH d AS (
+  SELECT doc_id, source IS NULL AS no_source, coalesce(source, '') AS src, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5('mix' || coalesce(':' || doc_id::VARCHAR, '')), 1, 13))::BIGINT AS draw
+  FROM documents),
+s AS (SELECT no_source, src, sum(size)::BIGINT AS source_size FROM d GROUP BY ALL),
+w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY no_source, src) - 1) % 3 + 1)::INT]::BIGINT AS weight, 2 * source_size AS cap FROM s),
+v AS (SELECT *, row_number() OVER l AS first, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / (sum(weight) OVER (l ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+      FROM w WINDOW l AS (ORDER BY cap::DOUBLE / weight, no_source, src)),
+t AS (SELECT *, least(cap::DOUBLE, coalesce((SELECT arg_min(level, first) FROM v WHERE level <= cap::DOUBLE / weight) * weight, cap::DOUBLE)) AS target FROM v),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
+        CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS p FROM t),
+k AS (SELECT d.doc_id, d.size, d.draw, r.no_source, r.src, source_size, target, whole, p, target - whole * source_size AS rest,
+        (((draw + 0.5::DOUBLE) / 4503599627370496) / (1 - (draw + 0.5::DOUBLE) / 4503599627370496)) / nullif(p / (1 - p), 0) AS q
+      FROM d JOIN r ON d.no_source = r.no_source AND d.src = r.src),
+c AS (SELECT *, sum(size) OVER o AS total, sum(size) OVER (PARTITION BY no_source, src, q, draw) AS own FROM k WINDOW o AS (PARTITION BY no_source, src ORDER BY q / (1 + q), draw))
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN p > 0 AND total - own / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
+""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes from every document."""
+    rows = mixing.draws(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    rows = stored(rows.select("doc_id", *mixing.SOURCE, "__size", "__draw"), "mix-sizes")
+    return mixing.mix_sizes(rows).select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * F.col("__copies")).alias("taken"))
