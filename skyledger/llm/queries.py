@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm import language_id, line_dedup, mixing, packing, token_output
+from skyledger.llm import chat_format, language_id, line_dedup, mixing, packing, token_output
 from skyledger.llm.common import crc_mod, stored, table
 from skyledger.session import scratch_path
 
@@ -97,3 +97,37 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without chunks of lines that occurred before."""
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed_lines").alias("removed_lines"), F.col("__removed_chunks").alias("removed_chunks"), "text")
+
+
+def _escaped(column: str) -> str:
+    out = f"replace({column}, '\\', '\\\\')"
+    for control in chat_format.CONTROLS:
+        out = f"replace({out}, '{control}', '{control[0]}\\{control[1:]}')"
+    return out
+
+
+@query("op5_chat_format", f"""
+WITH m AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({len(chat_format.START + chat_format.SEPARATOR + chat_format.END)} + length({_escaped("role")}) + length({_escaped("text")}))::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted as one chain of replies, and what reading the result back gives."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], rows.schema)
+    text = [F.coalesce(F.col(c), F.lit("")) for c in ("role", "text")]
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", *text))
+    chain = rows.unionByName(extra).withColumn("message_id", number).withColumn("parent_id", F.col("message_id") - 1).withColumn("score", F.lit(0))
+    out = chat_format.format_chats(chain, order="message_id")
+    turns = chat_format.read_turns(F.col("formatted"))
+    loss = F.array_join(chat_format.read_loss(F.col("formatted"), F.col("loss")), "")
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t.getField("role"), F.lit("\n"), t.getField("text"), F.lit("\n"))), "")
+    read = out.select(F.col("__conv").alias("conv_id"), turns.alias("turns"), loss.alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"), "formatted_chars",
+    )
