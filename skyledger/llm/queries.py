@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm import chat_format, language_id, line_dedup, mixing, packing, token_output
+from skyledger.llm import ann, chat_format, language_id, line_dedup, mixing, packing, token_output
 from skyledger.llm.common import crc_mod, stored, table
 from skyledger.session import scratch_path
 
@@ -131,3 +131,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"), "formatted_chars",
     )
+
+
+@query("op8_nearest_neighbours")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found for one row in twenty, among all rows."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(rows, rows.where(F.col("vec_id") % 20 == 0), 20)
