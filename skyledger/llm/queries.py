@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm import ann, chat_format, language_id, line_dedup, mixing, packing, token_output
+from skyledger.llm import ann, chat_format, embedding_dedup, language_id, line_dedup, mixing, packing, token_output
 from skyledger.llm.common import crc_mod, stored, table
 from skyledger.session import scratch_path
 
@@ -138,3 +138,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows found for one row in twenty, among all rows."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.nearest(rows, rows.where(F.col("vec_id") % 20 == 0), 20)
+
+
+@query("op9_embedding_near_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of near-duplicate vectors of one label."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
