@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm import ann, chat_format, embedding_dedup, language_id, line_dedup, mixing, packing, token_output
+from skyledger.llm import ann, chat_format, embedding_dedup, language_id, line_dedup, mixing, ngram_jaccard, packing, token_output
 from skyledger.llm.common import crc_mod, stored, table
 from skyledger.session import scratch_path
 
@@ -144,3 +144,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and groups of near-duplicate vectors of one label."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_ngram_jaccard")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose 3-word shingle sets have a Jaccard similarity of at least 0.9."""
+    found = ngram_jaccard.join_groups(table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
