@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm import ann, chat_format, embedding_dedup, language_id, line_dedup, mixing, ngram_jaccard, packing, token_output
+from skyledger.llm import ann, chat_format, embedding_dedup, language_id, line_dedup, lm_scoring, mixing, ngram_jaccard, packing, token_output
 from skyledger.llm.common import crc_mod, stored, table
 from skyledger.session import scratch_path
 
@@ -151,3 +151,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 3-word shingle sets have a Jaccard similarity of at least 0.9."""
     found = ngram_jaccard.join_groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+@query("op2_lm_scoring")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a model of six sevenths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod(F.col("doc_id"), 7) == 2
+    model = lm_scoring.fit(docs.where(~held_out))
+    scored = lm_scoring.score(docs, model)
+    return scored.select(F.col("key").alias("doc_id"), (crc_mod(F.col("key"), 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
