@@ -126,12 +126,14 @@ class Block:
 def write_token_blocks(docs: DataFrame, vocabulary: str, path: str, key: str = "doc_id", text: str = "text", end_id: int = 2, block_tokens: int = BLOCK_TOKENS) -> None:
     """Encode whole texts, add ``end_id`` to each, and write blocks in ascending key order below ``path``.
 
-    NULL texts are empty, NULL keys come first, repeated rows are written each time (rows with equal keys by text), an empty table gives an
+    NULL texts are empty, NULL keys come first, repeated rows are written each time (rows with equal keys by a hash of the text), an empty table gives an
     empty file set, other columns are not read.  Documents are dealt by ranges of the key, so one task holds one block in memory.
     """
     arrow_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("key", "text").sortWithinPartitions("key", "text")
+    # Rows with one key are dealt by a hash of the text: range bounds come from a sample that the driver sees, so it must not hold texts.
+    code = F.xxhash64("text")
+    ordered = rows.repartitionByRange("key", code).sortWithinPartitions("key", code)
     schema = T.StructType([
         T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("n_tokens", T.LongType()),
         T.StructField("keys", T.ArrayType(rows.schema["key"].dataType)), T.StructField("lengths", T.ArrayType(T.LongType())),
