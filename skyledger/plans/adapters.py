@@ -169,7 +169,7 @@ FROM @lineitem
 
 VIEWS["rules"] = """
 SELECT 'rule-' || CAST(p_partkey AS STRING) AS rule_id, p_name AS name, p_brand AS profile
-FROM @part WHERE p_partkey < 40
+FROM @part
 """
 
 VIEWS["markdown"] = """

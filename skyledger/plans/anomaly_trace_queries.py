@@ -234,9 +234,9 @@ def _(spark, sf):
     return t.error_doc_integrity(errors(spark, sf)).select("span_id", "violations")
 
 
-@query("t09_error_transaction_join", """SELECT e.span_id, x.name AS tx_name, x.result AS tx_result, x.service AS tx_service FROM v_spans e
-  LEFT JOIN v_spans x ON x.kind = 'transaction' AND x.trace_id = e.trace_id AND x.tx_id = CASE WHEN substr(e.span_id, 1, 1) <> '2' THEN e.tx_id END
-  WHERE e.kind = 'span' AND e.outcome = 'failure'""")
+@query("t09_error_transaction_join", """WITH e AS (SELECT span_id, trace_id, CASE WHEN substr(span_id, 1, 1) <> '2' THEN tx_id END AS tx_id FROM v_spans WHERE kind = 'span' AND outcome = 'failure'),
+  x AS (SELECT trace_id, tx_id, name, result, service FROM v_spans WHERE kind = 'transaction')
+  SELECT e.span_id, x.name AS tx_name, x.result AS tx_result, x.service AS tx_service FROM e LEFT JOIN x ON x.trace_id = e.trace_id AND x.tx_id = e.tx_id""")
 def _(spark, sf):
     return t.apm_error_join(errors(spark, sf), spans(spark, sf).filter("kind = 'transaction'")).select("span_id", "tx_name", "tx_result", "tx_service")
 

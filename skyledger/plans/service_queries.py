@@ -265,11 +265,14 @@ def _(spark, sf):
     return q.enriched_contract(df).select("id", F.array_join("violations", ",").alias("violations"))
 
 
-@query("v07_chain_contract", """SELECT conv_id, count(*) AS "rows", count(DISTINCT CASE WHEN conv_id % 5 = 0 THEN role ELSE 'run' END) AS labels, CAST(0 AS BIGINT) AS unlabelled, CAST(0 AS BIGINT) AS untimed,
-  count(*) >= 2 AND count(DISTINCT CASE WHEN conv_id % 5 = 0 THEN role ELSE 'run' END) = 1 AS valid FROM conversations GROUP BY 1""")
-def _(spark, sf):
-    rows = table(spark, sf, "conversations").select("conv_id", F.when(F.col("conv_id") % 5 == 0, F.col("role")).otherwise("run").alias("label"), F.timestamp_seconds("turn").alias("ts"))
-    return q.chain_contract(rows, "conv_id", "label")
+@query("v07_chain_contract", """WITH r AS (SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN role WHEN conv_id % 7 = 1 AND turn = 1 THEN NULL ELSE 'run' END AS label,
+    NOT (conv_id % 11 = 2 AND turn = 0) AS timed FROM conversations),
+  c AS (SELECT conv_id, count(*) AS "rows", count(DISTINCT label) AS labels, count(*) - count(label) AS unlabelled, CAST(sum(CASE WHEN timed THEN 0 ELSE 1 END) AS BIGINT) AS untimed FROM r GROUP BY 1)
+  SELECT *, "rows" >= 2 AND labels = 1 AND unlabelled = 0 AND untimed = 0 AS valid FROM c""")
+def _(spark, sf):
+    label = F.when(F.col("conv_id") % 5 == 0, F.col("role")).when((F.col("conv_id") % 7 == 1) & (F.col("turn") == 1), F.lit(None)).otherwise("run")
+    ts = F.when(~((F.col("conv_id") % 11 == 2) & (F.col("turn") == 0)), F.timestamp_seconds("turn"))
+    return q.chain_contract(table(spark, sf, "conversations").select("conv_id", label.alias("label"), ts.alias("ts")), "conv_id", "label")
 
 
 @query("v08_dataset_coverage", """WITH n AS (SELECT DISTINCT CASE user_id % 5 WHEN 0 THEN 'azure.entra_id' WHEN 1 THEN 'azure.firewall' WHEN 2 THEN 'gcp.loadbalancing' WHEN 3 THEN 'aws.x' ELSE dataset END AS dataset FROM v_logs)

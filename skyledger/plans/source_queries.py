@@ -94,13 +94,17 @@ def _(spark, sf):
     return stored_rows.select(F.lit(done["created"]).cast("bigint").alias("created"), F.lit(done["skipped"]).cast("bigint").alias("skipped"))
 
 
-@query("s08_size_capped_write", "SELECT count(*) AS lines, TRUE AS within_cap, CAST(sum(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS lost FROM documents")
+@query("s08_size_capped_write", """SELECT count(*) AS lines, TRUE AS within_cap, CAST(sum(doc_id) AS BIGINT) AS ids, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS lost,
+  CAST(sum(CASE WHEN strlen(text) > 1048576 THEN 1 ELSE 0 END) AS BIGINT) AS oversized FROM documents""")
 def _(spark, sf):
     path = scratch_path(spark, "capped")
-    sinks.size_capped_write(table(spark, sf, "documents"), path, "doc_id", max_bytes=1024 * 1024)
-    back = spark.read.text(path).withColumn("file", F.input_file_name())
-    per_file = back.groupBy("file").agg(F.count("*").alias("n"), F.sum(F.octet_length("value") + 1).alias("size"))
-    return per_file.agg(F.sum("n").alias("lines"), (F.max("size") <= 1024 * 1024).alias("within_cap"), (F.sum("n") - F.sum("n")).alias("lost"))
+    docs = table(spark, sf, "documents")
+    written = sinks.size_capped_write(docs, path, "doc_id", max_bytes=1024 * 1024)
+    back = spark.read.text(path).select("unit", "value", F.from_json("value", "doc_id long, text string").alias("d"))
+    units = back.groupBy("unit").agg(F.count("*").alias("n"), F.sum(F.octet_length("value") + 1).alias("size"), F.sum("d.doc_id").alias("ids"), F.sum(F.length("d.text")).alias("chars"))
+    lost = docs.join(back.select("d.doc_id"), "doc_id", "left_anti").agg(F.count("*").alias("lost"))
+    sums = units.agg(F.sum("n").alias("lines"), (F.max("size") <= 1024 * 1024).alias("within_cap"), F.sum("ids").alias("ids"), F.sum("chars").cast("bigint").alias("chars"))
+    return sums.join(lost).select("*", F.lit(written["oversized"]).cast("bigint").alias("oversized"))
 
 
 @query("s09_dead_letter", """SELECT id, CASE WHEN k % 9 = 3 THEN 'pipeline_error' END AS kind, CASE WHEN k % 9 = 3 THEN 'broken JSON' END AS error,

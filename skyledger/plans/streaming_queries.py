@@ -84,15 +84,18 @@ def _(spark, sf):
     return finished(spark, stage_stream(stream_of(spark, sf, "logs"), "user_name", PRIVESC_ACTIONS, 3 * 86400))
 
 
-@query("r08_alert_audit_join", """WITH p AS (SELECT a.id, e.ts, e.src_ip, e.user_name, row_number() OVER (PARTITION BY a.id ORDER BY e.ts DESC, e.id DESC) AS rn FROM v_alerts a
-    JOIN (SELECT host, date_trunc('minute', ts) AS m, max(ts) AS ts, arg_max(id, ts) AS id, arg_max(src_ip, ts) AS src_ip, arg_max(user_name, ts) AS user_name FROM v_logs
-      WHERE action IN ('ListUsers', 'CreateAccessKey', 'AttachUserPolicy', 'AssumeRole') GROUP BY 1, 2
-      HAVING m + INTERVAL '1 minute' <= (SELECT max(ts) - INTERVAL '120 seconds' FROM v_logs WHERE action IN ('ListUsers', 'CreateAccessKey', 'AttachUserPolicy', 'AssumeRole'))) e
-    ON e.host = a.host AND e.ts <= a.ts AND e.ts >= a.ts - INTERVAL '1 hour')
+@query("r08_alert_audit_join", """WITH e AS (SELECT * FROM v_logs WHERE action IN ('ListUsers', 'CreateAccessKey', 'AttachUserPolicy', 'AssumeRole')),
+  closed AS (SELECT least((SELECT max(ts) FROM e), (SELECT max(ts) FROM v_alerts)) - INTERVAL '120 seconds' AS t),
+  p AS (SELECT a.id, e.ts, e.src_ip, e.user_name, row_number() OVER (PARTITION BY a.id ORDER BY e.ts DESC, e.id DESC) AS rn FROM v_alerts a
+    JOIN e ON e.host = a.host AND e.ts <= a.ts AND e.ts >= a.ts - INTERVAL '1 hour'
+    WHERE date_trunc('minute', e.ts) = date_trunc('minute', a.ts) OR date_trunc('minute', e.ts) + INTERVAL '1 minute' <= (SELECT t FROM closed))
   SELECT id AS alert_id, ts AS event_ts, src_ip, user_name AS event_user FROM p WHERE rn = 1""")
 def _(spark, sf):
-    minutes = jobs.minute_sources(stream_of(spark, sf, "logs").filter(F.col("action").isin(*PRIVESC_ACTIONS)), "host")
-    return jobs.latest_match(finished(spark, jobs.alert_audit_join(stream_of(spark, sf, "alerts"), minutes)))
+    """The latest event of the hour before each alert; earlier minutes count when the watermark has passed them."""
+    audited = lambda: stream_of(spark, sf, "logs").filter(F.col("action").isin(*PRIVESC_ACTIONS))
+    earlier = finished(spark, jobs.alert_audit_join(stream_of(spark, sf, "alerts"), jobs.minute_sources(audited(), "host")))
+    own = finished(spark, jobs.alert_minute_join(stream_of(spark, sf, "alerts"), audited()))
+    return jobs.latest_match(earlier.unionByName(own))
 
 
 @query("r09_stream_static_assets", """WITH c AS (SELECT host, ci_id, owner, row_number() OVER (PARTITION BY host ORDER BY ts DESC, ci_id DESC) AS rn FROM v_ci)

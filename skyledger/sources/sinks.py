@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from skyledger.operators.traces import group_resource_spans, otlp_requests
@@ -26,12 +26,15 @@ def write_by_stream(df: DataFrame, root: str, target: str = "target", ts: str =
 def append_new(df: DataFrame, path: str, key: str, existing: DataFrame | None) -> dict[str, int]:
     """Create-only write: rows whose key is already there, or repeated in the batch, are counted as skipped.
 
-    Known keys are marked and counted while the rows pass to the writer; the data is read once.
+    A row without a key can't be there already, so each is created.  Known keys are marked and counted while the rows pass to
+    the writer; the data is read once.
     """
     if df.isEmpty():
         return {"created": 0, "skipped": 0}
     seen, added = Observation("offered"), Observation("added")
-    once = df.observe(seen, F.count("*").alias("n")).dropDuplicates([key])
+    # Rows without a key get one of their own, so that none is taken for a repeat.
+    own = F.when(F.col(key).isNull(), F.uuid())
+    once = df.observe(seen, F.count("*").alias("n")).withColumn("__own", own).dropDuplicates([key, "__own"])
     if existing is None:
         marked = once.withColumn("__known", F.lit(None).cast("boolean"))
     else:
@@ -42,17 +45,23 @@ def append_new(df: DataFrame, path: str, key: str, existing: DataFrame | None) -
     return {"created": created, "skipped": seen.get["n"] - created}
 
 
-def size_capped_write(df: DataFrame, path: str, spread_by: str, max_bytes: int = MAX_UNIT_BYTES) -> int:
-    """Write JSON text in units of about ``max_bytes`` at most; returns the planned number of units.
+def size_capped_write(df: DataFrame, path: str, spread_by: str, max_bytes: int = MAX_UNIT_BYTES) -> dict[str, int]:
+    """Write JSON text in units of at most ``max_bytes``; returns the number of planned ``groups`` and of ``oversized`` rows.
 
-    One aggregate sizes the data; units are hash-spread and files are cut by record count as a second guard.
+    One aggregate sizes the data.  Rows are hash-spread over groups of about a unit; a running sum of bytes inside a group, which never
+    leaves its task, cuts it where a unit is full.  Rows wider than a quarter of the cap get units of their own, so a running sum
+    overshoots by less than that; a row wider than the cap is a unit by itself and is counted.
     """
-    lines = df.select(F.to_json(F.struct(*df.columns)).alias("value"), F.col(spread_by).alias("__k"))
-    size = lines.agg(F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("total"), F.coalesce(F.max(F.octet_length("value") + 1), F.lit(1)).alias("widest")).first()
-    units = max(1, math.ceil(size["total"] * 1.25 / max_bytes))
-    per_file = max(1, max_bytes // size["widest"])
-    lines.repartition(units, "__k").select("value").write.mode("append").option("maxRecordsPerFile", per_file).text(path)
-    return units
+    lines = df.select(F.to_json(F.struct(*df.columns)).alias("value"), F.col(spread_by).alias("__k")).withColumn("__size", F.octet_length("value") + 1)
+    size = lines.agg(F.coalesce(F.sum("__size"), F.lit(0)).alias("total"), F.count_if(F.col("__size") > max_bytes).alias("oversized")).first()
+    groups = max(1, math.ceil(size["total"] / max_bytes))
+    wide = F.col("__size") * 4 > max_bytes
+    grouped = lines.withColumn("__group", F.pmod(F.xxhash64("__k"), F.lit(groups)))
+    before = F.coalesce(F.sum("__size").over(Window.partitionBy("__group").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    narrow = grouped.filter(~wide).withColumn("unit", F.concat_ws("-", "__group", F.floor(before * 4 / F.lit(3 * max_bytes))))
+    alone = grouped.filter(wide).withColumn("unit", F.uuid())
+    narrow.unionByName(alone).select("unit", "value").write.mode("append").partitionBy("unit").text(path)
+    return {"groups": groups, "oversized": size["oversized"]}
 
 
 def dead_letter(df: DataFrame, failed: str = "failure") -> tuple[DataFrame, DataFrame]:

@@ -6,10 +6,12 @@ session is written once, when the watermark has passed it.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from skyledger.functions.timebucket import bucket
 from skyledger.operators.anomalies import score
@@ -29,6 +31,14 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int |
     return reader.parquet(path)
 
 
+def run_continuously(df: DataFrame, path: str, checkpoint: str, every: str = "1 minute", partition_by: tuple[str, ...] = ()):
+    """Start a job that goes on until it is stopped, with a batch at every interval; returns the running query."""
+    writer = df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    return writer.trigger(processingTime=every).start()
+
+
 def run_available(df: DataFrame, path: str, checkpoint: str, partition_by: tuple[str, ...] = ()):
     """Process what is there, in append mode, to Parquet; returns the finished query for its progress figures."""
     writer = df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
@@ -64,9 +74,37 @@ def detect_stream(logs: DataFrame, rule: Rule, window: str | None = None, slide:
     return threshold_rule(logs.withWatermark("ts", late), rule, window=window, slide=slide, approx=True)
 
 
-def late_rows(query) -> int:
-    """Rows dropped as too late over a query's life, from its progress records."""
-    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
+class LateRows(StreamingQueryListener):
+    """Rows dropped as too late over each query's whole life.
+
+    Progress records that a query keeps are only its last ones, so the listener adds them up as they come.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(str(event.runId), 0)
+
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        self.dropped[run] = self.dropped.get(run, 0) + sum(int(op.numRowsDroppedByWatermark) for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.runId))
+
+    def of(self, query, wait_s: float = 30.0) -> int:
+        """The figure of a finished query; events arrive a little after its end."""
+        run, until = str(query.runId), time.monotonic() + wait_s
+        while run not in self.ended:
+            if time.monotonic() > until:
+                raise TimeoutError("the query has not ended, or the listener was added after its start")
+            time.sleep(0.05)
+        return self.dropped.get(run, 0)
 
 
 def bucket_stream(logs: DataFrame, by: list[str], span: str = "15 minutes", late: str = LATE) -> DataFrame:
@@ -100,15 +138,15 @@ def minute_sources(events: DataFrame, key: str, late: str = LATE) -> DataFrame:
     payload = F.struct(F.unix_micros("ts").alias("us"), "id", "src_ip", "user_name")
     out = events.withWatermark("ts", late).groupBy(F.window("ts", "1 minute"), key).agg(F.max(payload).alias("e"))
     return out.select(
-        key, F.window_time("window").alias("minute"), F.timestamp_micros("e.us").alias("event_ts"), F.col("e.src_ip").alias("src_ip"), F.col("e.user_name").alias("event_user")
+        key, F.window_time("window").alias("minute"), F.timestamp_micros("e.us").alias("event_ts"), F.col("e.id").alias("event_id"), F.col("e.src_ip").alias("src_ip"), F.col("e.user_name").alias("event_user")
     )
 
 
 def alert_audit_join(alerts: DataFrame, minutes: DataFrame, key: str = "host", late: str = LATE) -> DataFrame:
-    """Alerts with the audited minutes of their entity in the hour before: at most 61 rows per alert.
+    """Alerts with the latest events of the minutes before their own, within an hour: at most 60 rows per alert.
 
     The join key is (entity, hour): an alert stands in its own hour and the one before, so a busy entity's state is cut
-    by time and a row never meets its whole history.
+    by time and a row never meets its whole history.  Events of the alert's own minute are for ``alert_minute_join``.
     """
     hour = lambda c: F.floor(F.unix_seconds(c) / 3600)
     a = alerts.withWatermark("ts", late).select(
@@ -117,15 +155,31 @@ def alert_audit_join(alerts: DataFrame, minutes: DataFrame, key: str = "host", l
     )
     m = minutes.withColumn("minute_hour", hour("event_ts"))
     since = F.col("alert_ts") - F.expr("INTERVAL 1 HOUR")
-    near = (F.col("minute") >= since) & (F.col("minute") <= F.col("alert_ts") + F.expr("INTERVAL 1 MINUTE"))
-    before = (F.col("event_ts") <= F.col("alert_ts")) & (F.col("event_ts") >= since)
+    near = (F.col("minute") >= since) & (F.col("minute") <= F.col("alert_ts"))
+    before = (F.col("event_ts") < F.date_trunc("minute", "alert_ts")) & (F.col("event_ts") >= since)
     pairs = a.join(m, (F.col("alert_key") == F.col(key)) & (F.col("alert_hour") == F.col("minute_hour")) & near & before)
-    return pairs.select("alert_id", "alert_ts", "event_ts", "src_ip", "event_user")
+    return pairs.select("alert_id", "alert_ts", "event_ts", "event_id", "src_ip", "event_user")
+
+
+def alert_minute_join(alerts: DataFrame, events: DataFrame, key: str = "host", late: str = LATE) -> DataFrame:
+    """Alerts with the events of their own minute up to their instant; state is held for one minute and the delay.
+
+    With the earlier minutes' latest events this gives every alert its exact latest event: the rest of the alert's minute
+    may hold later ones that must not hide it.
+    """
+    minute = lambda c: F.floor(F.unix_seconds(c) / 60)
+    a = alerts.withWatermark("ts", late).select(F.col("id").alias("alert_id"), F.col("ts").alias("alert_ts"), F.col(key).alias("alert_key"), minute("ts").alias("alert_minute"))
+    e = events.withWatermark("ts", late).select(
+        F.col("ts").alias("event_ts"), F.col("id").alias("event_id"), "src_ip", F.col("user_name").alias("event_user"), F.col(key).alias("event_key"), minute("ts").alias("event_minute")
+    )
+    upto = (F.col("event_ts") <= F.col("alert_ts")) & (F.col("event_ts") >= F.col("alert_ts") - F.expr("INTERVAL 1 MINUTE"))
+    pairs = a.join(e, (F.col("alert_key") == F.col("event_key")) & (F.col("alert_minute") == F.col("event_minute")) & upto)
+    return pairs.select("alert_id", "alert_ts", "event_ts", "event_id", "src_ip", "event_user")
 
 
 def latest_match(pairs: DataFrame) -> DataFrame:
-    """The latest audited minute of each alert."""
-    best = F.max(F.struct("event_ts", "src_ip", "event_user")).alias("e")
+    """The latest audited event of each alert."""
+    best = F.max(F.struct("event_ts", "event_id", "src_ip", "event_user")).alias("e")
     return pairs.groupBy("alert_id").agg(best).select("alert_id", "e.event_ts", "e.src_ip", "e.event_user")
 
 

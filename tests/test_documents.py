@@ -174,6 +174,8 @@ def test_append_only_new(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 2, 3]
     assert sinks.append_new(batch(1, 3), path, "id", spark.read.parquet(path)) == {"created": 0, "skipped": 2}
     assert sinks.append_new(batch(1).limit(0), path, "id", spark.read.parquet(path)) == {"created": 0, "skipped": 0}
+    assert sinks.append_new(batch(None, None, 4), path, "id", spark.read.parquet(path)) == {"created": 3, "skipped": 0}
+    assert sinks.append_new(batch(None), path, "id", spark.read.parquet(path)) == {"created": 1, "skipped": 0}
 
 
 def test_units_stay_below_the_cap(spark, tmp_path):
@@ -182,6 +184,15 @@ def test_units_stay_below_the_cap(spark, tmp_path):
 
     df = spark.range(5000).select("id", F.repeat(F.lit("x"), 100).alias("text"))
     sinks.size_capped_write(df, str(tmp_path / "u"), "id", max_bytes=20_000)
-    files = glob.glob(str(tmp_path / "u" / "*.txt"))
+    files = glob.glob(str(tmp_path / "u" / "*" / "*.txt"))
     assert max(os.path.getsize(f) for f in files) <= 20_000
     assert spark.read.text(str(tmp_path / "u")).count() == 5000
+
+
+def test_one_wide_row_does_not_shrink_the_units(spark, tmp_path):
+    import glob
+
+    df = spark.range(2000).select("id", F.when(F.col("id") == 7, F.repeat(F.lit("y"), 400_000)).otherwise(F.repeat(F.lit("x"), 100)).alias("text"))
+    assert sinks.size_capped_write(df, str(tmp_path / "u"), "id", max_bytes=100_000)["oversized"] == 1
+    assert len(glob.glob(str(tmp_path / "u" / "*" / "*.txt"))) <= 20
+    assert spark.read.text(str(tmp_path / "u")).count() == 2000

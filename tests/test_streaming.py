@@ -57,8 +57,11 @@ def test_tumbling_rule_over_batches_equals_batch(spark, tmp_path):
 
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     path = write(spark, tmp_path, [row(1, 0), row(2, 4000)], [row(3, 8000)], [row(4, 10), row(5, 8010)])
+    counter = jobs.LateRows()
+    spark.streams.addListener(counter)
     query, out = run(spark, jobs.bucket_stream(source(spark, path), ["host"]), tmp_path)
-    assert jobs.late_rows(query) == 1
+    assert counter.of(query) == 1
+    spark.streams.removeListener(counter)
     assert [(r["bucket"], r["events"]) for r in out.orderBy("bucket").collect()] == [(at(0), 1), (at(3600), 1)]
 
 
@@ -117,3 +120,30 @@ def test_alert_join_keeps_the_latest_minute(spark, tmp_path):
     _, out = run(spark, jobs.alert_audit_join(a, jobs.minute_sources(e, "host")), tmp_path)
     got = {r["alert_id"]: r["event_user"] for r in jobs.latest_match(out).collect()}
     assert got == {90: "y"}
+
+
+def test_alert_join_looks_into_the_alerts_minute(spark, tmp_path):
+    """Events at :05 and :50 of the minute, alert at :30: the one at :05 counts."""
+    events, alerts = tmp_path / "e", tmp_path / "a"
+    events.mkdir(), alerts.mkdir()
+    e = write(spark, events, [row(1, 3605, user="x"), row(2, 3650, user="y"), row(3, 30, user="old")], [row(4, 90000)])
+    a = write(spark, alerts, [row(90, 3630), row(91, 3603)], [row(92, 90000)])
+    (tmp_path / "1").mkdir(), (tmp_path / "2").mkdir()
+    _, own = run(spark, jobs.alert_minute_join(source(spark, a), source(spark, e)), tmp_path / "1")
+    _, earlier = run(spark, jobs.alert_audit_join(source(spark, a), jobs.minute_sources(source(spark, e), "host")), tmp_path / "2")
+    got = {r["alert_id"]: r["event_user"] for r in jobs.latest_match(own.unionByName(earlier)).collect()}
+    assert got == {90: "x", 91: "old", 92: "u"}
+
+
+def test_late_rows_of_many_batches_are_all_counted(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")
+    try:
+        path = write(spark, tmp_path, [row(0, 90000)], *[[row(i, i)] for i in range(1, 8)])
+        counter = jobs.LateRows()
+        spark.streams.addListener(counter)
+        query, out = run(spark, jobs.bucket_stream(source(spark, path), ["host"]), tmp_path)
+        on_time = sum(r["events"] for r in out.collect())  # files of one instant may come before the one that moves the watermark
+        assert counter.of(query) + on_time == 7 and counter.of(query) > 3
+    finally:
+        spark.streams.removeListener(counter)
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
