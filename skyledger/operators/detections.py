@@ -33,15 +33,22 @@ class Rule:
     min_distinct: int = 0
     per_row: bool = False
     chain: str = field(default="other")
+    streams: tuple[str, ...] = ()  # datasets the rule reads, "*" at the end for any ending; none: all
 
+    @property
+    def condition(self) -> str:
+        """``where`` on rows of the rule's streams."""
+        parts = [f"startswith(dataset, '{s[:-1]}')" if s.endswith("*") else f"dataset = '{s}'" for s in self.streams]
+        return f"({' OR '.join(parts)}) AND ({self.where})" if parts else self.where
 
-# Rule conditions, thresholds, windows, severities, risk scores and techniques.
+
+# Rule conditions, streams, thresholds, windows, severities, risk scores and techniques.
 RULES: tuple[Rule, ...] = (
-    Rule("D01", "Data run failure rate", "outcome = 'failure'", min_count=4, chain="data"),
-    Rule("D02", "Empty query result", "rows_returned = 0", chain="data"),
-    Rule("D03", "Spark processing error", "error_type IS NOT NULL", chain="data"),
-    Rule("D04", "Source file format", "object_key NOT LIKE '%.avro' OR instr(object_key, '%') > 0", chain="data"),
-    Rule("D05", "Slow run", "duration_ms > 60000", "low", 21, window="30 minutes", chain="data"),
+    Rule("D01", "Data run failure rate", "outcome = 'failure'", min_count=4, chain="data", streams=("aws.mwaa", "gcp.composer", "azure.datafactory")),
+    Rule("D02", "Empty query result", "rows_returned = 0", chain="data", streams=("aws.athena",)),
+    Rule("D03", "Spark processing error", "error_type IS NOT NULL", chain="data", streams=("aws.emr",)),
+    Rule("D04", "Source file format", "object_key NOT LIKE '%.avro' OR instr(object_key, '%') > 0", chain="data", streams=("aws.s3access",)),
+    Rule("D05", "Slow run", "duration_ms > 60000", "low", 21, window="30 minutes", chain="data", streams=("aws.mwaa", "gcp.composer", "azure.datafactory")),
     Rule(
         "D06", "DNS query to suspicious domain",
         "(qname LIKE '%duckdns.org' OR qname LIKE '%ngrok.io' OR qname LIKE '%serveo.net' OR qname LIKE '%.xyz')",
@@ -56,7 +63,7 @@ RULES: tuple[Rule, ...] = (
     ),
     Rule("D13", "Non-admin CreateAccessKey", "action = 'CreateAccessKey' AND user_name NOT LIKE '%admin%'", "high", 73, "T1098.001", chain="iam"),
     Rule(
-        "D14", "Administrator policy attached", "action = 'AttachUserPolicy' AND message LIKE '%AdministratorAccess%'",
+        "D14", "Administrator policy attached", "action = 'AttachUserPolicy' AND message LIKE '%AdministratorAccess%' AND user_name NOT LIKE '%admin%'",
         "critical", 99, "T1078.004", ("user_name", "src_ip"), per_row=True, chain="iam",
     ),
     Rule("D15", "AssumeRole with a tactic", "action = 'AssumeRole' AND tactic IS NOT NULL", "critical", 95, "T1550.001", chain="iam"),
@@ -77,28 +84,28 @@ RULES: tuple[Rule, ...] = (
         "D19", "Dangerous IAM volume", "action IN ('CreateAccessKey', 'AttachUserPolicy', 'AssumeRole')",
         "high", 73, "T1078", ("user_name",), "30 minutes", 4, chain="iam",
     ),
-    Rule("D20", "High or critical finding", "severity_num >= 7 OR severity IN ('High', 'Critical')", "high", 73, "T1496", ("src_ip",), per_row=True, chain="finding"),
+    Rule("D20", "High or critical finding", "severity_num >= 7 OR severity IN ('High', 'Critical')", "high", 73, "T1496", ("src_ip",), per_row=True, chain="finding", streams=("aws.guardduty",)),
     Rule(
-        "D21", "Multi-detector burst", "kind = 'alert' AND dataset IN ('aws.cloudtrail', 'azure.defender', 'gcp.audit')",
-        "high", 73, min_count=3, chain="finding",
+        "D21", "Multi-detector burst", "kind = 'alert'",
+        "high", 73, min_count=3, chain="finding", streams=("aws.guardduty", "aws.securityhub_findings", "aws.securitylake"),
     ),
-    Rule("D22", "Compliance failed", "rule_category = 'posture'", "medium", 47, "T1562.001", window="30 minutes", min_count=4, chain="finding"),
-    Rule("D23", "Findings with a source address", "kind = 'alert' AND src_ip IS NOT NULL", "high", 73, window="30 minutes", min_count=6, chain="finding"),
+    Rule("D22", "Compliance failed", "rule_category = 'posture'", "medium", 47, "T1562.001", window="30 minutes", min_count=4, chain="finding", streams=("aws.securityhub*",)),
+    Rule("D23", "Findings with a source address", "kind = 'alert' AND src_ip IS NOT NULL", "high", 73, window="30 minutes", min_count=6, chain="finding", streams=("aws.guardduty",)),
     Rule(
         "D24", "Crypto mining", "message LIKE '%CryptoCurrency%' OR message LIKE '%BitcoinTool%' OR message LIKE '%crypto%'",
-        "high", 73, "T1496", ("src_ip",), per_row=True, chain="finding",
+        "high", 73, "T1496", ("src_ip",), per_row=True, chain="finding", streams=("aws.guardduty",),
     ),
-    Rule("D25", "OCSF finding", "severity_num >= 7 OR level IN ('error', 'warn')", "high", 73, None, ("src_ip",), per_row=True, chain="finding"),
-    Rule("D26", "Root activity", "user_name = 'root' OR message LIKE '%Root%'", "critical", 99, "T1078.004", ("src_ip",), per_row=True, chain="finding"),
+    Rule("D25", "OCSF finding", "severity_num >= 7 OR level IN ('error', 'warn')", "high", 73, None, ("src_ip",), per_row=True, chain="finding", streams=("aws.securitylake",)),
+    Rule("D26", "Root activity", "user_name = 'root' OR message LIKE '%Root%'", "critical", 99, "T1078.004", ("src_ip",), per_row=True, chain="finding", streams=("aws.cloudtrail",)),
     Rule(
         "D27", "Trail stopped", "action IN ('StopLogging', 'DeleteTrail', 'UpdateTrail', 'PutEventSelectors')",
         "critical", 99, "T1562.008", ("user_name", "src_ip"), per_row=True, chain="finding",
     ),
-    Rule("D29", "Exfiltration finding", "finding_type LIKE 'Exfiltration%'", "critical", 99, "T1567", chain="exfil"),
+    Rule("D29", "Exfiltration finding", "finding_type LIKE 'Exfiltration%'", "critical", 99, "T1537", chain="exfil", streams=("aws.guardduty",)),
     Rule("D30", "High egress", "direction = 'egress' AND bytes > 52428800", "high", 73, "T1048", chain="exfil"),
     Rule("D31", "Bulk object reads", "action = 'GetObject' AND additional_count > 100", "high", 73, "T1530", chain="exfil"),
     Rule("D32", "GetObject burst", "action = 'GetObject'", "high", 73, "T1530", ("src_ip",), "5 minutes", 10, chain="exfil"),
-    Rule("D33", "WAF block spike", "outcome = 'failure'", "medium", 47, "T1190", ("src_ip",), "15 minutes", 10, chain="exfil"),
+    Rule("D33", "WAF block spike", "outcome = 'failure'", "medium", 47, "T1595", ("src_ip",), "15 minutes", 10, chain="exfil", streams=("aws.waf",)),
 )
 
 RULE_BY_ID = {r.id: r for r in RULES}
@@ -116,7 +123,7 @@ def _rule_columns(rule: Rule) -> dict[str, Column]:
 
 def query_rule(df: DataFrame, rule: Rule, keep: list[str]) -> DataFrame:
     """An alert for every row that satisfies the rule."""
-    return df.filter(F.expr(rule.where)).select(*keep).withColumns(_rule_columns(rule))
+    return df.filter(F.expr(rule.condition)).select(*keep).withColumns(_rule_columns(rule))
 
 
 def threshold_rule(
@@ -133,7 +140,7 @@ def threshold_rule(
         distinct = F.approx_count_distinct(rule.distinct) if approx else F.count_distinct(rule.distinct)
         aggs.append(distinct.alias("distinct_values"))
         passed = passed & (F.col("distinct_values") >= rule.min_distinct)
-    grouped = df.filter(F.expr(rule.where)).groupBy(span.alias("w"), *rule.keys).agg(*aggs).filter(passed)
+    grouped = df.filter(F.expr(rule.condition)).groupBy(span.alias("w"), *rule.keys).agg(*aggs).filter(passed)
     shown = [F.col("w.start").alias("window_start"), *rule.keys, "hits", *(["distinct_values"] if rule.distinct else [])]
     return grouped.select(*shown).withColumns(_rule_columns(rule))
 
@@ -163,7 +170,7 @@ def run_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, ts: str = "ts") ->
             F.lit(r.id).alias("rule_id"), entity.alias("entity"), start.alias("start"),
             (as_col(r.distinct).cast("string") if r.distinct else F.lit(None).cast("string")).alias("value"),
         )
-        tags.append(F.when(F.expr(r.where), tag))
+        tags.append(F.when(F.expr(r.condition), tag))
     tagged = df.select(F.explode(F.array_compact(F.array(*tags))).alias("t")).select("t.*")
     grouped = tagged.groupBy("rule_id", "entity", "start").agg(
         F.count("*").alias("hits"), F.count_distinct("value").alias("distinct_values")
@@ -290,17 +297,24 @@ def admin_role_from_outside(df: DataFrame, corporate: list[str], keep: list[str]
     return df.filter(where).select(*keep)
 
 
-def log_gaps(df: DataFrame, keys: list[str], width: str = "5 minutes", ts: str = "ts") -> DataFrame:
-    """Stretches of empty buckets between two non-empty ones, per stream.  Only bucket rows are ordered, never events."""
+def log_gaps(df: DataFrame, keys: list[str], width: str = "5 minutes", ts: str = "ts", as_of: str | None = None) -> DataFrame:
+    """Stretches of empty buckets per stream: between two non-empty ones and, with ``as_of``, from the last one up to then.
+
+    Only bucket rows are ordered, never events.  A stream that has gone silent has no next bucket; its gap ends with the last whole
+    bucket before ``as_of``.
+    """
     buckets = df.groupBy(*keys, bucket(ts, width).alias("bucket")).agg(F.count("*").alias("events"))
-    before = F.lag("bucket").over(Window.partitionBy(*keys).orderBy("bucket"))
     step = _width_us(width)
-    missing = ((micros("bucket") - micros("prev")) / F.lit(step)).cast("long") - 1
+    after = F.lead("bucket").over(Window.partitionBy(*keys).orderBy("bucket"))
+    if as_of is not None:
+        now = micros(F.lit(as_of).cast("timestamp"))
+        after = F.coalesce(after, F.timestamp_micros(now - now % F.lit(step)))
+    missing = ((micros("next") - micros("bucket")) / F.lit(step)).cast("long") - 1
     return (
-        buckets.withColumn("prev", before)
+        buckets.withColumn("next", after)
         .withColumn("missing_buckets", missing)
         .filter(F.col("missing_buckets") > 0)
-        .select(*keys, F.timestamp_micros(micros("prev") + F.lit(step)).alias("gap_start"), F.col("bucket").alias("gap_end"), "missing_buckets")
+        .select(*keys, F.timestamp_micros(micros("bucket") + F.lit(step)).alias("gap_start"), F.col("next").alias("gap_end"), "missing_buckets")
     )
 
 

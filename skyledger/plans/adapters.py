@@ -72,6 +72,14 @@ SELECT id, ts, user_id, event_type, k, value,
 FROM #base
 """
 
+# Log rows as the streams that detection rules name.
+VIEWS["rule_logs"] = """
+SELECT l.*, CASE (user_id + k) % 10 WHEN 0 THEN 'aws.mwaa' WHEN 1 THEN 'gcp.composer' WHEN 2 THEN 'aws.athena' WHEN 3 THEN 'aws.emr'
+  WHEN 4 THEN 'aws.s3access' WHEN 5 THEN 'aws.guardduty' WHEN 6 THEN 'aws.securityhub_findings' WHEN 7 THEN 'aws.securitylake'
+  WHEN 8 THEN 'aws.waf' ELSE 'aws.cloudtrail' END AS stream
+FROM #logs l
+"""
+
 VIEWS["alerts"] = """
 SELECT id, ts, CASE k % 3 WHEN 0 THEN 'DNS Firewall Block' WHEN 1 THEN 'IAM Access Key Created' ELSE 'High Egress' END AS rule,
   CASE k % 3 WHEN 0 THEN 'medium' WHEN 1 THEN 'high' ELSE 'critical' END AS severity,

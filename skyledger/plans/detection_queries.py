@@ -27,7 +27,7 @@ SLUGS = {
 
 # The provided events are sparse: rules that count one host or address run over a day here.
 WINDOWS = {
-    "D08": "1 day", "D09": "1 day", "D18": "1 day", "D19": "1 day", "D21": "1 day", "D23": "1 day", "D32": "7 days", "D33": "7 days",
+    "D01": "1 day", "D05": "1 day", "D22": "7 days", "D08": "1 day", "D09": "1 day", "D18": "1 day", "D19": "1 day", "D21": "7 days", "D23": "7 days", "D32": "7 days", "D33": "7 days",
 }
 
 # Conditions of the oracle, written from the rule descriptions.
@@ -43,14 +43,14 @@ WHERE = {
     "D09": "TRUE",
     "D12": "action = 'CreateAccessKey' AND NOT (user_name = target_user)",
     "D13": "action = 'CreateAccessKey' AND NOT contains(user_name, 'admin')",
-    "D14": "action = 'AttachUserPolicy' AND contains(message, 'AdministratorAccess')",
+    "D14": "action = 'AttachUserPolicy' AND contains(message, 'AdministratorAccess') AND NOT contains(user_name, 'admin')",
     "D15": "action = 'AssumeRole' AND k % 4 < 3",
     "D16": "action = 'ListUsers' AND NOT regexp_matches(user_name, 'admin|service')",
     "D17": "(action = 'CreateAccessKey' OR action = 'AttachUserPolicy' OR action = 'AssumeRole') AND k % 10 = 7",
     "D18": "(action = 'CreateAccessKey' OR action = 'AttachUserPolicy' OR action = 'AssumeRole')",
     "D19": "(action = 'CreateAccessKey' OR action = 'AttachUserPolicy' OR action = 'AssumeRole')",
     "D20": "coalesce(severity_num, 0) >= 7 OR coalesce(severity, '') = 'High' OR coalesce(severity, '') = 'Critical'",
-    "D21": "kind = 'alert' AND user_id % 6 IN (0, 2, 4)",
+    "D21": "kind = 'alert'",
     "D22": "rule_category = 'posture'",
     "D23": "kind = 'alert'",
     "D24": "regexp_matches(message, 'CryptoCurrency|BitcoinTool|crypto')",
@@ -64,6 +64,31 @@ WHERE = {
     "D33": "event_type = 'error'",
 }
 
+# Streams of the oracle, written from the rule descriptions; the other rules read all streams.
+SCOPE = {
+    "D01": "stream IN ('aws.mwaa', 'gcp.composer', 'azure.datafactory')",
+    "D02": "stream = 'aws.athena'",
+    "D03": "stream = 'aws.emr'",
+    "D04": "stream = 'aws.s3access'",
+    "D05": "stream IN ('aws.mwaa', 'gcp.composer', 'azure.datafactory')",
+    "D20": "stream = 'aws.guardduty'",
+    "D21": "stream IN ('aws.guardduty', 'aws.securityhub_findings', 'aws.securitylake')",
+    "D22": "stream LIKE 'aws.securityhub%'",
+    "D23": "stream = 'aws.guardduty'",
+    "D24": "stream = 'aws.guardduty'",
+    "D25": "stream = 'aws.securitylake'",
+    "D26": "stream = 'aws.cloudtrail'",
+    "D29": "stream = 'aws.guardduty'",
+    "D33": "stream = 'aws.waf'",
+}
+WHERE = {rule: f"({SCOPE[rule]}) AND ({where})" if rule in SCOPE else where for rule, where in WHERE.items()}
+
+
+def rule_logs(spark, sf):
+    """Log rows with the stream that rules scope by as their dataset."""
+    rows = view(spark, sf, "rule_logs")
+    return rows.withColumn("dataset", F.col("stream")).drop("stream")
+
 
 def _meta(rule: d.Rule) -> str:
     technique = f"'{rule.technique}'" if rule.technique else "CAST(NULL AS VARCHAR)"
@@ -76,17 +101,17 @@ def _threshold_sql(rule: d.Rule) -> str:
     distinct = f", count(DISTINCT {rule.distinct}) AS distinct_values" if rule.distinct else ""
     having = f" AND count(DISTINCT {rule.distinct}) >= {rule.min_distinct}" if rule.distinct else ""
     return f"""SELECT {tb(rule.window)} AS window_start{keys}, count(*) AS hits{distinct}, {_meta(rule)}
-  FROM v_logs WHERE {WHERE[rule.id]} GROUP BY {tb(rule.window)}{keys} HAVING count(*) >= {rule.min_count}{having}"""
+  FROM v_rule_logs WHERE {WHERE[rule.id]} GROUP BY {tb(rule.window)}{keys} HAVING count(*) >= {rule.min_count}{having}"""
 
 
 def _register(rule: d.Rule) -> None:
     name = f"{rule.id.lower()}_{SLUGS[rule.id]}"
     if rule.per_row:
-        sql = f"SELECT {', '.join(KEEP)}, {_meta(rule)} FROM v_logs WHERE {WHERE[rule.id]}"
-        query(name, sql)(lambda spark, sf: d.query_rule(logs(spark, sf), rule, KEEP))
+        sql = f"SELECT {', '.join(KEEP)}, {_meta(rule)} FROM v_rule_logs WHERE {WHERE[rule.id]}"
+        query(name, sql)(lambda spark, sf: d.query_rule(rule_logs(spark, sf), rule, KEEP))
     else:
         wide = replace(rule, window=WINDOWS.get(rule.id, rule.window))
-        query(name, _threshold_sql(wide))(lambda spark, sf: d.threshold_rule(logs(spark, sf), wide))
+        query(name, _threshold_sql(wide))(lambda spark, sf: d.threshold_rule(rule_logs(spark, sf), wide))
 
 
 for _rule in d.RULES:
@@ -100,26 +125,26 @@ def _all_rules_sql() -> str:
         value = f"count(DISTINCT {r.distinct})" if r.distinct else "0"
         parts.append(
             f"""SELECT {_meta(r)}, {entity} AS entity, {tb(r.window)} AS window_start, count(*) AS hits, {value} AS distinct_values
-  FROM v_logs WHERE {WHERE[r.id]} GROUP BY {entity}, {tb(r.window)}
+  FROM v_rule_logs WHERE {WHERE[r.id]} GROUP BY {entity}, {tb(r.window)}
   HAVING count(*) >= {r.min_count} AND {value} >= {r.min_distinct}""" if r.keys else
             f"""SELECT {_meta(r)}, '*' AS entity, {tb(r.window)} AS window_start, count(*) AS hits, {value} AS distinct_values
-  FROM v_logs WHERE {WHERE[r.id]} GROUP BY {tb(r.window)} HAVING count(*) >= {r.min_count} AND {value} >= {r.min_distinct}"""
+  FROM v_rule_logs WHERE {WHERE[r.id]} GROUP BY {tb(r.window)} HAVING count(*) >= {r.min_count} AND {value} >= {r.min_distinct}"""
         )
     return "\nUNION ALL\n".join(parts)
 
 
 @query("d00_all_rules_one_pass", _all_rules_sql())
 def _(spark, sf):
-    return d.run_rules(logs(spark, sf))
+    return d.run_rules(rule_logs(spark, sf))
 
 
-@query("d00_sliding_threshold", """WITH s AS (SELECT unnest([0, 5, 10]) AS back),
-  w AS (SELECT time_bucket(INTERVAL '5 minutes', ts, TIMESTAMP '1970-01-01') - to_minutes(back) AS window_start
-    FROM v_logs, s WHERE event_type = 'error')
+@query("d00_sliding_threshold", f"""WITH s AS (SELECT unnest([0, 8, 16]) AS back),
+  w AS (SELECT time_bucket(INTERVAL '8 hours', ts, TIMESTAMP '1970-01-01') - to_hours(back) AS window_start
+    FROM v_rule_logs, s WHERE {WHERE["D01"]})
   SELECT window_start, count(*) AS hits, 'D01' AS rule_id, 'Data run failure rate' AS rule_name, 'medium' AS severity,
     CAST(47 AS INTEGER) AS risk, CAST(NULL AS VARCHAR) AS technique FROM w GROUP BY window_start HAVING count(*) >= 4""")
 def _(spark, sf):
-    return d.threshold_rule(logs(spark, sf), d.RULE_BY_ID["D01"], slide="5 minutes")
+    return d.threshold_rule(rule_logs(spark, sf), d.RULE_BY_ID["D01"], window="1 day", slide="8 hours")
 
 
 @query("d10_dns_tunnelling", f"""SELECT {tb('1 day')} AS window_start, host, regexp_extract(qname, '([^.]+[.][^.]+)$', 1) AS parent,
@@ -142,12 +167,15 @@ def _(spark, sf):
     return d.admin_role_from_outside(logs(spark, sf), NETWORKS, KEEP)
 
 
-@query("d28_log_gap", f"""WITH b AS (SELECT DISTINCT dataset, {tb('5 minutes')} AS bucket FROM v_logs),
-  g AS (SELECT dataset, bucket, lag(bucket) OVER (PARTITION BY dataset ORDER BY bucket) AS prev FROM b)
+@query("d28_log_gap", f"""WITH l AS (SELECT * FROM v_logs WHERE NOT (dataset = 'gcp.audit' AND ts >= TIMESTAMP '2024-01-20 00:00:00')),
+  b AS (SELECT DISTINCT dataset, {tb('5 minutes')} AS bucket FROM l),
+  g AS (SELECT dataset, bucket AS prev, coalesce(lead(bucket) OVER (PARTITION BY dataset ORDER BY bucket), TIMESTAMP '2024-02-01 00:00:00') AS bucket FROM b)
   SELECT dataset, prev + INTERVAL '5 minutes' AS gap_start, bucket AS gap_end,
     CAST(date_diff('minute', prev, bucket) / 5 - 1 AS BIGINT) AS missing_buckets FROM g WHERE bucket > prev + INTERVAL '5 minutes'""")
 def _(spark, sf):
-    return d.log_gaps(logs(spark, sf), ["dataset"])
+    """One stream falls silent on the twentieth and stays so."""
+    silent = (F.col("dataset") == "gcp.audit") & (F.col("ts") >= F.lit("2024-01-20 00:00:00").cast("timestamp"))
+    return d.log_gaps(logs(spark, sf).filter(~silent), ["dataset"], as_of="2024-02-01 00:00:00")
 
 
 SIGNALS = {

@@ -40,17 +40,25 @@ def _(spark, sf):
     return finished(spark, df.select("id", F.col("event.kind").alias("kind"), F.array_join("event.type", ",").alias("type"), F.col("event.original").alias("original")))
 
 
-@query("r02_tumbling_detection", f"""SELECT window_start, hits, 'D01' AS rule_id FROM (SELECT {tb('15 minutes')} AS window_start, count(*) AS hits FROM v_logs
-  WHERE event_type = 'error' GROUP BY 1 HAVING count(*) >= 4) WHERE window_start + INTERVAL '15 minutes' <= {CLOSED}""")
+FAILED_RUNS = "event_type = 'error' AND stream IN ('aws.mwaa', 'gcp.composer', 'azure.datafactory')"
+
+
+def rule_stream(spark, sf):
+    rows = stream_of(spark, sf, "rule_logs")
+    return rows.withColumn("dataset", F.col("stream")).drop("stream")
+
+
+@query("r02_tumbling_detection", f"""SELECT window_start, hits, 'D01' AS rule_id FROM (SELECT {tb('1 day')} AS window_start, count(*) AS hits FROM v_rule_logs
+  WHERE {FAILED_RUNS} GROUP BY 1 HAVING count(*) >= 4) WHERE window_start + INTERVAL '1 day' <= {CLOSED}""")
 def _(spark, sf):
-    return finished(spark, jobs.detect_stream(stream_of(spark, sf, "logs"), RULE_BY_ID["D01"])).select("window_start", "hits", "rule_id")
+    return finished(spark, jobs.detect_stream(rule_stream(spark, sf), RULE_BY_ID["D01"], window="1 day")).select("window_start", "hits", "rule_id")
 
 
-@query("r03_sliding_detection", f"""WITH s AS (SELECT unnest([0, 5, 10]) AS back),
-  w AS (SELECT time_bucket(INTERVAL '5 minutes', ts, TIMESTAMP '1970-01-01') - to_minutes(back) AS window_start FROM v_logs, s WHERE event_type = 'error')
-  SELECT window_start, count(*) AS hits FROM w GROUP BY 1 HAVING count(*) >= 4 AND window_start + INTERVAL '15 minutes' <= {CLOSED}""")
+@query("r03_sliding_detection", f"""WITH s AS (SELECT unnest([0, 8, 16]) AS back),
+  w AS (SELECT time_bucket(INTERVAL '8 hours', ts, TIMESTAMP '1970-01-01') - to_hours(back) AS window_start FROM v_rule_logs, s WHERE {FAILED_RUNS})
+  SELECT window_start, count(*) AS hits FROM w GROUP BY 1 HAVING count(*) >= 4 AND window_start + INTERVAL '1 day' <= {CLOSED}""")
 def _(spark, sf):
-    return finished(spark, jobs.detect_stream(stream_of(spark, sf, "logs"), RULE_BY_ID["D01"], slide="5 minutes")).select("window_start", "hits")
+    return finished(spark, jobs.detect_stream(rule_stream(spark, sf), RULE_BY_ID["D01"], window="1 day", slide="8 hours")).select("window_start", "hits")
 
 
 @query("r04_late_data", f"SELECT {tb('1 hour')} AS bucket, dataset, count(*) AS events FROM v_logs GROUP BY 1, 2 HAVING bucket + INTERVAL '1 hour' <= {CLOSED}")

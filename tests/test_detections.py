@@ -101,6 +101,24 @@ def test_log_gap(spark):
     assert (row["gap_start"], row["gap_end"], row["missing_buckets"]) == (at(300), at(1500), 4)
 
 
+def test_a_feed_that_stays_silent_is_a_gap(spark):
+    df = spark.createDataFrame([("s", at(0)), ("t", at(0)), ("t", at(900))], "dataset string, ts timestamp")
+    rows = {(r["dataset"], r["gap_start"], r["gap_end"], r["missing_buckets"]) for r in d.log_gaps(df, ["dataset"], as_of=str(at(1300))).collect()}
+    assert rows == {("s", at(300), at(1200), 3), ("t", at(300), at(900), 2)}
+
+
+def test_rules_read_their_own_streams(spark, sf_dir):
+    from skyledger.plans.adapters import view
+
+    logs = view(spark, sf_dir, "logs").withColumn("outcome", F.lit("failure")).withColumn("dataset", F.lit("aws.other"))
+    fired = {r["rule_id"] for r in d.run_rules(logs).select("rule_id").distinct().collect()}
+    assert fired and not fired & {"D01", "D02", "D03", "D04", "D05", "D20", "D21", "D22", "D23", "D24", "D25", "D26", "D29", "D33"}
+    runs = logs.withColumn("dataset", F.lit("gcp.composer"))
+    assert d.threshold_rule(runs, d.RULE_BY_ID["D01"], window="30 days").count() > 0
+    hub = logs.withColumn("dataset", F.lit("aws.securityhub_findings"))
+    assert d.query_rule(hub.withColumn("rule_category", F.lit("posture")), d.RULE_BY_ID["D22"], ["id"]).count() == logs.count()
+
+
 def test_full_chain_needs_three_signals_not_three_rows(spark):
     cols = "ts timestamp, finding_type string, direction string, bytes long, action string, additional_count long"
     finding = (at(1), "Exfiltration:S3", None, None, None, None)

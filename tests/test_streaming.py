@@ -48,9 +48,10 @@ def source(spark, path):
 def test_tumbling_rule_over_batches_equals_batch(spark, tmp_path):
     rows = [row(i, i * 70) for i in range(60)]
     path = write(spark, tmp_path, rows[:25], rows[25:50], rows[50:])
-    _, out = run(spark, jobs.detect_stream(source(spark, path), RULE_BY_ID["D01"]), tmp_path)
+    runs = lambda df: df.withColumn("dataset", F.lit("aws.mwaa"))
+    _, out = run(spark, jobs.detect_stream(runs(source(spark, path)), RULE_BY_ID["D01"]), tmp_path)
     closed = at(59 * 70 - 120)
-    batch = threshold_rule(spark.createDataFrame(rows, SCHEMA), RULE_BY_ID["D01"]).filter(F.col("window_start") + F.expr("INTERVAL 15 MINUTES") <= F.lit(closed))
+    batch = threshold_rule(runs(spark.createDataFrame(rows, SCHEMA)), RULE_BY_ID["D01"]).filter(F.col("window_start") + F.expr("INTERVAL 15 MINUTES") <= F.lit(closed))
     pick = lambda df: sorted((r["window_start"], r["hits"]) for r in df.collect())
     assert pick(out) == pick(batch) and pick(out)
 
