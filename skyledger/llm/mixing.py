@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyledger.llm.common import stored
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Ranks lie in (0, 1); sums over so many equal parts find the part in which a source's sample ends.
 PARTS = 4096
@@ -61,11 +63,13 @@ def _rank() -> Column:
     return F.when(F.col("p") > 0, q / (1 + q))
 
 
-def sample_ends(rows: DataFrame, goals: DataFrame) -> DataFrame:
-    """``goals`` with the last part and the last (rank, draw) that each source's sample takes.
+def sample_ends(rows: DataFrame) -> DataFrame:
+    """The targets of all sources with the last part and the last (rank, draw) that each source's sample takes.
 
     A large source is not sorted: word sums of ``PARTS`` parts of the rank show in which part the sample ends, and only that part is.
+    What is known per source is written, so that Spark sees its size and broadcasts it only if it is small.
     """
+    goals = stored(targets(rows), "mix-targets")
     ranked = rows.select(*SOURCE, "__size", "__draw").join(goals, SOURCE).withColumn("rank", _rank()).where("rank IS NOT NULL").withColumn("part", F.floor(F.col("rank") * PARTS))
     sums = ranked.groupBy(*SOURCE, "part", "left").agg(F.sum("__size").alias("words"))
     total = F.sum("words").over(Window.partitionBy(*SOURCE).orderBy("part"))
@@ -74,7 +78,7 @@ def sample_ends(rows: DataFrame, goals: DataFrame) -> DataFrame:
     last = ranked.join(ends, [*SOURCE, "part"]).groupBy(*SOURCE, "rank", "__draw", "before", "left").agg(F.sum("__size").alias("words"))
     total = F.sum("words").over(Window.partitionBy(*SOURCE).orderBy("rank", "__draw")) + F.col("before")
     taken = last.withColumn("total", total).where("total - words / 2 <= left").groupBy(*SOURCE).agg(F.max(F.struct("rank", "__draw")).alias("end"))
-    return goals.join(ends.select(*SOURCE, F.col("part").alias("end_part")), SOURCE, "left").join(taken, SOURCE, "left")
+    return stored(goals.join(ends.select(*SOURCE, F.col("part").alias("end_part")), SOURCE, "left").join(taken, SOURCE, "left"), "mix-ends")
 
 
 def copies(rows: DataFrame, ends: DataFrame) -> DataFrame:
@@ -93,7 +97,7 @@ def mix_sizes(rows: DataFrame) -> DataFrame:
     The draw depends on the id alone, so reruns agree and repeated rows share their fate; a NULL id counts as the empty text.  A NULL
     source is a source of its own, a NULL text has size 0.  A document is taken at most twice; targets of empty sources are 0.
     """
-    return copies(rows, sample_ends(rows, targets(rows)))
+    return copies(rows, sample_ends(rows))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -104,6 +108,6 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     bare = docs.select(F.col(key), F.col(text), F.col(source))
     rows = draws(bare, key, text, source)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(key).alias("__key"), F.col(text).alias("__text"), F.col(source).alias("__from"))
-    taken = copies(draws(whole, "__key", "__text", "__from"), sample_ends(rows, targets(rows)))
+    taken = copies(draws(whole, "__key", "__text", "__from"), sample_ends(rows))
     again = taken.where("__copies > 0").select("__row", F.explode(F.sequence(F.lit(1), "__copies")).alias("__copy"))
     return again.select("__row.*")
