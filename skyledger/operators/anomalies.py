@@ -38,13 +38,17 @@ def bucketise(df: DataFrame, aggs: dict[str, Column], by: list[str] | None = Non
     return kept.groupBy(bucket(ts, span).alias("bucket"), *(by or [])).agg(*[v.alias(k) for k, v in aggs.items()])
 
 
-def fill_empty(series: DataFrame, value: str, by: list[str], span: str = SPAN) -> DataFrame:
-    """Zero rows for the empty buckets between a partition's first and last one."""
+def _last_bucket(as_of: str | None, span: str) -> Column:
+    """The last whole bucket before ``as_of``; NULL without it."""
+    return F.lit(None).cast("timestamp") if as_of is None else bucket(F.lit(as_of).cast("timestamp"), span) - F.expr(f"INTERVAL {span}")
+
+
+def fill_empty(series: DataFrame, value: str, by: list[str], span: str = SPAN, as_of: str | None = None) -> DataFrame:
+    """Zero rows for a partition's empty buckets: between its first and last one and, with ``as_of``, after the last one up to then."""
     step = F.expr(f"INTERVAL {span}")
     nxt = F.lead("bucket").over(Window.partitionBy(*by).orderBy("bucket"))
-    rows = series.withColumn("__to", F.coalesce(nxt - step, F.col("bucket"))).withColumn(
-        "__at", F.explode(F.sequence(F.col("bucket"), F.col("__to"), step))
-    )
+    to = F.coalesce(nxt - step, F.greatest("bucket", _last_bucket(as_of, span)))
+    rows = series.withColumn("__to", to).withColumn("__at", F.explode(F.sequence(F.col("bucket"), F.col("__to"), step)))
     filled = F.when(F.col("__at") == F.col("bucket"), F.col(value)).otherwise(F.lit(0))
     return rows.select(F.col("__at").alias("bucket"), *by, filled.alias(value))
 
@@ -74,10 +78,15 @@ def high_count(df: DataFrame, by: list[str] | None = None, **options) -> DataFra
 
 
 def low_count(df: DataFrame, by: list[str] | None = None, **options) -> DataFrame:
-    """Throughput drop."""
+    """Throughput drop; with ``as_of`` a key that has gone silent is scored up to then."""
     return _detect(df, F.count("*"), by, "low", True, **options)
 
 
+def low_mean(df: DataFrame, column: str, by: list[str] | None = None, **options) -> DataFrame:
+    """Mean below its baseline."""
+    return _detect(df, F.avg(column), by, "low", False, **options)
+
+
 def high_sum(df: DataFrame, column: str, by: list[str] | None = None, **options) -> DataFrame:
     """Sum above its baseline."""
     return _detect(df, F.sum(column), by, "high", False, **options)
@@ -88,11 +97,11 @@ def high_max(df: DataFrame, column: str, by: list[str] | None = None, **options)
     return _detect(df, F.max(column), by, "high", False, **options)
 
 
-def _detect(df, agg, by, side, fill, span=SPAN, where=None, history=24, minimum=8):
+def _detect(df, agg, by, side, fill, span=SPAN, where=None, history=24, minimum=8, as_of=None):
     series = bucketise(df, {"x": agg}, by, span, where)
     if fill:
         base = series if by else series.withColumn("__all", F.lit(1))
-        series = fill_empty(base, "x", by or ["__all"], span)
+        series = fill_empty(base, "x", by or ["__all"], span, as_of)
     return score(series, "x", by, side, history, minimum)
 
 
@@ -172,17 +181,20 @@ def job_buckets(df: DataFrame, jobs: tuple[Job, ...], span: str = SPAN, ts: str
         F.count("*").alias("n"), F.sum("v").alias("total"), F.avg("v").alias("mean"), F.max("v").alias("top")
     )
     f = F.col("function")
-    x = F.when(f == "high_sum", F.col("total")).when(f == "high_mean", F.col("mean")).when(f == "high_max", F.col("top")).otherwise(F.col("n").cast("double"))
+    x = F.when(f == "high_sum", F.col("total")).when(f.isin("high_mean", "low_mean"), F.col("mean")).when(f == "high_max", F.col("top")).otherwise(F.col("n").cast("double"))
     return grouped.select("job_id", "function", "partition_value", "bucket", x.alias("x"))
 
 
-def run_jobs(df: DataFrame, jobs: tuple[Job, ...] = JOBS, span: str = SPAN) -> DataFrame:
-    """All metric jobs as one result table: job_id, partition value, bucket, score."""
+def run_jobs(df: DataFrame, jobs: tuple[Job, ...] = JOBS, span: str = SPAN, as_of: str | None = None) -> DataFrame:
+    """All metric jobs as one result table: job_id, partition value, bucket, score.
+
+    Count jobs see empty buckets as zero, with ``as_of`` also those after a partition's last event.
+    """
     keys = ["job_id", "function", "partition_value"]
     series = job_buckets(df, jobs, span)
     counts = F.col("function").endswith("_count")
     step = F.expr(f"INTERVAL {span}")
-    upto = F.coalesce(F.lead("bucket").over(Window.partitionBy(*keys).orderBy("bucket")) - step, F.col("bucket"))
+    upto = F.coalesce(F.lead("bucket").over(Window.partitionBy(*keys).orderBy("bucket")) - step, F.greatest("bucket", _last_bucket(as_of, span)))
     spine = series.withColumn("__to", F.when(counts, upto).otherwise(F.col("bucket"))).withColumn(
         "__at", F.explode(F.sequence(F.col("bucket"), F.col("__to"), step))
     )

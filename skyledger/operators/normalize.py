@@ -185,15 +185,15 @@ def identity_aws(df: DataFrame, on: Column | None = None) -> DataFrame:
 
 # ---- group fields ---------------------------------------------------------------------------------------------
 
+# Targets that hold whole numbers.
 _WHOLE_NUMBERS = ("source.port", "destination.port", "source.bytes", "destination.bytes")
 
 
 def _group_table() -> dict[str, dict[str, list[str]]]:
-    """Group -> target -> ordered sources, read off the field table."""
+    """Group -> target -> ordered sources."""
     table: dict[str, dict[str, list[str]]] = {}
-    for group, text in fx.GROUP_FIELDS.items():
-        for pair in text.split(", "):
-            source, target = pair.split(" > ")
+    for group, pairs in fx.GROUP_FIELDS.items():
+        for source, target in pairs:
             table.setdefault(group, {}).setdefault(target, []).append(source)
     return table
 

@@ -130,13 +130,19 @@ def group_resource_spans(df: DataFrame, max_spans: int = 250, scope_version: str
     """Export requests: spans nested below their resource (service and environment).
 
     A service may own a third of all spans, so its spans are dealt by hash into batches of about ``max_spans``; a batch,
-    never a whole service, meets in one task.  The resource row is the service's earliest document.
+    never a whole service, meets in one task.  The resource is that of the service's earliest document; attributes it lacks are left out.
     """
     keyed = df.withColumns({"__s": F.coalesce("service", F.lit("unknown")), "__e": F.coalesce("environment", F.lit(""))})
-    resource = keyed.groupBy("__s", "__e").agg(
-        F.count("*").alias("__n"),
-        F.min_by(F.struct(field(df, "service_version").alias("version"), F.coalesce(field(df, "region"), F.lit("")).alias("region")), F.struct("ts", F.coalesce("span_id", "tx_id"))).alias("__r"),
-    )
+    shown = {
+        "service.name": F.col("service"), "service.version": field(df, "service_version"), "deployment.environment": F.col("environment"),
+        "telemetry.sdk.name": F.coalesce(field(df, "sdk_name"), F.lit("opentelemetry")),
+        "telemetry.sdk.language": F.coalesce(field(df, "sdk_language"), field(df, "service_language")), "telemetry.sdk.version": field(df, "sdk_version"),
+        "telemetry.distro.name": field(df, "distro_name"), "telemetry.distro.version": field(df, "distro_version"),
+        "cloud.provider": F.coalesce(field(df, "vendor"), F.lit("aws")), "cloud.region": field(df, "region"), "cloud.account.id": field(df, "account"),
+        "process.runtime.name": field(df, "runtime_name"), "process.runtime.version": field(df, "runtime_version"),
+    }
+    first = F.struct(*[v.alias(k) for k, v in shown.items()])
+    resource = keyed.groupBy("__s", "__e").agg(F.count("*").alias("__n"), F.min_by(first, F.struct("ts", F.coalesce("span_id", "tx_id"))).alias("__r"))
     spans = apm_to_otlp_span(keyed, keep=["__s", "__e"])
     batches = F.greatest(F.ceil(F.col("__n") / F.lit(max_spans)), F.lit(1))
     dealt = salted_left_join(spans, resource, ["__s", "__e"], "spanId").withColumn("batch", F.pmod(F.xxhash64("traceId", "spanId", "startTimeUnixNano"), batches))
@@ -144,12 +150,8 @@ def group_resource_spans(df: DataFrame, max_spans: int = 250, scope_version: str
     grouped = dealt.groupBy("__s", "__e", "batch").agg(
         F.collect_list(F.struct(*fields)).alias("spans"), F.first("__r").alias("__r")
     )
-    attributes = F.array_compact(F.array(
-        _attribute("service.name", F.col("__s")), _attribute("service.version", F.col("__r.version")),
-        _attribute("deployment.environment", F.col("__e")), _attribute("telemetry.sdk.name", F.lit("opentelemetry")),
-        _attribute("cloud.provider", F.lit("aws")), _attribute("cloud.region", F.col("__r.region")),
-    ))
-    scope = F.struct(F.struct(F.lit("opentelemetry").alias("name"), F.lit(scope_version).alias("version")).alias("scope"), F.col("spans"))
+    attributes = F.array_compact(F.array(*[_attribute(k, F.col(f"__r.`{k}`")) for k in shown]))
+    scope = F.struct(F.struct(F.col("__r.`telemetry.sdk.name`").alias("name"), F.lit(scope_version).alias("version")).alias("scope"), F.col("spans"))
     return grouped.select(
         F.col("__s").alias("service"), F.col("__e").alias("environment"), "batch",
         F.struct(F.struct(attributes.alias("attributes")).alias("resource"), F.array(scope).alias("scopeSpans")).alias("resourceSpans"),

@@ -56,9 +56,14 @@ def _(spark, sf):
     return a.high_max(logs(spark, sf), "duration_ms", ["dag_id"], span=SPAN)
 
 
-@detector("a06_low_count", score_sql("count(*)", "dataset", side="low", fill=True), "dataset")
+@query("a06_low_count", f"""WITH c AS (SELECT dataset, {tb(SPAN)} AS bucket, count(*) AS n FROM v_logs WHERE NOT (dataset = 'gcp.audit' AND ts >= TIMESTAMP '2024-01-20 00:00:00') GROUP BY 1, 2),
+  s AS (SELECT dataset, unnest(generate_series(min(bucket), TIMESTAMP '2024-02-01 00:00:00' - INTERVAL '{SPAN}', INTERVAL '{SPAN}')) AS bucket FROM c GROUP BY 1),
+  b AS (SELECT s.dataset, s.bucket, coalesce(c.n, 0) AS x FROM s LEFT JOIN c ON c.dataset = s.dataset AND c.bucket = s.bucket){SCORED.format(key="dataset", gap="(mean - x)")}
+  SELECT bucket, dataset, CAST(x AS DOUBLE) AS actual, anomaly_score FROM z WHERE anomaly_score > 0""")
 def _(spark, sf):
-    return a.low_count(logs(spark, sf), ["dataset"], span=SPAN)
+    """One stream falls silent on the twentieth and stays so."""
+    silent = (F.col("dataset") == "gcp.audit") & (F.col("ts") >= F.lit("2024-01-20 00:00:00").cast("timestamp"))
+    return a.low_count(logs(spark, sf).filter(~silent), ["dataset"], span=SPAN, as_of="2024-02-01 00:00:00")
 
 
 @query("a07_rare", f"""WITH s AS (SELECT finding_type, qname, {tb(SPAN)} AS bucket, ts FROM v_logs)
@@ -173,11 +178,28 @@ def _(spark, sf):
     return out.withColumns({"attributes": shown, "status": F.col("status.code")})
 
 
-@query("t02_resource_spans", """SELECT service, coalesce(environment, '') AS environment, count(*) AS spans, count(DISTINCT trace_id) AS traces FROM v_spans GROUP BY 1, 2""")
+@query("t02_resource_spans", """WITH s AS (SELECT *, CASE WHEN service LIKE '%4' THEN NULL ELSE service END AS name_of, environment AS env FROM v_spans)
+  SELECT coalesce(name_of, 'unknown') AS service, coalesce(env, '') AS environment, name_of AS service_name, env AS deployment,
+    CASE WHEN name_of LIKE '%1' THEN 'gcp' WHEN name_of LIKE '%2' THEN 'azure' ELSE 'aws' END AS provider, CASE WHEN name_of LIKE '%svc%' THEN 'eu-west-1' END AS region,
+    CASE WHEN name_of LIKE '%3' THEN 'elastic' ELSE 'opentelemetry' END AS scope, count(*) AS spans, count(DISTINCT trace_id) AS traces,
+    CAST(sum(duration_us) * 1000 AS BIGINT) AS nanos, count(CASE WHEN parent_id <> '' THEN 1 END) AS children FROM s GROUP BY 1, 2, 3, 4, 5, 6, 7""")
 def _(spark, sf):
-    batches = t.group_resource_spans(spans(spark, sf))
-    one = batches.select("service", "environment", F.explode(F.col("resourceSpans.scopeSpans")[0]["spans"]).alias("s"))
-    return one.groupBy("service", "environment").agg(F.count("*").alias("spans"), F.count_distinct("s.traceId").alias("traces"))
+    named = spans(spark, sf).withColumn("service", F.when(~F.col("service").like("%4"), F.col("service")))
+    df = named.withColumns({
+        "vendor": F.when(F.col("service").like("%1"), "gcp").when(F.col("service").like("%2"), "azure"),
+        "region": F.when(F.col("service").like("%svc%"), "eu-west-1"), "sdk_name": F.when(F.col("service").like("%3"), "elastic"),
+    })
+    shown = F.col("resourceSpans.resource.attributes")
+    value = lambda key: F.get(F.filter(shown, lambda x: x["key"] == key), 0)["value"]["stringValue"]
+    scope = F.col("resourceSpans.scopeSpans")[0]
+    one = t.group_resource_spans(df).select(
+        "service", "environment", value("service.name").alias("service_name"), value("deployment.environment").alias("deployment"), value("cloud.provider").alias("provider"),
+        value("cloud.region").alias("region"), scope["scope"]["name"].alias("scope"), F.explode(scope["spans"]).alias("s"),
+    )
+    nanos = F.sum(F.col("s.endTimeUnixNano").cast("long") - F.col("s.startTimeUnixNano").cast("long"))
+    return one.groupBy("service", "environment", "service_name", "deployment", "provider", "region", "scope").agg(
+        F.count("*").alias("spans"), F.count_distinct("s.traceId").alias("traces"), nanos.alias("nanos"), F.count("s.parentSpanId").alias("children")
+    )
 
 
 @query("t03_span_kind", f"SELECT trace_id, span_id, {KIND_SQL} AS kind FROM v_spans WHERE kind = 'span'")

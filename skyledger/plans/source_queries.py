@@ -126,15 +126,21 @@ def _(spark, sf):
     return back.groupBy("metric", "date").agg(F.count("*").alias("points"), F.count_distinct("dims_hash").alias("series"), F.sum("amount").alias("total"))
 
 
-@query("s11_write_otlp", "SELECT count(*) AS spans, count(DISTINCT trace_id) AS traces FROM v_spans")
+@query("s11_write_otlp", """SELECT count(*) AS spans, count(DISTINCT trace_id) AS traces, count(DISTINCT service) AS services, CAST(sum(length(name)) AS BIGINT) AS name_chars,
+  count(CASE WHEN outcome = 'failure' THEN 1 END) AS failed FROM v_spans""")
 def _(spark, sf):
     path = scratch_path(spark, "otlp")
     sinks.write_otlp(view(spark, sf, "spans"), path)
-    span = "struct<traceId:string,spanId:string>"
-    schema = f"struct<resourceSpans:array<struct<scopeSpans:array<struct<spans:array<{span}>>>>>>"
-    lines = spark.read.text(path).select(F.from_json("value", schema).alias("r"))
-    spans = lines.select(F.explode(F.flatten(F.flatten(F.transform("r.resourceSpans", lambda x: F.transform(x.scopeSpans, lambda y: y.spans))))).alias("s"))
-    return spans.agg(F.count("*").alias("spans"), F.count_distinct("s.traceId").alias("traces"))
+    span = "struct<traceId:string,spanId:string,name:string,status:struct<code:int>>"
+    resource = "struct<attributes:array<struct<key:string,value:struct<stringValue:string>>>>"
+    schema = f"struct<resourceSpans:array<struct<resource:{resource},scopeSpans:array<struct<spans:array<{span}>>>>>>"
+    lines = spark.read.text(path).select(F.explode(F.from_json("value", schema)["resourceSpans"]).alias("r"))
+    service = F.get(F.filter("r.resource.attributes", lambda x: x["key"] == "service.name"), 0)["value"]["stringValue"]
+    spans = lines.select(service.alias("service"), F.explode(F.flatten(F.transform("r.scopeSpans", lambda y: y.spans))).alias("s"))
+    return spans.agg(
+        F.count("*").alias("spans"), F.count_distinct("s.traceId").alias("traces"), F.count_distinct("service").alias("services"),
+        F.sum(F.length("s.name")).alias("name_chars"), F.count_if(F.col("s.status.code") == 2).alias("failed"),
+    )
 
 
 @query("s12_write_enriched_alerts", "SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS date, 'enrichment' AS kind, 'security.alert.enriched' AS stream_dataset, count(*) AS alerts FROM v_alerts GROUP BY 1")
