@@ -49,9 +49,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     the outcome.  A NULL key is a key like any other and comes first.  Only chunk hashes and positions are shuffled to find repeats; no
     group of equal chunks is gathered, so a chunk in a third of all texts is a skewed join that Spark splits.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
-    rows = rows.withColumn("__hash", F.xxhash64("__text"))
-    pieces = rows.select("__key", "__hash", F.explode(_chunks(F.col("__text"))).alias("c"))
+    body = F.col(f"__row.`{text}`").cast("string")  # a row holds its text once, so that the last join moves it once
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")).withColumns({"__key": F.col(f"__row.`{key}`"), "__hash": F.xxhash64(body)})
+    pieces = rows.select("__key", "__hash", F.explode(_chunks(body)).alias("c"))
     multi = pieces.where((F.col("c.lines") >= 2) & F.col("c.chunk").rlike("[^\\x20\\x09-\\x0D]")).select(
         F.struct("__key", "__hash", F.col("c.start").alias("start")).alias("at"), F.col("c.lines").alias("lines"), F.col("c.chunk").alias("chunk"), F.xxhash64("c.chunk").alias("code")
     )
@@ -60,7 +60,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     originals = repeated.where("at = first").select("code", "lines", F.col("chunk").alias("original")).dropDuplicates(["code", "lines"])
     gone = repeated.where("at != first").join(originals, ["code", "lines"]).where("chunk = original")
     lost = gone.groupBy("at.__key", "at.__hash").agg(F.collect_set("at.start").alias("__lost")).select(F.col("__key").alias("__lost_key"), F.col("__hash").alias("__lost_hash"), "__lost")
-    joined = rows.join(lost, F.col("__key").eqNullSafe(F.col("__lost_key")) & (F.col("__hash") == F.col("__lost_hash")), "left")
+    joined = rows.join(lost, F.col("__key").eqNullSafe(F.col("__lost_key")) & (F.col("__hash") == F.col("__lost_hash")), "left").withColumn("__text", body)
     kept = F.filter(_chunks(F.col("__text")), lambda c: ~F.array_contains(F.col("__lost"), c.getField("start")))
     changed = F.col("__lost").isNotNull()
     count = F.coalesce(F.size(F.split("__text", "\n")), F.lit(0))
