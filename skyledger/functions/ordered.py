@@ -198,7 +198,9 @@ def previous_rows(
     tail = rows.withColumn("__rn", F.row_number().over(newest)).filter(F.col("__rn") <= n)
     summary = tail.groupBy(*keys, _CHUNK).agg(F.collect_list(payload).alias("__tail"))
     cw = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(-n, -1)
-    carried = summary.select(*keys, _CHUNK, F.flatten(F.collect_list("__tail").over(cw)).alias("__before"))
+    # Only n rows of the past can be among the newest n, so a chunk's rows carry no more.
+    past = F.slice(F.sort_array(F.flatten(F.collect_list("__tail").over(cw)), asc=False), 1, n)
+    carried = summary.select(*keys, _CHUNK, past.alias("__before"))
     joined = _join_chunk(inside, carried, keys)
     both = F.concat("__in", F.coalesce("__before", F.slice("__in", 1, 0)))
     latest = F.slice(F.sort_array(both, asc=False), 1, n)

@@ -129,9 +129,9 @@ def influencers(anomalies: DataFrame, raw: DataFrame, by: list[str], columns: li
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns]))
     counted = rows.select("bucket", *by, pairs.alias("p")).groupBy("bucket", *by, "p.field", "p.value").agg(F.count("*").alias("rows"))
     w = Window.partitionBy("bucket", *by, "field").orderBy(F.desc("rows"), F.asc_nulls_last("value"))
-    best = counted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
-    totals = rows.groupBy("bucket", *by).agg(F.count("*").alias("__total"))
-    return best.join(totals, ["bucket", *by]).withColumn("share", F.round(F.col("rows") / F.col("__total"), 4)).drop("__total")
+    # Every row has one value of each field, so a field's counts add up to the rows of the bucket.
+    total = F.sum("rows").over(Window.partitionBy("bucket", *by, "field"))
+    return counted.withColumns({"rank": F.row_number().over(w), "share": F.round(F.col("rows") / total, 4)}).filter(F.col("rank") <= top)
 
 
 def anomaly_bands(results: DataFrame) -> DataFrame:

@@ -138,10 +138,11 @@ def ci_by_any_name(alerts: DataFrame, ci: DataFrame, rule_col: str, bus_col: str
 def ci_impact(edges: DataFrame, roots: DataFrame, depth: int = 3, downstream: bool = True) -> DataFrame:
     """Items reached from each root within ``depth`` relations, at their smallest distance; cycles end.
 
-    ``edges`` (parent, child), ``roots`` (root).  The frontier of each step is cut loose from its lineage.
+    ``edges`` (parent, child), ``roots`` (root).  The distinct edges and the frontier of each step are cut loose from
+    their lineage, so no step derives them again.
     """
     src, dst = ("parent", "child") if downstream else ("child", "parent")
-    links = edges.select(F.col(src).alias("__from"), F.col(dst).alias("__to")).distinct()
+    links = cut_lineage(edges.select(F.col(src).alias("__from"), F.col(dst).alias("__to")).distinct())
     seen = roots.select("root", F.col("root").alias("item"), F.lit(0).alias("distance"))
     frontier = seen
     for step in range(1, depth + 1):

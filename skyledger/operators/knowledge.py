@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions.columns import any_of, wildcard_any
+from skyledger.session import cut_lineage
 
 MIN_CHUNK = 50
 MIN_GUIDE = 30
@@ -101,8 +102,8 @@ def _occurrences(words: Column, term: str) -> Column:
 def keyword_search(docs: DataFrame, query: str, k: int, text: str = "content", id_col: str = "id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The ``k`` best rows by BM25.
 
-    Term counts are taken within each row; document frequencies and the mean length are one aggregate row, read as a
-    scalar subquery.  Nothing is exploded or shuffled, and the ranking is a distributed top-k.
+    Term counts are taken within each row in one pass, which writes a few numbers per row to the checkpoint folder; document
+    frequencies, the mean length and the ranking, a distributed top-k, read those.  Nothing is exploded or shuffled.
     """
     import re
 
@@ -111,7 +112,7 @@ def keyword_search(docs: DataFrame, query: str, k: int, text: str = "content", i
         raise ValueError("the query holds no word")
     words = docs.select(id_col, tokens(F.col(text)).alias("__w"))
     tf = [_occurrences(F.col("__w"), t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    counted = words.select(id_col, F.size("__w").alias("length"), *tf)
+    counted = cut_lineage(words.select(id_col, F.size("__w").alias("length"), *tf))
     stats = counted.agg(F.struct(
         F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]
     ).alias("s")).scalar()

@@ -603,21 +603,19 @@ AZURE_SERIES = (
 def explode_native_metrics(df: DataFrame) -> DataFrame:
     """GCP points and Azure data arrays (JSON text) as long metric rows: source, ts, metric, value, resource."""
     keep = [c for c in df.columns if c not in ("monitoringTimeSeries", "azureMonitorMetric")]
-    g = df.withColumn("s", F.from_json(field(df, "monitoringTimeSeries"), GCP_SERIES)).select(
-        *keep, "s", F.explode("s.points").alias("p")
-    )
-    gcp = g.select(
-        *keep, F.lit("gcp").alias("source"), F.to_timestamp("p.interval.endTime").alias("at"), F.col("s.metric.type").alias("metric"),
-        F.col("p.value.doubleValue").alias("value"), F.col("s.resource.type").alias("resource"),
-    )
-    a = df.withColumn("s", F.from_json(field(df, "azureMonitorMetric"), AZURE_SERIES)).select(
-        *keep, "s", F.explode(F.flatten(F.transform("s.timeseries", lambda t: t.getField("data")))).alias("p")
-    )
-    azure = a.select(
-        *keep, F.lit("azure").alias("source"), F.to_timestamp("s.time").alias("at"), F.col("s.metricName").alias("metric"),
-        F.col("p.average").alias("value"), F.col("s.resourceGroup").alias("resource"),
-    )
-    return gcp.unionByName(azure)
+    point = "array<struct<source:string,at:timestamp,metric:string,value:double,resource:string>>"
+    rows = df.withColumns({"__g": F.from_json(field(df, "monitoringTimeSeries"), GCP_SERIES), "__a": F.from_json(field(df, "azureMonitorMetric"), AZURE_SERIES)})
+    gcp = F.transform("__g.points", lambda p: F.struct(
+        F.lit("gcp").alias("source"), F.to_timestamp(p["interval"]["endTime"]).alias("at"), F.col("__g.metric.type").alias("metric"),
+        p["value"]["doubleValue"].alias("value"), F.col("__g.resource.type").alias("resource"),
+    ))
+    data = F.flatten(F.transform("__a.timeseries", lambda t: t.getField("data")))
+    azure = F.transform(data, lambda p: F.struct(
+        F.lit("azure").alias("source"), F.to_timestamp("__a.time").alias("at"), F.col("__a.metricName").alias("metric"),
+        p["average"].alias("value"), F.col("__a.resourceGroup").alias("resource"),
+    ))
+    both = F.concat(*[F.coalesce(x.cast(point), F.array().cast(point)) for x in (gcp, azure)])
+    return rows.select(*keep, F.inline(both))
 
 
 def metric_rollup(df: DataFrame, keys: list[str], value: str, period: str = "60 seconds", ts: str = "ts") -> DataFrame:

@@ -248,6 +248,7 @@ def log_trace_key(df: DataFrame) -> Column:
 
 
 def trace_log_join(logs: DataFrame, transactions: DataFrame) -> DataFrame:
-    """Log rows with the service of their trace."""
-    tx = transactions.select(F.col("trace_id"), F.col("service"), F.col("name").alias("tx_name"))
+    """Log rows with the service of their trace: of its first transaction, so a log stays one row."""
+    first = F.min_by(F.struct("service", "name"), F.struct("ts", "tx_id")).alias("__t")
+    tx = transactions.groupBy("trace_id").agg(first).select("trace_id", F.col("__t.service").alias("service"), F.col("__t.name").alias("tx_name"))
     return logs.withColumn("trace_id", log_trace_key(logs)).join(tx, "trace_id")

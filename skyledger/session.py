@@ -18,6 +18,8 @@ def build_session(app: str = "skyledger", master: str | None = None, **conf: str
         # Wide projections outgrow what the JVM compiles as one method; beyond this size they run as separate functions.
         "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Checkpoints go when nothing refers to them any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     builder = SparkSession.builder.appName(app)
@@ -53,7 +55,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder for a stream's output or state."""
+    """A fresh path below the shared folder for a stream's output or state, or a table between two steps.
+
+    All paths of an application lie in one folder that carries its id and that the driver deletes when it ends.
+    """
     import uuid
 
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    folder = os.path.join(shared_dir(spark), f"skyledger-{spark.sparkContext.applicationId}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return os.path.join(folder, f"{name}-{uuid.uuid4().hex}")

@@ -170,3 +170,11 @@ def test_budget(spark):
     row = slo.slo_rolling(df, F.col("outcome") == "success", 0.995).first()
     assert row["sli"] == 0.995 and row["met"] and abs(row["burn"] - 1) < 1e-6
     assert slo.sli(df.limit(0), F.lit(True)).first()["sli"] is None
+
+
+def test_a_log_of_a_trace_with_several_transactions_stays_one_row(spark):
+    from skyledger.operators.traces import trace_log_join
+
+    tx = spark.createDataFrame([("t", "b", at(2), "late", "y"), ("t", "a", at(1), "front", "x")], "trace_id string, tx_id string, ts timestamp, service string, name string")
+    logs = spark.createDataFrame([(1, "projects/p/traces/t", None)], "id int, gcp_trace string, operation_id string")
+    assert [(r["id"], r["service"], r["tx_name"]) for r in trace_log_join(logs, tx).collect()] == [(1, "front", "x")]

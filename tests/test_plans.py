@@ -43,3 +43,16 @@ def test_no_cross_join(spark, sf_dir, name):
         pytest.skip("reads back what it wrote")
     plan = physical(QUERIES[name](spark, sf_dir))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize(("name", "scans"), [("n36_native_metrics", 1), ("k06_keyword_search", 0)])
+def test_inputs_are_read_once(spark, sf_dir, name, scans):
+    found = [n for n in QUERIES if n.startswith(name[:4])]
+    assert found and all(physical(QUERIES[n](spark, sf_dir)).count("FileScan") == scans for n in found)
+
+
+def test_scratch_tables_have_an_owner(spark):
+    from skyledger.session import scratch_path
+
+    first, second = scratch_path(spark, "x"), scratch_path(spark, "x")
+    assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0] and spark.sparkContext.applicationId in first
