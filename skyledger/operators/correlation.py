@@ -72,8 +72,11 @@ def recent_changes(alerts: DataFrame, tickets: DataFrame, key: str = "host") ->
 
 
 def related_alert_count(alerts: DataFrame, tag: str = "Attack Discovery", keys: list[str] | None = None) -> DataFrame:
-    """Tagged alerts in the hour up to each alert, over all entities unless keys are given."""
-    return trailing_count(alerts, alerts.filter(F.col("tag") == tag), keys or [], HOUR, "related_alert_count")
+    """Tagged alerts in the hour up to each alert, over all entities unless keys are given.
+
+    Without keys a chunk of time holds the alerts of all entities, so chunks are a minute long.
+    """
+    return trailing_count(alerts, alerts.filter(F.col("tag") == tag), keys or [], HOUR, "related_alert_count", chunk_seconds=3600 if keys else 60)
 
 
 def related_alerts(alerts: DataFrame, key: str = "src_ip", n: int = 10) -> DataFrame:
