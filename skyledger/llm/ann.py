@@ -71,6 +71,14 @@ class Hashing:
             out = (out[:, :, None] + np.concatenate([y, -y], axis=1)[:, None, :]).reshape(len(x), -1)
         return out
 
+    def probed(self, vectors: np.ndarray, table: int, count: int, is_query: bool) -> np.ndarray:
+        """The ``count`` nearest buckets of each vector, a few vectors at a time, since pairs of axes make many buckets."""
+        out, step = [np.zeros((0, count), np.int64)], max(1, (1 << 21) // self.buckets)
+        for i in range(0, len(vectors), step):
+            near = self.near(vectors[i : i + step], table, is_query)
+            out.append(near.argmax(1)[:, None] if count == 1 else np.argpartition(-near, count - 1, axis=1)[:, :count])
+        return np.concatenate(out)
+
 
 def usable(vector: Column) -> Column:
     """Neither NULL nor zero, all components finite."""
@@ -116,7 +124,7 @@ def _calibrate(queries: DataFrame, base: DataFrame, hashing: Hashing, k: int) ->
     which, near = top.column("q").to_numpy(), _matrix(top.column("vec").combine_chunks(), width)
     ranks = np.full(len(which), hashing.buckets)
     for table in range(hashing.tables):
-        goal = hashing.near(near, table, False).argmax(1)
+        goal = hashing.probed(near, table, 1, False)[:, 0]
         for q in np.unique(which):
             mine = which == q
             scores = hashing.near(vectors[q : q + 1], table, True)[0]
@@ -166,8 +174,7 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id
                     continue
                 vectors, ids = _matrix(batch.column("vec"), width), batch.column("vid").to_numpy()
                 for table in range(hashing.tables):
-                    near = hashing.near(vectors, table, is_query)
-                    codes = near.argmax(1)[:, None] if count == 1 else np.argpartition(-near, count - 1, axis=1)[:, :count]
+                    codes = hashing.probed(vectors, table, count, is_query)
                     rows = np.repeat(np.arange(len(ids)), count)
                     picked = batch.column("vec").take(pa.array(rows))
                     yield pa.RecordBatch.from_pydict({"bucket": pa.array((table * hashing.buckets + codes).ravel().astype(np.int64)), "vid": pa.array(ids[rows]), "vec": picked})

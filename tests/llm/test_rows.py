@@ -148,9 +148,10 @@ def usable(v):
     return v is not None and None not in v and np.isfinite(v).all() and any(v)
 
 
-def test_nearest(vectors, monkeypatch):
+@pytest.mark.parametrize("block", [16, 4])  # with 4, buckets are pairs of axes
+def test_nearest(vectors, monkeypatch, block):
     rows, frame = vectors
-    monkeypatch.setattr(ann, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", block)
     got = ann.nearest(frame, frame.where("vec_id % 4 = 0"), 5).collect()
     known = {k: np.array(v) for k, v, _ in rows if k is not None and usable(v) and len(v) == 12}
     found = defaultdict(list)
