@@ -56,6 +56,11 @@ def _(spark, sf):
     return a.high_max(logs(spark, sf), "duration_ms", ["dag_id"], span=SPAN)
 
 
+@detector("a15_low_mean", score_sql("sum(duration_ms) / CAST(count(*) AS DOUBLE)", "host", side="low"), "host")
+def _(spark, sf):
+    return a.low_mean(logs(spark, sf), "duration_ms", ["host"], span=SPAN)
+
+
 @query("a06_low_count", f"""WITH c AS (SELECT dataset, {tb(SPAN)} AS bucket, count(*) AS n FROM v_logs WHERE NOT (dataset = 'gcp.audit' AND ts >= TIMESTAMP '2024-01-20 00:00:00') GROUP BY 1, 2),
   s AS (SELECT dataset, unnest(generate_series(min(bucket), TIMESTAMP '2024-02-01 00:00:00' - INTERVAL '{SPAN}', INTERVAL '{SPAN}')) AS bucket FROM c GROUP BY 1),
   b AS (SELECT s.dataset, s.bucket, coalesce(c.n, 0) AS x FROM s LEFT JOIN c ON c.dataset = s.dataset AND c.bucket = s.bucket){SCORED.format(key="dataset", gap="(mean - x)")}
