@@ -23,7 +23,7 @@ MAX_FILTER_BITS = 1 << 30
 BITS_PER_ENTRY = 8
 PROBES = 4
 #: Bound of the broadcast table of exact counts, in words; rarer words are looked up by a join.
-MAX_FREQUENT = 1_000_000
+MAX_FREQUENT = 1 << 18
 #: Tokens that a task counts before it hands sums on, and n-grams of a segment of the filter.
 FLUSH_TOKENS = 1 << 21
 SEGMENT_TOKENS = 1 << 20
@@ -86,15 +86,21 @@ def _word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _rest(grams: np.ndarray, bits: int) -> np.ndarray:
+    return (grams >> np.uint64(32 - bits)) & np.uint64((1 << 32) - 1)
+
+
 def _packed(grams: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Sums by segment, the leading ``bits`` of the hash, as bytes: the next 40 bits and the counts."""
+    """Sums by segment, the leading ``bits`` of the hash, as bytes: the next 32 bits and the counts.
+
+    Segments have about as many n-grams at any size of the corpus, so 32 more bits tell them apart far better than the filter does.
+    """
     segment = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
-    rest = (grams >> np.uint64(24 - bits)) & np.uint64((1 << 40) - 1)
+    rest, n = _rest(grams, bits).astype("<u4"), counts.astype("<u4")
     edges = np.flatnonzero(np.diff(segment, prepend=-1))
     stops = np.append(edges[1:], len(grams))
-    low, high, n = rest.astype("<u4"), (rest >> np.uint64(32)).astype("u1"), counts.astype("<u4")
     part = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edges, stops, strict=True)], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(segment[edges].astype(np.int32)), part(low), part(high), part(n)], names=["segment", "low", "high", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(segment[edges].astype(np.int32)), part(rest), part(n)], names=["segment", "rest", "n"])
 
 
 def _probe_bits(keys: np.ndarray, level: int, blocks: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -105,10 +111,9 @@ def _probe_bits(keys: np.ndarray, level: int, blocks: np.ndarray) -> tuple[np.nd
 
 def _build(group: pa.Table, least: int, bits: int) -> pa.Table:
     """The filter of one segment: n-grams are summed and their levels entered."""
-    parts = [np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("low", "<u4"), ("high", "u1"), ("n", "<u4"))]
-    rest = parts[0].astype(np.uint64) | (parts[1].astype(np.uint64) << np.uint64(32))
+    rest, n = (np.frombuffer(b"".join(group.column(c).to_pylist()), "<u4") for c in ("rest", "n"))
     order = np.argsort(rest)
-    rest, n = rest[order], parts[2][order].astype(np.int64)
+    rest, n = rest[order].astype(np.uint64), n[order].astype(np.int64)
     starts = np.flatnonzero(np.diff(rest, prepend=rest[:1] ^ np.uint64(1)))
     rest, n = rest[starts], np.add.reduceat(n, starts) if len(starts) else n
     rest, n = rest[n >= least], n[n >= least]
@@ -137,7 +142,7 @@ class Filter:
         """Levels by repeated membership probes; an n-gram that was never entered has level 0 but for false positives."""
         out = np.zeros(len(grams), np.int64)
         segment = (grams >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(grams), np.int64)
-        keys = (grams >> np.uint64(24 - self.bits)) & np.uint64((1 << 40) - 1)
+        keys = _rest(grams, self.bits)
         where, level = np.flatnonzero(self.blocks[segment] > 0), 1
         while len(where):
             here = segment[where]
@@ -175,7 +180,7 @@ def _pair_rows(texts: DataFrame, bits: int) -> DataFrame:
         if waiting:
             yield _packed(*np.unique(np.concatenate(waiting), return_counts=True), bits)
 
-    return texts.mapInArrow(pack, "segment int, low binary, high binary, n binary")
+    return texts.mapInArrow(pack, "segment int, rest binary, n binary")
 
 
 def _word_rows(counts: DataFrame, bits: int) -> DataFrame:
@@ -186,7 +191,7 @@ def _word_rows(counts: DataFrame, bits: int) -> DataFrame:
             if len(order):
                 yield _packed(grams[order], np.minimum(batch.column("n").to_numpy()[order], (1 << 32) - 1), bits)
 
-    return counts.mapInArrow(pack, "segment int, low binary, high binary, n binary")
+    return counts.mapInArrow(pack, "segment int, rest binary, n binary")
 
 
 def _least_count(texts: DataFrame, tokens: int) -> int:
@@ -197,7 +202,7 @@ def _least_count(texts: DataFrame, tokens: int) -> int:
     room = MAX_FILTER_BITS // BITS_PER_ENTRY
     if tokens * 1.25 <= room:
         return 1
-    part = max(1, min(1 << 16, tokens // 50_000_000))
+    part = max(16, tokens // 2_000_000)
 
     def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,11 +255,16 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     return model
 
 
+def _distinct(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct tokens, and each token's place among them."""
+    coded = pa.array(tokens).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+
+
 def _probabilities(tokens: np.ndarray, at: np.ndarray, filter: Filter, total: int, vocabulary: int, left_out: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per token: smoothed frequency, relative frequency after its predecessor, and the predecessor's level."""
-    distinct, place = np.unique(tokens, return_inverse=True)
-    level = filter.levels(mix(distinct))
-    own = level[place]
+    distinct, place = _distinct(tokens)
+    own = filter.levels(mix(distinct))[place]
     end = filter.levels(mix(np.array([END])))[0]
     before = np.empty_like(own)
     before[1:] = own[:-1]
@@ -305,12 +315,16 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         for batch in batches:
             for row, end, words, at in each_step(batch.column(1)):
                 tokens, at = _tokens(words, at)
-                place = np.minimum(np.searchsorted(known, tokens), max(0, len(known) - 1))
-                found = known[place] == tokens if len(known) else np.zeros(len(tokens), bool)
+                distinct, of = _distinct(tokens)
+                order = np.argsort(distinct)
+                place = np.zeros(len(distinct), np.int64)
+                place[order] = np.minimum(np.searchsorted(known, distinct[order]), max(0, len(known) - 1))
+                hit = known[place] == distinct if len(known) else np.zeros(len(distinct), bool)
+                found, exact = hit[of], (np.where(hit, logs[place], 0.0) if len(known) else np.zeros(len(distinct)))[of]
                 single, pair, before = _probabilities(tokens, at, shared.value, total, vocabulary)
                 weight = weights[before]
                 logged = np.log10(weight * pair + (1.0 - weight) * single)
-                sums = [np.add.reduceat(x, at[:-1]) for x in (found.astype(np.int64), np.where(found, logs[place] if len(known) else 0.0, 0.0), logged)]
+                sums = [np.add.reduceat(x, at[:-1]) for x in (found.astype(np.int64), exact, logged)]
                 rest = np.concatenate([[0], np.cumsum(~found)])[at].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -323,7 +337,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     kind = rows.schema["key"].dataType.simpleString()
     measured = stored(rows.mapInArrow(measure, f"row long, key {kind}, n_tokens long, n_known long, base double, score double, rare array<long>"), "scores")
-    rare = measured.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
-    looked = rare.join(model.counts.where(F.col("n") < model.bar), "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("more_base"))
+    rare = measured.select("row", F.explode("rare").alias("word"))
+    looked = rare.join(model.counts.where(F.col("n") < model.bar), "word").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + F.lit(1.0))).alias("more_base"))
     base = F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(total + vocabulary + 1.0))
     return measured.drop("rare").join(looked, "row", "left").select("key", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), base.alias("base_score"), "score")
