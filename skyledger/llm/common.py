@@ -75,6 +75,22 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+#: Caches that outlive a task in a Python worker, which Spark uses for one operator after the other.
+_HELD: list[dict] = []
+
+
+def hold(cache: dict) -> dict:
+    """Let ``cache`` outlive tasks until the worker turns to an operator that has no use for it."""
+    _HELD.append(cache)
+    return cache
+
+
+def let_go() -> None:
+    """Free what other operators have left in this worker."""
+    for cache in _HELD:
+        cache.clear()
+
+
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its row offsets into them; NULL is empty."""
     column = column.cast(pa.large_string()).fill_null("")
@@ -127,6 +143,7 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def each_step(column: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """First row, end row, word hashes and word offsets for each step of a string column."""
+    let_go()
     data, at = string_bytes(column)
     for row, end in steps(at, most):
         yield row, end, *words(data, at[row : end + 1])

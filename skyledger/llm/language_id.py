@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyledger.llm.common import arrow_batches
+from skyledger.llm.common import arrow_batches, let_go
 
 #: The matrix has at most so many cells, 64 MB; with very many languages it gets fewer buckets.
 MAX_CELLS = 1 << 24
@@ -40,6 +40,7 @@ def bucket_counts(texts: list[str], buckets: int) -> Iterator[tuple[np.ndarray,
 
     Letters are lower-cased and everything else counts as a space, so junk signs carry no evidence.
     """
+    let_go()
     shift = np.uint32(32 - (buckets.bit_length() - 1))
     lowered = [t.lower() for t in texts]
     row = 0

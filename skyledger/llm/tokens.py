@@ -9,10 +9,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from skyledger.llm.common import span_hashes, spans, steps, string_bytes
+from skyledger.llm.common import hold, span_hashes, spans, steps, string_bytes
 
 #: A worker forgets its words when it knows so many.
-MAX_WORDS = 1_000_000
+MAX_WORDS = 500_000
 _STEP = 1 << 21
 
 # Byte classes: 0 white space, 1 letters a-z and two-byte letters of Latin-1, 2 digits, 3 other ASCII signs.
@@ -45,7 +45,7 @@ class Coder:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
         with open(path) as file:
@@ -54,8 +54,7 @@ class Coder:
         parts = (shape.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and parts[0].get("pattern") == {"Regex": _SPLIT} and len(parts) == 2 and shape.get("post_processor") is None
         if self.by_word:
-            self.lean = Tokenizer.from_file(path)
-            self.lean.normalizer = normalizers.Sequence([])
+            self.lean = Tokenizer(self.full.model)  # shares the vocabulary
             self.lean.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._forget()
 
@@ -151,11 +150,11 @@ class Coder:
         self.known.update(zip(keys, range(known, known + len(got)), strict=True))
 
 
-_CODERS: dict[str, Coder] = {}
+_CODERS: dict[str, Coder] = hold({})
 
 
 def coder(path: str) -> Coder:
-    """The worker's coder for a vocabulary file; it outlives a task, so its words do, too."""
+    """The worker's coder for a vocabulary file; it outlives a task, so its words do, too, until another operator needs the memory."""
     if path not in _CODERS:
         _CODERS[path] = Coder(path)
     return _CODERS[path]
