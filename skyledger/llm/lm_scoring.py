@@ -1,13 +1,14 @@
 """N-gram language model in a log-frequency Bloom filter.
 
 Counts of words and word pairs are quantised to levels; an n-gram of level q is in the filter as (n-gram, 1) to (n-gram, q), so its level is
-found by probing 1, 2, ... until one is absent.  The filter is built in segments by hash of the n-gram, has a bounded size and is broadcast.
+found by probing 1, 2, ... until one is absent.  The filter is built in segments by hash of the n-gram and holds every n-gram at any size.  While
+it is small it is broadcast; a larger one stays in its segments, to which the n-grams of the texts are sent.  Both ways give the same levels.
 A token's probability mixes its relative frequency after the previous token with its smoothed frequency.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from skyledger.llm.common import arrow_batches, each_step, mix, stored
 
-#: Bound of the broadcast filter; n-grams that are too rare to fit are left out.
+#: Bound of a broadcast filter; n-grams are sent to the segments of a larger one.
 MAX_FILTER_BITS = 1 << 30
 BITS_PER_ENTRY = 8
 PROBES = 4
@@ -27,6 +28,8 @@ MAX_FREQUENT = 1 << 18
 #: Tokens that a task counts before it hands sums on, and n-grams of a segment of the filter.
 FLUSH_TOKENS = 1 << 21
 SEGMENT_TOKENS = 1 << 20
+#: Bytes of text whose n-grams are sent to the segments together.
+ASK_BYTES = 1 << 22
 #: Documents whose left-out scores choose the mixing weights, about.
 TUNING_DOCS = 2000
 WEIGHTS = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])
@@ -164,7 +167,9 @@ class Model:
     counts: DataFrame  # word, n: all exact counts
     bar: int  # counts from here on are in the broadcast table
     frequent: object  # broadcast: sorted word hashes, counts
-    filter: object  # broadcast Filter
+    bits: int  # of the hash that choose a segment
+    segments: DataFrame  # segment, entries, field: the filter
+    filter: object  # broadcast Filter; None if it is too large
     weights: np.ndarray  # of the pair frequency, by level of the first token
 
 
@@ -194,31 +199,6 @@ def _word_rows(counts: DataFrame, bits: int) -> DataFrame:
     return counts.mapInArrow(pack, "segment int, rest binary, n binary")
 
 
-def _least_count(texts: DataFrame, tokens: int) -> int:
-    """The smallest count of pairs that the filter has room for; 1 unless the corpus is too large for it.
-
-    Found from the exact counts of the pairs in one part of the hash space, which stands for all of them.
-    """
-    room = MAX_FILTER_BITS // BITS_PER_ENTRY
-    if tokens * 1.25 <= room:
-        return 1
-    part = max(16, tokens // 2_000_000)
-
-    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, words, at in each_step(batch.column(0)):
-                found, n = np.unique(pairs(*_tokens(words, at)), return_counts=True)
-                mine = mix(found) % np.uint64(part) == 0
-                yield pa.RecordBatch.from_pydict({"gram": pa.array(found[mine].view(np.int64)), "n": pa.array(n[mine].astype(np.int64))})
-
-    counted = texts.mapInArrow(few, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    by_count = counted.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().collect()
-    n, times = (np.array(x, np.int64) for x in zip(*sorted(map(tuple, by_count)), strict=True))
-    entries = np.cumsum((level_of(n) * times)[::-1])[::-1] * part
-    fitting = n[entries <= room * 0.9]
-    return int(fitting[0]) if len(fitting) else int(n[-1]) + 1
-
-
 def fit(docs: DataFrame, text: str = "text") -> Model:
     """Learn from every row of ``docs``; a NULL text counts as an empty one, which is an end alone."""
     spark = docs.sparkSession
@@ -238,9 +218,18 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     order = np.argsort(known)
 
     bits = max(0, min(20, (tokens // SEGMENT_TOKENS).bit_length()))
-    least = _least_count(texts, tokens)
     rows = _pair_rows(texts, bits).unionByName(_word_rows(counts, bits))
-    built = rows.groupBy("segment").applyInArrow(lambda group: _build(group, least, bits), "segment int, entries long, field binary").toArrow()
+    segments = stored(rows.groupBy("segment").applyInArrow(lambda group: _build(group, 1, bits), "segment int, entries long, field binary"), "filter")
+    size = segments.agg(F.sum(F.length("field").cast("long"))).first()[0] or 0
+    context = spark.sparkContext
+    shared = context.broadcast(_whole(segments, bits)) if size * 8 <= MAX_FILTER_BITS else None
+    model = Model(tokens, words, counts, bar, context.broadcast((known[order], n[order])), bits, segments, shared, np.zeros(len(VALUES)))
+    model.weights = _tune(texts, model)
+    return model
+
+
+def _whole(segments: DataFrame, bits: int) -> Filter:
+    built = segments.toArrow()
     segment, fields = built.column("segment").to_numpy(), built.column("field")
     sizes = np.zeros(1 << bits, np.int64)
     sizes[segment] = [len(x.as_buffer()) for x in fields]
@@ -248,11 +237,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     field = np.zeros(int(sizes.sum()), np.uint8)
     for s, x in zip(segment, fields, strict=True):
         field[starts[s] : starts[s] + sizes[s]] = np.frombuffer(x.as_buffer(), np.uint8)
-    del built, fields
-    context = spark.sparkContext
-    model = Model(tokens, words, counts, bar, context.broadcast((known[order], n[order])), context.broadcast(Filter(bits, sizes * 8 // _BLOCK_BITS, starts, field)), np.zeros(len(VALUES)))
-    model.weights = _tune(texts, model)
-    return model
+    return Filter(bits, sizes * 8 // _BLOCK_BITS, starts, field)
 
 
 def _distinct(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,38 +246,106 @@ def _distinct(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return coded.dictionary.to_numpy(), coded.indices.to_numpy()
 
 
-def _probabilities(tokens: np.ndarray, at: np.ndarray, filter: Filter, total: int, vocabulary: int, left_out: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per token: smoothed frequency, relative frequency after its predecessor, and the predecessor's level."""
+Levels = Callable[[np.ndarray], np.ndarray]
+
+
+def _token_levels(tokens: np.ndarray, at: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per token: its level, its predecessor's and that of both."""
     distinct, place = _distinct(tokens)
-    own = filter.levels(mix(distinct))[place]
-    end = filter.levels(mix(np.array([END])))[0]
+    own = levels(mix(distinct))[place]
     before = np.empty_like(own)
     before[1:] = own[:-1]
-    before[at[:-1]] = end
-    pair = filter.levels(pairs(tokens, at))
+    before[at[:-1]] = levels(mix(np.array([END])))[0]
+    distinct, place = _distinct(pairs(tokens, at))
+    return own, before, levels(distinct)[place]
+
+
+def _probabilities(own: np.ndarray, before: np.ndarray, pair: np.ndarray, total: int, vocabulary: int, left_out: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """From levels: smoothed frequency, and relative frequency after the predecessor."""
     single = (np.maximum(VALUES[own] - left_out, 0.0) + 1.0) / (total + vocabulary + 1.0)
     both = np.maximum(VALUES[pair] - left_out, 0.0)
-    context = np.maximum(np.maximum(VALUES[before] - left_out, both), 1.0)
-    return single, both / context, before
+    return single, both / np.maximum(np.maximum(VALUES[before] - left_out, both), 1.0)
+
+
+def _asked(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Every n-gram that ``_token_levels`` looks up, sorted."""
+    return np.unique(np.concatenate([pairs(tokens, at), mix(_distinct(tokens)[0]), mix(np.array([END]))]))
+
+
+def _each_step(rows: DataFrame, model: Model, work: Callable[[int, pa.Array, np.ndarray, np.ndarray, Levels], pa.RecordBatch], schema: str) -> DataFrame:
+    """``work(number of the first row, keys, tokens, offsets, levels)`` on steps of ``rows``, which are a key and a text.
+
+    With a broadcast filter that is one pass.  Otherwise each step sends its n-grams, once each and by segment, to the segments, where they
+    meet the filter; the levels go back to the step's texts.
+    """
+    if model.filter is not None:
+        shared = model.filter
+
+        def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number = TaskContext.get().partitionId() << 36
+            for batch in batches:
+                for row, end, words, at in each_step(batch.column(1)):
+                    yield work(number, batch.column(0).slice(row, end - row), *_tokens(words, at), shared.value.levels)
+                    number += end - row
+
+        return rows.mapInArrow(at_once, schema)
+
+    kind, bits = rows.schema[0].dataType.simpleString(), model.bits
+    names = ["step", "number", "key", "text", "segment", "rest"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            for row, end, words, at in each_step(batch.column(1), ASK_BYTES):
+                n, step, (keys, texts) = end - row, number, (c.slice(row, end - row) for c in batch.columns)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, step)), pa.array(number + np.arange(n)), keys, texts, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+                grams = _asked(*_tokens(words, at))
+                packed = _packed(grams, np.zeros(len(grams), np.int64), bits)
+                n = packed.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, step)), pa.nulls(n, pa.int64()), pa.nulls(n, keys.type), pa.nulls(n, texts.type), *packed.columns[:2]], names=names)
+                number += end - row
+
+    def answer(asked: pa.Table, built: pa.Table) -> pa.Table:
+        rests = [np.frombuffer(x.as_buffer(), "<u4").astype(np.uint64) << np.uint64(32) for x in asked.column("rest")]
+        sizes = np.cumsum([0, *map(len, rests)])
+        levels = np.zeros(sizes[-1], np.uint8)
+        if built.num_rows and len(rests):
+            field = np.frombuffer(built.column("field")[0].as_buffer(), np.uint8)
+            levels = Filter(0, np.array([len(field) * 8 // _BLOCK_BITS]), np.zeros(1, np.int64), field).levels(np.concatenate(rests)).astype(np.uint8)
+        found = pa.array([levels[a:b].tobytes() for a, b in zip(sizes, sizes[1:], strict=False)], pa.binary())
+        return pa.table({"step": asked.column("step"), "segment": asked.column("segment"), "levels": found})
+
+    def finish(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        texts, answers = texts.sort_by("number").combine_chunks(), answers.sort_by("segment")
+        found = np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8).astype(np.int64)
+        keys, column = (pa.concat_arrays(texts.column(c).chunks) for c in ("key", "text"))
+        ((_, _, words, at),) = each_step(column, 1 << 60)
+        tokens, at = _tokens(words, at)
+        grams = _asked(tokens, at)
+        return pa.Table.from_batches([work(texts.column("step")[0].as_py(), keys, tokens, at, lambda wanted: found[np.searchsorted(grams, wanted)])])
+
+    steps = stored(rows.mapInArrow(cut, f"step long, number long, key {kind}, text string, segment int, rest binary"), "lm-steps")
+    asked = steps.where("segment IS NOT NULL").select("step", "segment", "rest")
+    answers = asked.groupBy("segment").cogroup(model.segments.select("segment", "field").groupBy("segment")).applyInArrow(answer, "step long, segment int, levels binary")
+    texts = steps.where("segment IS NULL").select("step", "number", "key", "text")
+    return texts.groupBy("step").cogroup(answers.groupBy("step")).applyInArrow(finish, schema)
 
 
 def _tune(texts: DataFrame, model: Model) -> np.ndarray:
     """Mixing weights by level of the first token: those that give a sample of the learned texts, each token left out of its counts, the best score."""
     wanted = min(1.0, TUNING_DOCS * 64 / max(1, model.tokens))  # of texts, if they have 64 tokens at least
-    total, vocabulary, shared = model.tokens, model.words, model.filter
+    total, vocabulary = model.tokens, model.words
 
-    def trial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def trial(_number: int, _keys: pa.Array, tokens: np.ndarray, at: np.ndarray, levels: Levels) -> pa.RecordBatch:
         sums = np.zeros((len(VALUES), len(WEIGHTS)))
-        for batch in batches:
-            for _, _, words, at in each_step(batch.column(0)):
-                tokens, offsets = _tokens(words, at)
-                single, pair, before = _probabilities(tokens, offsets, shared.value, total, vocabulary, 1.0)
-                for i, w in enumerate(WEIGHTS):
-                    sums[:, i] += np.bincount(before, np.log10(w * pair + (1.0 - w) * single), len(VALUES))
-        yield pa.RecordBatch.from_pydict({"sums": pa.array([sums.tobytes()], pa.binary())})
+        own, before, both = _token_levels(tokens, at, levels)
+        single, pair = _probabilities(own, before, both, total, vocabulary, 1.0)
+        for i, w in enumerate(WEIGHTS):
+            sums[:, i] += np.bincount(before, np.log10(w * pair + (1.0 - w) * single), len(VALUES))
+        return pa.RecordBatch.from_pydict({"sums": pa.array([sums.tobytes()], pa.binary())})
 
     chosen = texts.where(F.pmod(F.xxhash64("text", F.lit("tune")), F.lit(1 << 30)) < int(wanted * (1 << 30)))
-    rows = chosen.repartition(8).mapInArrow(trial, "sums binary").collect()
+    rows = _each_step(chosen.repartition(8).select(F.lit(0).alias("key"), "text"), model, trial, "sums binary").collect()
     sums = sum((np.frombuffer(r[0]) for r in rows), np.zeros(len(VALUES) * len(WEIGHTS))).reshape(len(VALUES), -1)
     return WEIGHTS[sums.argmax(1)]
 
@@ -306,37 +359,33 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """
     arrow_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    total, vocabulary, frequent, shared, weights = model.tokens, model.words, model.frequent, model.filter, model.weights
+    total, vocabulary, frequent, weights = model.tokens, model.words, model.frequent, model.weights
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(number: int, keys: pa.Array, tokens: np.ndarray, at: np.ndarray, levels: Levels) -> pa.RecordBatch:
         known, n = frequent.value
         logs = np.log10(n + 1.0)
-        number = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            for row, end, words, at in each_step(batch.column(1)):
-                tokens, at = _tokens(words, at)
-                distinct, of = _distinct(tokens)
-                order = np.argsort(distinct)
-                place = np.zeros(len(distinct), np.int64)
-                place[order] = np.minimum(np.searchsorted(known, distinct[order]), max(0, len(known) - 1))
-                hit = known[place] == distinct if len(known) else np.zeros(len(distinct), bool)
-                found, exact = hit[of], (np.where(hit, logs[place], 0.0) if len(known) else np.zeros(len(distinct)))[of]
-                single, pair, before = _probabilities(tokens, at, shared.value, total, vocabulary)
-                weight = weights[before]
-                logged = np.log10(weight * pair + (1.0 - weight) * single)
-                sums = [np.add.reduceat(x, at[:-1]) for x in (found.astype(np.int64), exact, logged)]
-                rest = np.concatenate([[0], np.cumsum(~found)])[at].astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(number + np.arange(end - row)), batch.column(0).slice(row, end - row), pa.array(np.diff(at).astype(np.int64)), *map(pa.array, sums),
-                        pa.ListArray.from_arrays(pa.array(rest), pa.array(tokens[~found].view(np.int64))),
-                    ],
-                    names=["row", "key", "n_tokens", "n_known", "base", "score", "rare"],
-                )
-                number += end - row
+        distinct, of = _distinct(tokens)
+        order = np.argsort(distinct)
+        place = np.zeros(len(distinct), np.int64)
+        place[order] = np.minimum(np.searchsorted(known, distinct[order]), max(0, len(known) - 1))
+        hit = known[place] == distinct if len(known) else np.zeros(len(distinct), bool)
+        found, exact = hit[of], (np.where(hit, logs[place], 0.0) if len(known) else np.zeros(len(distinct)))[of]
+        own, before, both = _token_levels(tokens, at, levels)
+        single, pair = _probabilities(own, before, both, total, vocabulary)
+        weight = weights[before]
+        logged = np.log10(weight * pair + (1.0 - weight) * single)
+        sums = [np.add.reduceat(x, at[:-1]) for x in (found.astype(np.int64), exact, logged)]
+        rest = np.concatenate([[0], np.cumsum(~found)])[at].astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(number + np.arange(len(keys))), keys, pa.array(np.diff(at).astype(np.int64)), *map(pa.array, sums),
+                pa.ListArray.from_arrays(pa.array(rest), pa.array(tokens[~found].view(np.int64))),
+            ],
+            names=["row", "key", "n_tokens", "n_known", "base", "score", "rare"],
+        )
 
     kind = rows.schema["key"].dataType.simpleString()
-    measured = stored(rows.mapInArrow(measure, f"row long, key {kind}, n_tokens long, n_known long, base double, score double, rare array<long>"), "scores")
+    measured = stored(_each_step(rows, model, measure, f"row long, key {kind}, n_tokens long, n_known long, base double, score double, rare array<long>"), "scores")
     rare = measured.select("row", F.explode("rare").alias("word"))
     looked = rare.join(model.counts.where(F.col("n") < model.bar), "word").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + F.lit(1.0))).alias("more_base"))
     base = F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(total + vocabulary + 1.0))

@@ -165,6 +165,27 @@ def test_lm_scores(edge, edge_rows, empty, monkeypatch):
     assert {(r["n_known"], r["score"] <= 0) for r in lm_scoring.score(edge, blank).collect()} == {(0, True)}
 
 
+def test_lm_scores_by_a_filter_too_large_to_broadcast(edge, edge_rows, monkeypatch):
+    """Scores don't depend on whether the filter is broadcast or met in its segments, and no n-gram is left out of it."""
+    monkeypatch.setattr(lm_scoring, "SEGMENT_TOKENS", 1000)
+    monkeypatch.setattr(lm_scoring, "ASK_BYTES", 20_000)
+    held = crc_mod(F.col("doc_id"), 7) == 2
+    found = []
+    for most in (1 << 30, 1 << 10):
+        monkeypatch.setattr(lm_scoring, "MAX_FILTER_BITS", most)
+        model = lm_scoring.fit(edge.where(~held))
+        entries = model.segments.agg(F.sum("entries")).first()[0]
+        found.append((entries, model.weights.tolist(), Counter((r["key"], r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in lm_scoring.score(edge, model).collect())))
+        assert (model.filter is None) == (most < 1 << 30)
+    assert found[0] == found[1]
+    grams = Counter()
+    for k, t, *_ in edge_rows:
+        if zlib.crc32(("" if k is None else str(k)).encode()) % 7 != 2:
+            tokens = [*words(t), None]
+            grams.update([*((w,) for w in tokens), *zip([None, *tokens], tokens, strict=False)])
+    assert found[0][0] == lm_scoring.level_of(np.array(list(grams.values()))).sum()
+
+
 def test_filter_never_understates_levels():
     rng = np.random.default_rng(1)
     grams = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2) + np.uint64(1))
