@@ -30,8 +30,6 @@ FLUSH_TOKENS = 1 << 21
 SEGMENT_TOKENS = 1 << 20
 #: Bytes of text whose n-grams are sent to the segments together.
 ASK_BYTES = 1 << 22
-#: Documents whose left-out scores choose the mixing weights, about.
-TUNING_DOCS = 2000
 WEIGHTS = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])
 
 END = np.uint64(0x243F6A8885A308D3)
@@ -332,22 +330,29 @@ def _each_step(rows: DataFrame, model: Model, work: Callable[[int, pa.Array, np.
 
 
 def _tune(texts: DataFrame, model: Model) -> np.ndarray:
-    """Mixing weights by level of the first token: those that give a sample of the learned texts, each token left out of its counts, the best score."""
-    wanted = min(1.0, TUNING_DOCS * 64 / max(1, model.tokens))  # of texts, if they have 64 tokens at least
-    total, vocabulary = model.tokens, model.words
+    """Mixing weights by level of the first token: those that give all learned texts, each token left out of its counts, the best score.
 
-    def trial(_number: int, _keys: pa.Array, tokens: np.ndarray, at: np.ndarray, levels: Levels) -> pa.RecordBatch:
-        sums = np.zeros((len(VALUES), len(WEIGHTS)))
+    Levels decide a token's score, so counts of their combinations are all that is summed.  A level that no token follows gets the weight of
+    the nearest one, the lower of two.
+    """
+    n_levels = len(VALUES)
+
+    def combinations(_number: int, _keys: pa.Array, tokens: np.ndarray, at: np.ndarray, levels: Levels) -> pa.RecordBatch:
         own, before, both = _token_levels(tokens, at, levels)
-        single, pair = _probabilities(own, before, both, total, vocabulary, 1.0)
-        for i, w in enumerate(WEIGHTS):
-            sums[:, i] += np.bincount(before, np.log10(w * pair + (1.0 - w) * single), len(VALUES))
-        return pa.RecordBatch.from_pydict({"sums": pa.array([sums.tobytes()], pa.binary())})
-
-    chosen = texts.where(F.pmod(F.xxhash64("text", F.lit("tune")), F.lit(1 << 30)) < int(wanted * (1 << 30)))
-    rows = _each_step(chosen.repartition(8).select(F.lit(0).alias("key"), "text"), model, trial, "sums binary").collect()
-    sums = sum((np.frombuffer(r[0]) for r in rows), np.zeros(len(VALUES) * len(WEIGHTS))).reshape(len(VALUES), -1)
-    return WEIGHTS[sums.argmax(1)]
+        found, n = np.unique((before * n_levels + own) * n_levels + both, return_counts=True)
+        return pa.RecordBatch.from_pydict({"levels": pa.array(found), "n": pa.array(n.astype(np.int64))})
+
+    rows = _each_step(texts.select(F.lit(0).alias("key"), "text"), model, combinations, "levels long, n long")
+    got = rows.groupBy("levels").agg(F.sum("n").alias("n")).orderBy("levels").toArrow()
+    found, n = got.column("levels").to_numpy(), got.column("n").to_numpy()
+    own, before, both = found // n_levels % n_levels, found // n_levels**2, found % n_levels
+    seen = np.unique(before)
+    if not len(seen):
+        return np.zeros(n_levels)
+    single, pair = _probabilities(own, before, both, model.tokens, model.words, 1.0)
+    sums = np.stack([np.bincount(before, n * np.log10(w * pair + (1.0 - w) * single), n_levels) for w in WEIGHTS], 1)
+    nearest = seen[np.abs(np.arange(n_levels)[:, None] - seen).argmin(1)]
+    return WEIGHTS[sums.argmax(1)][nearest]
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -186,6 +186,27 @@ def test_lm_scores_by_a_filter_too_large_to_broadcast(edge, edge_rows, monkeypat
     assert found[0][0] == lm_scoring.level_of(np.array(list(grams.values()))).sum()
 
 
+def test_mixing_weights_of_few_long_texts(spark):
+    """All training texts choose the weights; levels that none of them has take the nearest level's."""
+    rng = np.random.default_rng(4)
+    follows = rng.integers(0, 400, 400)
+    texts = []
+    for i in range(3):
+        word, out = i, []
+        for _ in range(100_000):
+            word = int(follows[word]) if rng.random() < 0.7 else int(rng.integers(0, 400))
+            out.append(f"w{word}")
+        texts.append((i, " ".join(out)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = lm_scoring.fit(docs)
+    counts = Counter(w for _, t in texts for w in t.split())
+    seen = set(lm_scoring.level_of(np.array(list(counts.values()))).tolist())
+    assert len(model.weights) == len(lm_scoring.VALUES)
+    assert all(model.weights[q] >= 0.5 for q in seen)
+    assert model.weights[max(seen) + 1 :].min() == model.weights[max(seen)]
+    assert lm_scoring.fit(docs.where("false")).weights.tolist() == [0.0] * len(lm_scoring.VALUES)
+
+
 def test_filter_never_understates_levels():
     rng = np.random.default_rng(1)
     grams = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2) + np.uint64(1))
