@@ -20,7 +20,12 @@ MAX_BUCKETS = 1 << 15
 NGRAMS = (1, 2, 3)
 UNKNOWN = "und"
 
+#: Texts with fewer characters besides white space are not compared with what is usual in their language.
+JUDGED_CHARS = 200
+
 _LETTER = re.compile(r"[^\W\d_]")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_SPACES = re.compile(r"\s+")
 _STEP_CHARS = 1 << 20
 
 
@@ -29,6 +34,7 @@ class Model:
     languages: list[str]
     prior: np.ndarray  # log, by language
     weights: np.ndarray  # log, by bucket and language
+    usual: np.ndarray  # by language: least mean log-likelihood per n-gram of long texts, its scatter per n-gram, least share of letters
 
     @property
     def buckets(self) -> int:
@@ -38,7 +44,7 @@ class Model:
 def bucket_counts(texts: list[str], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each text, the buckets its n-grams fall into and how many fall there.
 
-    Letters are lower-cased and everything else counts as a space, so junk signs carry no evidence.
+    Letters are lower-cased and everything else counts as a space; n-grams of spaces alone are left out, so junk signs carry no evidence.
     """
     let_go()
     shift = np.uint32(32 - (buckets.bit_length() - 1))
@@ -52,16 +58,17 @@ def bucket_counts(texts: list[str], buckets: int) -> Iterator[tuple[np.ndarray,
         points = np.frombuffer("".join(lowered[row:end]).encode("utf-32-le", "surrogatepass"), np.uint32)
         letters = ((points >= 97) & (points <= 122)) | ((points >= 0xC0) & (points != 0xD7) & (points != 0xF7) & ~((points >= 0x2000) & (points < 0x2C00)) & ~((points >= 0x3000) & (points < 0x3040)))
         points = np.where(letters, points, np.uint32(32))
-        hashed, rolling = [], np.zeros(len(points), np.uint32)
+        hashed, rolling, filled = [], np.zeros(len(points), np.uint32), np.zeros(len(points), bool)
         for n in range(1, max(NGRAMS) + 1):
             rolling = rolling[: max(0, len(points) - n + 1)] * np.uint32(0x01000193) + points[n - 1 :] * np.uint32(0x85EBCA6B) + np.uint32(n)
+            filled = filled[: len(rolling)] | letters[n - 1 :]
             if n in NGRAMS:
                 x = (rolling ^ (rolling >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-                hashed.append((n, ((x ^ (x >> np.uint32(12))) * np.uint32(0x297A2D39)) >> shift))
+                hashed.append((n, ((x ^ (x >> np.uint32(12))) * np.uint32(0x297A2D39)) >> shift, filled))
         at = 0
         for text in lowered[row:end]:
             stop = at + len(text)
-            parts = [h[at : max(at, stop - n + 1)] for n, h in hashed]
+            parts = [h[at : max(at, stop - n + 1)][f[at : max(at, stop - n + 1)]] for n, h, f in hashed]
             counts = np.bincount(np.concatenate(parts), minlength=buckets)
             used = np.flatnonzero(counts)
             yield used, counts[used]
@@ -69,6 +76,11 @@ def bucket_counts(texts: list[str], buckets: int) -> Iterator[tuple[np.ndarray,
         row = end
 
 
+def letters_of(text: str) -> tuple[int, int]:
+    """How many characters of ``text`` are letters, and how many are not white space."""
+    return sum(map(len, _LETTERS.findall(text))), len(_SPACES.sub("", text))
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = 2000, max_languages: int = 4096) -> Model:
     """Learn from rows with a language.
 
@@ -86,7 +98,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang
         buckets //= 2
     totals = np.array([n for _, n in counted], float)
     if not languages:
-        return Model([], np.zeros(0), np.zeros((buckets, 0)))
+        return Model([], np.zeros(0), np.zeros((buckets, 0)), np.zeros((0, 3)))
     shares = spark.createDataFrame([(i, name, min(1.0, docs_per_language / n)) for i, (name, n) in enumerate(counted)], "slot int, lang string, share double")
     chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share") * F.lit(1 << 30)).select("slot", "text")
 
@@ -108,12 +120,47 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang
     table = np.zeros((buckets, len(languages)))
     table[got.column("bucket").to_numpy(), got.column("slot").to_numpy()] = got.column("n").to_numpy()
     weights = np.log((table + 0.5) / (table.sum(0) + 0.5 * buckets))
-    return Model(languages, np.log(totals / totals.sum()), weights.astype(np.float32))
+    return Model(languages, np.log(totals / totals.sum()), weights.astype(np.float32), _usual(chosen, table, weights))
+
 
+def _usual(chosen: DataFrame, table: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """What long texts that teach a language have at least, each left out of the counts that judge it.
 
-def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    That is the median less three times what the twentieth part lies below it, so a few mislabelled texts don't matter.
+    """
+    buckets, totals = len(table), table.sum(0)
+    shared = chosen.sparkSession.sparkContext.broadcast(table.astype(np.float32))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            slots, texts = batch.column("slot").to_pylist(), batch.column("text").to_pylist()
+            out = []
+            for slot, text, (used, n) in zip(slots, texts, bucket_counts(texts, buckets), strict=True):
+                letters, chars = letters_of(text)
+                if chars >= JUDGED_CHARS and len(used):
+                    logs = np.log((np.maximum(counts[used, slot] - n, 0) + 0.5) / (totals[slot] - n.sum() + 0.5 * buckets))
+                    out.append((slot, float(n @ logs) / int(n.sum()), letters / chars))
+            slot, mean, share = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_pydict({"slot": pa.array(slot, pa.int32()), "mean": pa.array(mean, pa.float64()), "share": pa.array(share, pa.float64())})
+
+    parts = lambda c: F.percentile_approx(c, [0.05, 0.5], 1000).alias(c)
+    rows = chosen.repartition(8).mapInArrow(measure, "slot int, mean double, share double").groupBy("slot").agg(parts("mean"), parts("share")).collect()
+    out = np.full((table.shape[1], 3), -np.inf)
+    expected = (table * weights).sum(0) / np.maximum(totals, 1.0)
+    out[:, 1] = np.sqrt(np.maximum((table * weights**2).sum(0) / np.maximum(totals, 1.0) - expected**2, 0.0))
+    for r in rows:
+        for i, (low, middle) in ((0, r["mean"]), (2, r["share"])):
+            out[r["slot"], i] = middle - 3.0 * (middle - low)
+    return out
+
+
+def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, unusual: str | None = None) -> DataFrame:
     """Each row's ``keep`` columns (all by default) with ``lang_pred`` and ``score``, the posterior of that language.
 
+    The posterior compares languages and is near 1 for any longer text.  With ``unusual`` a column of that name says whether the text is
+    unlike those of its language: its n-grams are less likely, or its letters fewer, than in the texts that taught the language.  Texts of
+    fewer than ``JUDGED_CHARS`` characters are too short to say so.
     Evidence is the whole text alone.  A NULL text, or one without a letter, and any text if the model has no language, is
     ``und`` with score 0.  Rows are neither merged nor lost; kept columns named like the results are replaced by them.
     """
@@ -121,21 +168,25 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     arrow_batches(spark)
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text).cast("string").alias("__text"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    shared = spark.sparkContext.broadcast((model.languages, model.prior, model.weights))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField(unusual, T.BooleanType())] if unusual else [])])
+    shared = spark.sparkContext.broadcast((model.languages, model.prior, model.weights, model.usual))
     fields = schema.names
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, prior, weights = shared.value
+        languages, prior, weights, usual = shared.value
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            found, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            found, scores, odd = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
             rows = [i for i, t in enumerate(texts) if languages and _LETTER.search(t)]
             for i, (used, n) in zip(rows, bucket_counts([texts[i] for i in rows], weights.shape[0]), strict=True):
                 logs = prior + n @ weights[used].astype(np.float64)
                 best = int(logs.argmax())
                 found[i], scores[i] = languages[best], 1.0 / np.exp(logs - logs[best]).sum()
-            columns = [*batch.columns[:-1], pa.array(found, pa.string()), pa.array(scores)]
+                if unusual:
+                    (letters, chars), (least, scatter, share), size = letters_of(texts[i]), usual[best], max(1, int(n.sum()))
+                    # Neighbouring n-grams share letters, so they count as a third.
+                    odd[i] = chars >= JUDGED_CHARS and ((logs - prior)[best] / size < least - 4.0 * scatter * np.sqrt(3.0 / size) or letters / chars < share - 2.0 / np.sqrt(chars))
+            columns = [*batch.columns[:-1], pa.array(found, pa.string()), pa.array(scores), *([pa.array(odd)] if unusual else [])]
             yield pa.RecordBatch.from_arrays(columns, names=fields)
 
     return rows.mapInArrow(score, schema)

@@ -1,6 +1,7 @@
 """Line dedup, mixing, chats, vectors and the pipeline against plain versions."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import duckdb
@@ -219,5 +220,24 @@ def test_pipeline_stages(spark, edge, edge_rows, empty):
         assert stage(spark, empty, "").count() == 0
 
 
+def test_junk_has_no_known_language(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rng = random.Random(8)
+    junk = {
+        -1: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(400)),
+        -2: " ".join("".join(rng.choice("абвгдежзиклмнопрстуфхцчшщыэюя") for _ in range(rng.randint(2, 9))) for _ in range(400)),
+        -3: "#" * 3000 + "a" + "*" * 3000,
+        -4: "".join(rng.choice("#*=-_/|<>0123456789 ab") for _ in range(4000)),
+    }
+    clean = docs.where("lang IS NOT NULL AND length(text) > 500").limit(20).collect()
+    short = {-10 - i: " ".join(r["text"].split()[:12]) for i, r in enumerate(clean)}
+    added = spark.createDataFrame([(k, x) for k, x in (junk | short).items()], "doc_id long, text string")
+    both = docs.unionByName(added, allowMissingColumns=True)
+    kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["language_id"](spark, both, "").select("doc_id").collect()}
+    assert not kept & set(junk) and set(short) <= kept
+    named = {r["doc_id"] for r in docs.where("lang IS NOT NULL AND text RLIKE '[a-z]'").collect()}
+    assert len(kept & named) >= 0.98 * len(named)
+
+
 def test_pipeline_runs(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
