@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm import ann, chat_format, embedding_dedup, language_id, line_dedup, lm_scoring, mixing, ngram_jaccard, packing, token_output
+from skyledger.llm import ann, chat_format, embedding_dedup, language_id, line_dedup, lm_scoring, mixing, ngram_jaccard, packing, source_divergence, spelling, token_output, window_packing
 from skyledger.llm.common import crc_mod, stored, table
 from skyledger.session import scratch_path
 
@@ -161,3 +161,62 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = lm_scoring.fit(docs.where(~held_out))
     scored = lm_scoring.score(docs, model)
     return scored.select(F.col("key").alias("doc_id"), (crc_mod(F.col("key"), 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query("op11_spelling_variants", """
+WITH RECURSIVE c AS (SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END, x)) AS crc),
+t AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+r AS (SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM t WHERE length(run) >= 7 GROUP BY ALL),
+b AS (SELECT run, n, flatten(list_transform(string_split(id || ':' || run, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [195, ord(x)::BIGINT - 64] END)) AS bytes FROM r),
+h AS (SELECT run, n, xor(list_reduce(bytes, lambda v, x: xor(v >> 8, crc[(xor(v, x) & 255) + 1]), 4294967295), 4294967295) AS h FROM b, c),
+d AS (SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM d WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+p AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w),
+s AS (SELECT word, i, substr(word, 1, (i - 1)::INT) || substr(word, (i + 1)::INT) AS rest FROM p),
+near AS (
+  SELECT a.word, b.word AS near FROM s a JOIN s b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT s.word, w.word FROM s JOIN w ON s.rest = w.word
+  UNION SELECT w.word, s.word FROM s JOIN w ON s.rest = w.word),
+f AS (SELECT near.word, count(*) AS n_near, first(near.near ORDER BY w.n DESC, near.near) AS form, max(w.n) AS form_n FROM near JOIN w ON near.near = w.word GROUP BY near.word),
+g AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 10 * w.n THEN form END AS form, CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n FROM w LEFT JOIN f ON w.word = f.word),
+u AS (SELECT word, form AS root, 1 AS step FROM g WHERE form IS NOT NULL UNION ALL SELECT u.word, g.form, step + 1 FROM u JOIN g ON u.root = g.word WHERE g.form IS NOT NULL),
+last AS (SELECT word, arg_max(root, step) AS root FROM u GROUP BY word)
+SELECT g.word, form, coalesce(root, g.word) AS root, n, n_near, form_n FROM g LEFT JOIN last ON g.word = last.word""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of seven code points or more and the frequent words that they may be misspelt from; one run in 31 loses a code point first."""
+    runs = spelling.letter_runs(table(spark, sf_dir, "documents"), min_length=7)
+    code = F.crc32(F.concat(F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    hashed = runs.select("run", code.alias("h"))
+    cut = F.expr("CASE WHEN h % 31 = 0 THEN concat(substr(run, 1, int(h % length(run))), substr(run, int(h % length(run)) + 2)) ELSE run END")
+    return spelling.variants(spelling.counted_words(hashed.select(cut.alias("word"))))
+
+
+@query("op12_window_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 4096 tokens that keep the stored order."""
+    pieces = window_packing.pack_in_order(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.withColumnRenamed("key", "doc_id")
+
+
+@query("op13_source_divergence", """
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+o AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM o GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM k GROUP BY lang),
+c AS (SELECT o.lang, o.source, o.term, count(*) AS n FROM o JOIN k ON o.lang = k.lang AND o.term = k.term GROUP BY ALL),
+s AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (coalesce(s.total, 0) + 2 * v.v) AS p,
+    1 + 1000000000::HUGEINT * (k.n + 2) // (v.total + 2 * v.v) AS q
+  FROM g JOIN k ON g.lang = k.lang JOIN v ON g.lang = v.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN s ON s.lang = g.lang AND s.source = g.source),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+y AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM x UNION ALL FROM y))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM z WHERE part = 'pair' OR rank <= 10""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language lie apart, and the terms that each has more of than its language."""
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
