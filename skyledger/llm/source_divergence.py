@@ -1,7 +1,7 @@
 """How far the sources of a language differ, from an index of term counts that is built in a single pass over the texts.
 
 1. Block postings: a task counts terms per (language, source) in memory until it holds as many postings as it may, then spills them as a
-   run sorted by term.
+   run sorted by term.  Terms are told apart by their bytes, never by a hash.
 2. Runs are dealt into shards by hash of term and group.  Each shard's sorted runs are merged (Spark's sort merges them from a heap) and equal
    postings that then lie next to each other are added up: the frequencies.
 3. A term's smoothed share p in a group depends on its count alone, and most groups lack most terms.  A pair's divergence starts as if both
@@ -10,19 +10,18 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import arrow_batches, let_go, stored
+from skyledger.llm.common import arrow_batches, let_go, spans, steps, stored, string_bytes
 
 #: Postings that a task holds before it spills a run, and distinct postings of a shard, about.
-BLOCK_POSTINGS = 300_000
+BLOCK_POSTINGS = 1_500_000
 SHARD_POSTINGS = 2_000_000
 #: A kept term occurs in so many documents of its language.
 MIN_DOCUMENTS = 10
@@ -35,23 +34,13 @@ BLOCK_SOURCES = 128
 CHUNK_POSTINGS = 200_000
 STEP_PAIRS = 1 << 19
 
-#: Terms are runs of ASCII letters and of all that is beyond ASCII; in UTF-8 the latter are the bytes from 0x80 on.
-_TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
-_LOWERED = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _POSTING = "lang string, source string, term string, n long, docs long"
-#: Bytes of a text whose terms are listed at once.
-_STEP = 1 << 20
 
-
-def _terms(text: bytes) -> Iterator[list[bytes]]:
-    """The terms of a lower-cased text, some at a time."""
-    at = 0
-    while at < len(text):
-        stop = at + _STEP
-        if cut := _TERM.match(text, stop):
-            stop = cut.end()
-        yield _TERM.findall(text, at, stop)
-        at = stop
+# Terms are runs of ASCII letters and of all that is beyond ASCII; in UTF-8 the latter are the bytes from 0x80 on.
+_OF_TERM = np.zeros(256, bool)
+_OF_TERM[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[65:91] += 32
 
 
 def _codes(column: pa.ChunkedArray) -> np.ndarray:
@@ -60,43 +49,89 @@ def _codes(column: pa.ChunkedArray) -> np.ndarray:
     return whole.dictionary_encode().indices.fill_null(-1).to_numpy()
 
 
-def _runs(rows: DataFrame, block: int) -> DataFrame:
+def _step_postings(data: np.ndarray, at: np.ndarray, groups: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms of some texts, and per (group, term): both numbers, occurrences and documents."""
+    low = _LOWERED[data]
+    solid = _OF_TERM[low]
+    starts, ends = spans(solid, at[:-1])
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    terms = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(low[solid])]).dictionary_encode()
+    code, kinds = terms.indices.to_numpy().astype(np.int64), max(1, len(terms.dictionary))
+    row = np.searchsorted(at, starts, "right") - 1
+    pairs, times = np.unique(row * kinds + code, return_counts=True)
+    keys = groups[pairs // kinds] * kinds + pairs % kinds
+    order = np.argsort(keys, kind="stable")
+    keys, times = keys[order], times[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    n = np.add.reduceat(times, first) if len(first) else times
+    return terms.dictionary, keys[first] // kinds, keys[first] % kinds, n, np.diff(np.append(first, len(keys)))
+
+
+class _Block:
+    """Postings in memory: (group, term) with occurrences and documents."""
+
+    def __init__(self) -> None:
+        self.groups: dict[tuple[str, str], int] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.terms: list[pa.Array] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.known = self.size = 0
+
+    def add(self, terms: pa.Array, group: np.ndarray, term: np.ndarray, n: np.ndarray, docs: np.ndarray) -> None:
+        self.terms.append(terms)
+        self.parts.append((group, term + self.known, n, docs))
+        self.known += len(terms)
+        self.size += len(group)
+
+    def compact(self) -> None:
+        """Add up equal postings."""
+        coded = pa.concat_arrays(self.terms).dictionary_encode()
+        group, term, n, docs = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        kinds = max(1, len(coded.dictionary))
+        keys = group * kinds + coded.indices.to_numpy()[term]
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        sums = [np.add.reduceat(x[order], first) if len(first) else x for x in (n, docs)]
+        self.clear()
+        self.add(coded.dictionary, keys[first] // kinds, keys[first] % kinds, *sums)
+
+    def spill(self) -> Iterator[pa.RecordBatch]:
+        """The block as a run in order of terms, and an empty block."""
+        self.compact()
+        (terms,), ((group, term, n, docs),) = self.terms, self.parts
+        rank = np.empty(len(terms), np.int64)
+        rank[pc.sort_indices(terms).to_numpy()] = np.arange(len(terms))
+        order = np.lexsort((group, rank[term]))
+        names = list(self.groups)
+        langs, sources = (pa.array([g[i] for g in names], pa.string()) for i in range(2))
+        for first in range(0, len(order), 50_000):
+            part = order[first : first + 50_000]
+            of = pa.array(group[part])
+            yield pa.RecordBatch.from_arrays([langs.take(of), sources.take(of), terms.take(pa.array(term[part])).cast(pa.string()), pa.array(n[part]), pa.array(docs[part])], names=["lang", "source", "term", "n", "docs"])
+        self.clear()
+
+
+def _runs(rows: DataFrame, most: int) -> DataFrame:
     """Runs of block postings, each sorted by term; ``rows`` are language, source and text without NULL."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
-        occurrences: dict[tuple[str, str], Counter] = {}
-        documents: dict[tuple[str, str], Counter] = {}
-        held = 0
-
-        def spill() -> Iterator[pa.RecordBatch]:
-            postings = sorted((term, group) for group, counts in occurrences.items() for term in counts)
-            for first in range(0, len(postings), 50_000):
-                part = postings[first : first + 50_000]
-                columns = [
-                    pa.array([g[0] for _, g in part], pa.string()), pa.array([g[1] for _, g in part], pa.string()), pa.array([t.decode() for t, _ in part], pa.string()),
-                    pa.array([occurrences[g][t] for t, g in part], pa.int64()), pa.array([documents[g][t] for t, g in part], pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
-            occurrences.clear()
-            documents.clear()
-
+        block = _Block()
         for batch in batches:
-            for lang, source, text in zip(*(batch.column(c).to_pylist() for c in range(2)), batch.column(2), strict=True):
-                if (lang, source) not in occurrences:
-                    occurrences[lang, source], documents[lang, source] = Counter(), Counter()
-                counts, seen = occurrences[lang, source], set()
-                before = len(counts)
-                for terms in _terms(text.as_buffer().to_pybytes().translate(_LOWERED)):
-                    counts.update(terms)
-                    seen.update(terms)
-                documents[lang, source].update(seen)
-                held += len(counts) - before
-                if held >= block:
-                    yield from spill()
-                    held = 0
-        if held:
-            yield from spill()
+            names = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            groups = np.fromiter((block.groups.setdefault(g, len(block.groups)) for g in names), np.int64, batch.num_rows)
+            data, at = string_bytes(batch.column(2))
+            for row, end in steps(at):
+                block.add(*_step_postings(data[at[row] : at[end]], at[row : end + 1] - at[row], groups[row:end]))
+                if block.size >= most:
+                    block.compact()
+                    if block.size >= most // 2:
+                        yield from block.spill()
+        if block.size:
+            yield from block.spill()
 
     return rows.mapInArrow(index, _POSTING)
 
@@ -133,7 +168,7 @@ def frequencies(docs: DataFrame, lang: str = "lang", source: str = "source", tex
     """``lang, source, term, n, docs``: a term's occurrences in the group and the documents that hold it.
 
     NULL languages, sources and texts count as empty; A-Z are lower-cased; every row is a document; other columns are not read.  A task
-    holds one block of postings, one batch of texts and one text's terms.
+    holds one block of postings and one batch of texts.
     """
     arrow_batches(docs.sparkSession)
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for c, name in ((lang, "lang"), (source, "source"), (text, "text"))))

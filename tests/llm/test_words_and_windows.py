@@ -222,7 +222,7 @@ def audit_rows(rng, n):
 
 @pytest.mark.parametrize(("block", "sources", "chunk", "step"), [(300_000, 128, 200_000, 1 << 19), (50, 3, 40, 7)])
 def test_audit(spark, monkeypatch, block, sources, chunk, step):
-    for name, value in (("BLOCK_SOURCES", sources), ("CHUNK_POSTINGS", chunk), ("STEP_PAIRS", step), ("SHARD_POSTINGS", 400), ("_STEP", 16)):
+    for name, value in (("BLOCK_SOURCES", sources), ("CHUNK_POSTINGS", chunk), ("STEP_PAIRS", step), ("SHARD_POSTINGS", 400)):
         monkeypatch.setattr(source_divergence, name, value)
     monkeypatch.setattr(source_divergence.frequencies, "__defaults__", (*source_divergence.frequencies.__defaults__[:-1], block))
     rows = audit_rows(random.Random(8), 150)
