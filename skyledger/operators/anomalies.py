@@ -190,8 +190,12 @@ def run_jobs(df: DataFrame, jobs: tuple[Job, ...] = JOBS, span: str = SPAN, as_o
 
     Count jobs see empty buckets as zero, with ``as_of`` also those after a partition's last event.
     """
+    return score_job_series(job_buckets(df, jobs, span), span, as_of)
+
+
+def score_job_series(series: DataFrame, span: str = SPAN, as_of: str | None = None) -> DataFrame:
+    """Scores of ``job_id, function, partition_value, bucket, x``; empty buckets of counts are zeros."""
     keys = ["job_id", "function", "partition_value"]
-    series = job_buckets(df, jobs, span)
     counts = F.col("function").endswith("_count")
     step = F.expr(f"INTERVAL {span}")
     upto = F.coalesce(F.lead("bucket").over(Window.partitionBy(*keys).orderBy("bucket")) - step, F.greatest("bucket", _last_bucket(as_of, span)))

@@ -6,11 +6,14 @@ chunks, never a product of its rows.  A missing match yields NULL columns.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions.columns import any_of
 from skyledger.functions.joins import salted_left_join
+from skyledger.functions.merged import PROBES, Latest, Newest, Trailing, fresh, merged_lookups
 from skyledger.functions.ordered import asof_latest, in_overlapping_spans, interval_total, numbered, previous_rows, trailing_count
 from skyledger.functions.timebucket import micros
 from skyledger.operators.dashboards import PRIVESC_ACTIONS
@@ -28,9 +31,7 @@ RUN_DATASETS = ("aws.mwaa", "gcp.composer", "azure.data_factory", "aws.emr_logs"
 
 def attack_source(alerts: DataFrame, events: DataFrame, key: str = "host", seconds: int = HOUR) -> DataFrame:
     """The latest audit event of the alert's entity in the hour before it, among escalation calls and session rows."""
-    relevant = events.filter(
-        F.col("src_ip").isNotNull() & F.col("user_name").isNotNull() & (F.col("action").isin(*PRIVESC_ACTIONS) | F.col("session").isNotNull())
-    )
+    relevant = events.filter(audit_rows())
     return asof_latest(alerts, relevant, [key], ["src_ip", "user_name", "action"], "id", seconds, prefix="attack_")
 
 
@@ -71,12 +72,12 @@ def recent_changes(alerts: DataFrame, tickets: DataFrame, key: str = "host") ->
     return attach(alerts, trailing_count(slim, changes, [key], WEEK, "change_count").select("id", "change_count"), latest)
 
 
-def related_alert_count(alerts: DataFrame, tag: str = "Attack Discovery", keys: list[str] | None = None) -> DataFrame:
-    """Tagged alerts in the hour up to each alert, over all entities unless keys are given.
+def related_alert_count(alerts: DataFrame, tag: str = "Attack Discovery", key: str | None = None) -> DataFrame:
+    """Tagged alerts in the hour up to each alert, over all entities unless a key is given.
 
-    Without keys a chunk of time holds the alerts of all entities, so chunks are a minute long.
+    A task counts the alerts of one second at most, so neither all entities at once nor a busy minute is too much for it.
     """
-    return trailing_count(alerts, alerts.filter(F.col("tag") == tag), keys or [], HOUR, "related_alert_count", chunk_seconds=3600 if keys else 60)
+    return attach(alerts, merged_lookups(alerts, [Trailing("related_alert_count", PROBES, key, HOUR, F.col("tag") == tag)], {}))
 
 
 def related_alerts(alerts: DataFrame, key: str = "src_ip", n: int = 10) -> DataFrame:
@@ -97,21 +98,36 @@ def attach(base: DataFrame, *parts: DataFrame, on: str = "id") -> DataFrame:
     return out
 
 
+def audit_rows() -> Column:
+    """Audit events that may explain an alert: escalation calls and session rows with an address and a user."""
+    return F.col("src_ip").isNotNull() & F.col("user_name").isNotNull() & (F.col("action").isin(*PRIVESC_ACTIONS) | F.col("session").isNotNull())
+
+
 def enrich_alert(alerts: DataFrame, events: DataFrame, ci: DataFrame, staff: DataFrame, tickets: DataFrame) -> DataFrame:
     """One wide row per alert: attack source, newest asset, user profile, open incidents, changes and related alerts.
 
-    The look-ups do not build on one another: each runs on the few alert columns it needs and is joined back by id.
+    All look-ups are one merge: each table is read once, and its rows meet the alerts in one shuffle by entity and second.
     """
-    slim = alerts.select("id", "ts", "host", "user_name", "tag")
-    return attach(
-        alerts,
-        attack_source(slim, events).select("id", "attack_ts", "attack_src_ip", "attack_user_name", "attack_action"),
-        affected_ci(slim, ci, n=1).select("id", "ci_id", "ci_name", "ci_owner", "ci_department"),
-        target_user(slim, staff).select("id", "full_name", "email", "manager"),
-        open_incidents(slim, tickets).select("id", "open_incident_count"),
-        recent_changes(slim, tickets).select("id", "change_count", "latest_ts", "latest_change_id", "latest_priority"),
-        related_alert_count(slim).select("id", "related_alert_count"),
-    )
+    change = F.col("kind") == "change_request"
+    lookups = [
+        Latest("attack", "events", "host", ("src_ip", "user_name", "action"), "id", HOUR, audit_rows()),
+        Newest("asset", "ci", "host", ("ci_id", "name", "owner", "department"), ("ts", "ci_id"), F.col("category").isin(*CI_CATEGORIES)),
+        Newest("profile", "staff", "user_name", ("full_name", "email", "manager"), ("ts", "email")),
+        Trailing("open_incident_count", "tickets", "host", WEEK, (F.col("kind") == "incident") & ~F.col("state").isin(*DONE_STATES)),
+        Trailing("change_count", "tickets", "host", WEEK, change),
+        Latest("change", "tickets", "host", ("id", "priority"), "id", WEEK, change),
+        Trailing("related_alert_count", PROBES, None, HOUR, F.col("tag") == "Attack Discovery"),
+    ]
+    found = merged_lookups(alerts, lookups, {"events": events, "ci": ci, "staff": staff, "tickets": tickets})
+    out = attach(alerts, found).withColumns({"attack": fresh("attack", "ts", HOUR), "change": fresh("change", "ts", WEEK)})
+    return out.select(
+        *alerts.columns,
+        F.timestamp_micros("attack.__at").alias("attack_ts"), *[F.col(f"attack.{c}").alias(f"attack_{c}") for c in ("src_ip", "user_name", "action")],
+        F.col("asset.ci_id").alias("ci_id"), *[F.col(f"asset.{c}").alias(f"ci_{c}") for c in ("name", "owner", "department")],
+        "profile.full_name", "profile.email", "profile.manager", "open_incident_count", "change_count",
+        F.timestamp_micros("change.__at").alias("latest_ts"), F.col("change.id").alias("latest_change_id"), F.col("change.priority").alias("latest_priority"),
+        "related_alert_count",
+    )
 
 
 def run_alert_enrich(alerts: DataFrame, events: DataFrame, ci: DataFrame, staff: DataFrame, datasets: tuple[str, ...] = RUN_DATASETS) -> DataFrame:
@@ -141,19 +157,27 @@ def ci_by_any_name(alerts: DataFrame, ci: DataFrame, rule_col: str, bus_col: str
 def ci_impact(edges: DataFrame, roots: DataFrame, depth: int = 3, downstream: bool = True) -> DataFrame:
     """Items reached from each root within ``depth`` relations, at their smallest distance; cycles end.
 
-    ``edges`` (parent, child), ``roots`` (root).  The distinct edges and the frontier of each step are cut loose from
-    their lineage, so no step derives them again.
+    ``edges`` (parent, child), ``roots`` (root).  Roots are numbered and 64 of them share a word of bits, so one pass over the edges moves
+    all roots a step on: an item's words are or-ed, and bits that it had before are dropped.  The distinct edges and the words of each step
+    are cut loose from their lineage, so no step derives them again.
     """
     src, dst = ("parent", "child") if downstream else ("child", "parent")
     links = cut_lineage(edges.select(F.col(src).alias("__from"), F.col(dst).alias("__to")).distinct())
-    seen = roots.select("root", F.col("root").alias("item"), F.lit(0).alias("distance"))
-    frontier = seen
+    numbered = cut_lineage(roots.select("root").distinct().withColumn("__n", F.monotonically_increasing_id()))
+    word, bit = F.shiftright("__n", 6), F.expr("shiftleft(1L, int(__n & 63))")
+    fresh = cut_lineage(numbered.select(F.col("root").alias("item"), word.alias("word"), bit.alias("bits")))
+    seen, steps = fresh, []
     for step in range(1, depth + 1):
-        reached = frontier.join(links, F.col("item") == F.col("__from")).select("root", F.col("__to").alias("item")).distinct()
-        fresh = reached.join(seen.select("root", "item"), ["root", "item"], "left_anti").withColumn("distance", F.lit(step))
-        frontier = cut_lineage(fresh)
-        seen = seen.unionByName(frontier)
-    return seen.filter(F.col("distance") > 0)
+        moved = fresh.join(links, F.col("item") == F.col("__from")).groupBy(F.col("__to").alias("item"), "word").agg(F.bit_or("bits").alias("bits"))
+        had = seen.groupBy("item", "word").agg(F.bit_or("bits").alias("had"))
+        new = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long"))))
+        fresh = cut_lineage(moved.join(had, ["item", "word"], "left").select("item", "word", new.alias("bits")).filter("bits <> 0"))
+        seen = seen.unionByName(fresh)
+        steps.append(fresh.withColumn("distance", F.lit(step)))
+    reached = reduce(DataFrame.unionByName, steps)
+    set_bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.col("bits"), i) == 1)
+    found = reached.select("word", F.explode(set_bits).alias("bit"), "item", "distance").withColumn("__n", F.shiftleft("word", 6) + F.col("bit"))
+    return found.join(numbered, "__n").select("root", "item", "distance")
 
 
 # ---- attack chains --------------------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ and ``run_rules`` evaluates a whole rule table in one scan and one shuffle.  All
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,22 @@ from skyledger.functions.ordered import running_until, with_previous
 from skyledger.functions.timebucket import bucket, micros
 
 
+# The tactic of each technique.
+TACTICS = {
+    "T1595": "Reconnaissance", "T1595.002": "Reconnaissance",
+    "T1098.001": "Persistence",
+    "T1078": "Privilege Escalation", "T1078.004": "Privilege Escalation",
+    "T1562.001": "Defense Evasion", "T1562.008": "Defense Evasion",
+    "T1528": "Credential Access",
+    "T1087.004": "Discovery",
+    "T1550.001": "Lateral Movement",
+    "T1530": "Collection",
+    "T1071.004": "Command and Control", "T1568": "Command and Control", "T1568.002": "Command and Control",
+    "T1048": "Exfiltration", "T1048.003": "Exfiltration", "T1537": "Exfiltration",
+    "T1496": "Impact",
+}
+
+
 @dataclass(frozen=True)
 class Rule:
     """One detection rule; ``where`` is a SQL condition on log columns."""
@@ -34,6 +51,15 @@ class Rule:
     per_row: bool = False
     chain: str = field(default="other")
     streams: tuple[str, ...] = ()  # datasets the rule reads, "*" at the end for any ending; none: all
+    further: tuple[str, ...] = ()  # techniques besides the first
+
+    @property
+    def techniques(self) -> tuple[str, ...]:
+        return ((self.technique,) if self.technique else ()) + self.further
+
+    @property
+    def tactics(self) -> tuple[str, ...]:
+        return tuple(dict.fromkeys(TACTICS[t] for t in self.techniques))
 
     @property
     def condition(self) -> str:
@@ -45,18 +71,21 @@ class Rule:
 # Rule conditions, streams, thresholds, windows, severities, risk scores and techniques.
 RULES: tuple[Rule, ...] = (
     Rule("D01", "Data run failure rate", "outcome = 'failure'", min_count=4, chain="data", streams=("aws.mwaa", "gcp.composer", "azure.datafactory")),
-    Rule("D02", "Empty query result", "rows_returned = 0", chain="data", streams=("aws.athena",)),
-    Rule("D03", "Spark processing error", "error_type IS NOT NULL", chain="data", streams=("aws.emr",)),
-    Rule("D04", "Source file format", "object_key NOT LIKE '%.avro' OR instr(object_key, '%') > 0", chain="data", streams=("aws.s3access",)),
+    Rule("D02", "Empty query result", "rows_returned = 0", chain="data", streams=("aws.athena", "gcp.bigquery", "azure.synapse")),
+    Rule("D03", "Spark processing error", "error_type IS NOT NULL", chain="data", streams=("aws.emr", "gcp.dataproc", "azure.databricks")),
+    Rule(
+        "D04", "Source file format", "object_key NOT LIKE '%.avro' OR instr(object_key, '%') > 0",
+        chain="data", streams=("aws.s3access", "gcp.gcs", "azure.blobstorage"),
+    ),
     Rule("D05", "Slow run", "duration_ms > 60000", "low", 21, window="30 minutes", chain="data", streams=("aws.mwaa", "gcp.composer", "azure.datafactory")),
     Rule(
         "D06", "DNS query to suspicious domain",
         "(qname LIKE '%duckdns.org' OR qname LIKE '%ngrok.io' OR qname LIKE '%serveo.net' OR qname LIKE '%.xyz')",
-        "high", 73, "T1071.004", ("host", "qname"), per_row=True, chain="dns",
+        "high", 73, "T1071.004", ("host", "qname"), per_row=True, chain="dns", further=("T1048.003",),
     ),
     Rule("D07", "DNS firewall block", "rule_category = 'dns_firewall'", "high", 73, "T1568", ("host", "qname"), per_row=True, chain="dns"),
     Rule("D08", "High NXDOMAIN rate", "rcode = 'NXDOMAIN'", "high", 73, "T1568.002", ("host",), "1 hour", 5, chain="dns"),
-    Rule("D09", "High unique domain count", "qname IS NOT NULL", "medium", 47, "T1595.002", ("host",), "1 hour", 15, "qname", 10, chain="dns"),
+    Rule("D09", "High unique domain count", "qname IS NOT NULL", "medium", 47, "T1595.002", ("host",), "1 hour", 15, "qname", 10, chain="dns", further=("T1048.003",)),
     Rule(
         "D12", "Access key created for another user", "action = 'CreateAccessKey' AND user_name <> target_user",
         "high", 73, "T1098.001", ("user_name", "src_ip"), per_row=True, chain="iam",
@@ -126,30 +155,58 @@ def query_rule(df: DataFrame, rule: Rule, keep: list[str]) -> DataFrame:
     return df.filter(F.expr(rule.condition)).select(*keep).withColumns(_rule_columns(rule))
 
 
+def _seconds(interval: str) -> int:
+    return _width_us(interval) // 1_000_000
+
+
 def threshold_rule(
     df: DataFrame, rule: Rule, window: str | None = None, slide: str | None = None, approx: bool = False, ts: str = "ts"
 ) -> DataFrame:
     """An alert per window and key whose matching rows (and distinct values) reach the thresholds.
 
-    ``slide`` re-checks a trailing window.  ``approx`` counts distinct values by sketch, as streams require.
+    ``slide`` re-checks a trailing window: rows are first aggregated to panes that no window cuts, and windows merge panes, so no row is
+    copied per overlapping window.  ``approx`` counts distinct values by mergeable sketch, as streams require.
     """
-    span = F.window(ts, window or rule.window, slide) if slide else F.window(ts, window or rule.window)
-    aggs = [F.count("*").alias("hits")]
+    width = window or rule.window
+    rows = df.filter(F.expr(rule.condition))
+    if slide:
+        grouped = _paned(rows, rule, width, slide, approx, ts)
+    else:
+        aggs = [F.count("*").alias("hits")]
+        if rule.distinct:
+            aggs.append((F.approx_count_distinct(rule.distinct) if approx else F.count_distinct(rule.distinct)).alias("distinct_values"))
+        grouped = rows.groupBy(F.window(ts, width).alias("w"), *rule.keys).agg(*aggs)
     passed = F.col("hits") >= rule.min_count
     if rule.distinct:
-        distinct = F.approx_count_distinct(rule.distinct) if approx else F.count_distinct(rule.distinct)
-        aggs.append(distinct.alias("distinct_values"))
         passed = passed & (F.col("distinct_values") >= rule.min_distinct)
-    grouped = df.filter(F.expr(rule.condition)).groupBy(span.alias("w"), *rule.keys).agg(*aggs).filter(passed)
     shown = [F.col("w.start").alias("window_start"), *rule.keys, "hits", *(["distinct_values"] if rule.distinct else [])]
-    return grouped.select(*shown).withColumns(_rule_columns(rule))
+    return grouped.filter(passed).select(*shown).withColumns(_rule_columns(rule))
+
+
+def _paned(rows: DataFrame, rule: Rule, width: str, slide: str, approx: bool, ts: str) -> DataFrame:
+    """Hits and distinct values per sliding window ``w`` and key, from one partial aggregate per pane.
+
+    A pane is as long as the greatest common divisor of width and slide.  Exact distinct values keep one row per pane and value.
+    """
+    pane = F.window(ts, f"{math.gcd(_seconds(width), _seconds(slide))} seconds").alias("pane")
+    sliding = F.window("pane", width, slide).alias("w")
+    hits = F.sum("n").alias("hits")
+    if not rule.distinct:
+        return rows.groupBy(pane, *rule.keys).agg(F.count("*").alias("n")).groupBy(sliding, *rule.keys).agg(hits)
+    if approx:
+        panes = rows.groupBy(pane, *rule.keys).agg(F.count("*").alias("n"), F.hll_sketch_agg(F.col(rule.distinct).cast("string")).alias("values"))
+        merged = panes.groupBy(sliding, *rule.keys).agg(hits, F.hll_union_agg("values").alias("values"))
+        return merged.withColumn("distinct_values", F.hll_sketch_estimate("values")).drop("values")
+    panes = rows.groupBy(pane, *rule.keys, F.col(rule.distinct).alias("__value")).agg(F.count("*").alias("n"))
+    return panes.groupBy(sliding, *rule.keys).agg(hits, F.count_distinct("__value").alias("distinct_values"))
 
 
 def rule_table(spark, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Rule metadata as a dimension; its size is the number of rules in code."""
-    rows = [(r.id, r.name, r.severity, r.risk, r.technique, r.chain, r.min_count, r.min_distinct) for r in rules]
+    rows = [(r.id, r.name, r.severity, r.risk, r.technique, list(r.techniques), list(r.tactics), r.chain, r.min_count, r.min_distinct) for r in rules]
     return spark.createDataFrame(
-        rows, "rule_id string, rule_name string, severity string, risk int, technique string, chain string, min_count int, min_distinct int"
+        rows,
+        "rule_id string, rule_name string, severity string, risk int, technique string, techniques array<string>, tactics array<string>, chain string, min_count int, min_distinct int",
     )
 
 
@@ -185,11 +242,18 @@ def run_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, ts: str = "ts") ->
 
 
 def attach_rule_metadata(hits: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Severity, risk and technique for hits that carry only a rule id; the dimension holds one row per rule in code."""
+    """Severity, risk, techniques and tactics for hits that carry only a rule id; the dimension holds one row per rule in code."""
     dimension = rule_table(hits.sparkSession, rules).drop("min_count", "min_distinct")
     return hits.join(F.broadcast(dimension), "rule_id", "left")
 
 
+def tactic_coverage(hits: DataFrame, keys: list[str], row_id: str = "id") -> DataFrame:
+    """Per key and tactic the hits and the different techniques; a rule with several tactics counts under each, without techniques nowhere."""
+    of = F.create_map(*[F.lit(x) for pair in TACTICS.items() for x in pair])
+    rows = hits.select(*keys, row_id, F.explode("techniques").alias("technique")).withColumn("tactic", F.try_element_at(of, F.col("technique")))
+    return rows.groupBy(*keys, "tactic").agg(F.count_distinct("technique").alias("techniques"), F.count_distinct(row_id).alias("hits"))
+
+
 # ---- DNS ------------------------------------------------------------------------------------------------------
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from skyledger.functions import fixed_values as fx
 from skyledger.functions.columns import field, fill, ipv4_number, nest
 from skyledger.functions.joins import checked_broadcast, lookup_map
-from skyledger.session import cut_lineage
+from skyledger.session import scratch_path
 
 _MAP = "map<string,string>"
 
@@ -283,47 +283,59 @@ def duration_ns(df: DataFrame) -> DataFrame:
 # ---- enrichment -----------------------------------------------------------------------------------------------
 
 
-def geo_of(ips: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Geography of distinct addresses from disjoint ranges (ip_start, ip_end, ...).
+#: Addresses of one row of the interval index.
+GEO_BLOCK = 65536
 
-    Ranges are clipped to /16 blocks and merged with the addresses in number order, so an address is compared with
-    one range only.  A block holds at most 65,536 addresses and as many ranges.
-    """
-    from pyspark.sql import Window
 
-    geo_cols = [c for c in ranges.columns if c not in ("ip_start", "ip_end")]
-    block = 65536
-    spans = ranges.withColumn(
-        "block", F.explode(F.sequence(F.floor(F.col("ip_start") / block), F.floor(F.col("ip_end") / block)))
-    )
-    low = F.greatest(F.col("ip_start"), F.col("block") * block)
-    high = F.least(F.col("ip_end"), F.col("block") * block + (block - 1))
-    r = spans.select("block", low.alias("num"), F.lit(0).alias("side"), F.lit(None).cast("string").alias("ip"),
-                     F.struct(high.alias("high"), *geo_cols).alias("geo"))
-    numbered = ips.select("ip", ipv4_number(F.col("ip")).alias("num")).filter(F.col("num").isNotNull())
-    p = numbered.select(F.floor(F.col("num") / block).alias("block"), "num", F.lit(1).alias("side"), "ip", F.lit(None).alias("geo"))
-    w = Window.partitionBy("block").orderBy("num", "side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = r.unionByName(p).withColumn("geo", F.last("geo", ignorenulls=True).over(w)).filter("side = 1")
-    return seen.filter(F.col("num") <= F.col("geo.high")).select("ip", *[F.col("geo").getField(c).alias(c) for c in geo_cols])
+def geo_index(ranges: DataFrame) -> DataFrame:
+    """An interval index of disjoint ranges (ip_start, ip_end, ...): per block of 65,536 addresses the sorted lower bounds and what starts there.
+
+    It is written to the shared folder, so Spark knows its bytes and broadcasts it only if it is small.
+    """
+    values = F.struct(*[F.col(c) for c in ranges.columns if c not in ("ip_start", "ip_end")])
+    blocks = F.explode(F.sequence(F.floor(F.col("ip_start") / GEO_BLOCK), F.floor(F.col("ip_end") / GEO_BLOCK)))
+    parts = ranges.filter("ip_start <= ip_end").withColumn("__block", blocks)
+    low = F.greatest(F.col("ip_start"), F.col("__block") * GEO_BLOCK).alias("low")
+    sorted_parts = F.array_sort(F.collect_list(F.struct(low, F.col("ip_end").alias("high"), values.alias("geo"))))
+    index = parts.groupBy("__block").agg(sorted_parts.alias("__spans"))
+    index = index.select("__block", F.col("__spans.low").alias("__lows"), F.transform("__spans", lambda s: s.dropFields("low")).alias("__spans"))
+    path = scratch_path(ranges.sparkSession, "geo-index")
+    index.write.parquet(path)
+    return ranges.sparkSession.read.schema(index.schema).parquet(path)
+
+
+def _search(lows: Column, number: Column) -> Column:
+    """How many of the sorted bounds are at most ``number``, by halving."""
+    def halve(state: Column, _: Column) -> Column:
+        low, high = state.getField("low"), state.getField("high")
+        middle = F.floor((low + high) / 2).cast("int")
+        right = F.get(lows, middle) <= number
+        step = F.struct(F.when(right, middle + 1).otherwise(low).alias("low"), F.when(right, high).otherwise(middle).alias("high"))
+        return F.when(low < high, step).otherwise(state)
+
+    rounds = F.array(*[F.lit(i) for i in range(GEO_BLOCK.bit_length())])
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("low"), F.size(lows).alias("high")), halve, lambda state: state.getField("low"))
 
 
 def geo_enrich(df: DataFrame, ranges: DataFrame, ip_columns: tuple[str, ...] = ("source.ip", "client.ip", "destination.ip")) -> DataFrame:
     """Geography of each address column, as ``<side>.geo.<column>``; unknown addresses stay NULL.
 
-    Each distinct address is looked up once and the result is written to the shared checkpoint folder.  Only when that
-    table is proven small is it broadcast; else the rows shuffle by address and adaptive execution splits hot ones.
+    Rows are read once, also as a stream: each address meets the one row of its block in the interval index and is found there by binary
+    search.  A large index shuffles rows by block, where adaptive execution splits busy blocks.
     """
     present = [c for c in ip_columns if c in df.columns]
     if not present:
         return df
-    ips = df.select(F.explode(F.array_compact(F.array(*[F.col(f"`{c}`") for c in present]))).alias("ip")).distinct()
-    found = checked_broadcast(cut_lineage(geo_of(ips, ranges)), max_rows=1_000_000)
-    geo_cols = [c for c in found.columns if c != "ip"]
+    index = geo_index(ranges)
+    geo_cols = [c for c in ranges.columns if c not in ("ip_start", "ip_end")]
     out = df
     for c in present:
         side = c.rsplit(".", 1)[0]
-        named = found.select(F.col("ip").alias("__ip"), *[F.col(g).alias(f"{side}.geo.{g}") for g in geo_cols])
-        out = out.join(named, F.col(f"`{c}`") == F.col("__ip"), "left").drop("__ip")
+        out = out.withColumn("__num", ipv4_number(F.col(f"`{c}`"))).withColumn("__of", F.floor(F.col("__num") / GEO_BLOCK))
+        out = out.join(index, F.col("__of") == F.col("__block"), "left")
+        out = out.withColumn("__span", F.get("__spans", _search(F.col("__lows"), F.col("__num")) - 1))
+        hit = F.when(F.col("__num") <= F.col("__span.high"), F.col("__span.geo"))
+        out = out.withColumns({f"{side}.geo.{g}": hit.getField(g) for g in geo_cols}).drop("__num", "__of", "__block", "__lows", "__spans", "__span")
     return out
 
 

@@ -74,9 +74,24 @@ FROM #base
 
 # Log rows as the streams that detection rules name.
 VIEWS["rule_logs"] = """
-SELECT l.*, CASE (user_id + k) % 10 WHEN 0 THEN 'aws.mwaa' WHEN 1 THEN 'gcp.composer' WHEN 2 THEN 'aws.athena' WHEN 3 THEN 'aws.emr'
+SELECT l.*, CASE (user_id + k) % 17 WHEN 0 THEN 'aws.mwaa' WHEN 1 THEN 'gcp.composer' WHEN 2 THEN 'aws.athena' WHEN 3 THEN 'aws.emr'
   WHEN 4 THEN 'aws.s3access' WHEN 5 THEN 'aws.guardduty' WHEN 6 THEN 'aws.securityhub_findings' WHEN 7 THEN 'aws.securitylake'
-  WHEN 8 THEN 'aws.waf' ELSE 'aws.cloudtrail' END AS stream
+  WHEN 8 THEN 'aws.waf' WHEN 9 THEN 'gcp.bigquery' WHEN 10 THEN 'azure.synapse' WHEN 11 THEN 'gcp.dataproc' WHEN 12 THEN 'azure.databricks'
+  WHEN 13 THEN 'gcp.gcs' WHEN 14 THEN 'azure.blobstorage' WHEN 15 THEN 'azure.datafactory' ELSE 'aws.cloudtrail' END AS stream
+FROM #logs l
+"""
+
+_JOB_STREAMS = (
+    "aws.vpcflow aws.guardduty aws.waf aws.cloudtrail aws.securityhub aws.macie aws.inspector aws.config aws.kms aws.lambda aws.ec2 aws.alb "
+    "aws.apigateway aws.route53 aws.rds aws.kinesis aws.sqs aws.eventbridge aws.glue aws.athena aws.emr aws.s3access aws.iotcore aws.xray "
+    "apm.transaction apm.span azure.openai gcp.vertexai"
+).split()
+
+# Log rows as streams of the job catalogue, with the fields of a service's resource and responses.
+VIEWS["job_logs"] = f"""
+SELECT l.*, CASE (user_id + k * 7) % {len(_JOB_STREAMS)} {" ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_JOB_STREAMS))} END AS stream,
+  'res-' || CAST(user_id % 3 AS STRING) AS resource, CASE k % 8 WHEN 0 THEN 503 WHEN 1 THEN 429 ELSE 200 END AS status_code,
+  k % 6 = 0 AS cold_start, CAST(1024 + k % 40 AS STRING) AS dst_port
 FROM #logs l
 """
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyledger.operators import anomalies as a
-from skyledger.operators import dashboards
+from skyledger.operators import dashboards, job_catalogue
 from skyledger.operators import traces as t
 from skyledger.plans.adapters import view
 from skyledger.plans.dashboard_queries import logs, tb
@@ -61,14 +61,12 @@ def _(spark, sf):
     return a.low_mean(logs(spark, sf), "duration_ms", ["host"], span=SPAN)
 
 
-@query("a06_low_count", f"""WITH c AS (SELECT dataset, {tb(SPAN)} AS bucket, count(*) AS n FROM v_logs WHERE NOT (dataset = 'gcp.audit' AND ts >= TIMESTAMP '2024-01-20 00:00:00') GROUP BY 1, 2),
+@query("a06_low_count", f"""WITH c AS (SELECT dataset, {tb(SPAN)} AS bucket, count(*) AS n FROM v_logs GROUP BY 1, 2),
   s AS (SELECT dataset, unnest(generate_series(min(bucket), TIMESTAMP '2024-02-01 00:00:00' - INTERVAL '{SPAN}', INTERVAL '{SPAN}')) AS bucket FROM c GROUP BY 1),
   b AS (SELECT s.dataset, s.bucket, coalesce(c.n, 0) AS x FROM s LEFT JOIN c ON c.dataset = s.dataset AND c.bucket = s.bucket){SCORED.format(key="dataset", gap="(mean - x)")}
   SELECT bucket, dataset, CAST(x AS DOUBLE) AS actual, anomaly_score FROM z WHERE anomaly_score > 0""")
 def _(spark, sf):
-    """One stream falls silent on the twentieth and stays so."""
-    silent = (F.col("dataset") == "gcp.audit") & (F.col("ts") >= F.lit("2024-01-20 00:00:00").cast("timestamp"))
-    return a.low_count(logs(spark, sf).filter(~silent), ["dataset"], span=SPAN, as_of="2024-02-01 00:00:00")
+    return a.low_count(logs(spark, sf), ["dataset"], span=SPAN, as_of="2024-02-01 00:00:00")
 
 
 @query("a07_rare", f"""WITH s AS (SELECT finding_type, qname, {tb(SPAN)} AS bucket, ts FROM v_logs)
@@ -143,6 +141,58 @@ def _(spark, sf):
     return a.run_rare_jobs(logs(spark, sf), span=SPAN)
 
 
+def job_logs(spark, sf):
+    """Log rows with the catalogue's stream as their dataset."""
+    return view(spark, sf, "job_logs").withColumn("dataset", F.col("stream")).drop("stream")
+
+
+JOB_COLUMNS = """id ts dataset region account kind category action level outcome severity_num severity user_name target_user src_ip dst_ip country host bytes direction duration_ms
+  error_code error_type message session qname rcode rule_category rule_name tactic technique finding_type bucket_name object_key requester additional_count dag_id
+  rows_returned workgroup resource status_code cold_start dst_port""".split()
+METRIC_JOBS = [j for j in job_catalogue.split_runnable(JOB_COLUMNS)[0] if j.function != "rare"]
+RARE_VALUES = [j for j in job_catalogue.split_runnable(JOB_COLUMNS)[0] if j.function == "rare"]
+
+
+def _catalogue_sql(until: str = "TIMESTAMP '2024-02-01 00:00:00'") -> str:
+    """Every runnable metric job written out as a query of its own over the rows of its stream."""
+    value = {"high_sum": "sum({c})", "high_mean": "sum({c}) / CAST(count({c}) AS DOUBLE)", "low_mean": "sum({c}) / CAST(count({c}) AS DOUBLE)", "high_max": "max({c})"}
+    series = " UNION ALL ".join(
+        f"SELECT '{j.id}' AS job_id, '{j.function}' AS function, {f'CAST({j.by} AS VARCHAR)' if j.by else repr('*')} AS partition_value, {tb(SPAN)} AS bucket, "
+        f"CAST({value.get(j.function, 'count(*)').format(c=j.field)} AS DOUBLE) AS x FROM j WHERE stream = '{j.stream}' AND ({job_catalogue.CONDITIONS[j.condition][1]}) GROUP BY 3, 4"
+        for j in METRIC_JOBS
+    )
+    return f"""WITH j AS MATERIALIZED (SELECT * FROM v_job_logs), c AS MATERIALIZED ({series}),
+  s AS (SELECT job_id, function, partition_value, unnest(generate_series(min(bucket), {until} - INTERVAL '{SPAN}', INTERVAL '{SPAN}')) AS bucket FROM c WHERE function LIKE '%_count' GROUP BY 1, 2, 3),
+  f AS (SELECT s.*, coalesce(c.x, 0) AS x FROM s LEFT JOIN c ON c.job_id = s.job_id AND c.function = s.function AND c.bucket = s.bucket AND c.partition_value IS NOT DISTINCT FROM s.partition_value
+    UNION ALL SELECT job_id, function, partition_value, bucket, x FROM c WHERE function NOT LIKE '%_count'),
+  m AS (SELECT *, avg(x) OVER w AS mean, stddev_samp(x) OVER w AS sd, count(x) OVER w AS seen FROM f
+    WINDOW w AS (PARTITION BY job_id, function, partition_value ORDER BY bucket ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)),
+  z AS (SELECT *, round(100 * (1 - exp(-greatest(CASE WHEN function LIKE 'low_%' THEN mean - x ELSE x - mean END / greatest(sd, 1e-9) - 2, 0) / 3)), 3) AS anomaly_score FROM m WHERE seen >= 8)
+  SELECT job_id, partition_value, bucket AS ts, x AS actual, anomaly_score FROM z WHERE anomaly_score > 0"""
+
+
+@query("a12_full_catalogue", _catalogue_sql())
+def _(spark, sf):
+    """Every catalogued job that the rows have the fields for, up to a fixed instant."""
+    return job_catalogue.run_catalogue(job_logs(spark, sf), span=SPAN, as_of="2024-02-01 00:00:00")
+
+
+def _rare_catalogue_sql() -> str:
+    rows = " UNION ALL ".join(
+        f"SELECT '{j.id}' AS job_id, {f'CAST({j.by} AS VARCHAR)' if j.by else repr('*')} AS partition_value, CAST({j.field} AS VARCHAR) AS value, {tb(SPAN)} AS bucket, ts FROM j WHERE stream = '{j.stream}'"
+        for j in RARE_VALUES
+    )
+    return f"""WITH j AS MATERIALIZED (SELECT * FROM v_job_logs), s AS MATERIALIZED ({rows}),
+  p AS (SELECT job_id, partition_value, count(DISTINCT bucket) AS buckets_total FROM s GROUP BY 1, 2),
+  v AS (SELECT job_id, partition_value, value, count(DISTINCT bucket) AS buckets_seen, count(*) AS events, min(ts) AS first_seen FROM s GROUP BY 1, 2, 3)
+  SELECT v.*, buckets_total FROM v JOIN p USING (job_id, partition_value) WHERE buckets_seen / buckets_total <= 0.05"""
+
+
+@query("a12_full_rare", _rare_catalogue_sql())
+def _(spark, sf):
+    return job_catalogue.run_rare_catalogue(job_logs(spark, sf), span=SPAN)
+
+
 @query("q22_anomaly_leaderboard", f"""SELECT job_id, max(anomaly_score) AS max_score, max(ts) AS latest FROM ({_jobs_sql()})
   WHERE anomaly_score > 0 AND job_id LIKE 'aws-%' GROUP BY job_id ORDER BY max_score DESC, job_id LIMIT 20""")
 def _(spark, sf):

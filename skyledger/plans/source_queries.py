@@ -94,13 +94,27 @@ def _(spark, sf):
     return stored_rows.select(F.lit(done["created"]).cast("bigint").alias("created"), F.lit(done["skipped"]).cast("bigint").alias("skipped"))
 
 
+@query("s07_filtered_append", """WITH c AS (SELECT count(*) AS orders, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished, count(*) FILTER (WHERE o_orderstatus = 'O') AS open FROM orders),
+  l AS (SELECT count(*) AS items FROM lineitem)
+  SELECT step, created, skipped, groups_read FROM c, l, (VALUES
+    (1, c.finished, 0, 0), (2, c.open, 0, 0), (3, c.orders - c.finished - c.open, c.finished, 1), (4, 0, l.items, 3)) v(step, created, skipped, groups_read)""")
+def _(spark, sf):
+    """Finished orders, open orders, then all orders that are not open, then every line item's order: only groups that may hold a key are read."""
+    path = scratch_path(spark, "filtered")
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus")
+    items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.lit("?").alias("o_orderstatus"))
+    offers = [orders.where("o_orderstatus = 'F'"), orders.where("o_orderstatus = 'O'"), orders.where("o_orderstatus <> 'O'"), items]
+    done = [sinks.append_filtered(offer, path, "id") for offer in offers]
+    return spark.createDataFrame([(i + 1, d["created"], d["skipped"], d["groups_read"]) for i, d in enumerate(done)], "step int, created bigint, skipped bigint, groups_read int")
+
+
 @query("s08_size_capped_write", """SELECT count(*) AS lines, TRUE AS within_cap, CAST(sum(doc_id) AS BIGINT) AS ids, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS lost,
   CAST(sum(CASE WHEN strlen(text) > 1048576 THEN 1 ELSE 0 END) AS BIGINT) AS oversized FROM documents""")
 def _(spark, sf):
     path = scratch_path(spark, "capped")
     docs = table(spark, sf, "documents")
     written = sinks.size_capped_write(docs, path, "doc_id", max_bytes=1024 * 1024)
-    back = spark.read.text(path).select("unit", "value", F.from_json("value", "doc_id long, text string").alias("d"))
+    back = spark.read.text(path).select(F.col("_metadata.file_path").alias("unit"), "value", F.from_json("value", "doc_id long, text string").alias("d"))
     units = back.groupBy("unit").agg(F.count("*").alias("n"), F.sum(F.octet_length("value") + 1).alias("size"), F.sum("d.doc_id").alias("ids"), F.sum(F.length("d.text")).alias("chars"))
     lost = docs.join(back.select("d.doc_id"), "doc_id", "left_anti").agg(F.count("*").alias("lost"))
     sums = units.agg(F.sum("n").alias("lines"), (F.max("size") <= 1024 * 1024).alias("within_cap"), F.sum("ids").alias("ids"), F.sum("chars").cast("bigint").alias("chars"))

@@ -14,7 +14,7 @@ from skyledger.plans.dashboard_queries import tb
 from skyledger.plans.normalize_queries import raw_columns
 from skyledger.plans.registry import query
 from skyledger.session import scratch_path
-from skyledger.streaming import jobs
+from skyledger.streaming import jobs, state
 from skyledger.streaming.stages import stage_stream
 
 
@@ -71,7 +71,9 @@ def _(spark, sf):
   z AS (SELECT *, round(100 * (1 - exp(-greatest((x - mean) / greatest(sd, 1e-9) - 2, 0) / 3)), 3) AS anomaly_score FROM m WHERE seen >= 8)
   SELECT bucket, host, x AS actual, anomaly_score FROM z WHERE anomaly_score > 0""")
 def _(spark, sf):
-    return jobs.score_buckets(finished(spark, jobs.bucket_stream(stream_of(spark, sf, "logs"), ["host"], "1 hour")), ["host"])
+    """Each bucket is scored in the stream as it closes."""
+    closed = jobs.bucket_stream(stream_of(spark, sf, "logs"), ["host"], "1 hour").withColumn("mean_ms", F.col("total_ms") / F.col("events"))
+    return finished(spark, state.score_closed_buckets(closed, ["host"], "mean_ms"))
 
 
 @query("r06_attack_sessions", f"""WITH g AS (SELECT user_name, ts, action, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_name ORDER BY ts) < INTERVAL '2 hours' THEN 0 ELSE 1 END AS new FROM v_logs),
@@ -82,16 +84,25 @@ def _(spark, sf):
     return finished(spark, jobs.attack_sessions(stream_of(spark, sf, "logs"), "user_name", "2 hours"))
 
 
-@query("r07_stage_tracker", f"""WITH a AS (SELECT user_name, ts AS t1 FROM v_logs WHERE action = 'ListUsers'),
+CHAINS_CTE = f"""WITH a AS (SELECT user_name, ts AS t1 FROM v_logs WHERE action = 'ListUsers'),
   b AS (SELECT a.*, (SELECT min(l.ts) FROM v_logs l WHERE l.user_name = a.user_name AND l.action = 'CreateAccessKey' AND l.ts > a.t1) AS t2 FROM a),
   c AS (SELECT b.*, (SELECT min(l.ts) FROM v_logs l WHERE l.user_name = b.user_name AND l.action = 'AttachUserPolicy' AND l.ts > b.t2) AS t3 FROM b),
-  d AS (SELECT c.*, (SELECT min(l.ts) FROM v_logs l WHERE l.user_name = c.user_name AND l.action = 'AssumeRole' AND l.ts > c.t3) AS t4 FROM c)
-  SELECT * FROM d WHERE t4 <= t1 + INTERVAL '3 days' AND t4 <= date_trunc('milliseconds', {CLOSED})""")
+  d AS (SELECT c.*, (SELECT min(l.ts) FROM v_logs l WHERE l.user_name = c.user_name AND l.action = 'AssumeRole' AND l.ts > c.t3) AS t4 FROM c),
+  done AS (SELECT * FROM d WHERE t4 <= t1 + INTERVAL '3 days' AND t4 <= date_trunc('milliseconds', {CLOSED}))"""
+
+
+@query("r07_stage_tracker", CHAINS_CTE + " SELECT * FROM done")
 def _(spark, sf):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    state.use_rocksdb(spark)
     return finished(spark, stage_stream(stream_of(spark, sf, "logs"), "user_name", PRIVESC_ACTIONS, 3 * 86400))
 
 
+@query("r07_newest_chains", CHAINS_CTE + " SELECT user_name, max(t1) AS t1, arg_max(t2, t1) AS t2, arg_max(t3, t1) AS t3, t4 FROM done GROUP BY user_name, t4")
+def _(spark, sf):
+    """The tightest form of each completed chain, from one open chain a stage and user."""
+    return finished(spark, state.newest_chains(stream_of(spark, sf, "logs"), "user_name", PRIVESC_ACTIONS, 3 * 86400))
+
+
 @query("r08_alert_audit_join", """WITH e AS (SELECT * FROM v_logs WHERE action IN ('ListUsers', 'CreateAccessKey', 'AttachUserPolicy', 'AssumeRole')),
   closed AS (SELECT least((SELECT max(ts) FROM e), (SELECT max(ts) FROM v_alerts)) - INTERVAL '120 seconds' AS t),
   p AS (SELECT a.id, e.ts, e.src_ip, e.user_name, row_number() OVER (PARTITION BY a.id ORDER BY e.ts DESC, e.id DESC) AS rn FROM v_alerts a
@@ -106,6 +117,18 @@ def _(spark, sf):
     return jobs.latest_match(earlier.unionByName(own))
 
 
+@query("r08_alert_latest_event", """WITH e AS (SELECT * FROM v_logs WHERE action IN ('ListUsers', 'CreateAccessKey', 'AttachUserPolicy', 'AssumeRole')),
+  closed AS (SELECT date_trunc('milliseconds', least((SELECT max(ts) FROM e), (SELECT max(ts) FROM v_alerts))) - INTERVAL '120 seconds' AS t),
+  p AS (SELECT a.id, e.ts, e.id AS event_id, e.src_ip, e.user_name, row_number() OVER (PARTITION BY a.id ORDER BY e.ts DESC, e.id DESC) AS rn FROM v_alerts a
+    JOIN e ON e.host = a.host AND e.ts <= a.ts AND e.ts >= a.ts - INTERVAL '1 hour')
+  SELECT a.id AS alert_id, a.ts AS alert_ts, p.ts AS event_ts, p.event_id, p.src_ip, p.user_name AS event_user FROM v_alerts a LEFT JOIN p ON p.id = a.id AND rn = 1
+  WHERE a.ts <= (SELECT t FROM closed)""")
+def _(spark, sf):
+    """One row per alert that the watermark has passed, from one state operator over both streams."""
+    audited = stream_of(spark, sf, "logs").filter(F.col("action").isin(*PRIVESC_ACTIONS))
+    return finished(spark, state.alerts_with_latest_event(stream_of(spark, sf, "alerts"), audited))
+
+
 @query("r09_stream_static_assets", """WITH c AS (SELECT host, ci_id, owner, row_number() OVER (PARTITION BY host ORDER BY ts DESC, ci_id DESC) AS rn FROM v_ci)
   SELECT a.id, a.host, c.ci_id, c.owner AS ci_owner FROM v_alerts a LEFT JOIN c ON c.host = a.host AND rn = 1""")
 def _(spark, sf):

@@ -154,6 +154,58 @@ def test_impact_ends_on_cycles(spark):
     assert [(r["item"], r["distance"]) for r in up.collect()] == [("c", 1)]
 
 
+def test_impact_of_many_roots(spark):
+    """Two hundred roots, three and a bit words of bits, on a random graph with cycles, against a search from each root."""
+    import random
+
+    rng = random.Random(1)
+    edges = {(f"n{rng.randrange(300)}", f"n{rng.randrange(300)}") for _ in range(500)} | {("hub", f"n{i}") for i in range(100)} | {("n0", "hub")}
+    roots = [f"n{i}" for i in range(200)] + ["hub", "nowhere", "n5"]
+    expected = set()
+    for root in set(roots):
+        seen, frontier = {root}, {root}
+        for step in range(1, 4):
+            frontier = {b for a, b in edges if a in frontier} - seen
+            seen |= frontier
+            expected |= {(root, item, step) for item in frontier}
+    frames = spark.createDataFrame(sorted(edges) * 2, "parent string, child string").repartition(4), spark.createDataFrame([(r,) for r in roots], "root string")
+    got = c.ci_impact(*frames, 3).collect()
+    assert len(got) == len(expected) and {tuple(r) for r in got} == expected
+
+
+def test_silence_up_to_now_is_a_low_count(spark):
+    """A stream that stops is scored until ``as_of``; one that goes on is not."""
+    from skyledger.operators import anomalies as a
+    from skyledger.operators.job_catalogue import CatalogueJob, run_catalogue
+
+    rows = [(T0 + dt.timedelta(minutes=m), s, "r") for s, end in (("stops", 60 * 12), ("goes on", 60 * 14)) for m in range(0, end, 3)]
+    df = spark.createDataFrame(rows, "ts timestamp, dataset string, resource string")
+    found = a.low_count(df, ["dataset"], span="1 hour", as_of="2024-01-01 14:00:00").collect()
+    assert [(r["dataset"], r["bucket"].hour, r["actual"]) for r in found] == [("stops", 12, 0.0), ("stops", 13, 0.0)]
+    jobs = (CatalogueJob("quiet", "stops", "all", "low_count", None, "resource"), CatalogueJob("quiet too", "goes on", "all", "low_count", None, None))
+    found = run_catalogue(df, jobs, "1 hour", "2024-01-01 14:00:00").collect()
+    assert sorted((r["job_id"], r["partition_value"], r["ts"].hour) for r in found) == [("quiet", "r", 12), ("quiet", "r", 13)]
+
+
+def test_the_catalogue_names_what_is_missing():
+    from skyledger.operators.job_catalogue import CATALOGUE, split_runnable
+
+    assert len({j.id for j in CATALOGUE}) >= 105
+    every = sorted({c for j in CATALOGUE for c in j.reads})
+    assert split_runnable(every) == (CATALOGUE, {})
+    able, missing = split_runnable(["bytes", "src_ip", "outcome"])
+    assert {j.id for j in able} == {"aws-vpcflow-high-denied-count", "aws-waf-high-block-rate", "aws-cloudtrail-rare-source-ip"} | {j.id for j in CATALOGUE if set(j.reads) <= {"outcome"}}
+    assert missing["aws-eks-rare-image"] == ("image",) and missing["aws-lambda-throttle-spike"] == ("throttles", "resource")
+
+
+def test_tactics_of_a_rule_with_several_techniques(spark):
+    assert d.RULE_BY_ID["D06"].techniques == ("T1071.004", "T1048.003") and d.RULE_BY_ID["D06"].tactics == ("Command and Control", "Exfiltration")
+    assert all(t in d.TACTICS for r in d.RULES for t in r.techniques)
+    hits = spark.createDataFrame([(1, "h", "D06"), (2, "h", "D09"), (3, "h", "D01"), (4, "h", "D99")], "id int, host string, rule_id string")
+    got = {r["tactic"]: (r["techniques"], r["hits"]) for r in d.tactic_coverage(d.attach_rule_metadata(hits), ["host"]).collect()}
+    assert got == {"Command and Control": (1, 1), "Exfiltration": (1, 2), "Reconnaissance": (1, 1)}
+
+
 def test_one_pass_equals_single_rules(spark, sf_dir):
     from skyledger.plans.adapters import view
 

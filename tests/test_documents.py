@@ -178,6 +178,32 @@ def test_append_only_new(spark, tmp_path):
     assert sinks.append_new(batch(None), path, "id", spark.read.parquet(path)) == {"created": 1, "skipped": 0}
 
 
+def test_filtered_appends_read_only_groups_that_may_repeat(spark, tmp_path):
+    path = str(tmp_path / "t")
+    batch = lambda ids: spark.createDataFrame([(i, f"v{i}") for i in ids], "id int, v string")
+    assert sinks.append_filtered(batch([*range(1000), 5, 5]), path, "id") == {"created": 1000, "skipped": 2, "groups_read": 0}
+    assert sinks.append_filtered(batch(range(1000, 3000)), path, "id") == {"created": 2000, "skipped": 0, "groups_read": 0}
+    assert sinks.append_filtered(batch(range(2990, 3010)), path, "id") == {"created": 10, "skipped": 10, "groups_read": 1}
+    assert sinks.append_filtered(batch([0, 1500, 3005]), path, "id") == {"created": 0, "skipped": 3, "groups_read": 3}
+    assert sinks.append_filtered(batch([None, None, 3005, 9999]), path, "id") == {"created": 3, "skipped": 1, "groups_read": 1}
+    assert sinks.append_filtered(batch([]), path, "id") == {"created": 0, "skipped": 0, "groups_read": 0}
+    rows = spark.read.parquet(f"{path}/rows").collect()
+    assert len(rows) == 3013 and sorted(r["id"] for r in rows if r["id"] is not None) == [*range(3010), 9999]
+
+
+def test_appends_whose_filter_is_missing_are_read(spark, tmp_path):
+    """A failure between the rows and their filter never lets a known key pass."""
+    import shutil
+
+    path = str(tmp_path / "t")
+    batch = lambda ids: spark.createDataFrame([(i,) for i in ids], "id int")
+    sinks.append_filtered(batch(range(50)), path, "id")
+    sinks.append_filtered(batch(range(50, 80)), path, "id")
+    (first,) = [g for g in (tmp_path / "t" / "sizes").iterdir() if g.name.startswith("group=") and spark.read.parquet(f"{path}/rows/{g.name}").count() == 50]
+    shutil.rmtree(first)
+    assert sinks.append_filtered(batch([7, 60, 90]), path, "id") == {"created": 1, "skipped": 2, "groups_read": 2}
+
+
 def test_units_stay_below_the_cap(spark, tmp_path):
     import glob
     import os

@@ -101,6 +101,41 @@ def test_geo_borders_and_bad_addresses(spark):
     assert out == {"1.0.0.0": "AU", "1.0.0.255": "AU", "1.0.1.0": "CN", "1.255.255.255": "CN", "2.0.0.0": None, "1.2.3": None, "999.1.1.1": None, None: None}
 
 
+def test_geo_index_finds_what_a_scan_of_the_ranges_finds(spark):
+    """Random disjoint ranges from one address to several blocks long, looked up at and around their borders."""
+    import random
+
+    rng = random.Random(5)
+    low, ranges = 1 << 24, []
+    for i in range(400):
+        low += rng.choice([1, 1, 2, 500, 70_000])
+        high = low + rng.choice([0, 0, 3, 255, 65_535, 200_000])
+        ranges.append((low, high, f"c{i}"))
+        low = high
+    text = lambda x: ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
+    asked = sorted({x + d for a, b, _ in ranges for x in (a, b) for d in (-1, 0, 1)} | {rng.randrange(1 << 24, low) for _ in range(300)})
+    df = spark.createDataFrame([(text(x), text(asked[-1 - i])) for i, x in enumerate(asked)], "`source.ip` string, `destination.ip` string").repartition(5)
+    table = spark.createDataFrame(ranges, "ip_start long, ip_end long, country string")
+    rows = n.geo_enrich(df, table).collect()
+    of = {text(x): next((c for a, b, c in ranges if a <= x <= b), None) for x in asked}
+    assert len(rows) == len(asked)
+    assert all(r["source.geo.country"] == of[r["source.ip"]] and r["destination.geo.country"] == of[r["destination.ip"]] for r in rows)
+
+
+def test_geo_on_a_stream_and_its_scans(spark, tmp_path):
+    from skyledger.streaming import jobs
+
+    ranges = spark.createDataFrame([(16777216, 16777471, "AU")], "ip_start long, ip_end long, country string")
+    spark.createDataFrame([(1, "1.0.0.7"), (2, "9.9.9.9"), (3, None)], "id int, ip string").write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("id int, ip string").parquet(str(tmp_path / "in")).withColumnRenamed("ip", "source.ip")
+    out = n.geo_enrich(source, ranges).select("id", F.col("`source.geo.country`").alias("country"))
+    jobs.run_available(out, str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "AU"), (2, None), (3, None)]
+    rows = spark.read.parquet(str(tmp_path / "in")).withColumnRenamed("ip", "source.ip")
+    plan = n.geo_enrich(rows, ranges)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2  # the rows and the index
+
+
 def test_route_map_has_both_spellings(spark):
     names = spark.createDataFrame([("aws.lambda_logs",), ("aws.glue",), ("gcp.x",)], "dataset string")
     assert sorted(tuple(r) for r in n.service_route_map(names).collect()) == [
