@@ -9,12 +9,12 @@ A token's probability mixes its relative frequency after the previous token with
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.llm.common import arrow_batches, each_step, mix, stored
@@ -199,6 +199,12 @@ def _word_rows(counts: DataFrame, bits: int) -> DataFrame:
 
 def fit(docs: DataFrame, text: str = "text") -> Model:
     """Learn from every row of ``docs``; a NULL text counts as an empty one, which is an end alone."""
+    model = counted(docs, text)
+    return tuned(model, measure(docs.select(F.lit(0).alias("key"), F.col(text).alias("text")), model, "key", "text"))
+
+
+def counted(docs: DataFrame, text: str = "text") -> Model:
+    """A model with counts and filter, but without mixing weights."""
     spark = docs.sparkSession
     arrow_batches(spark)
     texts = docs.select(F.col(text).cast("string").alias("text"))
@@ -221,9 +227,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     size = segments.agg(F.sum(F.length("field").cast("long"))).first()[0] or 0
     context = spark.sparkContext
     shared = context.broadcast(_whole(segments, bits)) if size * 8 <= MAX_FILTER_BITS else None
-    model = Model(tokens, words, counts, bar, context.broadcast((known[order], n[order])), bits, segments, shared, np.zeros(len(VALUES)))
-    model.weights = _tune(texts, model)
-    return model
+    return Model(tokens, words, counts, bar, context.broadcast((known[order], n[order])), bits, segments, shared, np.zeros(len(VALUES)))
 
 
 def _whole(segments: DataFrame, bits: int) -> Filter:
@@ -247,18 +251,23 @@ def _distinct(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 Levels = Callable[[np.ndarray], np.ndarray]
 
 
-def _token_levels(tokens: np.ndarray, at: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per token: its level, its predecessor's and that of both."""
+def _token_levels(tokens: np.ndarray, at: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray]:
+    """Per token: its level, and that of it after its predecessor."""
     distinct, place = _distinct(tokens)
     own = levels(mix(distinct))[place]
+    distinct, place = _distinct(pairs(tokens, at))
+    return own, levels(distinct)[place]
+
+
+def _levels_before(own: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Levels of the predecessors; a text begins after an end, which is its last token, too."""
     before = np.empty_like(own)
     before[1:] = own[:-1]
-    before[at[:-1]] = levels(mix(np.array([END])))[0]
-    distinct, place = _distinct(pairs(tokens, at))
-    return own, before, levels(distinct)[place]
+    before[at[:-1]] = own[at[1:] - 1]
+    return before
 
 
-def _probabilities(own: np.ndarray, before: np.ndarray, pair: np.ndarray, total: int, vocabulary: int, left_out: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def _probabilities(own: np.ndarray, before: np.ndarray, pair: np.ndarray, total: int, vocabulary: int, left_out: float | np.ndarray = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """From levels: smoothed frequency, and relative frequency after the predecessor."""
     single = (np.maximum(VALUES[own] - left_out, 0.0) + 1.0) / (total + vocabulary + 1.0)
     both = np.maximum(VALUES[pair] - left_out, 0.0)
@@ -267,7 +276,7 @@ def _probabilities(own: np.ndarray, before: np.ndarray, pair: np.ndarray, total:
 
 def _asked(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Every n-gram that ``_token_levels`` looks up, sorted."""
-    return np.unique(np.concatenate([pairs(tokens, at), mix(_distinct(tokens)[0]), mix(np.array([END]))]))
+    return np.unique(np.concatenate([pairs(tokens, at), mix(_distinct(tokens)[0])]))
 
 
 def _each_step(rows: DataFrame, model: Model, work: Callable[[int, pa.Array, np.ndarray, np.ndarray, Levels], pa.RecordBatch], schema: str) -> DataFrame:
@@ -329,44 +338,18 @@ def _each_step(rows: DataFrame, model: Model, work: Callable[[int, pa.Array, np.
     return texts.groupBy("step").cogroup(answers.groupBy("step")).applyInArrow(finish, schema)
 
 
-def _tune(texts: DataFrame, model: Model) -> np.ndarray:
-    """Mixing weights by level of the first token: those that give all learned texts, each token left out of its counts, the best score.
+def measure(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", learned: Column | None = None) -> DataFrame:
+    """What the model knows of every token of ``docs``, written once, so that tuning and scoring read it instead of the texts.
 
-    Levels decide a token's score, so counts of their combinations are all that is summed.  A level that no token follows gets the weight of
-    the nearest one, the lower of two.
-    """
-    n_levels = len(VALUES)
-
-    def combinations(_number: int, _keys: pa.Array, tokens: np.ndarray, at: np.ndarray, levels: Levels) -> pa.RecordBatch:
-        own, before, both = _token_levels(tokens, at, levels)
-        found, n = np.unique((before * n_levels + own) * n_levels + both, return_counts=True)
-        return pa.RecordBatch.from_pydict({"levels": pa.array(found), "n": pa.array(n.astype(np.int64))})
-
-    rows = _each_step(texts.select(F.lit(0).alias("key"), "text"), model, combinations, "levels long, n long")
-    got = rows.groupBy("levels").agg(F.sum("n").alias("n")).orderBy("levels").toArrow()
-    found, n = got.column("levels").to_numpy(), got.column("n").to_numpy()
-    own, before, both = found // n_levels % n_levels, found // n_levels**2, found % n_levels
-    seen = np.unique(before)
-    if not len(seen):
-        return np.zeros(n_levels)
-    single, pair = _probabilities(own, before, both, model.tokens, model.words, 1.0)
-    sums = np.stack([np.bincount(before, n * np.log10(w * pair + (1.0 - w) * single), n_levels) for w in WEIGHTS], 1)
-    nearest = seen[np.abs(np.arange(n_levels)[:, None] - seen).argmin(1)]
-    return WEIGHTS[sums.argmax(1)][nearest]
-
-
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``key, n_tokens, n_known, base_score, score``.
-
-    ``base_score`` uses exact counts with one added: frequent words are looked up in the bounded broadcast table, the others by a join, in which
-    a word that the corpus holds often cannot occur.  ``score`` is the model's log10 probability.  Keys may be NULL or repeated; a NULL text
-    has one token, its end; other columns are not read.
+    Per row: ``row``, ``key`` (the key as ``of``, and whether the model ``learned`` from the row), ``n_tokens``, the levels of its tokens as bytes (``own``, and ``pair`` after the predecessor), and of the exact counts
+    those of the frequent words (``n_known``, ``base``) and the words that must be looked up (``rare``).
     """
     arrow_batches(docs.sparkSession)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    total, vocabulary, frequent, weights = model.tokens, model.words, model.frequent, model.weights
+    known_row = F.lit(False) if learned is None else F.coalesce(learned, F.lit(False))
+    rows = docs.select(F.struct(F.col(key).alias("of"), known_row.alias("learned")).alias("key"), F.col(text).cast("string").alias("text"))
+    frequent = model.frequent
 
-    def measure(number: int, keys: pa.Array, tokens: np.ndarray, at: np.ndarray, levels: Levels) -> pa.RecordBatch:
+    def note(number: int, keys: pa.Array, tokens: np.ndarray, at: np.ndarray, levels: Levels) -> pa.RecordBatch:
         known, n = frequent.value
         logs = np.log10(n + 1.0)
         distinct, of = _distinct(tokens)
@@ -375,23 +358,113 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         place[order] = np.minimum(np.searchsorted(known, distinct[order]), max(0, len(known) - 1))
         hit = known[place] == distinct if len(known) else np.zeros(len(distinct), bool)
         found, exact = hit[of], (np.where(hit, logs[place], 0.0) if len(known) else np.zeros(len(distinct)))[of]
-        own, before, both = _token_levels(tokens, at, levels)
-        single, pair = _probabilities(own, before, both, total, vocabulary)
-        weight = weights[before]
-        logged = np.log10(weight * pair + (1.0 - weight) * single)
-        sums = [np.add.reduceat(x, at[:-1]) for x in (found.astype(np.int64), exact, logged)]
+        sums = [np.add.reduceat(x, at[:-1]) for x in (found.astype(np.int64), exact)]
         rest = np.concatenate([[0], np.cumsum(~found)])[at].astype(np.int32)
+        offsets = pa.py_buffer(at.astype(np.int32))
+        packed = [pa.Array.from_buffers(pa.binary(), len(keys), [None, offsets, pa.py_buffer(x.astype(np.uint8))]) for x in _token_levels(tokens, at, levels)]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(number + np.arange(len(keys))), keys, pa.array(np.diff(at).astype(np.int64)), *map(pa.array, sums),
+                pa.array(number + np.arange(len(keys))), keys, pa.array(np.diff(at).astype(np.int64)), *map(pa.array, sums), *packed,
                 pa.ListArray.from_arrays(pa.array(rest), pa.array(tokens[~found].view(np.int64))),
             ],
-            names=["row", "key", "n_tokens", "n_known", "base", "score", "rare"],
+            names=["row", "key", "n_tokens", "n_known", "base", "own", "pair", "rare"],
         )
 
     kind = rows.schema["key"].dataType.simpleString()
-    measured = stored(_each_step(rows, model, measure, f"row long, key {kind}, n_tokens long, n_known long, base double, score double, rare array<long>"), "scores")
-    rare = measured.select("row", F.explode("rare").alias("word"))
-    looked = rare.join(model.counts.where(F.col("n") < model.bar), "word").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + F.lit(1.0))).alias("more_base"))
+    return stored(_each_step(rows, model, note, f"row long, key {kind}, n_tokens long, n_known long, base double, own binary, pair binary, rare array<long>"), "lm-levels")
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Own levels, pair levels and row offsets of a batch of measured rows."""
+    sides = []
+    for name in ("own", "pair"):
+        column = batch.column(name).cast(pa.large_binary())
+        _, offsets, data = column.buffers()
+        at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+        sides.append(np.frombuffer(data, np.uint8)[at[0] : at[-1]].astype(np.int64))
+    return *sides, at - at[0]
+
+
+def tuned(model: Model, measured: DataFrame) -> Model:
+    """``model`` with the mixing weights by level of the first token that give the measured rows, each token left out of its counts, the best score.
+
+    Levels decide a token's score, so counts of their combinations are all that is summed.  A level that no token follows gets the weight of
+    the nearest one, the lower of two.
+    """
+    n_levels = len(VALUES)
+
+    def combinations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(waiting), return_counts=True)
+            waiting.clear()
+            return pa.RecordBatch.from_pydict({"levels": pa.array(found.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+        for batch in batches:
+            if batch.num_rows:
+                own, both, at = _unpacked(batch)
+                waiting.append(((_levels_before(own, at) * n_levels + own) * n_levels + both).astype(np.int32))
+            if sum(map(len, waiting)) >= FLUSH_TOKENS:
+                yield flush()
+        if waiting:
+            yield flush()
+
+    rows = measured.select("own", "pair").mapInArrow(combinations, "levels long, n long")
+    got = rows.groupBy("levels").agg(F.sum("n").alias("n")).orderBy("levels").toArrow()
+    found, n = got.column("levels").to_numpy(), got.column("n").to_numpy()
+    own, before, both = found // n_levels % n_levels, found // n_levels**2, found % n_levels
+    seen = np.unique(before)
+    weights = np.zeros(n_levels)
+    if len(seen):
+        single, pair = _probabilities(own, before, both, model.tokens, model.words, 1.0)
+        sums = np.stack([np.bincount(before, n * np.log10(w * pair + (1.0 - w) * single), n_levels) for w in WEIGHTS], 1)
+        nearest = seen[np.abs(np.arange(n_levels)[:, None] - seen).argmin(1)]
+        weights = WEIGHTS[sums.argmax(1)][nearest]
+    return replace(model, weights=weights)
+
+
+def score_measured(measured: DataFrame, model: Model) -> DataFrame:
+    """``key, n_tokens, n_known, base_score, score`` of measured rows.
+
+    Rows that the model learned from are scored as if each token had occurred once less, so their scores compare with those of other rows: only
+    what occurs elsewhere, too, counts for them.  ``base_score`` uses exact counts with one added: the words that are not in the bounded table of frequent ones are joined, and the corpus
+    holds none of them often.
+    """
+    total, vocabulary, weights = model.tokens, model.words, model.weights
+    schema = measured.select("row", "key", "n_tokens", "n_known", "base").withColumn("score", F.lit(0.0)).schema
+    names = schema.names
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, both, at = _unpacked(batch)
+            before = _levels_before(own, at)
+            learned = batch.column("key").field("learned").to_numpy(zero_copy_only=False)
+            single, pair = _probabilities(own, before, both, total, vocabulary, np.repeat(learned.astype(float), np.diff(at)))
+            weight = weights[before]
+            logged = np.log10(weight * pair + (1.0 - weight) * single)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(np.add.reduceat(logged, at[:-1]))], names=names)
+
+    scored = measured.select("row", "key", "n_tokens", "n_known", "base", "own", "pair").mapInArrow(add_up, schema)
+    looked = measured.select("row", F.explode("rare").alias("word")).join(model.counts.where(F.col("n") < model.bar), "word")
+    looked = looked.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + F.lit(1.0))).alias("more_base"))
     base = F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(total + vocabulary + 1.0))
-    return measured.drop("rare").join(looked, "row", "left").select("key", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), base.alias("base_score"), "score")
+    return scored.join(looked, "row", "left").select(F.col("key.of").alias("key"), "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), base.alias("base_score"), "score")
+
+
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``key, n_tokens, n_known, base_score, score``.
+
+    ``score`` is the model's log10 probability of the text.  Keys may be NULL or repeated; a NULL text has one token, its end; other columns are not read.
+    """
+    return score_measured(measure(docs, model, key, text), model)
+
+
+def learn_and_score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text") -> tuple[Model, DataFrame]:
+    """A model of the rows where ``learn`` holds, and the scores of all rows, reading each text's n-grams once after the counts."""
+    model = counted(docs.where(learn), text)
+    measured = measure(docs, model, key, text, learn)
+    model = tuned(model, measured.where("key.learned"))
+    return model, score_measured(measured, model)

@@ -157,9 +157,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document by a model of six sevenths of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = crc_mod(F.col("doc_id"), 7) == 2
-    model = lm_scoring.fit(docs.where(~held_out))
-    scored = lm_scoring.score(docs, model)
+    model, scored = lm_scoring.learn_and_score(docs, crc_mod(F.col("doc_id"), 7) != 2)
     return scored.select(F.col("key").alias("doc_id"), (crc_mod(F.col("key"), 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -243,6 +243,69 @@ def test_jaccard_groups_of_many_near_copies(spark, monkeypatch):
         rows.append((i, " ".join(text)))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["key"]: (r["n_shingles"], r["component"]) for r in ngram_jaccard.join_groups(frame).collect()}
+def test_lm_scores_are_those_of_the_counts(edge, edge_rows):
+    """Levels from plain counts, the formula in plain Python; the filter only ever overstates, and rarely."""
+    held = crc_mod(F.col("doc_id"), 7) == 2
+    model, scored = lm_scoring.learn_and_score(edge, ~held)
+    measured = lm_scoring.measure(edge, model, learned=~held)
+    grams = Counter()
+    for k, t, *_ in edge_rows:
+        if zlib.crc32(("" if k is None else str(k)).encode()) % 7 != 2:
+            tokens = [*words(t), None]
+            grams.update([*((w,) for w in tokens), *zip([None, *tokens], tokens, strict=False)])
+    level = lambda gram: int(lm_scoring.level_of(np.array([grams[gram]]))[0])
+    texts = {}
+    for k, t, *_ in edge_rows:
+        texts.setdefault((k, len(words(t)) + 1), []).append(t)
+    same = total = 0
+    expected = Counter()
+    for r in measured.collect():
+        own, pair, learned = list(r["own"]), list(r["pair"]), float(r["key"]["learned"])
+        logs = 0.0
+        for i, (a, b) in enumerate(zip(own, pair, strict=True)):
+            before = own[i - 1] if i else own[-1]
+            count, both, first = (max(lm_scoring.VALUES[x] - learned, 0.0) for x in (a, b, before))
+            single = (count + 1) / (model.tokens + model.words + 1)
+            weight = model.weights[before]
+            logs += math.log10(weight * both / max(first, both, 1.0) + (1 - weight) * single)
+        expected[r["key"]["of"], len(own), round(logs, 6)] += 1
+        candidates = [[*words(t), None] for t in texts[r["key"]["of"], len(own)]]
+        exact = [([level((w,)) for w in c], [level(g) for g in zip([None, *c], c, strict=False)]) for c in candidates]
+        a, b = min(exact, key=lambda e: sum(abs(x - y) for x, y in zip(own + pair, e[0] + e[1], strict=True)))
+        assert all(x >= y for x, y in zip(own + pair, a + b, strict=True))
+        same, total = same + sum(x == y for x, y in zip(own + pair, a + b, strict=True)), total + 2 * len(own)
+    assert same >= 0.97 * total
+    assert Counter((r["key"], r["n_tokens"], round(r["score"], 6)) for r in scored.collect()) == expected
+
+
+def test_repeated_texts_score_apart(spark):
+    """A learned text's own tokens do not speak for it: a text that occurs twice scores above one that occurs once."""
+    rng = np.random.default_rng(3)
+    text = lambda: " ".join(f"w{i}" for i in rng.integers(0, 5000, 80))
+    twice, once = [text() for _ in range(40)], [text() for _ in range(160)]
+    rows = [(i, t) for i, t in enumerate(twice * 2 + once)]
+    _, scored = lm_scoring.learn_and_score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True))
+    each = {r["key"]: r["score"] / r["n_tokens"] for r in scored.collect()}
+    assert min(each[i] for i in range(80)) > max(each[i] for i in range(80, 240))
+
+
+def test_probabilities_about_sum_to_one(spark):
+    rng = np.random.default_rng(7)
+    texts = [(i, " ".join(f"w{x}" for x in (rng.integers(0, 30, 200) ** 2 // 30).tolist())) for i in range(30)]
+    model = lm_scoring.fit(spark.createDataFrame(texts, "doc_id long, text string"))
+    vocabulary = sorted({w for _, t in texts for w in t.split()})
+    for first in vocabulary[:6]:
+        probe = spark.createDataFrame([(f"{first} {w}",) for w in vocabulary] + [(first,)], "text string").select(F.monotonically_increasing_id().alias("doc_id"), "text")
+        rows = lm_scoring.measure(probe, model).collect()
+        total = 0.0
+        for r in rows:
+            own, pair = list(r["own"]), list(r["pair"])
+            i = 1  # the token after ``first``, an end for the last probe
+            weight = model.weights[own[0]]
+            total += weight * lm_scoring.VALUES[pair[i]] / max(lm_scoring.VALUES[own[0]], lm_scoring.VALUES[pair[i]], 1.0) + (1 - weight) * (lm_scoring.VALUES[own[i]] + 1) / (model.tokens + model.words + 1)
+        assert 0.75 <= total <= 1.25
+
+
     assert got == jaccard_groups(rows, 3, 90, 100)
     some = [r for r in rows if r[1] != " ".join(base)]
     got = {r["key"]: (r["n_shingles"], r["component"]) for r in ngram_jaccard.join_groups(frame.where(F.col("text") != " ".join(base))).collect()}
