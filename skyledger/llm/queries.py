@@ -61,13 +61,17 @@ v AS (SELECT *, row_number() OVER l AS first, (sum(source_size) OVER () * 1.5::D
         / (sum(weight) OVER (l ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
       FROM w WINDOW l AS (ORDER BY cap::DOUBLE / weight, no_source, src)),
 t AS (SELECT *, least(cap::DOUBLE, coalesce((SELECT arg_min(level, first) FROM v WHERE level <= cap::DOUBLE / weight) * weight, cap::DOUBLE)) AS target FROM v),
-r AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
-        CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS p FROM t),
-k AS (SELECT d.doc_id, d.size, d.draw, r.no_source, r.src, source_size, target, whole, p, target - whole * source_size AS rest,
-        (((draw + 0.5::DOUBLE) / 4503599627370496) / (1 - (draw + 0.5::DOUBLE) / 4503599627370496)) / nullif(p / (1 - p), 0) AS q
-      FROM d JOIN r ON d.no_source = r.no_source AND d.src = r.src),
-c AS (SELECT *, sum(size) OVER o AS total, sum(size) OVER (PARTITION BY no_source, src, q, draw) AS own FROM k WINDOW o AS (PARTITION BY no_source, src ORDER BY q / (1 + q), draw))
-SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN p > 0 AND total - own / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
+r AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole, target - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * source_size AS rest FROM t),
+z AS (SELECT no_source, src, size, count(*) AS n FROM d WHERE size > 0 GROUP BY ALL),
+y AS (SELECT z.*, rest, coalesce(sum(size * n) OVER (l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS certain, sum(size * size * n) OVER (l ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS below
+      FROM z JOIN r ON r.no_source = z.no_source AND r.src = z.src WINDOW l AS (PARTITION BY z.no_source, z.src ORDER BY size DESC)),
+i AS (SELECT no_source, src, max(size) AS bound, arg_max((rest - certain) / below::DOUBLE, size) AS scale, arg_max(rest - certain, size) AS sampled
+      FROM y WHERE (rest - certain) / below::DOUBLE * size <= 1 GROUP BY ALL),
+k AS (SELECT d.doc_id, d.size, d.draw, r.no_source, r.src, source_size, target, whole, bound, sampled, scale * d.size AS p, (draw + 0.5::DOUBLE) / 4503599627370496 AS u
+      FROM d JOIN r ON d.no_source = r.no_source AND d.src = r.src LEFT JOIN i ON i.no_source = d.no_source AND i.src = d.src),
+q AS (SELECT *, CASE WHEN size <= bound AND p > 0 THEN u * (1 - p) / (u * (1 - p) + (1 - u) * p) END AS q FROM k),
+c AS (SELECT *, sum(CASE WHEN q IS NOT NULL THEN size ELSE 0 END) OVER o AS total, sum(size) OVER (PARTITION BY no_source, src, q, draw) AS own FROM q WINDOW o AS (PARTITION BY no_source, src ORDER BY q NULLS LAST, draw))
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN size > bound OR (q IS NOT NULL AND total - own / 2.0::DOUBLE <= sampled) THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
 """)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes from every document."""

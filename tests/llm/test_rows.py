@@ -125,6 +125,57 @@ def test_chat_trees(spark):
     assert got[1] == ("d", [("user", "hi"), ("assistant", control), ("user", "")], [control])
     assert got[2] == ("c", [("user", "late parent"), ("user", "x")], [])
     assert got[3] == ("a", [("", "")], [])
+def test_mixing_of_columns_named_like_its_own(edge):
+    named = edge.withColumnRenamed("key", "p").withColumnRenamed("score", "target").withColumnRenamed("size", "rank").withColumnRenamed("offset", "__mix")
+    plain = Counter((r["doc_id"], r["text"], r["__copies"], r["target"]) for r in mixing.mix_sizes(mixing.draws(edge)).collect())
+    out = mixing.mix_sizes(mixing.draws(named))
+    assert len(out.columns) == len(set(out.columns)) and Counter((r["doc_id"], r["text"], r["__copies"], r["target"]) for r in out.collect()) == plain
+    assert mixing.mix(named).columns == named.columns
+
+
+def test_inclusion_rates_follow_the_sizes(spark):
+    """Over many seeds a document is sampled as often as its inclusion probability says, and the words come near what is left."""
+    sizes = [1, 2, 3, 5, 8, 13, 21, 34, 55, 400] * 4
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n)) for i, n in enumerate(sizes)], "doc_id int, text string")
+    seeds, left = 300, 0.4 * sum(sizes)
+    runs = docs.select("doc_id", F.regexp_count("text", F.lit("w")).cast("long").alias("__size"), F.explode(F.sequence(F.lit(1), F.lit(seeds))).alias("seed"))
+    digest = F.md5(F.concat_ws(":", "seed", "doc_id").cast("binary"))
+    runs = runs.select("doc_id", "__size", F.lit(False).alias("__no_source"), F.format_string("%05d", "seed").alias("__source"), F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").alias("__draw"))
+    goals = runs.select("__no_source", "__source").distinct().select("*", F.lit(sum(sizes)).cast("long").alias("source_size"), F.lit(left).alias("target"), F.lit(0).cast("long").alias("whole"), F.lit(left).alias("left"))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(mixing, "targets", lambda rows: goals)
+        out = mixing.mix_sizes(runs)
+        found = out.groupBy("doc_id").agg(F.avg("__copies").alias("rate"), F.first("__size").alias("size")).collect()
+        words = [r[0] for r in out.groupBy("__source").agg(F.sum(F.col("__size") * F.col("__copies"))).select("sum((__size * __copies))").collect()]
+    certain = [n for n in sizes]
+    bound, scale = max(sizes) + 1, None
+    for n in sorted(set(sizes), reverse=True):
+        scale = (left - sum(x for x in certain if x > n)) / sum(x * x for x in sizes if x <= n)
+        bound = n
+        if scale * n <= 1:
+            break
+    for r in found:
+        p = 1.0 if r["size"] > bound else scale * r["size"]
+        assert abs(r["rate"] - p) <= 4 * np.sqrt(max(p * (1 - p), 0.01) / seeds) + 0.04
+    assert all(abs(w - left) <= max(x for x in sizes if x <= bound) for w in words)
+
+
+def test_recall_of_nearest_neighbours_on_the_provided_table(spark):
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").collect() if r["embedding"] is not None]
+    found = defaultdict(set)
+    for r in QUERIES["op8_nearest_neighbours"](spark, "/root/testdata/sf0.01").collect():
+        found[r["query_id"]].add(r["vec_id"])
+    usable = [r for r in rows if all(x is not None and np.isfinite(x) for x in r["embedding"]) and any(r["embedding"])]
+    ids, vectors = np.array([r["vec_id"] for r in usable]), np.array([r["embedding"] for r in usable], float)
+    hits = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        best = ids[np.lexsort((ids, -scores))[:20]]
+        hits, total = hits + len(found[int(ids[q])] & set(best.tolist())), total + len(best)
+    assert total > 400 and hits >= 0.9 * total
+
+
     assert got[None] == ("y", [("we\nird", control), ("assistant", "tail<")], ["tail<"])
     assert got[4][1] == [("assistant" if i % 2 else "user", f"t{i}\n") for i in range(45)] and got[4][2] == [f"t{i}\n" for i in range(1, 45, 2)]
     assert len(got) == len(read) == 5
