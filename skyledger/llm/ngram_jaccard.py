@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import arrow_batches, each_step, mix, stored
+from skyledger.llm.common import arrow_batches, each_step, mix, releasing, stored
 from skyledger.llm.components import components
 
 GROUP_ROWS = 256
@@ -62,12 +62,15 @@ class Classes:
         return self.tops[c]
 
     def of(self, size: int) -> list[int]:
-        """The class of a set, and the next one if a larger partner may be there."""
-        while self.top(len(self.tops) - 1) < size:
+        """The class of a set, and all further ones that a larger partner may be in."""
+        while self.top(len(self.tops) - 1) * self.num < size * self.den:
             self.top(len(self.tops))
         c = bisect.bisect_left(self.tops, size)
-        own = [c] if c else []
-        return [*own, c + 1] if size * self.den >= self.num * (self.top(c) + 1) else own
+        out = [c] if c else []
+        while size * self.den >= self.num * (self.top(c) + 1):
+            c += 1
+            out.append(c)
+        return out
 
     def ranges(self, c: int) -> tuple[int, int]:
         """Ranges of class ``c``, and how many of them may be empty without being listed.
@@ -125,7 +128,7 @@ def common_tokens(texts: DataFrame, n: int, documents: int) -> np.ndarray:
                 yield pa.RecordBatch.from_pydict({"token": pa.array(found.view(np.int64)), "n": pa.array(times.astype(np.int64))})
 
     chosen = texts.where(F.pmod(F.xxhash64("key", F.lit("common")), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
-    counted = chosen.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_COUNT)
+    counted = chosen.mapInArrow(releasing(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_COUNT)
     top = counted.groupBy(F.floor(F.log2("n")).alias("size")).count().orderBy(F.desc("size")).collect()
     bar, held = 1 << 62, 0
     for size, times in top:
@@ -169,7 +172,7 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(marked))))
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "mark_a", "mark_b", "sketch"])
 
-    return docs.mapInArrow(describe, "key long, n long, mark_a long, mark_b long, sketch array<long>")
+    return docs.mapInArrow(releasing(describe), "key long, n long, mark_a long, mark_b long, sketch array<long>")
 
 
 def _coded(docs: DataFrame, n: int, num: int, den: int, common: np.ndarray) -> DataFrame:
@@ -188,7 +191,7 @@ def _coded(docs: DataFrame, n: int, num: int, den: int, common: np.ndarray) -> D
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(codes).view(np.int64))))
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "mark_a", "mark_b", "codes"])
 
-    return docs.mapInArrow(code, "key long, mark_a long, mark_b long, codes array<long>").where(F.size("codes") > 0)
+    return docs.mapInArrow(releasing(code), "key long, mark_a long, mark_b long, codes array<long>").where(F.size("codes") > 0)
 
 
 def _matrix_links(x: list[np.ndarray], y: list[np.ndarray], comp_x: np.ndarray, comp_y: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -274,6 +277,8 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     NULL texts, have empty sets and link with nothing.  Keys are integers.  Rows with one key are one document that links when any of their
     texts does, and shows the size of the largest set.  A NULL key gets one row without a component.
     """
+    if 2 * num < den:
+        raise ValueError("the threshold must be one half at least")
     arrow_batches(docs.sparkSession)
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     base = stored(_described(texts, n), "jaccard-sets")
@@ -284,10 +289,9 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     # Equal sets have equal codes, so any row's stand for the group.
     common = common_tokens(texts.where("key IS NOT NULL"), n, base.count())
     coded = _coded(texts.where("key IS NOT NULL"), n, num, den, common).groupBy(*same).agg(F.min("key").alias("key"), F.any_value("codes").alias("codes"))
-    # One exchange serves the count and the join with it.
-    dealt = coded.select("key", F.explode("codes").alias("code")).where("code IS NOT NULL").repartition("code")
-    repeated = dealt.groupBy("code").agg(F.count("key").alias("size"), F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("code", "size")
-    shared = stored(dealt.join(repeated, "code"), "jaccard-buckets")
+    # One pass over the dealt codes keeps those of two sets or more; a set lists a code once.
+    dealt = coded.select("key", F.explode("codes").alias("code")).where("code IS NOT NULL")
+    shared = stored(dealt.withColumn("size", F.count("key").over(Window.partitionBy("code"))).where("size > 1").select("code", "key", "size"), "jaccard-buckets")
 
     # The leader of a bucket shares most buckets with most others.
     central = shared.groupBy("key").agg(F.sum("size").alias("weight"))
