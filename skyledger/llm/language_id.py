@@ -8,11 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyledger.llm.common import arrow_batches, let_go
+from skyledger.llm.common import arrow_batches, let_go, releasing, stored
 
 #: The matrix has at most so many cells, 64 MB; with very many languages it gets fewer buckets.
 MAX_CELLS = 1 << 24
@@ -20,8 +20,8 @@ MAX_BUCKETS = 1 << 15
 NGRAMS = (1, 2, 3)
 UNKNOWN = "und"
 
-#: Texts with fewer characters besides white space are not compared with what is usual in their language.
-JUDGED_CHARS = 200
+#: A text with a smaller share of letters among its signs is no language; short ones may have fewer.
+LEAST_LETTERS = 0.25
 
 _LETTER = re.compile(r"[^\W\d_]")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -34,7 +34,7 @@ class Model:
     languages: list[str]
     prior: np.ndarray  # log, by language
     weights: np.ndarray  # log, by bucket and language
-    usual: np.ndarray  # by language: least mean log-likelihood per n-gram of long texts, its scatter per n-gram, least share of letters
+    bars: np.ndarray  # by language: least mean log-likelihood per n-gram, and its scatter per n-gram
 
     @property
     def buckets(self) -> int:
@@ -84,9 +84,9 @@ def letters_of(text: str) -> tuple[int, int]:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = 2000, max_languages: int = 4096) -> Model:
     """Learn from rows with a language.
 
-    Bounds: of each of the ``max_languages`` most frequent languages about ``docs_per_language`` rows, chosen by a hash of the
-    text, so reruns agree.  Whole texts are read.  Rows with a NULL text or language teach nothing; repeated rows count each
-    time.  Without labelled rows the model has no language.
+    Bounds: of each of the ``max_languages`` most frequent languages the ``docs_per_language`` different texts with the smallest hashes, so
+    reruns agree, every language teaches, and copies of a text teach once.  Whole texts are read.  Rows with a NULL text or language
+    teach nothing.  Without labelled rows the model has no language.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -98,9 +98,14 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang
         buckets //= 2
     totals = np.array([n for _, n in counted], float)
     if not languages:
-        return Model([], np.zeros(0), np.zeros((buckets, 0)), np.zeros((0, 3)))
-    shares = spark.createDataFrame([(i, name, min(1.0, docs_per_language / n)) for i, (name, n) in enumerate(counted)], "slot int, lang string, share double")
-    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share") * F.lit(1 << 30)).select("slot", "text")
+        return Model([], np.zeros(0), np.zeros((buckets, 0)), np.zeros((0, 2)))
+    slots = spark.createDataFrame([(i, name) for i, (name, _) in enumerate(counted)], "slot int, lang string")
+    hashed = rows.join(F.broadcast(slots), "lang").select("slot", "text", F.xxhash64("text").alias("code"))
+    # Hashes alone are ranked; equal texts of a language are one before and after.
+    codes = hashed.select("slot", "code").distinct()
+    least = codes.withColumn("rank", F.row_number().over(Window.partitionBy("slot").orderBy("code"))).where(F.col("rank") <= docs_per_language).groupBy("slot").agg(F.max("code").alias("last"))
+    chosen = hashed.join(F.broadcast(least), "slot").where("code <= last").groupBy("slot", "code").agg(F.first("text").alias("text"))
+    chosen = stored(chosen.select("slot", "text"), "language-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -120,47 +125,23 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang
     table = np.zeros((buckets, len(languages)))
     table[got.column("bucket").to_numpy(), got.column("slot").to_numpy()] = got.column("n").to_numpy()
     weights = np.log((table + 0.5) / (table.sum(0) + 0.5 * buckets))
-    return Model(languages, np.log(totals / totals.sum()), weights.astype(np.float32), _usual(chosen, table, weights))
+    return Model(languages, np.log(totals / totals.sum()), weights.astype(np.float32), _bars(table, weights))
 
 
-def _usual(chosen: DataFrame, table: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """What long texts that teach a language have at least, each left out of the counts that judge it.
-
-    That is the median less three times what the twentieth part lies below it, so a few mislabelled texts don't matter.
-    """
-    buckets, totals = len(table), table.sum(0)
-    shared = chosen.sparkSession.sparkContext.broadcast(table.astype(np.float32))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        for batch in batches:
-            slots, texts = batch.column("slot").to_pylist(), batch.column("text").to_pylist()
-            out = []
-            for slot, text, (used, n) in zip(slots, texts, bucket_counts(texts, buckets), strict=True):
-                letters, chars = letters_of(text)
-                if chars >= JUDGED_CHARS and len(used):
-                    logs = np.log((np.maximum(counts[used, slot] - n, 0) + 0.5) / (totals[slot] - n.sum() + 0.5 * buckets))
-                    out.append((slot, float(n @ logs) / int(n.sum()), letters / chars))
-            slot, mean, share = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(slot, pa.int32()), "mean": pa.array(mean, pa.float64()), "share": pa.array(share, pa.float64())})
-
-    parts = lambda c: F.percentile_approx(c, [0.05, 0.5], 1000).alias(c)
-    rows = chosen.repartition(8).mapInArrow(measure, "slot int, mean double, share double").groupBy("slot").agg(parts("mean"), parts("share")).collect()
-    out = np.full((table.shape[1], 3), -np.inf)
-    expected = (table * weights).sum(0) / np.maximum(totals, 1.0)
-    out[:, 1] = np.sqrt(np.maximum((table * weights**2).sum(0) / np.maximum(totals, 1.0) - expected**2, 0.0))
-    for r in rows:
-        for i, (low, middle) in ((0, r["mean"]), (2, r["share"])):
-            out[r["slot"], i] = middle - 3.0 * (middle - low)
-    return out
+def _bars(table: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """By language: the mean log-likelihood per n-gram halfway between its texts and n-grams drawn at random, and its scatter per n-gram."""
+    totals = np.maximum(table.sum(0), 1.0)
+    expected = (table * weights).sum(0) / totals
+    scatter = np.sqrt(np.maximum((table * weights**2).sum(0) / totals - expected**2, 0.0))
+    return np.stack([(expected + weights.mean(0)) / 2.0, scatter], axis=1)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, unusual: str | None = None) -> DataFrame:
     """Each row's ``keep`` columns (all by default) with ``lang_pred`` and ``score``, the posterior of that language.
 
     The posterior compares languages and is near 1 for any longer text.  With ``unusual`` a column of that name says whether the text is
-    unlike those of its language: its n-grams are less likely, or its letters fewer, than in the texts that taught the language.  Texts of
-    fewer than ``JUDGED_CHARS`` characters are too short to say so.
+    unlike those of its language: its n-grams are nearer to random ones than to those that taught the language, or letters are few.  The
+    bars are lower the shorter the text is, as short texts vary more.
     Evidence is the whole text alone.  A NULL text, or one without a letter, and any text if the model has no language, is
     ``und`` with score 0.  Rows are neither merged nor lost; kept columns named like the results are replaced by them.
     """
@@ -169,11 +150,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text).cast("string").alias("__text"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField(unusual, T.BooleanType())] if unusual else [])])
-    shared = spark.sparkContext.broadcast((model.languages, model.prior, model.weights, model.usual))
+    shared = spark.sparkContext.broadcast((model.languages, model.prior, model.weights, model.bars))
     fields = schema.names
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, prior, weights, usual = shared.value
+        languages, prior, weights, bars = shared.value
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             found, scores, odd = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
@@ -183,10 +164,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
                 best = int(logs.argmax())
                 found[i], scores[i] = languages[best], 1.0 / np.exp(logs - logs[best]).sum()
                 if unusual:
-                    (letters, chars), (least, scatter, share), size = letters_of(texts[i]), usual[best], max(1, int(n.sum()))
+                    (letters, chars), (least, scatter), size = letters_of(texts[i]), bars[best], max(1, int(n.sum()))
                     # Neighbouring n-grams share letters, so they count as a third.
-                    odd[i] = chars >= JUDGED_CHARS and ((logs - prior)[best] / size < least - 4.0 * scatter * np.sqrt(3.0 / size) or letters / chars < share - 2.0 / np.sqrt(chars))
+                    unlikely = (logs - prior)[best] / size < least - 6.0 * scatter * np.sqrt(3.0 / size)
+                    odd[i] = unlikely or letters / max(1, chars) < LEAST_LETTERS - 1.0 / np.sqrt(max(1, chars))
             columns = [*batch.columns[:-1], pa.array(found, pa.string()), pa.array(scores), *([pa.array(odd)] if unusual else [])]
             yield pa.RecordBatch.from_arrays(columns, names=fields)
 
-    return rows.mapInArrow(score, schema)
+    return rows.mapInArrow(releasing(score), schema)

@@ -128,7 +128,7 @@ def test_language_id(edge, edge_rows, empty):
             assert (r["lang_pred"], r["score"]) == ("und", 0.0)
         else:
             assert r["lang_pred"] in ("de", "en") and 0 <= r["score"] <= 1
-            if len(r["text"].split()) > 5 and r["lang"]:
+            if len(r["text"].split()) > 8 and r["lang"]:
                 assert r["lang_pred"] == r["lang"]
     assert language_id.identify(empty, model).count() == 0
     nothing = language_id.train(empty)
@@ -142,6 +142,56 @@ def test_language_id_on_held_out_documents(spark, sf_dir):
     assert len(rows) > 20 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.98 * len(rows)
 
 
+def plain_grams(text, buckets):
+    """Bucket counts of the letter n-grams of a text, one at a time."""
+    shift, counts = 32 - (buckets.bit_length() - 1), Counter()
+    letter = lambda c: 97 <= c <= 122 or (c >= 0xC0 and c not in (0xD7, 0xF7) and not 0x2000 <= c < 0x2C00 and not 0x3000 <= c < 0x3040)
+    points = [c if letter(c) else 32 for c in map(ord, text.lower())]
+    for n in language_id.NGRAMS:
+        for i in range(len(points) - n + 1):
+            gram = points[i : i + n]
+            if any(c != 32 for c in gram):
+                h = 0
+                for k, c in enumerate(gram, 1):
+                    h = (h * 0x01000193 + c * 0x85EBCA6B + k) & 0xFFFFFFFF
+                h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
+                counts[(((h ^ (h >> 12)) * 0x297A2D39) & 0xFFFFFFFF) >> shift] += 1
+    return counts
+
+
+def test_language_id_is_naive_bayes(edge, edge_rows):
+    rows = [r for r in edge_rows if len(r[1] or "") < 5000]
+    texts = [r[1] for r in rows]
+    model = language_id.train(edge.where(F.length("text") < 5000))
+    languages = sorted({r[2] for r in rows if r[1] is not None and r[2]})
+    assert model.languages == languages
+    prior = Counter(r[2] for r in rows if r[1] is not None and r[2])
+    tables = {lang: sum((plain_grams(t, model.buckets) for t in {r[1] for r in rows if r[2] == lang and r[1] is not None}), Counter()) for lang in languages}
+    got = Counter((r["text"], r["lang_pred"], round(r["score"], 3)) for r in language_id.identify(edge.where("length(text) < 5000 OR text IS NULL"), model, keep=["text"]).collect())
+    expected = Counter()
+    for text in texts:
+        if not any(c.isalpha() for c in text or ""):
+            expected[text, "und", 0.0] += 1
+            continue
+        grams, logs = plain_grams(text, model.buckets), {}
+        for lang in languages:
+            total = tables[lang].total() + 0.5 * model.buckets
+            logs[lang] = math.log(prior[lang] / prior.total()) + sum(n * math.log((tables[lang][g] + 0.5) / total) for g, n in grams.items())
+        best = max(languages, key=lambda x: logs[x])
+        expected[text, best, round(1 / sum(math.exp(v - logs[best]) for v in logs.values()), 3)] += 1
+    assert got == expected
+
+
+def test_copies_teach_a_language_once(spark):
+    """The sample is bounded in different texts; a text that is a third of all rows neither floods it nor falls out of it."""
+    rows = [("ab " * 5 + str(i), "a") for i in range(30)] + [("xyz only text", "b")] * 200 + [("copy of a", "a")] * 100
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(7)
+    model = language_id.train(docs, docs_per_language=10)
+    assert model.languages == ["a", "b"]
+    single = language_id.train(docs.dropDuplicates(), docs_per_language=10)
+    assert np.array_equal(model.weights, single.weights)
+
+
 def test_lm_scores(edge, edge_rows, empty, monkeypatch):
     held = crc_mod(F.col("doc_id"), 7) == 2
     # A small table of frequent words, so that the join has work.
