@@ -79,26 +79,25 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored(rows.select("doc_id", *mixing.SOURCE, "__size", "__draw"), "mix-sizes")
     return mixing.mix_sizes(rows).select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * F.col("__copies")).alias("taken"))
 
-#: Chunks of lines as line_dedup cuts them, for texts of a view ``docs``.
-LINE_CHUNKS = """
-l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM docs WHERE text IS NOT NULL),
-h AS (SELECT doc_id, ls, list_transform(ls, lambda x: ('0x' || substr(md5(x), 1, 7))::BIGINT) AS hs FROM l),
-r AS (SELECT doc_id, ls, [CASE WHEN i = 1 THEN hs[i] ELSE (hs[i - 1] * 1000003 + hs[i]) % 2147483647 END for i in range(1, len(ls) + 1)] AS rs FROM h),
-e AS (SELECT doc_id, ls, list_filter(range(2, greatest(len(ls) - 1, 2)), lambda i: rs[i] < rs[i - 1] AND rs[i] <= rs[i + 1]) AS ends FROM r),
-s AS (SELECT doc_id, ls, list_concat([1], [x + 1 for x in ends]) AS starts, list_concat(ends, [len(ls)]) AS stops FROM e),
-u AS (SELECT doc_id, ls, unnest(starts) AS first_line, unnest(stops) AS last_line FROM s),
-c AS (SELECT doc_id, first_line, last_line - first_line + 1 AS n, array_to_string(ls[first_line:last_line], chr(10)) AS chunk FROM u),
-m AS (SELECT *, n >= 2 AND regexp_matches(chunk, '[^\\x20\\x09-\\x0D]') AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id NULLS FIRST, first_line) > 1 AS gone FROM c),
-deduped AS (SELECT doc_id, sum(n)::INT AS n_lines, coalesce(sum(n) FILTER (gone), 0)::INT AS removed_lines, count(*) FILTER (gone)::INT AS removed_chunks,
-                   coalesce(string_agg(chunk, chr(10) ORDER BY first_line) FILTER (NOT gone), '') AS text FROM m GROUP BY doc_id)
+#: Lines that line_dedup removes from texts of a view ``docs``: those that follow or precede another one that they followed or preceded earlier.
+REPEATED_LINES = """
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM docs WHERE text IS NOT NULL),
+f AS (SELECT doc_id, i, line, row_number() OVER w AS o, lead(line) OVER w AS next_line, lead(i) OVER w AS next_i FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
+      WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT *, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, i) > 1 AS again FROM f WHERE next_line IS NOT NULL),
+g AS (SELECT doc_id, o, i, next_i FROM p WHERE again),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, next_i + 1)) AS i FROM g),
+runs AS (SELECT doc_id, count(*) AS removed_chunks FROM g WHERE NOT EXISTS (SELECT 1 FROM g h WHERE h.doc_id = g.doc_id AND h.o = g.o - 1) GROUP BY 1),
+deduped AS (SELECT l.doc_id, count(*)::INT AS n_lines, count(gone.i)::INT AS removed_lines, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (gone.i IS NULL), '') AS text
+            FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i GROUP BY 1)
 """
 
 
-@query("op4_line_dedup", "WITH docs AS (SELECT * FROM documents)," + LINE_CHUNKS + """
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(removed_lines, 0) AS removed_lines, coalesce(removed_chunks, 0) AS removed_chunks, x.text
-FROM docs d LEFT JOIN deduped x ON d.doc_id = x.doc_id""")
+@query("op4_line_dedup", "WITH docs AS (SELECT * FROM documents)," + REPEATED_LINES + """
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(removed_lines, 0) AS removed_lines, coalesce(removed_chunks, 0)::INT AS removed_chunks, x.text
+FROM docs d LEFT JOIN deduped x ON d.doc_id = x.doc_id LEFT JOIN runs ON runs.doc_id = d.doc_id""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text without chunks of lines that occurred before."""
+    """Every document's text without chunks of lines that occurred together before."""
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed_lines").alias("removed_lines"), F.col("__removed_chunks").alias("removed_chunks"), "text")
 

@@ -1,6 +1,5 @@
 """Line dedup, mixing, chats, vectors and the pipeline against plain versions."""
 
-import hashlib
 import random
 from collections import Counter, defaultdict
 
@@ -23,55 +22,82 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     for t in ("documents", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     expected = con.execute(ORACLES[name]).df()
-    key = got.columns[0]
-    got, expected = (x[sorted(x.columns)].sort_values(key).reset_index(drop=True) for x in (got, expected))
+    got, expected = (x[sorted(x.columns)].sort_values(sorted(x.columns), ignore_index=True) for x in (got, expected))
     assert list(got.columns) == list(expected.columns) and len(got) == len(expected)
     for c in got.columns:
         assert got[c].dtype == expected[c].dtype and (got[c].fillna("") == expected[c].fillna("")).all() if got[c].dtype == object else (got[c] == expected[c]).all(), c
 
 
-def plain_chunks(text):
-    lines = text.split("\n")
-    hashes = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
-    rolled = [hashes[0]] + [(a * 1_000_003 + b) % ((1 << 31) - 1) for a, b in zip(hashes, hashes[1:], strict=False)]
-    out, start = [], 0
-    for i in range(1, len(lines) - 2):
-        if rolled[i] < rolled[i - 1] and rolled[i] <= rolled[i + 1]:
-            out.append(lines[start : i + 1])
-            start = i + 1
-    return [*out, lines[start:]]
+def plain_line_dedup(docs):
+    """(text, lost lines, lost runs) per document in the order in which first occurrences stay."""
+    seen, out = set(), []
+    for text in docs:
+        if text is None:
+            out.append((None, 0, 0))
+            continue
+        lines = text.split("\n")
+        full = [i for i, x in enumerate(lines) if words(x)]
+        links = [(lines[i], lines[j]) for i, j in zip(full, full[1:], strict=False)]
+        again = []
+        for link in links:
+            again.append(link in seen)
+            seen.add(link)
+        gone = {i for o, lost in enumerate(again) if lost for i in range(full[o], full[o + 1] + 1)}
+        runs = sum(lost and not (o and again[o - 1]) for o, lost in enumerate(again))
+        out.append(("\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone), runs))
+    return out
 
 
 def test_line_dedup(edge, edge_rows, empty):
     out = line_dedup.dedup_lines(edge)
     assert out.columns == [*edge.columns, "__lines", "__removed_lines", "__removed_chunks"]
-    got = Counter((r["doc_id"], r["text"], r["__removed_lines"], r["key"]) for r in out.collect())
+    got = Counter((r["doc_id"], r["text"], r["__removed_lines"], r["__removed_chunks"], r["key"]) for r in out.collect())
     unique = sorted({r[:2] for r in edge_rows}, key=lambda r: (r[0] is not None, r[0] or 0, r[0] == 500 and "another" in r[1]))
-    seen, kept = set(), {}
-    for k, t in unique:
-        if t is None:
-            kept[k, t] = (None, 0)
-            continue
-        rest, lost = [], 0
-        for chunk in plain_chunks(t):
-            body = "\n".join(chunk)
-            if len(chunk) > 1 and words(body) and body in seen:
-                lost += len(chunk)
-            else:
-                rest.append(body)
-            if len(chunk) > 1:
-                seen.add(body)
-        kept[k, t] = ("\n".join(rest), lost)
+    kept = dict(zip(unique, plain_line_dedup([t for _, t in unique]), strict=True))
     assert got == Counter((r[0], *kept[r[0], r[1]], r[5]) for r in edge_rows)
-    assert sum(n for _, _, n, _ in got) > 10
+    assert sum(n for _, _, n, _, _ in got) > 10
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
-def test_moved_passages_are_cut_alike():
-    passage = [f"line {i} of the passage" for i in range(30)]
-    a = {tuple(c) for c in plain_chunks("\n".join(["x", "y", *passage, "z"]))}
-    b = {tuple(c) for c in plain_chunks("\n".join([*"abcdefg", *passage, *"hij"]))}
-    assert sum(len(c) for c in a & b) >= 20
+def test_columns_named_like_the_results(edge):
+    twice = line_dedup.dedup_lines(line_dedup.dedup_lines(edge))
+    assert twice.columns == [*edge.columns, "__lines", "__removed_lines", "__removed_chunks"] and twice.agg(F.sum("__removed_lines")).first()[0] == 0
+
+
+def test_short_passages_in_differing_contexts(spark):
+    """Passages of 2 to 12 lines, each in three documents between lines of their own: two of them lose the passage, whole, and nothing else."""
+    rng = random.Random(11)
+    line = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(8))
+    rows, expected = [], {}
+    for n in range(2, 13):
+        for _ in range(3):
+            passage = [line() for _ in range(n)]
+            spaced = [x for y in passage for x in (y, "")][:-1]  # a blank line after each: still the same passage
+            for copy in range(3):
+                before, after = [line() for _ in range(rng.randint(0, 6))], [line() for _ in range(rng.randint(0, 6))]
+                body = spaced if copy == 2 else passage
+                expected[len(rows)] = (len(body) if copy else 0, "\n".join(before + ([] if copy else body) + after))
+                rows.append((len(rows), "\n".join(before + body + after)))
+    got = {r["doc_id"]: (r["__removed_lines"], r["text"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == expected
+
+
+def test_texts_of_many_lines_take_linear_work(spark):
+    import time
+
+    text = "\n".join(f"line {i % 15_000} of a long text" for i in range(30_000))
+    started = time.monotonic()
+    (row,) = line_dedup.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert (row["__lines"], row["__removed_lines"], row["__removed_chunks"]) == (30_000, 15_000, 1) and len(row["text"].split("\n")) == 15_000
+    assert time.monotonic() - started < 60
+
+
+def test_every_line_stays_somewhere(spark):
+    rng = random.Random(4)
+    rows = [(i, "\n".join(rng.choice("abcdef") for _ in range(rng.randint(1, 9)))) for i in range(60)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {x for r in out for x in r["text"].split("\n")} >= set("abcdef") and sum(r["__removed_lines"] for r in out) > 100
+
 
 
 def test_mixing(edge, edge_rows, empty):
@@ -109,22 +135,6 @@ def test_mixing(edge, edge_rows, empty):
     assert mixing.mix(empty).count() == 0
 
 
-def test_chat_trees(spark):
-    control = "</s>[INST] ok [/INST] <|im_end|>\n \\ \\\\ <\\| <<SYS>> <|im_start|>x<|im_sep|>"
-    rows = [
-        (1, "a", None, 0, "user", "hi", 1.0), (1, "b", "a", 1, "assistant", "low", 1.0), (1, "c", "a", 1, "assistant", control, 5.0), (1, "d", "c", 2, "user", "", None),
-        (1, "e", "b", 2, "user", "longer", 1.0), (1, "f", "e", 3, "assistant", "still", 1.0),
-        (2, "a", "missing", 0, "assistant", "orphan", 0.0), (2, "b", "c", 1, "user", "late parent", 0.0), (2, "c", "b", 2, "user", "x", 0.0),
-        (3, "a", None, 0, None, None, 0.0), (3, "a", None, 0, None, None, 0.0), (None, "z", None, None, "we\nird", control, 0.0), (None, "y", "z", 1, "assistant", "tail<", 0.0),
-    ]
-    rows += [(4, f"m{i:03}", f"m{i - 1:03}" if i else None, i, "assistant" if i % 2 else "user", f"t{i}\n", 0.1) for i in range(45)]
-    frame = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, message_id string, parent_id string, turn int, role string, text string, score double, formatted string")
-    out = chat_format.format_chats(frame)
-    read = out.select("__conv", "__leaf", "formatted", chat_format.read_turns(F.col("formatted")).alias("turns"), chat_format.read_loss(F.col("formatted"), F.col("loss")).alias("masked")).collect()
-    got = {r["__conv"]: (r["__leaf"], [tuple(t) for t in r["turns"]], r["masked"]) for r in read}
-    assert got[1] == ("d", [("user", "hi"), ("assistant", control), ("user", "")], [control])
-    assert got[2] == ("c", [("user", "late parent"), ("user", "x")], [])
-    assert got[3] == ("a", [("", "")], [])
 def test_mixing_of_columns_named_like_its_own(edge):
     named = edge.withColumnRenamed("key", "p").withColumnRenamed("score", "target").withColumnRenamed("size", "rank").withColumnRenamed("offset", "__mix")
     plain = Counter((r["doc_id"], r["text"], r["__copies"], r["target"]) for r in mixing.mix_sizes(mixing.draws(edge)).collect())
@@ -176,6 +186,22 @@ def test_recall_of_nearest_neighbours_on_the_provided_table(spark):
     assert total > 400 and hits >= 0.9 * total
 
 
+def test_chat_trees(spark):
+    control = "</s>[INST] ok [/INST] <|im_end|>\n \\ \\\\ <\\| <<SYS>> <|im_start|>x<|im_sep|>"
+    rows = [
+        (1, "a", None, 0, "user", "hi", 1.0), (1, "b", "a", 1, "assistant", "low", 1.0), (1, "c", "a", 1, "assistant", control, 5.0), (1, "d", "c", 2, "user", "", None),
+        (1, "e", "b", 2, "user", "longer", 1.0), (1, "f", "e", 3, "assistant", "still", 1.0),
+        (2, "a", "missing", 0, "assistant", "orphan", 0.0), (2, "b", "c", 1, "user", "late parent", 0.0), (2, "c", "b", 2, "user", "x", 0.0),
+        (3, "a", None, 0, None, None, 0.0), (3, "a", None, 0, None, None, 0.0), (None, "z", None, None, "we\nird", control, 0.0), (None, "y", "z", 1, "assistant", "tail<", 0.0),
+    ]
+    rows += [(4, f"m{i:03}", f"m{i - 1:03}" if i else None, i, "assistant" if i % 2 else "user", f"t{i}\n", 0.1) for i in range(45)]
+    frame = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, message_id string, parent_id string, turn int, role string, text string, score double, formatted string")
+    out = chat_format.format_chats(frame)
+    read = out.select("__conv", "__leaf", "formatted", chat_format.read_turns(F.col("formatted")).alias("turns"), chat_format.read_loss(F.col("formatted"), F.col("loss")).alias("masked")).collect()
+    got = {r["__conv"]: (r["__leaf"], [tuple(t) for t in r["turns"]], r["masked"]) for r in read}
+    assert got[1] == ("d", [("user", "hi"), ("assistant", control), ("user", "")], [control])
+    assert got[2] == ("c", [("user", "late parent"), ("user", "x")], [])
+    assert got[3] == ("a", [("", "")], [])
     assert got[None] == ("y", [("we\nird", control), ("assistant", "tail<")], ["tail<"])
     assert got[4][1] == [("assistant" if i % 2 else "user", f"t{i}\n") for i in range(45)] and got[4][2] == [f"t{i}\n" for i in range(1, 45, 2)]
     assert len(got) == len(read) == 5

@@ -109,6 +109,13 @@ def test_packing(edge, edge_rows, empty, plain_ids, monkeypatch):
     assert packing.pack(packing.token_pieces(empty, VOCABULARY)).count() == 0
 
 
+def test_packing_of_columns_named_like_its_own(spark):
+    items = spark.createDataFrame([(i, 30 + i % 50, "a", "b", 1) for i in range(60)], "__row int, length int, __bin string, __size string, __fill int")
+    out = packing.pack(items, width=100)
+    assert out.columns == [*items.columns, "sequence_id", "offset"]
+    assert Counter(tuple(r)[:5] for r in out.collect()) == Counter(tuple(r) for r in items.collect())
+
+
 def test_packing_of_given_lengths(spark):
     items = spark.createDataFrame([(i, n, "x") for i, n in enumerate([60, 40, 50, 50, 30, 70, 0, None, 250, 100])], "id int, length int, offset string")
     rows = packing.pack(items, width=100).collect()
@@ -135,13 +142,6 @@ def test_language_id(edge, edge_rows, empty):
     assert {r["lang_pred"] for r in language_id.identify(edge, nothing).collect()} == {"und"}
 
 
-def test_language_id_on_held_out_documents(spark, sf_dir):
-    from skyledger.llm.queries import QUERIES
-
-    rows = QUERIES["op10_language_id"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
-    assert len(rows) > 20 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.98 * len(rows)
-
-
 def plain_grams(text, buckets):
     """Bucket counts of the letter n-grams of a text, one at a time."""
     shift, counts = 32 - (buckets.bit_length() - 1), Counter()
@@ -192,6 +192,13 @@ def test_copies_teach_a_language_once(spark):
     assert np.array_equal(model.weights, single.weights)
 
 
+def test_language_id_on_held_out_documents(spark, sf_dir):
+    from skyledger.llm.queries import QUERIES
+
+    rows = QUERIES["op10_language_id"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(rows) > 20 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.98 * len(rows)
+
+
 def test_lm_scores(edge, edge_rows, empty, monkeypatch):
     held = crc_mod(F.col("doc_id"), 7) == 2
     # A small table of frequent words, so that the join has work.
@@ -299,14 +306,6 @@ def test_probabilities_about_sum_to_one(spark):
         assert 0.75 <= total <= 1.25
 
 
-    assert got == jaccard_groups(rows, 3, 90, 100)
-    some = [r for r in rows if r[1] != " ".join(base)]
-    got = {r["key"]: (r["n_shingles"], r["component"]) for r in ngram_jaccard.join_groups(frame.where(F.col("text") != " ".join(base))).collect()}
-    assert got == jaccard_groups(some, 3, 90, 100)
-
-
-def test_jaccard_of_an_empty_table(empty):
-    assert ngram_jaccard.join_groups(empty).count() == 0
 def test_mixing_weights_of_few_long_texts(spark):
     """All training texts choose the weights; levels that none of them has take the nearest level's."""
     rng = np.random.default_rng(4)
@@ -364,3 +363,38 @@ def test_jaccard_groups_of_many_near_copies(spark, monkeypatch):
         rows.append((i, " ".join(text)))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["key"]: (r["n_shingles"], r["component"]) for r in ngram_jaccard.join_groups(frame).collect()}
+    assert got == jaccard_groups(rows, 3, 90, 100)
+    some = [r for r in rows if r[1] != " ".join(base)]
+    got = {r["key"]: (r["n_shingles"], r["component"]) for r in ngram_jaccard.join_groups(frame.where(F.col("text") != " ".join(base))).collect()}
+    assert got == jaccard_groups(some, 3, 90, 100)
+
+
+def test_jaccard_of_very_different_sizes(spark):
+    """A set and its superset of twice the size link at one half, several size classes apart."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(40):
+        size = int(rng.integers(20, 400))
+        some = [f"g{i}w{j}" for j in range(size)]
+        more = some + [f"g{i}x{j}" for j in range(size if i % 2 else size - 1)]
+        rows += [(3 * i, " ".join(some)), (3 * i + 1, " ".join(more)), (3 * i + 2, " ".join(more + [f"g{i}y"] * 1))]
+    got = {r["key"]: (r["n_shingles"], r["component"]) for r in ngram_jaccard.join_groups(spark.createDataFrame(rows, "doc_id long, text string"), n=1, num=50, den=100).collect()}
+    assert got == jaccard_groups(rows, 1, 50, 100) and len({c for _, c in got.values()}) == 40
+
+
+def test_size_classes_meet_every_partner():
+    for num, den in ((1, 2), (3, 5), (7, 10), (4, 5), (9, 10)):
+        classes = ngram_jaccard.Classes(num, den)
+        of = {s: set(classes.of(s)) for s in range(1, 900)}
+        for s in range(1, 450):
+            for t in range(s + 1, s * den // num + 1):
+                assert of[s] & of[t]
+
+
+def test_low_thresholds_are_refused(empty):
+    with pytest.raises(ValueError):
+        ngram_jaccard.join_groups(empty, num=49, den=100)
+
+
+def test_jaccard_of_an_empty_table(empty):
+    assert ngram_jaccard.join_groups(empty).count() == 0
