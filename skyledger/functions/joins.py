@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 200_000
+#: Text bytes of the rows; in memory they take a few times as many.
+MAX_BROADCAST_BYTES = 32 << 20
 
 
-def checked_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Mark a dimension for broadcast only when a bounded count proves it small; otherwise leave the join to shuffle."""
-    return F.broadcast(dim) if dim.limit(max_rows + 1).count() <= max_rows else dim
+def checked_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Mark a dimension for broadcast only when a bounded look proves it small in rows and bytes; otherwise leave the join to shuffle."""
+    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in dim.columns])))
+    seen = dim.limit(max_rows + 1).agg(F.count("*").alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(dim) if seen["rows"] <= max_rows and seen["bytes"] <= max_bytes else dim
 
 
 def lookup_map(mapping: dict[str, str], key: Column) -> Column:

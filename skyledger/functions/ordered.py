@@ -182,31 +182,40 @@ def numbered(df: DataFrame, keys: list[str], ts: str, tie: list[str], out: str,
     return _join_chunk(inside, carried, keys).withColumn(out, position).drop("__in", "__before", _CHUNK)
 
 
-def previous_rows(
-    df: DataFrame, keys: list[str], ts: str, tie: str, values: list[str], n: int, seconds: int, out: str, chunk_seconds: int = 86400
-) -> DataFrame:
+#: Time is cut at so many bits of microseconds: about a second, and 65,536 of those.
+_SECOND_BITS, _CHUNK_BITS = 20, 16
+
+
+def previous_rows(df: DataFrame, keys: list[str], ts: str, tie: str, values: list[str], n: int, seconds: int, out: str) -> DataFrame:
     """Add ``out``: up to ``n`` preceding rows of the key within ``seconds``, newest first, as structs of (ts, tie, values).
 
-    Each row carries at most ``n`` others, so a key with many rows never forms pairs.
+    Rows of one second of a key are ordered together.  What earlier seconds hand on is the newest ``n`` rows of each, and what earlier chunks
+    of 65,536 seconds hand on the newest ``n`` of those, so neither a busy minute nor a long history meets in one task and no pairs are formed.
     """
     names = list(dict.fromkeys([ts, tie, *values]))
     payload = F.struct(*names)
-    rows = _with_chunk(df.na.drop(subset=keys), ts, chunk_seconds)
-    w = Window.partitionBy(*keys, _CHUNK).orderBy(ts, tie)
-    inside = rows.withColumn("__in", F.collect_list(payload).over(w.rowsBetween(-n, -1)))
-    newest = Window.partitionBy(*keys, _CHUNK).orderBy(F.desc(ts), F.desc(tie))
-    tail = rows.withColumn("__rn", F.row_number().over(newest)).filter(F.col("__rn") <= n)
-    summary = tail.groupBy(*keys, _CHUNK).agg(F.collect_list(payload).alias("__tail"))
-    cw = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(-n, -1)
-    # Only n rows of the past can be among the newest n, so a chunk's rows carry no more.
-    past = F.slice(F.sort_array(F.flatten(F.collect_list("__tail").over(cw)), asc=False), 1, n)
-    carried = summary.select(*keys, _CHUNK, past.alias("__before"))
-    joined = _join_chunk(inside, carried, keys)
+    rows = df.na.drop(subset=keys).withColumn("__second", F.shiftright(micros(ts), _SECOND_BITS))
+    second, chunk = [*keys, "__second"], [*keys, "__chunk"]
+    newest_first = lambda by: Window.partitionBy(*by).orderBy(F.desc(ts), F.desc(tie))
+    before = lambda by, order: Window.partitionBy(*by).orderBy(*order).rowsBetween(-n, -1)
+    inside = rows.withColumn("__in", F.collect_list(payload).over(before(second, [ts, tie])))
+
+    # A row stands for its place in time as (ts, tie, ...), so arrays of rows sort by time.
+    latest = lambda many: F.slice(F.sort_array(F.flatten(many), asc=False), 1, n)
+    tail = rows.withColumn("__rn", F.row_number().over(newest_first(second))).filter(F.col("__rn") <= n)
+    by_second = tail.groupBy(*second).agg(F.collect_list(payload).alias("__tail")).withColumn("__chunk", F.shiftright("__second", _CHUNK_BITS))
+    carried = by_second.select(*chunk, "__second", latest(F.collect_list("__tail").over(before(chunk, ["__second"]))).alias("__seconds"))
+    last_seconds = by_second.withColumn("__rn", F.row_number().over(Window.partitionBy(*chunk).orderBy(F.desc("__second")))).filter(F.col("__rn") <= n)
+    by_chunk = last_seconds.groupBy(*chunk).agg(latest(F.collect_list("__tail")).alias("__tail"))
+    older = by_chunk.select(*chunk, latest(F.collect_list("__tail").over(before(keys, ["__chunk"]))).alias("__chunks"))
+    known = carried.join(older, chunk).select(*second, F.concat("__seconds", "__chunks").alias("__before"))
+
+    joined = inside.join(known, second, "left")
     both = F.concat("__in", F.coalesce("__before", F.slice("__in", 1, 0)))
-    latest = F.slice(F.sort_array(both, asc=False), 1, n)
+    found = F.slice(F.sort_array(both, asc=False), 1, n)
     since = micros(ts) - F.lit(seconds * 1_000_000)
-    near = F.filter(latest, lambda r: micros(r.getField(ts)) >= since)
-    return joined.withColumn(out, near).drop("__in", "__before", _CHUNK)
+    near = F.filter(found, lambda r: micros(r.getField(ts)) >= since)
+    return joined.withColumn(out, near).select(*df.columns, out)
 
 
 def in_overlapping_spans(df: DataFrame, ts: str, seconds: int) -> DataFrame:

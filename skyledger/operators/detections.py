@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skyledger.functions.columns import any_of, as_col, ipv4_number
 from skyledger.functions.ordered import running_until, with_previous
-from skyledger.functions.timebucket import bucket, micros
+from skyledger.functions.timebucket import bucket, lookback, micros
 
 
 # The tactic of each technique.
@@ -298,6 +298,20 @@ def beaconing(dns: DataFrame, min_gaps: int = 3, max_cv: float = 0.1, periods: t
     return stats.filter(F.col("gaps") > 0).withColumn("beacon", F.coalesce(regular, F.lit(False)))
 
 
+# Record types that can carry a payload.
+PAYLOAD_TYPES = ("TXT", "CNAME")
+
+
+def payload_lookups(dns: DataFrame, parents: list[str], as_of: str, interval: str = "24 HOURS", types: tuple[str, ...] = PAYLOAD_TYPES, keep: tuple[str, ...] = ("ts", "qname", "qtype", "answers")) -> DataFrame:
+    """Look-ups below a command-and-control parent domain whose answers can carry a payload, newest first.
+
+    ``parents`` is the investigator's list; a name counts if it is a parent or lies below one, in any case.
+    """
+    name = F.lower("qname")
+    below = any_of([(name == p.lower()) | name.endswith("." + p.lower()) for p in parents])
+    return lookback(dns, as_of, interval).filter(below & F.col("qtype").isin(*types)).select(*keep).orderBy(F.desc("ts"), "qname")
+
+
 def name_entropy(label: Column) -> Column:
     """Shannon entropy (bits) of the characters of a name."""
     chars = F.split(label, "")

@@ -102,7 +102,7 @@ def _occurrences(words: Column, term: str) -> Column:
 def keyword_search(docs: DataFrame, query: str, k: int, text: str = "content", id_col: str = "id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The ``k`` best rows by BM25.
 
-    Term counts are taken within each row in one pass, which writes a few numbers per row to the checkpoint folder; document
+    Term counts are taken within each row in one pass, a job that runs when this is called and writes a few numbers per row to the checkpoint folder; document
     frequencies, the mean length and the ranking, a distributed top-k, read those.  Nothing is exploded or shuffled.
     """
     import re

@@ -95,6 +95,12 @@ SELECT l.*, CASE (user_id + k * 7) % {len(_JOB_STREAMS)} {" ".join(f"WHEN {i} TH
 FROM #logs l
 """
 
+# Look-ups with their record type and answer.
+VIEWS["dns"] = """
+SELECT id, ts, host, qname, CASE k % 7 WHEN 1 THEN 'TXT' WHEN 2 THEN 'CNAME' WHEN 3 THEN 'AAAA' ELSE 'A' END AS qtype, 'answer-' || CAST(k AS STRING) AS answers
+FROM #logs
+"""
+
 VIEWS["alerts"] = """
 SELECT id, ts, CASE k % 3 WHEN 0 THEN 'DNS Firewall Block' WHEN 1 THEN 'IAM Access Key Created' ELSE 'High Egress' END AS rule,
   CASE k % 3 WHEN 0 THEN 'medium' WHEN 1 THEN 'high' ELSE 'critical' END AS severity,

@@ -252,3 +252,10 @@ def _(spark, sf):
         "dead_letters": F.when(F.col("k") % 9 == 0, F.col("k")).otherwise(0),
     }
     return d.sum_threshold(logs(spark, sf), ["bucket_name"], sums)
+
+
+@query("d10_payload_lookups", """SELECT id, ts, qname, qtype, answers FROM v_dns WHERE ts BETWEEN TIMESTAMP '2024-01-08 00:00:00' AND TIMESTAMP '2024-01-15 00:00:00'
+  AND regexp_matches(qname, '(^|[.])(duckdns[.]org|evil1[.]com)$') AND (qtype = 'TXT' OR qtype = 'CNAME')""")
+def _(spark, sf):
+    """TXT and CNAME look-ups of a week below two parent domains."""
+    return d.payload_lookups(view(spark, sf, "dns"), ["duckdns.org", "Evil1.com"], "2024-01-15 00:00:00", "7 DAYS", keep=("id", "ts", "qname", "qtype", "answers"))

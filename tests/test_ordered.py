@@ -71,11 +71,13 @@ def test_previous_and_numbered(frames, data, chunk):
             assert prev[i] == (ordered[pos - 1][2] if pos else None)
 
 
-@pytest.mark.parametrize("chunk", [60, 7200])
-def test_previous_rows(frames, data, chunk):
+@pytest.mark.parametrize("bits", [(20, 16), (24, 2), (34, 3), (40, 1)])
+def test_previous_rows(frames, data, bits, monkeypatch):
     e, _ = frames
     events, _ = data
-    got = {r["eid"]: [x["eid"] for x in r["near"]] for r in o.previous_rows(e, ["key"], "ts", "eid", ["v"], 3, 5000, "near", chunk).collect()}
+    monkeypatch.setattr(o, "_SECOND_BITS", bits[0])
+    monkeypatch.setattr(o, "_CHUNK_BITS", bits[1])
+    got = {r["eid"]: [x["eid"] for x in r["near"]] for r in o.previous_rows(e, ["key"], "ts", "eid", ["v"], 3, 5000, "near").collect()}
     for i, key, ts, _ in events:
         before = sorted([(t, j) for j, k, t, _ in events if k == key and (t, j) < (ts, i) and t >= ts - dt.timedelta(seconds=5000)], reverse=True)
         assert got[i] == [j for _, j in before[:3]]
@@ -101,3 +103,15 @@ def test_empty_inputs(spark):
     assert o.asof_latest(p, e, ["key"], ["v"], "eid", 60).first()["src_v"] is None
     assert o.trailing_count(p, e, ["key"], 60, "n").first()["n"] == 0
     assert o.numbered(e, ["key"], "ts", ["eid"], "n").count() == 0
+
+
+def test_broadcasts_are_checked_by_rows_and_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from skyledger.functions.joins import checked_broadcast
+
+    hinted = lambda df: "strategy=broadcast" in df._jdf.queryExecution().analyzed().toString()
+    small, wide = spark.range(50), spark.range(50).select("id", F.repeat(F.lit("x"), 10_000).alias("t"))
+    assert hinted(checked_broadcast(small)) and not hinted(checked_broadcast(small, max_rows=49))
+    assert hinted(checked_broadcast(wide)) and not hinted(checked_broadcast(wide, max_bytes=400_000))
+    assert hinted(checked_broadcast(small.limit(0)))
