@@ -37,27 +37,31 @@ def best_branches(messages: DataFrame, conv: str, key: str, parent: str, order:
     with equal conversation and key are one message, the greatest of them; NULL keys count as one key, NULL scores as 0.
     """
     row = F.struct(F.col(parent).alias("parent"), F.col(order).alias("order"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("score"))
-    nodes = messages.select(F.struct(F.col(conv).alias("v")).alias("conv"), F.struct(F.col(key).alias("v")).alias("node"), row.alias("row"))
-    nodes = stored(nodes.groupBy("conv", "node").agg(F.max("row").alias("row")).select("conv", "node", "row.*"), "chat-messages")
-    links = nodes.select("conv", "node", F.when(F.col("parent").isNotNull(), F.struct(F.col("parent").alias("v"))).alias("up"), F.struct("order", "node").alias("time"), "score")
-    earlier = nodes.select("conv", F.col("node").alias("up"), F.struct("order", "node").alias("up_time"))
-    checked = links.join(earlier, ["conv", "up"], "left").select("conv", "node", F.when(F.col("up_time") < F.col("time"), F.col("up")).alias("up"), F.lit(1).alias("depth"), F.col("score").alias("total"))
+    found = messages.select(F.struct(F.col(conv).alias("v")).alias("conv"), F.struct(F.col(key).alias("v")).alias("node"), row.alias("row"))
+    found = found.groupBy("conv", "node").agg(F.max("row").alias("row")).select("conv", "node", "row.*")
+    # From here on a message is a number, written with it, so that jumps are rows of four numbers.
+    nodes = stored(found.withColumn("n", F.monotonically_increasing_id()), "chat-messages")
+    links = nodes.select("n", "conv", F.when(F.col("parent").isNotNull(), F.struct(F.col("parent").alias("v"))).alias("up_node"), F.struct("order", "node").alias("time"), "score")
+    earlier = nodes.select("conv", F.col("node").alias("up_node"), F.struct("order", "node").alias("up_time"), F.col("n").alias("up"))
+    checked = links.join(earlier, ["conv", "up_node"], "left").select("n", F.when(F.col("up_time") < F.col("time"), F.col("up")).alias("up"), F.lit(1).alias("depth"), F.col("score").alias("total"))
     jumps = [stored(checked, "chat-jump")]
+    replied = jumps[0].where("up IS NOT NULL").select(F.col("up").alias("n"))
     while jumps[-1].where("up IS NOT NULL").limit(1).count():
         last = jumps[-1]
-        above = last.select("conv", F.col("node").alias("up"), F.col("up").alias("top"), F.col("depth").alias("more"), F.col("total").alias("rest"))
-        farther = last.join(above, ["conv", "up"], "left").select("conv", "node", F.col("top").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("rest", F.lit(0.0))).alias("total"))
-        jumps.append(stored(farther, "chat-jump"))
+        above = last.select(F.col("n").alias("up"), F.col("up").alias("top"), F.col("depth").alias("more"), F.col("total").alias("rest"))
+        # A message that sees its root stays as it is.
+        farther = last.where("up IS NOT NULL").join(above, "up").select("n", F.col("top").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("rest")).alias("total"))
+        jumps.append(stored(last.where("up IS NULL").unionByName(farther), "chat-jump"))
     depths = jumps.pop()
-    replied = checked.where("up IS NOT NULL").select("conv", F.col("up").alias("node"))
-    leaves = depths.join(replied, ["conv", "node"], "left_anti")
+    leaves = depths.join(replied, "n", "left_anti").select("n", "depth", "total").join(nodes.select("n", "conv", "node"), "n")
     place = F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("total"), F.desc("depth"), F.desc("node")))
-    path = leaves.withColumn("place", place).where(F.col("place") <= branches).select("conv", F.col("node").alias("leaf"), "node")
+    path = leaves.withColumn("place", place).where(F.col("place") <= branches).select(F.col("n").alias("leaf"), "n")
     for jump in reversed(jumps):
-        step = jump.where("up IS NOT NULL").select("conv", "node", "up")
-        path = stored(path.unionByName(path.join(step, ["conv", "node"]).select("conv", "leaf", F.col("up").alias("node"))), "chat-path")
-    turns = path.join(nodes.select("conv", "node", "role", "text"), ["conv", "node"]).join(depths.select("conv", "node", "depth"), ["conv", "node"])
-    return turns.select(F.col("conv.v").alias("__conv"), F.col("leaf.v").alias("__leaf"), F.col("depth").alias("__depth"), "role", "text")
+        step = jump.where("up IS NOT NULL").select("n", "up")
+        path = stored(path.unionByName(path.join(step, "n").select("leaf", F.col("up").alias("n"))), "chat-path")
+    turns = path.join(nodes.select("n", "conv", "role", "text"), "n").join(depths.select("n", "depth"), "n")
+    turns = turns.join(nodes.select(F.col("n").alias("leaf"), F.col("node").alias("leaf_node")), "leaf")
+    return turns.select(F.col("conv.v").alias("__conv"), F.col("leaf_node.v").alias("__leaf"), F.col("depth").alias("__depth"), "role", "text")
 
 
 def format_branches(turns: DataFrame) -> DataFrame:
