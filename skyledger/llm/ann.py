@@ -2,7 +2,8 @@
 
 Each table turns vectors by a fast pseudo-rotation (three rounds of random signs and a Hadamard transform); a vector's bucket is the signed
 axis nearest to it, or a pair of them from two rotations for large tables.  A query probes the buckets whose axes are nearest to it in every
-table, and what it finds there is ranked exactly.
+table.  Buckets hold vectors as 16-bit codes, whose error is known, so what a query finds there is bounded from both sides; only what may be
+among its nearest is fetched and ranked exactly.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from skyledger.llm.common import arrow_batches, stored
 
-TABLES = 8
+TABLES = 4
 #: Rows that one task compares on either side; larger buckets are compared in blocks.
 BLOCK_ROWS = 4096
 #: Queries that the number of probes is calibrated on, and the share of their true neighbours that the probes must reach.
@@ -90,6 +91,24 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
+#: Steps of a code on either side of zero.
+_STEPS = 32767
+
+
+def _coded(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector as 16-bit steps, and the size of its step."""
+    step = np.maximum(np.abs(vectors).max(1) / _STEPS, np.finfo(float).tiny)
+    return np.rint(vectors / step[:, None]).astype("<i2"), step
+
+
+def _decoded(codes: pa.Array, steps: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors from codes, their norms, and how far each may lie from its original."""
+    x = np.frombuffer(b"".join(codes.to_pylist()), "<i2").reshape(-1, width) * steps[:, None]
+    # Half a step for each component, and a little for the rounding of sums.
+    norms = np.linalg.norm(x, axis=1)
+    return x, norms, 0.5001 * steps * np.sqrt(width) + 1e-12 * norms
+
+
 def _calibrate(queries: DataFrame, base: DataFrame, hashing: Hashing, k: int) -> int:
     """Probes per table with which a small sample of queries reaches enough of its true neighbours, found by comparing it with all rows."""
     width = hashing.width
@@ -173,13 +192,14 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id
                 if not batch.num_rows:
                     continue
                 vectors, ids = _matrix(batch.column("vec"), width), batch.column("vid").to_numpy()
+                codes, steps = _coded(vectors)
+                packed = pa.array([x.tobytes() for x in codes], pa.binary())
                 for table in range(hashing.tables):
-                    codes = hashing.probed(vectors, table, count, is_query)
+                    buckets = hashing.probed(vectors, table, count, is_query)
                     rows = np.repeat(np.arange(len(ids)), count)
-                    picked = batch.column("vec").take(pa.array(rows))
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array((table * hashing.buckets + codes).ravel().astype(np.int64)), "vid": pa.array(ids[rows]), "vec": picked})
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array((table * hashing.buckets + buckets).ravel().astype(np.int64)), "vid": pa.array(ids[rows]), "code": packed.take(pa.array(rows)), "step": pa.array(steps[rows])})
 
-        return rows.select("vid", "vec").mapInArrow(place, "bucket long, vid long, vec array<double>")
+        return rows.select("vid", "vec").mapInArrow(place, "bucket long, vid long, code binary, step double")
 
     candidates, probing = stored(placed(distinct, False), "ann-buckets"), stored(placed(query_vectors, True), "ann-probes")
     blocks = candidates.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks")).join(
@@ -190,30 +210,49 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id
         mine = F.pmod(F.xxhash64("vid"), F.col(own))
         copied = rows.join(blocks, "bucket").withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
         a, b = ("theirs", "mine") if is_query else ("mine", "theirs")
-        return copied.select("bucket", F.col(a).alias("block"), F.col(b).alias("query_block"), "vid", "vec", F.lit(is_query).alias("is_query"))
+        return copied.select("bucket", F.col(a).alias("block"), F.col(b).alias("query_block"), "vid", "code", "step", F.lit(is_query).alias("is_query"))
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         asks = group.column("is_query").to_numpy(zero_copy_only=False)
-        vectors, ids = _matrix(group.column("vec").combine_chunks(), width), group.column("vid").to_numpy()
-        x, q = vectors[~asks], vectors[asks]
+        ids = group.column("vid").to_numpy()
+        vectors, norms, error = _decoded(group.column("code"), group.column("step").to_numpy(), width)
+        x, q = np.flatnonzero(~asks), np.flatnonzero(asks)
         if not len(x) or not len(q):
             empty = np.zeros(0)
-            return pa.table({"qid": pa.array(empty, pa.int64()), "vid": pa.array(empty, pa.int64()), "score": pa.array(empty, pa.float64())})
-        scores = q @ x.T
+            return pa.table({"qid": pa.array(empty, pa.int64()), "vid": pa.array(empty, pa.int64()), "low": pa.array(empty), "high": pa.array(empty)})
+        scores = vectors[q] @ vectors[x].T
+        # The inner product of the originals is at most this far off.
+        off = norms[q][:, None] * error[x][None, :] + (norms[x] + error[x])[None, :] * error[q][:, None]
         most = min(k + 1, len(x))
-        top = np.argpartition(-scores, most - 1, axis=1)[:, :most]
-        exact = np.einsum("qkd,qd->qk", x[top], q)
-        return pa.table({"qid": pa.array(np.repeat(ids[asks], most)), "vid": pa.array(ids[~asks][top].ravel()), "score": pa.array(exact.ravel())})
+        bar = np.partition(scores - off, len(x) - most, axis=1)[:, len(x) - most]
+        rows, columns = np.nonzero(scores + off >= bar[:, None])
+        low, high = (scores - off)[rows, columns], (scores + off)[rows, columns]
+        return pa.table({"qid": pa.array(ids[q][rows]), "vid": pa.array(ids[x][columns]), "low": pa.array(low), "high": pa.array(high)})
 
     pairs = dealt(candidates, "blocks", "query_blocks", False).unionByName(dealt(probing, "query_blocks", "blocks", True))
-    found = pairs.groupBy("bucket", "block", "query_block").applyInArrow(compare, "qid long, vid long, score double").groupBy("qid", "vid").agg(F.max("score").alias("score"))
+    found = pairs.groupBy("bucket", "block", "query_block").applyInArrow(compare, "qid long, vid long, low double, high double")
+    # Whatever may be among the k + 1 nearest of all that was found; equal vectors stand for one another.
+    bounded = found.groupBy("qid", "vid").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+    ranked = bounded.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("low"))))
+    bar = F.min(F.when(F.col("n") <= k + 1, F.col("low"))).over(Window.partitionBy("qid"))
+    near = ranked.withColumn("bar", bar).where("high >= bar").select("qid", "vid")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                scores = np.einsum("nd,nd->n", _matrix(batch.column("asked"), width), _matrix(batch.column("vec"), width))
+                yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("vid"), pa.array(scores), batch.column("ids")], names=["qid", "vid", "score", "ids"])
+
+    kind = distinct.schema["ids"].dataType.simpleString()
+    fetched = near.join(distinct, "vid").join(query_vectors.select(F.col("vid").alias("qid"), F.col("vec").alias("asked")), "qid")
+    found = fetched.select("qid", "vid", "asked", "vec", "ids").mapInArrow(exact, f"qid long, vid long, score double, ids {kind}")
 
     def best(rows: DataFrame, by: str, ident: str, n: int) -> DataFrame:
         order = Window.partitionBy(by).orderBy(F.desc("score"), ident)
         return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
-    top = best(found, "qid", "vid", k + 1).drop("rank").join(distinct.select("vid", "ids"), "vid")
+    top = best(found, "qid", "vid", k + 1).drop("rank")
     top = best(top.select("qid", "score", F.explode("ids").alias(key)), "qid", key, k + 1).groupBy("qid").agg(F.collect_list(F.struct("score", key)).alias("near"))
     # Queries with equal vectors share their search.
     members = wanted.join(query_vectors.withColumnRenamed("vid", "qid"), "vec").select(F.col("id").alias("query_id"), "qid")
