@@ -21,24 +21,24 @@ from skyledger.llm.common import arrow_batches
 from skyledger.llm.tokens import coder
 
 BLOCK_TOKENS = 1 << 20
-ROUNDS = 6
-LEAST_USES = 24
+#: A pair is replaced while it has so many places, the most frequent ones of a round together.
+LEAST_USES = 8
 PAIRS_A_ROUND = 2048
 _BUCKET_BITS = 18
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, base: int, rounds: int | None = None, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray]:
     """Rules and symbols for ``ids``.
 
     A round counts the adjacent pairs, gives the most frequent ones a new symbol each and replaces their places from left to right
-    without overlap; it goes on until no pair is frequent.  Pairs are counted in hash buckets first, so that only places of frequent
-    buckets are compared exactly.  With ids below 65,536 the number of rules keeps symbols in two bytes.
+    without overlap; in a run of frequent pairs every second place takes part, and the others may in the next round.  It goes on until a round
+    finds no frequent pair, or after ``rounds``.  Pairs are counted in hash buckets first, so that only places of frequent buckets are
+    compared exactly.  With ids below 65,536 the number of rules keeps symbols in two bytes.
     """
     symbols, rules = ids.astype(np.int64), []
     room = 65536 - base if base < 65536 else 1 << 20
-    for _ in range(rounds):
-        if len(symbols) < 2 or room <= 0:
-            break
+    while (rounds is None or rounds > 0) and len(symbols) >= 2 and room > 0:
+        rounds = None if rounds is None else rounds - 1
         pairs = (symbols[:-1] << 32) | symbols[1:]
         bucket = ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
         counts = np.bincount(bucket, minlength=1 << _BUCKET_BITS)
