@@ -120,7 +120,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang
             yield pa.RecordBatch.from_pydict({"slot": pa.array(np.full(len(used), slot), pa.int32()), "bucket": pa.array(used, pa.int32()), "n": pa.array(total[used])})
 
     # The sample is bounded, so a few tasks hold it and the sums they send stay few.
-    sums = chosen.repartition(8).mapInArrow(count, "slot int, bucket int, n long").groupBy("slot", "bucket").agg(F.sum("n").alias("n"))
+    sums = chosen.repartition(8).mapInArrow(releasing(count), "slot int, bucket int, n long").groupBy("slot", "bucket").agg(F.sum("n").alias("n"))
     got = sums.toArrow()
     table = np.zeros((buckets, len(languages)))
     table[got.column("bucket").to_numpy(), got.column("slot").to_numpy()] = got.column("n").to_numpy()

@@ -16,21 +16,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyledger.llm.common import arrow_batches, stored
+from skyledger.llm.common import arrow_batches, releasing, stored
 from skyledger.llm.tokens import coder
 
 WIDTH = 2048
 #: Items that one task packs at once.
 GROUP_ITEMS = 20_000
+#: Bytes of text that are encoded at once.
+_STEP_BYTES = 1 << 18
 #: A bin with less room than this share of the width is closed.
 NEARLY_FULL = 64
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", end_id: int = 0, width: int = WIDTH, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", end_id: int = 0, width: int = WIDTH, with_ids: bool = False, keep_words: bool = True) -> DataFrame:
     """Documents as pieces of at most ``width`` ids: ``key, piece, start, length, ids_crc32`` and, if asked for, ``ids``.
 
     A document is its whole text's ids and ``end_id``; only longer ones are cut.  A NULL text is empty, so it is one piece of one id.
-    NULL keys and repeated rows give pieces of their own; other columns are not read.
+    NULL keys and repeated rows give pieces of their own; other columns are not read.  Without ``keep_words`` a worker frees its vocabulary
+    after each task, which costs time and leaves memory to others.
     """
     arrow_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
@@ -41,7 +44,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = coder(vocabulary)
         for batch in batches:
-            for row, end, ids, at in tool.encode(batch.column(1)):
+            for row, end, ids, at in tool.encode(batch.column(1), _STEP_BYTES):
                 ids = np.insert(ids, at[1:], end_id).astype("<i4")
                 sizes = np.diff(at) + 1
                 firsts = np.cumsum(sizes) - sizes
@@ -58,7 +61,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(begin, len(ids)), pa.int32()), pa.array(ids)))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(releasing(cut, caches=not keep_words), schema)
 
 
 def best_fit(sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -114,7 +117,7 @@ def _pack_local(items: DataFrame, width: int, level: int) -> DataFrame:
         if sum(b.num_rows for b in waiting):
             yield from flush()
 
-    return items.mapInArrow(pack, schema)
+    return items.mapInArrow(releasing(pack), schema)
 
 
 def pack(items: DataFrame, length: str = "length", width: int = WIDTH) -> DataFrame:
@@ -126,8 +129,9 @@ def pack(items: DataFrame, length: str = "length", width: int = WIDTH) -> DataFr
     """
     arrow_batches(items.sparkSession)
     kept = [c for c in items.columns if c not in ("sequence_id", "offset")]
-    sized = items.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(length).cast("long"), F.lit(0)).alias("__size"))
-    packed = stored(_pack_local(sized, width, 0), "pack-0")
+    sized = items.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), F.coalesce(F.col(length).cast("long"), F.lit(0)).alias("__size"))
+    # Items are written before they are packed, so that a task never runs the workers that made them and those that pack them side by side.
+    packed = stored(_pack_local(stored(sized, "pack-items"), width, 0), "pack-0")
     room = width // NEARLY_FULL
     underfull = F.col("__fill") < width - room
     rest = packed.where(F.col("__head") & underfull).select(F.col("__bin").alias("child"), F.col("__fill").alias("__size"))
@@ -140,7 +144,7 @@ def pack(items: DataFrame, length: str = "length", width: int = WIDTH) -> DataFr
         before, left, level = left, rest.count(), level + 1
         if groups == 1 or left > 0.99 * before:
             break
-    columns = [F.col(f"`{c}`") for c in kept]
+    columns = [F.col(f"__row.`{c}`") for c in kept]
     if not links:
         return packed.select(*columns, F.col("__bin").alias("sequence_id"), F.col("__offset").alias("offset"))
     place = links.pop()

@@ -13,7 +13,7 @@ from skyledger.llm.common import hold, span_hashes, spans, steps, string_bytes
 
 #: A worker forgets its words when it knows so many.
 MAX_WORDS = 500_000
-_STEP = 1 << 21
+_STEP = 1 << 19
 
 # Byte classes: 0 white space, 1 letters a-z and two-byte letters of Latin-1, 2 digits, 3 other ASCII signs.
 _CLASS = np.full(256, 3, np.uint8)
@@ -63,10 +63,10 @@ class Coder:
         self.pool, self.starts, self.lengths = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """First row, end row, ids and the rows' offsets into them, for a few rows at a time."""
+    def encode(self, column: pa.Array, step: int = _STEP) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """First row, end row, ids and the rows' offsets into them, for rows of ``step`` bytes at a time."""
         data, at = string_bytes(column)
-        for row, end in steps(at, _STEP):
+        for row, end in steps(at, step):
             part, inner = data[at[row] : at[end]], at[row : end + 1] - at[row]
             if self.by_word:
                 ids, offsets = self._words(part, inner)
