@@ -323,11 +323,25 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     open_groups = placed.join(mixed, "code")
     left, right = (open_groups.select("code", F.col("group").alias(f"group_{s}"), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}")) for s in "ab")
     apart = (F.col("low_a") != F.col("high_b")) | (F.col("high_a") != F.col("low_b"))
-    pairs = stored(left.join(right, "code").where((F.col("group_a") <= F.col("group_b")) & apart).select("group_a", "group_b").distinct(), "jaccard-pairs")
-    sides = pairs.select(F.col("group_a").alias("group"), "group_a", "group_b", F.lit(True).alias("first")).unionByName(
-        pairs.where("group_a <> group_b").select(F.col("group_b").alias("group"), "group_a", "group_b", F.lit(False).alias("first"))
+    pairs = left.join(right, "code").where((F.col("group_a") <= F.col("group_b")) & apart).select("group_a", "group_b").distinct()
+    # Only sets of such buckets are left to compare, with groups that have another component and a size that can link.
+    opened = shared.select("code", "key").join(mixed, "code").select("key").distinct().join(grouped, "key").join(sketches.select("key", "n"), "key")
+    opened = stored(opened.select("key", "group", "comp", "n"), "jaccard-open")
+    spans = opened.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    for side in "ab":
+        pairs = pairs.join(spans.select(F.col("group").alias(f"group_{side}"), F.struct("least", "most", "low", "high").alias(f"span_{side}")), f"group_{side}")
+
+    def fits(own_least: Column, own_most: Column, other: str) -> Column:
+        return (own_most * den >= F.col(f"{other}.least") * num) & (F.col(f"{other}.most") * den >= own_least * num)
+
+    pairs = stored(pairs.where(fits(F.col("span_a.least"), F.col("span_a.most"), "span_b")), "jaccard-pairs")
+    sides = pairs.select(F.col("group_a").alias("group"), "group_a", "group_b", F.lit(True).alias("first"), F.col("span_b").alias("other")).unionByName(
+        pairs.where("group_a <> group_b").select(F.col("group_b").alias("group"), "group_a", "group_b", F.lit(False).alias("first"), F.col("span_a").alias("other"))
     )
-    admitted = stored(_admitted(sides.join(grouped, "group").join(sketches, "key"), num, den), "jaccard-admitted")
+    one = opened.withColumnRenamed("group", "home_group")
+    elsewhere = (F.col("other.low") != F.col("comp")) | (F.col("other.high") != F.col("comp"))
+    listed = sides.join(one, (F.col("group") == F.col("home_group")) & elsewhere & fits(F.col("n"), F.col("n"), "other")).select("group_a", "group_b", "first", "key", "comp")
+    admitted = stored(_admitted(listed.join(sketches, "key"), num, den), "jaccard-admitted")
     asked = admitted.select("group_a", "group_b", "first", "key").distinct().join(grouped.select("key", "comp"), "key")
     more = stored(_compared(_with_texts(asked, texts), ["group_a", "group_b"], n, num, den), "jaccard-more-links")
     groups = components(copies.unionByName(links).unionByName(more), "a", "b")
