@@ -35,12 +35,14 @@ def compress(ids: np.ndarray, base: int, rounds: int | None = None, least: int =
     finds no frequent pair, or after ``rounds``.  Pairs are counted in hash buckets first, so that only places of frequent buckets are
     compared exactly.  With ids below 65,536 the number of rules keeps symbols in two bytes.
     """
-    symbols, rules = ids.astype(np.int64), []
     room = 65536 - base if base < 65536 else 1 << 20
+    # A pair is one number: of 32 bits while symbols have 16.
+    kind, half, factor = (np.uint32, 16, 0x9E3779B1) if base < 65536 else (np.uint64, 32, 0x9E3779B97F4A7C15)
+    symbols, rules = ids.astype(kind), []
     while (rounds is None or rounds > 0) and len(symbols) >= 2 and room > 0:
         rounds = None if rounds is None else rounds - 1
-        pairs = (symbols[:-1] << 32) | symbols[1:]
-        bucket = ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
+        pairs = (symbols[:-1] << kind(half)) | symbols[1:]
+        bucket = ((pairs * kind(factor)) >> kind(2 * half - _BUCKET_BITS)).astype(np.int64)
         counts = np.bincount(bucket, minlength=1 << _BUCKET_BITS)
         most = min(PAIRS_A_ROUND, room)
         bar = max(least, int(np.partition(counts, -most)[-most]))
@@ -60,15 +62,16 @@ def compress(ids: np.ndarray, base: int, rounds: int | None = None, least: int =
         new = np.full(len(found), -1, np.int64)
         first = base + sum(len(r) for r in rules)
         new[chosen] = first + np.arange(len(chosen))
-        rules.append(np.stack([found[chosen] >> 32, found[chosen] & 0xFFFFFFFF], axis=1))
+        rules.append(np.stack([found[chosen] >> kind(half), found[chosen] & kind((1 << half) - 1)], axis=1).astype(np.int64))
         room -= len(chosen)
-        replaced = new[which] >= 0
+        put = new[which]
+        replaced = put >= 0
         at = at[replaced]
-        symbols[at] = new[which][replaced]
+        symbols[at] = put[replaced]
         left = np.ones(len(symbols), bool)
         left[at + 1] = False
         symbols = symbols[left]
-    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)), symbols
+    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)), symbols.astype(np.int64)
 
 
 def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -120,7 +123,13 @@ class Block:
         return self._expand(self.symbols[low : high + 1])[skip : skip + length]
 
     def all(self) -> np.ndarray:
-        return self._expand(self.symbols)
+        """All ids: every rule is expanded once and copied to its places, unless the rules alone are longer than the block."""
+        if self.lengths.sum() > max(BLOCK_TOKENS, int(self.ends[-1]) if len(self.ends) else 0):
+            return self._expand(self.symbols)
+        pool = np.concatenate([np.arange(self.base), self._expand(np.arange(self.base, self.base + len(self.lengths)))])
+        firsts = np.concatenate([np.arange(self.base), self.base + np.cumsum(self.lengths) - self.lengths])
+        sizes = np.diff(self.ends, prepend=0)
+        return pool[np.repeat(firsts[self.symbols] - (self.ends - sizes), sizes) + np.arange(sizes.sum())]
 
 
 def write_token_blocks(docs: DataFrame, vocabulary: str, path: str, key: str = "doc_id", text: str = "text", end_id: int = 2, block_tokens: int = BLOCK_TOKENS) -> None:

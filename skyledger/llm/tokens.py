@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from skyledger.llm.common import hold, span_hashes, spans, steps, string_bytes
 #: A worker forgets its words when it knows so many.
 MAX_WORDS = 500_000
 _STEP = 1 << 19
+#: New words that go to the library as one text.
+_JOINED_WORDS = 256
 
 # Byte classes: 0 white space, 1 letters a-z and two-byte letters of Latin-1, 2 digits, 3 other ASCII signs.
 _CLASS = np.full(256, 3, np.uint8)
@@ -55,7 +58,10 @@ class Coder:
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and parts[0].get("pattern") == {"Regex": _SPLIT} and len(parts) == 2 and shape.get("post_processor") is None
         if self.by_word:
             self.lean = Tokenizer(self.full.model)  # shares the vocabulary
-            self.lean.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            blank = self.lean.encode(" ", add_special_tokens=False).ids
+            self.by_word = len(blank) == 1 and self.lean.id_to_token(blank[0]).startswith("Ġ")  # the sign for a blank, which no word holds
+            self.blank = blank[0] if self.by_word else -1
         self._forget()
 
     def _forget(self) -> None:
@@ -116,7 +122,7 @@ class Coder:
         index, keys = coded.indices.to_numpy(), coded.dictionary.to_numpy().tolist()
         if len(self.known) + len(keys) > MAX_WORDS:
             self._forget()
-        slots = np.fromiter((self.known.get(k, -1) for k in keys), np.int64, len(keys))
+        slots = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
         new = np.flatnonzero(slots < 0)
         if len(new):
             first = np.empty(len(keys), np.int64)
@@ -131,23 +137,45 @@ class Coder:
 
     def _learn(self, keys: list[int], first: np.ndarray, starts: np.ndarray, ends: np.ndarray, low: np.ndarray, data: np.ndarray, raw: np.ndarray | None) -> None:
         whole = raw[starts[first]] if raw is not None else np.zeros(len(first), bool)
-        got: list[list[int]] = [[]] * len(first)
-        for tokenizer, source, rows in ((self.lean, low, np.flatnonzero(~whole)), (self.full, data, np.flatnonzero(whole))):
-            texts = [bytes(source[starts[p] : ends[p]]).decode() for p in first[rows]]
-            for row, x in zip(rows, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                got[row] = x.ids
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.int32, int(lengths.sum()))
+        lengths, at = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        parts, used = [], 0
+        for encode, source, rows in ((self._lean_words, low, np.flatnonzero(~whole)), (self._raw_words, data, np.flatnonzero(whole))):
+            if len(rows):
+                ids, sizes = encode(source, starts[first[rows]], ends[first[rows]])
+                lengths[rows], at[rows] = sizes, used + np.cumsum(sizes) - sizes
+                parts.append(ids)
+                used += len(ids)
+        flat = np.concatenate(parts)
         n, known = self.used + len(flat), len(self.known)
         while len(self.pool) < n:
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while len(self.starts) < known + len(got):
+        while len(self.starts) < known + len(first):
             self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
         self.pool[self.used : n] = flat
-        self.lengths[known : known + len(got)] = lengths
-        self.starts[known : known + len(got)] = self.used + np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        self.lengths[known : known + len(first)] = lengths
+        self.starts[known : known + len(first)] = self.used + at
         self.used = n
-        self.known.update(zip(keys, range(known, known + len(got)), strict=True))
+        self.known.update(zip(keys, range(known, known + len(first)), strict=True))
+
+    def _raw_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after the other, and how many each has."""
+        texts = [bytes(data[a:b]).decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        got = [x.ids for x in self.full.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter((i for x in got for i in x), np.int32, int(lengths.sum())), lengths
+
+    def _lean_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words without blanks: many go to the library as one text, since every call has its price, and the blanks' ids part them."""
+        sizes = ends - starts + 1
+        sums = np.concatenate([[0], np.cumsum(sizes)])
+        joined = data[np.minimum(np.repeat(starts - sums[:-1], sizes) + np.arange(sums[-1]), len(data) - 1)]
+        joined[sums[1:] - 1] = 0x20
+        edges = np.append(sums[:-1:_JOINED_WORDS], sums[-1]).tolist()
+        texts = [joined[a:b].tobytes().decode() for a, b in zip(edges, edges[1:], strict=False)]
+        ids = np.concatenate([np.array(x.ids, np.int32) for x in self.lean.encode_batch_fast(texts, add_special_tokens=False)])
+        blank = ids == self.blank
+        lengths = np.diff(np.flatnonzero(blank), prepend=-1) - 1
+        return ids[~blank], lengths
 
 
 _CODERS: dict[str, Coder] = hold({})

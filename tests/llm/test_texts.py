@@ -54,6 +54,36 @@ def test_coder_equals_the_library(edge_rows, name):
     assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_new_words_go_to_the_library_together():
+    tool, asked = Coder(VOCABULARY), []
+    lean = tool.lean
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return lean.encode_batch_fast(texts, **options)
+
+    tool.lean = Counting()
+    text = " ".join(f"{a}{b}\u00e9{c}" for a in "abcdefghij" for b in "klmnop" for c in "qrstuv")
+    ((_, _, ids, _),) = tool.encode(pa.array([text]))
+    assert ids.tolist() == tool.full.encode(text, add_special_tokens=False).ids
+    assert len(tool.known) == 360 and len(asked) == 2
+
+
+def test_blocks_with_long_rules_are_expanded_in_place(monkeypatch):
+    rules = np.array([[5, 6], *([100 + i, 100 + i] for i in range(9))])  # rule 9 stands for 1,024 ids, all rules for 2,046
+    lengths = token_output.rule_lengths(rules, 100)
+    symbols = np.array([109, 3, 101])
+    block = token_output.Block(100, rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), symbols.astype("<u4").tobytes(), 4)
+    expected = [5, 6] * 512 + [3] + [5, 6] * 2
+    expanded, expand = [], token_output.Block._expand
+    monkeypatch.setattr(token_output.Block, "_expand", lambda self, x: expanded.append(len(x)) or expand(self, x))
+    assert block.all().tolist() == expected
+    monkeypatch.setattr(token_output, "BLOCK_TOKENS", 1000)
+    assert block.all().tolist() == expected
+    assert expanded == [len(rules), len(symbols)]
+
+
 @pytest.mark.parametrize("rounds", [1, 3, 8])
 def test_pair_grammars_are_reversible(rounds):
     rng = np.random.default_rng(3)
