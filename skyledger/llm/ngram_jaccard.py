@@ -9,7 +9,8 @@
    A sketch of parities, in which common tokens cancel out, bounds how much two sets differ, so that only texts of likely pairs are moved.
 4. Buckets that still hold several components need more.  Their sets are partitioned into groups of similar ones (by leader, in chunks); a
    group's matrix lists the members of each token.  For a pair of groups that share such a bucket, a set's overlap with the other group's token
-   union bounds its similarity with every member, and only groups that qualify are opened and compared exactly.
+   union bounds its similarity with every member, and only groups that qualify are opened and compared exactly.  Of two groups only the sets
+   that share such a bucket with the other one are listed.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from skyledger.llm.components import components
 
 GROUP_ROWS = 256
 SKETCH_BITS = 1024
-#: Tokens that so many sampled documents hold are common; so many are told apart at most.
+#: Tokens that so many sampled documents hold are common; so many are told apart at most.  The share of documents sampled doesn't shrink as
+#: they grow in number: a passage is common from about 50 documents on at any size, so those that meet pairwise are no more in a larger table.
 COMMON_COUNT = 4
+COMMON_SHARE = 0.08
 MAX_COMMON = 1 << 18
 #: The texts that are needed are first picked by so many hash values of their keys: a broadcast of at most that many numbers.
 PICK_BUCKETS = 1 << 20
@@ -114,11 +117,11 @@ def signatures(tokens: np.ndarray, classes: Classes, common: np.ndarray) -> np.n
 
 
 def common_tokens(texts: DataFrame, n: int, documents: int) -> np.ndarray:
-    """Hashes of shingles that many documents hold, at most ``MAX_COMMON``, from one in a hundred documents (4,000 at least) by hash.
+    """Hashes of shingles that many documents hold, at most ``MAX_COMMON``, from ``COMMON_SHARE`` of the documents (4,000 at least) by hash.
 
     Which tokens are in it changes the work, never the result.
     """
-    share = min(1.0, max(4000.0, documents / 100) / max(1, documents))
+    share = min(1.0, max(4000.0, documents * COMMON_SHARE) / max(1, documents))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,27 +323,22 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     placed = shared.select("code", "key").join(grouped, "key").groupBy("code", "group").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     placed = stored(placed, "jaccard-placed")
     mixed = placed.groupBy("code").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("code")
-    open_groups = placed.join(mixed, "code")
-    left, right = (open_groups.select("code", F.col("group").alias(f"group_{s}"), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}")) for s in "ab")
-    apart = (F.col("low_a") != F.col("high_b")) | (F.col("high_a") != F.col("low_b"))
-    pairs = left.join(right, "code").where((F.col("group_a") <= F.col("group_b")) & apart).select("group_a", "group_b").distinct()
-    # Only sets of such buckets are left to compare, with groups that have another component and a size that can link.
-    opened = shared.select("code", "key").join(mixed, "code").select("key").distinct().join(grouped, "key").join(sketches.select("key", "n"), "key")
-    opened = stored(opened.select("key", "group", "comp", "n"), "jaccard-open")
-    spans = opened.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    for side in "ab":
-        pairs = pairs.join(spans.select(F.col("group").alias(f"group_{side}"), F.struct("least", "most", "low", "high").alias(f"span_{side}")), f"group_{side}")
-
-    def fits(own_least: Column, own_most: Column, other: str) -> Column:
-        return (own_most * den >= F.col(f"{other}.least") * num) & (F.col(f"{other}.most") * den >= own_least * num)
-
-    pairs = stored(pairs.where(fits(F.col("span_a.least"), F.col("span_a.most"), "span_b")), "jaccard-pairs")
-    sides = pairs.select(F.col("group_a").alias("group"), "group_a", "group_b", F.lit(True).alias("first"), F.col("span_b").alias("other")).unionByName(
-        pairs.where("group_a <> group_b").select(F.col("group_b").alias("group"), "group_a", "group_b", F.lit(False).alias("first"), F.col("span_a").alias("other"))
+    # Buckets with the same members say the same, so one of them is enough.
+    met = shared.select("code", "key").join(mixed, "code")
+    hashes = [F.xxhash64("key"), F.xxhash64("key", F.lit("other"))]
+    parts = [part for h in hashes for part in (F.shiftrightunsigned(h, 32), h.bitwiseAND(0xFFFFFFFF))]  # sums of 32 bits don't overflow
+    digest = met.groupBy("code").agg(F.count("*").alias("size"), *[F.sum(part).alias(f"sum_{i}") for i, part in enumerate(parts)])
+    once = digest.groupBy(*[c for c in digest.columns if c != "code"]).agg(F.min("code").alias("code")).select("code")
+    members = stored(met.join(once, "code").join(grouped, "key").join(sketches.select("key", "n"), "key").select("code", "key", "group", "comp", "n"), "jaccard-members")
+    # A set is listed for a group that, in a bucket of the set, has another component and a size that can link.
+    there = members.groupBy("code", F.col("group").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    fits = (F.col("n") * den >= F.col("least") * num) & (F.col("most") * den >= F.col("n") * num)
+    elsewhere = (F.col("low") != F.col("comp")) | (F.col("high") != F.col("comp"))
+    first = F.col("group") <= F.col("other")
+    asks = members.join(there, "code").where(elsewhere & fits).select("key", "comp", "group", "other").distinct()
+    listed = asks.select(
+        F.when(first, F.col("group")).otherwise(F.col("other")).alias("group_a"), F.when(first, F.col("other")).otherwise(F.col("group")).alias("group_b"), first.alias("first"), "key", "comp"
     )
-    one = opened.withColumnRenamed("group", "home_group")
-    elsewhere = (F.col("other.low") != F.col("comp")) | (F.col("other.high") != F.col("comp"))
-    listed = sides.join(one, (F.col("group") == F.col("home_group")) & elsewhere & fits(F.col("n"), F.col("n"), "other")).select("group_a", "group_b", "first", "key", "comp")
     admitted = stored(_admitted(listed.join(sketches, "key"), num, den), "jaccard-admitted")
     asked = admitted.select("group_a", "group_b", "first", "key").distinct().join(grouped.select("key", "comp"), "key")
     more = stored(_compared(_with_texts(asked, texts), ["group_a", "group_b"], n, num, den), "jaccard-more-links")

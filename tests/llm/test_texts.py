@@ -428,3 +428,34 @@ def test_low_thresholds_are_refused(empty):
 
 def test_jaccard_of_an_empty_table(empty):
     assert ngram_jaccard.join_groups(empty).count() == 0
+
+
+def test_common_shingles_are_told_from_the_same_share_at_any_size(spark):
+    """A passage of 120 documents is common in a large table, too."""
+    rows = [(i, " ".join(f"own{i}x{j}" for j in range(6)) + (" a passage that many documents hold" if i < 120 else "")) for i in range(600)]
+    texts = spark.createDataFrame(rows, "key long, text string")
+    assert len(ngram_jaccard.common_tokens(texts, 3, 1_000_000)) == 4
+
+
+def test_only_sets_that_share_a_bucket_with_the_other_group_are_listed(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(ngram_jaccard, "GROUP_ROWS", 8)
+    kept, listed = {}, []
+    stored, admitted = ngram_jaccard.stored, ngram_jaccard._admitted
+    monkeypatch.setattr(ngram_jaccard, "stored", lambda df, name: kept.setdefault(name, stored(df, name)))
+    monkeypatch.setattr(ngram_jaccard, "_admitted", lambda rows, num, den: listed.extend(rows.select("group_a", "group_b", "first", "key").distinct().collect()) or admitted(rows, num, den))
+    rng = random.Random(5)
+    rows = []
+    for i in range(160):
+        text = [f"w{j}" for j in range(60)]
+        for _ in range(rng.choice([4, 6, 8])):
+            text[rng.randrange(60)] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    got = ngram_jaccard.join_groups(spark.createDataFrame(rows, "doc_id long, text string"), num=70)
+    assert {r["key"]: (r["n_shingles"], r["component"]) for r in got.collect()} == jaccard_groups(rows, 3, 70, 100)
+    codes, home = {}, {r["key"]: r["group"] for r in kept["jaccard-groups"].collect()}
+    for r in kept["jaccard-buckets"].collect():
+        codes.setdefault(r["code"], set()).add(r["key"])
+    meets = {(key, home[other]) for keys in codes.values() for key in keys for other in keys if key != other}
+    assert listed and all((r["key"], r["group_b"] if r["first"] else r["group_a"]) in meets for r in listed)
