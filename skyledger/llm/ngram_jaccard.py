@@ -10,7 +10,7 @@
 4. Buckets that still hold several components need more.  Their sets are partitioned into groups of similar ones (by leader, in chunks); a
    group's matrix lists the members of each token.  For a pair of groups that share such a bucket, a set's overlap with the other group's token
    union bounds its similarity with every member, and only groups that qualify are opened and compared exactly.  Of two groups only the sets
-   that share such a bucket with the other one are listed.
+   that share such a bucket with a set of the other one, and may link with it by the sketches, are listed.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from skyledger.llm.common import arrow_batches, each_step, mix, releasing, store
 from skyledger.llm.components import components
 
 GROUP_ROWS = 256
+#: Members of buckets that are compared by their sketches at once.
+UNIT_ROWS = 2048
 SKETCH_BITS = 1024
 #: Tokens that so many sampled documents hold are common; so many are told apart at most.  The share of documents sampled doesn't shrink as
 #: they grow in number: a passage is common from about 50 documents on at any size, so those that meet pairwise are no more in a larger table.
@@ -238,6 +240,80 @@ def _compared(rows: DataFrame, by: list[str], n: int, num: int, den: int) -> Dat
     return rows.select(*by, "first", "key", "comp", "text").groupBy(*by).applyInArrow(compare, "a long, b long")
 
 
+def _met(members: DataFrame, leaders: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Sets with the groups of those sets of other components in their buckets that they may link with by the sketches.
+
+    ``members`` has ``code, key, size`` of each bucket, ``sets`` one row a key.  A bucket is compared in memory, one of more than ``GROUP_ROWS``
+    sets in pairs of blocks of about that many, and a pair that the sketches rule out makes no row.  Buckets with the same leader have many
+    sets in common and meet in units of about ``UNIT_ROWS`` members, so that a set's sketch is moved once a unit, not once a bucket.
+    """
+    blocks = F.ceil(F.col("size") / GROUP_ROWS).cast("long")
+    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("code", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "key")
+    codes = members.select("code", "size").distinct().join(leaders.select("code", "leader"), "code")
+    rows = F.col("size") * F.ceil(F.col("size") / GROUP_ROWS)
+    units = codes.groupBy("leader").agg(F.ceil(F.sum(rows) / UNIT_ROWS).cast("long").alias("units"))
+    unit = F.pmod(F.xxhash64("code", "low", "high"), F.col("units")).alias("unit")
+    placed = dealt.join(codes.join(units, "leader").select("code", "leader", "units"), "code").select("leader", unit, "key", F.struct("code", "low", "high", "block").alias("at"))
+    at = ["leader", "unit"]
+    once = placed.groupBy(*at, "key").agg(F.collect_list("at").alias("at")).join(sets, "key")
+    once = once.select(*at, "at", "key", "comp", "n", "group.home", "group.chunk", "sketch").repartition(*at).sortWithinPartitions(*at)
+    out = "key long, comp long, group struct<home: long, chunk: long>, other struct<home: long, chunk: long>"
+
+    def compare(found: pa.Table) -> pa.RecordBatch:
+        """All units of some rows, each whole."""
+        found = found.combine_chunks()
+        comp, sizes = found.column("comp").to_numpy(), found.column("n").to_numpy()
+        group = np.unique(np.stack([found.column(c).to_numpy() for c in ("home", "chunk")]), axis=1, return_inverse=True)[1].reshape(-1)
+        sketch, lists = found.column("sketch").combine_chunks(), found.column("at").combine_chunks()
+        parts, offsets = sketch.values.to_numpy(), sketch.offsets.to_numpy()
+        code, low, high, block = (lists.flatten().field(c).to_numpy() for c in ("code", "low", "high", "block"))
+        row = np.repeat(np.arange(len(found)), np.diff(lists.offsets.to_numpy()))
+        order = np.lexsort((row, high, low, code))
+        row, block, place = row[order], block[order], np.stack([code, low, high])[:, order]
+        edges = np.flatnonzero(np.concatenate([[True], (place[:, 1:] != place[:, :-1]).any(0), [True]]))
+        pairs = []
+        for p, q in zip(edges, edges[1:], strict=False):
+            at, c = row[p:q], comp[row[p:q]]
+            if (c == c[0]).all():
+                continue
+            n, width = sizes[at], (offsets[at + 1] - offsets[at]).min()
+            folded = np.stack([np.bitwise_xor.reduce(parts[offsets[i] : offsets[i + 1]].reshape(-1, width), axis=0) for i in at])
+            bits = np.unpackbits(folded.view(np.uint8), axis=1).astype(np.float32)
+            a = np.flatnonzero(block[p:q] == place[1, p])
+            b = a if place[1, p] == place[2, p] else np.flatnonzero(block[p:q] != place[1, p])
+            weight, m, k = bits.sum(1), n[a][:, None], n[b][None, :]
+            differing = weight[a][:, None] + weight[b][None, :] - 2 * (bits[a] @ bits[b].T)
+            near = (differing * (den + num) <= (m + k) * (den - num)) & (m * den >= k * num) & (k * den >= m * num) & (c[a][:, None] != c[b][None, :])
+            i, j = np.nonzero(near)
+            i, j = at[a[i]], at[b[j]]
+            pairs += [np.stack([i, group[j], j]), np.stack([j, group[i], i])]
+        # One row for a set and each group it meets.
+        pair = np.concatenate([np.zeros((3, 0), np.int64), *pairs], axis=1)
+        i, _, j = pair[:, np.unique(pair[0] * len(found) + pair[1], return_index=True)[1]]
+        names = ["home", "chunk"]
+        sides = [pa.StructArray.from_arrays([pa.array(found.column(c).to_numpy()[x]) for c in names], names) for x in (i, j)]
+        return pa.RecordBatch.from_arrays([*(pa.array(found.column(c).to_numpy()[i]) for c in ("key", "comp")), *sides], names=["key", "comp", "group", "other"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            found = pa.Table.from_batches([batch])
+            if held is not None:
+                found = pa.concat_tables([held, found])
+            # The last unit may go on in the next batch.
+            place = np.stack([found.column(c).to_numpy() for c in ("leader", "unit")])
+            start = int(np.flatnonzero((place != place[:, -1:]).any(0)).max(initial=-1)) + 1
+            held = found.slice(start)
+            if start:
+                yield compare(found.slice(0, start))
+        if held is not None:
+            yield compare(held)
+
+    return once.mapInArrow(releasing(meet), out).distinct()
+
+
 def _admitted(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Of each pair of groups, the sets that some set of another component on the other side may link with by the sketches."""
     out = "group_a struct<home: long, chunk: long>, group_b struct<home: long, chunk: long>, first boolean, key long"
@@ -299,7 +375,7 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     # The leader of a bucket shares most buckets with most others.
     central = shared.groupBy("key").agg(F.sum("size").alias("weight"))
     ranked = shared.select("code", "key").join(central, "key").select("code", "key", F.struct("weight", (-F.col("key")).alias("key")).alias("rank"))
-    leaders = ranked.groupBy("code").agg(F.max("rank").alias("top")).select("code", (-F.col("top.key")).alias("leader"), F.col("top.weight").alias("lead"))
+    leaders = stored(ranked.groupBy("code").agg(F.max("rank").alias("top")).select("code", (-F.col("top.key")).alias("leader"), F.col("top.weight").alias("lead")), "jaccard-leaders")
     led = shared.select("code", "key").join(leaders, "code")
     stars = stored(led.groupBy("key", "leader").agg(F.max("lead").alias("lead")), "jaccard-stars")
     sketches = sets.select("key", "n", "sketch")
@@ -328,14 +404,10 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     hashes = [F.xxhash64("key"), F.xxhash64("key", F.lit("other"))]
     parts = [part for h in hashes for part in (F.shiftrightunsigned(h, 32), h.bitwiseAND(0xFFFFFFFF))]  # sums of 32 bits don't overflow
     digest = met.groupBy("code").agg(F.count("*").alias("size"), *[F.sum(part).alias(f"sum_{i}") for i, part in enumerate(parts)])
-    once = digest.groupBy(*[c for c in digest.columns if c != "code"]).agg(F.min("code").alias("code")).select("code")
-    members = stored(met.join(once, "code").join(grouped, "key").join(sketches.select("key", "n"), "key").select("code", "key", "group", "comp", "n"), "jaccard-members")
-    # A set is listed for a group that, in a bucket of the set, has another component and a size that can link.
-    there = members.groupBy("code", F.col("group").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    fits = (F.col("n") * den >= F.col("least") * num) & (F.col("most") * den >= F.col("n") * num)
-    elsewhere = (F.col("low") != F.col("comp")) | (F.col("high") != F.col("comp"))
+    once = digest.groupBy(*[c for c in digest.columns if c != "code"]).agg(F.min("code").alias("code")).select("code", "size")
+    members = stored(met.join(once, "code"), "jaccard-members")
+    asks = _met(members, leaders, grouped.join(sketches, "key"), num, den)
     first = F.col("group") <= F.col("other")
-    asks = members.join(there, "code").where(elsewhere & fits).select("key", "comp", "group", "other").distinct()
     listed = asks.select(
         F.when(first, F.col("group")).otherwise(F.col("other")).alias("group_a"), F.when(first, F.col("other")).otherwise(F.col("group")).alias("group_b"), first.alias("first"), "key", "comp"
     )

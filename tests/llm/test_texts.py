@@ -459,3 +459,28 @@ def test_only_sets_that_share_a_bucket_with_the_other_group_are_listed(spark, mo
         codes.setdefault(r["code"], set()).add(r["key"])
     meets = {(key, home[other]) for keys in codes.values() for key in keys for other in keys if key != other}
     assert listed and all((r["key"], r["group_b"] if r["first"] else r["group_a"]) in meets for r in listed)
+
+
+def test_sets_that_only_share_a_passage_are_not_listed(spark, monkeypatch):
+    """Three documents a passage, too few for its shingles to be common; no row is made for sets that their sketches rule out."""
+    listed, admitted = [], ngram_jaccard._admitted
+    monkeypatch.setattr(ngram_jaccard, "_admitted", lambda rows, num, den: listed.extend(rows.select("key").collect()) or admitted(rows, num, den))
+    rows = [(3 * p + d, " ".join([f"own{p}x{d}x{j}" for j in range(12)] + [f"passage{p}x{j}" for j in range(30)])) for p in range(40) for d in range(3)]
+    got = ngram_jaccard.join_groups(spark.createDataFrame(rows, "doc_id long, text string"), num=70)
+    assert {(r["key"], r["n_shingles"], r["component"]) for r in got.collect()} == {(k, 40, k) for k, _ in rows}
+    assert not listed
+
+
+def test_large_buckets_are_compared_in_blocks_and_units(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(ngram_jaccard, "GROUP_ROWS", 3)
+    monkeypatch.setattr(ngram_jaccard, "UNIT_ROWS", 5)
+    rng, rows = random.Random(9), []
+    for i in range(120):
+        text = [f"w{j}" for j in range(60)]
+        for _ in range(rng.choice([4, 6, 8])):
+            text[rng.randrange(60)] = f"new{rng.randrange(10**6)}"
+        rows += [(i, " ".join(text)), (i, "another text " + " ".join(text[:40]))][: 2 if i % 10 == 0 else 1]
+    got = ngram_jaccard.join_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), num=70)
+    assert {r["key"]: (r["n_shingles"], r["component"]) for r in got.collect()} == jaccard_groups(rows, 3, 70, 100)
