@@ -240,23 +240,20 @@ def _compared(rows: DataFrame, by: list[str], n: int, num: int, den: int) -> Dat
     return rows.select(*by, "first", "key", "comp", "text").groupBy(*by).applyInArrow(compare, "a long, b long")
 
 
-def _met(members: DataFrame, leaders: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _met(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Sets with the groups of those sets of other components in their buckets that they may link with by the sketches.
 
-    ``members`` has ``code, key, size`` of each bucket, ``sets`` one row a key.  A bucket is compared in memory, one of more than ``GROUP_ROWS``
-    sets in pairs of blocks of about that many, and a pair that the sketches rule out makes no row.  Buckets with the same leader have many
-    sets in common and meet in units of about ``UNIT_ROWS`` members, so that a set's sketch is moved once a unit, not once a bucket.
+    ``members`` has ``code, key`` of each bucket with its ``size``, ``leader`` and the leader's number of ``units``; ``sets`` has the keys' sets.
+    A bucket is compared in memory, one of more than ``GROUP_ROWS`` sets in pairs of blocks of about that many, and a pair that the sketches
+    rule out makes no row.  Buckets with the same leader have many sets in common and meet in units of about ``UNIT_ROWS`` members, so that
+    a set's sketch is moved once a unit, not once a bucket.
     """
     blocks = F.ceil(F.col("size") / GROUP_ROWS).cast("long")
-    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    dealt = members.repartition("key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("code", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "key")
-    codes = members.select("code", "size").distinct().join(leaders.select("code", "leader"), "code")
-    rows = F.col("size") * F.ceil(F.col("size") / GROUP_ROWS)
-    units = codes.groupBy("leader").agg(F.ceil(F.sum(rows) / UNIT_ROWS).cast("long").alias("units"))
-    unit = F.pmod(F.xxhash64("code", "low", "high"), F.col("units")).alias("unit")
-    placed = dealt.join(codes.join(units, "leader").select("code", "leader", "units"), "code").select("leader", unit, "key", F.struct("code", "low", "high", "block").alias("at"))
+    dealt = dealt.select("leader", "units", "key", F.struct("code", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block").alias("at"))
     at = ["leader", "unit"]
+    placed = dealt.withColumn("unit", F.pmod(F.xxhash64("at.code", "at.low", "at.high"), F.col("units")))
     once = placed.groupBy(*at, "key").agg(F.collect_list("at").alias("at")).join(sets, "key")
     once = once.select(*at, "at", "key", "comp", "n", "group.home", "group.chunk", "sketch").repartition(*at).sortWithinPartitions(*at)
     out = "key long, comp long, group struct<home: long, chunk: long>, other struct<home: long, chunk: long>"
@@ -405,8 +402,10 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     parts = [part for h in hashes for part in (F.shiftrightunsigned(h, 32), h.bitwiseAND(0xFFFFFFFF))]  # sums of 32 bits don't overflow
     digest = met.groupBy("code").agg(F.count("*").alias("size"), *[F.sum(part).alias(f"sum_{i}") for i, part in enumerate(parts)])
     once = digest.groupBy(*[c for c in digest.columns if c != "code"]).agg(F.min("code").alias("code")).select("code", "size")
-    members = stored(met.join(once, "code"), "jaccard-members")
-    asks = _met(members, leaders, grouped.join(sketches, "key"), num, den)
+    once = once.join(leaders.select("code", "leader"), "code")
+    units = once.groupBy("leader").agg(F.ceil(F.sum(F.col("size") * F.ceil(F.col("size") / GROUP_ROWS)) / UNIT_ROWS).cast("long").alias("units"))
+    members = stored(met.join(once.join(units, "leader"), "code"), "jaccard-members")
+    asks = _met(members, grouped.join(sketches, "key"), num, den)
     first = F.col("group") <= F.col("other")
     listed = asks.select(
         F.when(first, F.col("group")).otherwise(F.col("other")).alias("group_a"), F.when(first, F.col("other")).otherwise(F.col("group")).alias("group_b"), first.alias("first"), "key", "comp"
