@@ -165,9 +165,14 @@ def write_metric_series(df: DataFrame, path: str, ts: str = "ts", dims: str = "d
     rows.hint("rebalance", "metric", "date").sortWithinPartitions("metric", "date", "dims_hash", ts).write.mode("append").partitionBy("metric", "date").parquet(path)
 
 
+#: Requests of one file: a compressed file is read by one task.
+FILE_REQUESTS = 1000
+
+
 def write_otlp(df: DataFrame, path: str, max_spans: int = 250) -> None:
-    """Trace documents as OTLP/JSON export requests, one per line."""
-    otlp_requests(group_resource_spans(df, max_spans)).write.mode("append").text(path)
+    """Trace documents as OTLP/JSON export requests, one per line of gzip text, which repeats its field names and so packs to a fraction."""
+    requests = otlp_requests(group_resource_spans(df, max_spans))
+    requests.write.mode("append").option("compression", "gzip").option("maxRecordsPerFile", FILE_REQUESTS).text(path)
 
 
 def write_enriched_alerts(df: DataFrame, path: str, ts: str = "ts") -> None:

@@ -1,6 +1,7 @@
 """Traces, knowledge base, quality checks, sources and sinks on literal rows."""
 
 import datetime as dt
+import gzip
 import json
 
 import pytest
@@ -222,3 +223,14 @@ def test_one_wide_row_does_not_shrink_the_units(spark, tmp_path):
     assert sinks.size_capped_write(df, str(tmp_path / "u"), "id", max_bytes=100_000)["oversized"] == 1
     assert len(glob.glob(str(tmp_path / "u" / "*" / "*.txt"))) <= 20
     assert spark.read.text(str(tmp_path / "u")).count() == 2000
+
+
+def test_otlp_text_is_compressed_in_bounded_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "FILE_REQUESTS", 2, raising=False)
+    rows = [(T0, f"t{i}", f"s{i}", None, None, "span", "app", None, None, "n", 1, None, None, "hot", "prod", None) for i in range(200)]
+    sinks.write_otlp(spark.createDataFrame(rows, SPAN), str(tmp_path / "otlp"), max_spans=10)
+    files = list((tmp_path / "otlp").glob("part-*"))
+    assert files and all(f.name.endswith(".txt.gz") for f in files)
+    lines = [gzip.open(f, "rt").read().splitlines() for f in files]
+    assert all(len(x) <= 2 for x in lines)
+    assert sum(len(s["spans"]) for x in lines for line in x for r in json.loads(line)["resourceSpans"] for s in r["scopeSpans"]) == 200
