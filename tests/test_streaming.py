@@ -136,6 +136,43 @@ def test_alert_join_looks_into_the_alerts_minute(spark, tmp_path):
     assert got == {90: "x", 91: "old", 92: "u"}
 
 
+def sorted_before_exchange(df):
+    """Whether rows of a leaf are sorted before they are dealt out to tasks."""
+    planned, found = df._jdf.queryExecution().executedPlan().toString().splitlines(), []
+    for n, line in enumerate(planned):
+        if "Scan" in line:
+            above = planned[: n + 1][::-1]
+            chain = above[: next((k for k, x in enumerate(above) if "Exchange" in x), len(above))]
+            found.append(any("Sort" in x for x in chain))
+    assert found
+    return any(found)
+
+
+def test_latest_match_sorts_no_pairs(spark, tmp_path):
+    """Pairs are many times the alerts; ties go to the largest id, then to the largest text, and NULL texts are smallest."""
+    events = [(h, at(m * 60), e, f"10.0.0.{e}" if e % 3 else None, f"{h}{e}{x}") for h in ("h", "g") for m in range(20) for e in (m, m + 1) for x in ("", "", "z")]
+    alerts = [(i, at(300 + i * 20), h) for i in range(40) for h in ("h", "g") if h == "h" or i % 4 == 0]
+    pairs = [(i, t, h, e_ts, *rest) for i, t, h in alerts for host, e_ts, *rest in events if host == h and e_ts <= t]
+    schema = "alert_id long, alert_ts timestamp, alert_key string, event_ts timestamp, event_id long, src_ip string, event_user string"
+    spark.createDataFrame(pairs, schema).write.parquet(str(tmp_path / "pairs"))
+    out = jobs.latest_match(spark.read.schema(schema).parquet(str(tmp_path / "pairs")))
+    want = {}
+    for i, _, _, e_ts, e, ip, user in pairs:
+        want[i] = max(want.get(i, (at(-1), 0, "", "")), (e_ts, e, ip or "", user))
+    got = {r["alert_id"]: (r["event_ts"], r["src_ip"] or "", r["event_user"]) for r in out.collect()}
+    assert got == {i: (w[0], *w[2:]) for i, w in want.items()} and out.count() == 40
+    assert not sorted_before_exchange(out)
+
+
+def test_minutes_are_dealt_out_before_they_are_sorted(spark, tmp_path):
+    spark.createDataFrame([row(i, i * 7, user=f"u{i % 3}") for i in range(200)], SCHEMA).write.parquet(str(tmp_path / "e"))
+    events = spark.read.parquet(str(tmp_path / "e"))
+    for key in ("host", "user_name", "src_ip"):
+        minutes = jobs.minute_sources(events, key)
+        assert minutes.count() == events.select(key, F.date_trunc("minute", "ts")).distinct().count()
+        assert not sorted_before_exchange(minutes)
+
+
 def test_late_rows_of_many_batches_are_all_counted(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")
     try:
