@@ -101,6 +101,21 @@ def test_stages_out_of_order_over_batches(spark, tmp_path):
     assert got == want == [("u", at(0), at(10), at(20), at(30))]
 
 
+def test_many_actors_share_a_key_of_the_tracker(spark, tmp_path):
+    """The work outside the rows themselves follows the buckets and spans, not the number of actors."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    chain = ("ListUsers", "CreateAccessKey", "AttachUserPolicy", "AssumeRole")
+    steps = [(u, s * 40 + u % 7, chain[(s + u) % 4]) for u in range(700) for s in range(7)]
+    rows = [row(i, t, a, f"u{u}") for i, (u, t, a) in enumerate(steps)]
+    path = write(spark, tmp_path, [r for r in rows if r[1] < at(130)], [r for r in rows if r[1] >= at(130)], [row(99999, 9000, chain[0], "w")])
+    query, out = run(spark, stage_stream(source(spark, path), "user_name", chain, 3600), tmp_path)
+    got = sorted(tuple(r) for r in out.collect())
+    want = sorted(tuple(r) for r in privesc_sequence(spark.createDataFrame(rows, SCHEMA)).select("user_name", "t1", "t2", "t3", "t4").collect())
+    assert got == want and len(got) == 700
+    timers = [int(op["customMetrics"]["numRegisteredTimers"]) for p in query.recentProgress for op in p["stateOperators"]]
+    assert 0 < max(timers) <= 3 * 2 * 256  # a block, what is left of it, the end of the span
+
+
 @pytest.mark.parametrize(
     ("stage", "at_", "waiting", "done"),
     [
