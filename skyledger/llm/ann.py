@@ -2,25 +2,36 @@
 
 Each table turns vectors by a fast pseudo-rotation (three rounds of random signs and a Hadamard transform); a vector's bucket is the signed
 axis nearest to it, or a pair of them from two rotations for large tables.  A query probes the buckets whose axes are nearest to it in every
-table.  Buckets hold vectors as 16-bit codes, whose error is known, so what a query finds there is bounded from both sides; only what may be
-among its nearest is fetched and ranked exactly.
+table.  Rows are held as 16-bit codes, whose error is known, so what a query finds there is bounded from both sides; only what may be
+among its nearest is fetched and ranked exactly.  A probed bucket makes no row: a query carries how near its last probed bucket is in each
+table, a row its buckets, and blocks of both meet in a task that compares what the probes reach.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.llm.common import arrow_batches, stored
 
 TABLES = 4
-#: Rows that one task compares on either side; larger buckets are compared in blocks.
+#: Rows of a block at least; a larger table has up to ``BLOCKS`` blocks, and more of them only if their vectors hold more than ``BLOCK_VALUES``.
 BLOCK_ROWS = 4096
+BLOCKS = 16
+BLOCK_VALUES = 1 << 22
+#: Blocks of queries have as many values at most, a quarter as many rows of the width 64.
+QUERY_VALUES = 1 << 20
+#: Pairs of a query and a row, or of a query and a bucket, that are looked at at once.
+STEP_CELLS = 1 << 21
+#: Rows of a block that are compared first.
+HEAD_ROWS = 1024
 #: Queries that the number of probes is calibrated on, and the share of their true neighbours that the probes must reach.
 CALIBRATION_QUERIES = 64
 CALIBRATION_RECALL = 0.96
@@ -53,8 +64,8 @@ class Hashing:
     def buckets(self) -> int:
         return (2 * self.padded) ** self.depth
 
-    def near(self, vectors: np.ndarray, table: int, is_query: bool) -> np.ndarray:
-        """How near each vector is to each bucket's axes in a table."""
+    def axes(self, vectors: np.ndarray, table: int, is_query: bool) -> list[np.ndarray]:
+        """How near each vector is to each axis of a table's rotations."""
         x = np.zeros((len(vectors), self.padded))
         x[:, : self.width] = vectors
         norms = np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -63,21 +74,35 @@ class Hashing:
             x[:, self.width] = np.sqrt(np.maximum(0.0, 1.0 - (norms[:, 0] / self.lift) ** 2))
         else:
             x[:, : self.width] /= norms
-        out = np.zeros((len(x), 1))
+        out = []
         for level in range(self.depth):
             signs = np.random.default_rng([self.seed, table, level]).choice([-1.0, 1.0], (3, self.padded))
             y = x
             for s in signs:
                 y = hadamard(y * s)
-            out = (out[:, :, None] + np.concatenate([y, -y], axis=1)[:, None, :]).reshape(len(x), -1)
+            out.append(np.concatenate([y, -y], axis=1))
         return out
 
-    def probed(self, vectors: np.ndarray, table: int, count: int, is_query: bool) -> np.ndarray:
-        """The ``count`` nearest buckets of each vector, a few vectors at a time, since pairs of axes make many buckets."""
-        out, step = [np.zeros((0, count), np.int64)], max(1, (1 << 21) // self.buckets)
+    def near(self, vectors: np.ndarray, table: int, is_query: bool) -> np.ndarray:
+        """How near each vector is to each bucket's axes in a table."""
+        out = np.zeros((len(vectors), 1))
+        for y in self.axes(vectors, table, is_query):
+            out = (out[:, :, None] + y[:, None, :]).reshape(len(vectors), -1)
+        return out
+
+    def bucket(self, vectors: np.ndarray, table: int) -> np.ndarray:
+        """The nearest bucket of each row: the nearest axis of each rotation."""
+        out = np.zeros(len(vectors), np.int64)
+        for y in self.axes(vectors, table, False):
+            out = out * y.shape[1] + y.argmax(1)
+        return out
+
+    def bars(self, vectors: np.ndarray, table: int, count: int) -> np.ndarray:
+        """How near each query is to the last of its ``count`` nearest buckets, a few queries at a time, since pairs of axes make many buckets."""
+        out, step = [np.zeros(0)], max(1, STEP_CELLS // self.buckets)
         for i in range(0, len(vectors), step):
-            near = self.near(vectors[i : i + step], table, is_query)
-            out.append(near.argmax(1)[:, None] if count == 1 else np.argpartition(-near, count - 1, axis=1)[:, :count])
+            near = self.near(vectors[i : i + step], table, True)
+            out.append(np.partition(near, self.buckets - count, axis=1)[:, self.buckets - count])
         return np.concatenate(out)
 
 
@@ -91,6 +116,10 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+
+
 #: Steps of a code on either side of zero.
 _STEPS = 32767
 
@@ -143,7 +172,7 @@ def _calibrate(queries: DataFrame, base: DataFrame, hashing: Hashing, k: int) ->
     which, near = top.column("q").to_numpy(), _matrix(top.column("vec").combine_chunks(), width)
     ranks = np.full(len(which), hashing.buckets)
     for table in range(hashing.tables):
-        goal = hashing.probed(near, table, 1, False)[:, 0]
+        goal = hashing.bucket(near, table)
         for q in np.unique(which):
             mine = which == q
             scores = hashing.near(vectors[q : q + 1], table, True)[0]
@@ -159,7 +188,8 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id
     equal vectors are compared once and ranked by key, so a group of copies costs as much as one vector and ``k + 1`` keys.
 
     Every usable row is indexed.  ``probes`` per table come from a sample of ``CALIBRATION_QUERIES`` queries, compared with all rows.  Buckets are
-    split into blocks of about ``BLOCK_ROWS`` rows, every query meets every block of the buckets it probes, and none is capped.
+    never capped; buckets as near as a query's last probed one are probed, too.  Rows are dealt by hash into blocks, queries too, and each pair of
+    blocks gives ``k + 1`` rows for a query and what their errors leave open.
     """
     arrow_batches(base.sparkSession, 4000)
     both = base.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & usable(F.col("vec")))
@@ -184,57 +214,84 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id
     probes = probes or _calibrate(query_vectors, distinct, hashing, k)
     probes = min(probes, hashing.buckets)
 
-    def placed(rows: DataFrame, is_query: bool) -> DataFrame:
-        count = probes if is_query else 1
-
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                vectors, ids = _matrix(batch.column("vec"), width), batch.column("vid").to_numpy()
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                vectors = _matrix(batch.column("vec"), width)
                 codes, steps = _coded(vectors)
-                packed = pa.array([x.tobytes() for x in codes], pa.binary())
-                for table in range(hashing.tables):
-                    buckets = hashing.probed(vectors, table, count, is_query)
-                    rows = np.repeat(np.arange(len(ids)), count)
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array((table * hashing.buckets + buckets).ravel().astype(np.int64)), "vid": pa.array(ids[rows]), "code": packed.take(pa.array(rows)), "step": pa.array(steps[rows])})
+                buckets = np.stack([hashing.bucket(vectors, table) for table in range(hashing.tables)], axis=1)
+                yield pa.RecordBatch.from_pydict({"vid": batch.column("vid"), "code": pa.array([x.tobytes() for x in codes], pa.binary()), "step": pa.array(steps), "buckets": _lists(buckets.astype(np.int32))})
 
-        return rows.select("vid", "vec").mapInArrow(place, "bucket long, vid long, code binary, step double")
-
-    candidates, probing = stored(placed(distinct, False), "ann-buckets"), stored(placed(query_vectors, True), "ann-probes")
-    blocks = candidates.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks")).join(
-        probing.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("query_blocks")), "bucket"
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                vectors = _matrix(batch.column("vec"), width)
+                bars = np.stack([hashing.bars(vectors, table, probes) for table in range(hashing.tables)], axis=1)
+                yield pa.RecordBatch.from_pydict({"vid": batch.column("vid"), "vec": _lists(vectors), "bars": _lists(bars)})
+
+    indexed = stored(distinct.select("vid", "vec").mapInArrow(index, "vid long, code binary, step double, buckets array<int>"), "ann-buckets")
+    probing = stored(query_vectors.mapInArrow(probe, "vid long, vec array<double>, bars array<double>"), "ann-probes")
+    # Each block of rows meets each block of queries in a task of its own, which tells from bars and buckets what a query probes.
+    rows = indexed.count()
+    blocks = math.ceil(rows / max(1, min(max(BLOCK_ROWS, math.ceil(rows / BLOCKS)), BLOCK_VALUES // width)))
+    query_blocks = max(1, math.ceil(probing.count() / max(1, QUERY_VALUES // width)))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
+    own = lambda n: F.pmod(F.xxhash64("vid"), F.lit(max(1, n))).cast("int")
+    pairs = indexed.withColumns({"block": own(blocks), "query_block": numbers(query_blocks)}).unionByName(
+        probing.withColumns({"block": numbers(blocks), "query_block": own(query_blocks)}), allowMissingColumns=True
     )
 
-    def dealt(rows: DataFrame, own: str, other: str, is_query: bool) -> DataFrame:
-        mine = F.pmod(F.xxhash64("vid"), F.col(own))
-        copied = rows.join(blocks, "bucket").withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
-        a, b = ("theirs", "mine") if is_query else ("mine", "theirs")
-        return copied.select("bucket", F.col(a).alias("block"), F.col(b).alias("query_block"), "vid", "code", "step", F.lit(is_query).alias("is_query"))
-
     def compare(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        asks = group.column("is_query").to_numpy(zero_copy_only=False)
-        ids = group.column("vid").to_numpy()
-        vectors, norms, error = _decoded(group.column("code"), group.column("step").to_numpy(), width)
-        x, q = np.flatnonzero(~asks), np.flatnonzero(asks)
-        if not len(x) or not len(q):
-            empty = np.zeros(0)
-            return pa.table({"qid": pa.array(empty, pa.int64()), "vid": pa.array(empty, pa.int64()), "low": pa.array(empty), "high": pa.array(empty)})
-        scores = vectors[q] @ vectors[x].T
-        # The inner product of the originals is at most this far off.
-        off = norms[q][:, None] * error[x][None, :] + (norms[x] + error[x])[None, :] * error[q][:, None]
-        most = min(k + 1, len(x))
-        bar = np.partition(scores - off, len(x) - most, axis=1)[:, len(x) - most]
-        rows, columns = np.nonzero(scores + off >= bar[:, None])
-        low, high = (scores - off)[rows, columns], (scores + off)[rows, columns]
-        return pa.table({"qid": pa.array(ids[q][rows]), "vid": pa.array(ids[x][columns]), "low": pa.array(low), "high": pa.array(high)})
-
-    pairs = dealt(candidates, "blocks", "query_blocks", False).unionByName(dealt(probing, "query_blocks", "blocks", True))
-    found = pairs.groupBy("bucket", "block", "query_block").applyInArrow(compare, "qid long, vid long, low double, high double")
+        asks = pc.is_valid(group.column("bars"))
+        base, asked = group.filter(pc.invert(asks)).combine_chunks(), group.filter(asks).combine_chunks()
+        ids, qids = base.column("vid").to_numpy(), asked.column("vid").to_numpy()
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
+        if len(ids) and len(qids):
+            vectors, norms, error = _decoded(base.column("code"), base.column("step").to_numpy(), width)
+            # Sums of single precision are this far off, at most.
+            vectors, error = vectors.astype(np.float32), error + (width + 4) * 2.0**-24 * norms
+            buckets = base.column("buckets").combine_chunks().flatten().to_numpy().reshape(-1, hashing.tables).astype(np.int64)
+            axes = [np.unravel_index(buckets[:, table], (2 * hashing.padded,) * hashing.depth) for table in range(hashing.tables)]
+            wanted = _matrix(asked.column("vec").combine_chunks(), width)
+            bars = _matrix(asked.column("bars").combine_chunks(), hashing.tables)
+            most, step = min(k + 1, len(ids)), max(1, STEP_CELLS // len(ids))
+            for i in range(0, len(qids), step):
+                q = wanted[i : i + step]
+                turned = [hashing.axes(q, table, True) for table in range(hashing.tables)]
+
+                def met(a: np.ndarray, b: np.ndarray, turned: list[list[np.ndarray]] = turned, bars: np.ndarray = bars[i : i + step]) -> np.ndarray:
+                    """Whether queries ``a`` probe a bucket of rows ``b``."""
+                    out = False
+                    for table, (ys, xs) in enumerate(zip(turned, axes, strict=True)):
+                        out |= sum(y[a, x[b]] for y, x in zip(ys, xs, strict=True)) >= bars[a, table]
+                    return out
+
+                scores = q.astype(np.float32) @ vectors.T
+                # The inner product of the originals is at most this far off.
+                size = np.linalg.norm(q, axis=1)
+                # What the first rows hold rules out most others before their buckets are looked at.
+                head = min(len(ids), max(HEAD_ROWS, most))
+                first = np.where(met(np.arange(len(q))[:, None], np.arange(head)[None, :]), scores[:, :head], np.float32(-np.inf))
+                last = np.partition(first, head - most, axis=1)[:, head - most]
+                a, b = np.nonzero(scores >= (last - 2.001 * size * error.max()).astype(np.float32)[:, None])
+                own = met(a, b)
+                a, b = a[own], b[own]
+                score, off = scores[a, b].astype(np.float64), size[a] * error[b]
+                low, high = score - off, score + off
+                counts = np.bincount(a, minlength=len(q))
+                order = np.lexsort((-low, a))
+                full = np.flatnonzero(counts >= most)
+                bar = np.full(len(q), -np.inf)
+                bar[full] = low[order[(np.cumsum(counts) - counts)[full] + most - 1]]
+                near = high >= bar[a]
+                found.append((qids[i + a[near]], ids[b[near]], low[near], high[near]))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["qid", "vid", "low", "high"])
+
+    # Few rows make much work, so each pair gets a partition of its own, more or less.
+    pairs = pairs.repartition(max(1, 2 * blocks * query_blocks), "block", "query_block")
+    found = pairs.groupBy("block", "query_block").applyInArrow(compare, "qid long, vid long, low double, high double")
     # Whatever may be among the k + 1 nearest of all that was found; equal vectors stand for one another.
-    bounded = found.groupBy("qid", "vid").agg(F.max("low").alias("low"), F.min("high").alias("high"))
-    ranked = bounded.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("low"))))
+    ranked = found.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("low"))))
     bar = F.min(F.when(F.col("n") <= k + 1, F.col("low"))).over(Window.partitionBy("qid"))
     near = ranked.withColumn("bar", bar).where("high >= bar").select("qid", "vid")
 

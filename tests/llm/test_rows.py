@@ -248,6 +248,24 @@ def test_nearest(vectors, monkeypatch, block):
     assert ann.nearest(frame.limit(0), frame, 5).count() == 0 and ann.nearest(frame, frame.limit(0), 5).count() == 0
 
 
+def test_probed_buckets_make_no_rows(vectors, monkeypatch):
+    """A query is one row however many buckets it probes; many blocks, whose first rows rule out others, give the same neighbours."""
+    rows, frame = vectors
+    kept, stored = {}, ann.stored
+    monkeypatch.setattr(ann, "stored", lambda df, name: kept.setdefault(name, stored(df, name)))
+    monkeypatch.setattr(ann, "BLOCK_VALUES", 12 * 64, raising=False)
+    monkeypatch.setattr(ann, "QUERY_VALUES", 12 * 30, raising=False)
+    monkeypatch.setattr(ann, "HEAD_ROWS", 8, raising=False)
+    got = ann.nearest(frame, frame.where("vec_id % 4 = 0"), 5, probes=10**6).collect()
+    assert kept["ann-probes"].count() == kept["ann-queries"].count()
+    known = {k: np.array(v) for k, v, _ in rows if k is not None and usable(v) and len(v) == 12}
+    found = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        found[r["query_id"]].append(r["vec_id"])
+    for q in [k for k in known if k % 4 == 0]:
+        assert found[q] == sorted((k for k in known if k != q), key=lambda k: (-round(float(known[q] @ known[k]), 9), k))[:5]
+
+
 @pytest.mark.parametrize("threshold", [0.98, 0.7])
 def test_embedding_groups(vectors, monkeypatch, threshold):
     rows, frame = vectors
