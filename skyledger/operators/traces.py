@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions.columns import field, fill
-from skyledger.functions.joins import salted_left_join
+from skyledger.functions.joins import checked_broadcast, salted_left_join
 from skyledger.operators.anomalies import high_mean
+from skyledger.session import cut_lineage
 
 # OTLP numbers of span kinds.
 SPAN_KINDS = {"INTERNAL": 1, "SERVER": 2, "CLIENT": 3, "PRODUCER": 4, "CONSUMER": 5}
@@ -96,6 +99,12 @@ def span_attributes(df: DataFrame) -> Column:
     return F.concat(F.coalesce(shown.cast(type_ddl), F.array().cast(type_ddl)), F.array_compact(F.array(*derived)).cast(type_ddl))
 
 
+def _start_nanos() -> Column:
+    """Start in nanoseconds as text; ``0`` without a time."""
+    start = F.coalesce(F.unix_millis("ts"), F.lit(0)) * F.lit(1_000_000)
+    return F.when(start == 0, "0").otherwise(start.cast("string"))
+
+
 def apm_to_otlp_span(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One OTLP span per trace document."""
     is_span = F.col("kind") == "span"
@@ -119,13 +128,17 @@ def apm_to_otlp_span(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         F.when(parent != "", parent).alias("parentSpanId"),
         F.coalesce("name", field(df, "action"), F.lit("span")).alias("name"),
         kind.alias("kind"),
-        F.when(start == 0, "0").otherwise(start.cast("string")).alias("startTimeUnixNano"),
+        _start_nanos().alias("startTimeUnixNano"),
         (start + length).cast("string").alias("endTimeUnixNano"),
         span_attributes(df).alias("attributes"),
         F.struct(code.alias("code"), message.alias("message")).alias("status"),
     )
 
 
+#: Spans that one task builds and nests, about.
+TASK_SPANS = 100_000
+
+
 def group_resource_spans(df: DataFrame, max_spans: int = 250, scope_version: str = "1.0.0") -> DataFrame:
     """Export requests: spans nested below their resource (service and environment).
 
@@ -143,11 +156,24 @@ def group_resource_spans(df: DataFrame, max_spans: int = 250, scope_version: str
     }
     first = F.struct(*[v.alias(k) for k, v in shown.items()])
     resource = keyed.groupBy("__s", "__e").agg(F.count("*").alias("__n"), F.min_by(first, F.struct("ts", F.coalesce("span_id", "tx_id"))).alias("__r"))
-    spans = apm_to_otlp_span(keyed, keep=["__s", "__e"])
+    # Documents are moved as they are, and only once if the resources are few; spans, several times as wide, are built where their batch is.
+    keys = ["__s", "__e"]
+    resource = cut_lineage(resource)
+    total = resource.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n")).first()["n"]
+    marked = checked_broadcast(resource)
     batches = F.greatest(F.ceil(F.col("__n") / F.lit(max_spans)), F.lit(1))
-    dealt = salted_left_join(spans, resource, ["__s", "__e"], "spanId").withColumn("batch", F.pmod(F.xxhash64("traceId", "spanId", "startTimeUnixNano"), batches))
-    fields = [c for c in spans.columns if c not in ("__s", "__e")]
-    grouped = dealt.groupBy("__s", "__e", "batch").agg(
+    node, start = F.coalesce("span_id", "tx_id", F.lit("")), _start_nanos()
+    batch = F.pmod(F.xxhash64(F.coalesce("trace_id", F.lit("")), node, start), batches)
+    if marked is resource:
+        dealt = salted_left_join(keyed.withColumn("__id", node), resource, keys, "__id").withColumn("batch", batch)
+    else:
+        dealt = keyed.join(F.broadcast(resource.select(*keys, "__n")), keys, "left").withColumn("batch", batch)
+    dealt = dealt.drop("__n", "__id").repartition(math.ceil(total / TASK_SPANS) or 1, *keys, "batch")
+    if marked is not resource:
+        dealt = dealt.join(F.broadcast(resource.select(*keys, "__r")), keys, "left")
+    spans = apm_to_otlp_span(dealt, keep=[*keys, "batch", "__r"])
+    fields = [c for c in spans.columns if c not in (*keys, "batch", "__r")]
+    grouped = spans.groupBy(*keys, "batch").agg(
         F.collect_list(F.struct(*fields)).alias("spans"), F.first("__r").alias("__r")
     )
     attributes = F.array_compact(F.array(*[_attribute(k, F.col(f"__r.`{k}`")) for k in shown]))

@@ -51,6 +51,21 @@ def test_batches_are_bounded_and_whole(spark):
     assert {"key": "service.name", "value": {"stringValue": "hot"}} in resource
 
 
+def test_documents_are_moved_once_before_they_become_spans(spark, monkeypatch):
+    rows = [(T0, f"t{i % 90}", f"s{i}", None, None, "span", "app", None, None, "n", i, None, None, f"svc{i % 3}" if i % 7 else None, "prod" if i % 2 else None, None) for i in range(600)]
+    rows += [rows[5], (None, None, None, None, None, None, None, None, None, None, None, None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, SPAN)
+    monkeypatch.setattr(t, "TASK_SPANS", 100, raising=False)
+    batches = t.group_resource_spans(frame, max_spans=20)
+    plan = batches._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    read = lambda df: sorted((r["service"], r["environment"], r["batch"], r["resourceSpans"]["resource"]["attributes"], sorted(map(str, r["resourceSpans"]["scopeSpans"][0]["spans"]))) for r in df.collect())
+    got = read(batches)
+    assert sum(len(r[4]) for r in got) == 602 and len({r[:3] for r in got}) == len(got)
+    monkeypatch.setattr(t, "checked_broadcast", lambda dim: dim)  # as if there were too many resources
+    assert read(t.group_resource_spans(frame, max_spans=20)) == got
+
+
 def test_span_kinds(spark):
     df = spark.createDataFrame([("messaging", None, "ReceiveMessage"), ("app", "sqs", "send"), ("app", None, None), ("db", None, None), ("app", "redis", None)], "a string, b string, c string")
     assert [r[0] for r in df.select(t.span_kind_name(F.col("a"), F.col("b"), F.col("c"))).collect()] == ["CONSUMER", "PRODUCER", "INTERNAL", "CLIENT", "CLIENT"]
