@@ -484,3 +484,18 @@ def test_large_buckets_are_compared_in_blocks_and_units(spark, monkeypatch):
         rows += [(i, " ".join(text)), (i, "another text " + " ".join(text[:40]))][: 2 if i % 10 == 0 else 1]
     got = ngram_jaccard.join_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), num=70)
     assert {r["key"]: (r["n_shingles"], r["component"]) for r in got.collect()} == jaccard_groups(rows, 3, 70, 100)
+
+
+@pytest.mark.parametrize("share", [0, 2, 1])  # no shingle is common, every other one, all
+def test_common_shingles_never_change_the_groups(spark, monkeypatch, share):
+    import random
+
+    rng, rows = random.Random(3), []
+    for i in range(60):
+        text = [f"w{i % 6}x{j}" for j in range(50)]
+        text[rng.randrange(50)] = f"new{i}"
+        rows.append((i, " ".join([*text, "a line that all of these documents hold"])))
+    shingles = np.unique(np.concatenate([ngram_jaccard.shingle_set(words[p:q], 3) for _, _, words, at in each_step(pa.array([x for _, x in rows])) for p, q in zip(at, at[1:], strict=False)]))
+    monkeypatch.setattr(ngram_jaccard, "common_tokens", lambda texts, n, documents: shingles[::share] if share else shingles[:0])
+    got = ngram_jaccard.join_groups(spark.createDataFrame(rows, "doc_id long, text string"), num=80)
+    assert {r["key"]: (r["n_shingles"], r["component"]) for r in got.collect()} == jaccard_groups(rows, 3, 80, 100)
